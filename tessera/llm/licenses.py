@@ -18,10 +18,10 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Families: label, keyword every rule of the family holds, names (regex over words), versions.
-FAMILIES = [
+FAMILIES = [  # keywords stand anywhere in the normalised text; short ones are whole words
     ("apache", "apache", "apache(?: software)?", ["1 0", "1 1", "2 0", "2"]),
-    ("mit", "mit", "mit", []),
-    ("bsd", "bsd", "(?:modified |new |simplified )?bsd(?: [234] clause)?", []),
+    ("mit", " mit ", "mit", []),
+    ("bsd", " bsd ", "(?:modified |new |simplified )?bsd(?: [234] clause)?", []),
     ("gpl", "gpl", "(?:gnu )?gpl(?:v[123])?", ["1", "2", "2 0", "3", "3 0"]),
     ("gpl", "general public", "(?:gnu )?general public", ["1", "2", "2 0", "3", "3 0"]),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?:v[23])?", ["2", "2 1", "3", "3 0"]),
@@ -41,7 +41,7 @@ FAMILIES = [
     ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial", ["2 0", "3 0", "4 0"]),
     ("cc0", "cc0", "cc0", ["1 0"]),
     ("unlicense", "unlicense", "unlicense", []),
-    ("isc", "isc", "isc", []),
+    ("isc", " isc ", "isc", []),
     ("zlib", "zlib", "zlib(?: libpng)?", []),
     ("artistic", "artistic", "artistic", ["1 0", "2 0"]),
     ("python", "python software foundation", "python software foundation", ["2", "2 0"]),
@@ -50,13 +50,17 @@ FAMILIES = [
     ("eupl", "eupl", "eupl", ["1 1", "1 2"]),
     ("ofl", "open font", "(?:sil )?open font", ["1 0", "1 1"]),
 ]
-#: Ways of naming a family, most telling first: priority and pattern; N is the family's name.
+#: Ways of naming a family, most telling first: priority, gate and pattern; N is the family's name. The gate is
+#: text that every match holds; a rule runs only where both its gate and its family's keyword occur.
 FORMS = [
-    (90, "spdx license identifier N(?: only| or later)?"),
-    (80, "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
-    (70, "(?:subject to|governed by|covered by|in accordance with) (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
-    (60, "(?:the )?N licen[sc]es?"),
-    (50, "licen[sc]e (?:is )?N"),
+    (90, " spdx license identifier ", "spdx license identifier N(?: only| or later)?"),
+    (80, " under ", "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
+    (70, " subject to ", "subject to (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
+    (70, " governed by ", "governed by (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
+    (70, " covered by ", "covered by (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
+    (70, " accordance with ", "in accordance with (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
+    (60, " licen", "(?:the )?N licen[sc]es?"),
+    (50, " licen", "licen[sc]e (?:is )?N"),
 ]
 #: Rules that name no family, written by hand: label, keyword, priority, pattern.
 LOOSE = [
@@ -82,15 +86,15 @@ LOOSE = [
 ]
 
 
-def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, pattern) of every rule, the highest priority first."""
-    out = [(p, label, key, pattern) for label, key, p, pattern in LOOSE]
-    out += [(100, label, phrase, phrase) for phrase, label in BASE.items()]
+def rules() -> list[tuple[int, str, str, str, str]]:
+    """(priority, label, keyword, gate, pattern) of every rule, the highest priority first."""
+    out = [(p, label, key, key, pattern) for label, key, p, pattern in LOOSE]
+    out += [(100, label, phrase, phrase, phrase) for phrase, label in BASE.items()]
     for label, key, name, versions in FAMILIES:
-        for p, form in FORMS:
-            out.append((p, label, key, form.replace("N", name)))
-            out += [(p + 5, f"{label}-{v.replace(' ', '.')}", key, form.replace("N", name) + f" (?:version |v)?{v}") for v in versions]
-    return sorted(out, key=lambda r: (-r[0], r[1], r[3]))
+        for p, gate, form in FORMS:
+            out.append((p, label, key, gate, form.replace("N", name)))
+            out += [(p + 5, f"{label}-{v.replace(' ', '.')}", key, gate, form.replace("N", name) + f" (?:version |v)?{v}") for v in versions]
+    return sorted(out, key=lambda r: (-r[0], r[1], r[4]))
 
 
 def words_text(text: Column) -> Column:
@@ -130,14 +134,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     rows = need(docs, doc_id="long", text="string").select("doc_id", words_text(F.col("text")).alias("norm"))
     book = rules()
-    keys = sorted({r[2] for r in book})
-    literal = lambda r: F.struct(F.lit(r[0]).alias("priority"), F.lit(r[1]).alias("label"), F.lit(r[2]).alias("keyword"), F.lit(r[3]).alias("pattern"))
-    shelf = F.array(*[literal(r) for r in book])
-    hot = F.rlike("norm", F.lit("|".join(keys)))
+    # One literal array, parsed once; the rules hold no quotes or backslashes.
+    shelf = F.expr("array(" + ",".join(f"named_struct('priority',{p},'label','{x}','keyword','{k}','gate','{g}','pattern','{r}')" for p, x, k, g, r in book) + ")")
+    hot = F.lit(False)
+    for gate in sorted({r[3] for r in book}):
+        hot = hot | F.contains("norm", F.lit(gate))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,priority:int,label:string>>)")
     hits = F.flatten(
         F.transform(
-            F.filter(shelf, lambda r: F.contains(F.col("norm"), r["keyword"])),
+            F.filter(shelf, lambda r: F.contains(F.col("norm"), r["gate"]) & F.contains(F.col("norm"), r["keyword"])),
             lambda r: F.transform(_places(F.col("norm"), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"))),
         )
     )
