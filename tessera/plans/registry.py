@@ -1,4 +1,545 @@
-"""All registered queries of the fact engine, with DuckDB SQL of the same meaning."""
+"""All registered queries of the fact engine over the projected knowledge base, with DuckDB SQL of the same meaning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..datalog import parse_program
+from ..functions import text, typed
+from ..operators import analytics as an
+from ..operators import documents as dx
+from ..operators import engine, questions, store, trust
+from ..schema import ENGINE, REVIEW, broken_facts, in_tier
+from ..sources.fixture import ALIASES, kb, sql
+from ..sources.policy_files import canonicalize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function of (spark, sf_dir); oracle is DuckDB SQL over the driver's and the projected tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def tables(spark, sf_dir, *names):
+    return [kb(spark, sf_dir, "kb_" + n) for n in names]
+
+
+def canonical_facts(spark, sf_dir):
+    facts, aliases = tables(spark, sf_dir, "facts", "alias")
+    return canonicalize(facts, aliases)
+
+
+def plain_relation(spark, sf_dir):
+    """Distinct subject, rel, object strings of engine facts with canonical labels."""
+    return canonical_facts(spark, sf_dir).filter(in_tier(ENGINE)).select("subject", F.col("canonical").alias("rel"), "object").distinct()
+
+
+def relation_frame(spark, sf_dir):
+    rel = canonical_facts(spark, sf_dir).filter(in_tier(ENGINE)).select("subject", F.col("canonical").alias("relation"), "object")
+    return engine.base_relation(rel, plain=True)
+
+
+def rules(spark, sf_dir, body, name):
+    """The surfaces of one predicate of a program over the relation; key columns are s:surface here."""
+    program = parse_program(".decl relation(subject: symbol, rel: symbol, object: symbol)\n" + body)
+    frame = engine.evaluate(program, relation_frame(spark, sf_dir))[name]
+    cols = program.declarations[name].columns
+    return frame.select(*[F.substring(f"__cmp_{c}", 3, 1 << 20).alias(c) for c in cols]) if cols else frame.select(F.col("__present").alias("present"))
+
+
+def keyed(spark, sf_dir, specs=None):
+    facts, aliases = tables(spark, sf_dir, "facts", "alias")
+    return trust.with_keys(facts, aliases, specs if specs is not None else {"established_on": {"type": "date"}, "born_on": {"type": "date"}})
+
+
+# -- analytics, coverage, queues -------------------------------------------------------------------------------
+
+
+@query("SELECT status, count(*) AS n FROM kb_facts GROUP BY status")
+def analytics_by_status(spark, sf_dir):
+    return an.count_by(*tables(spark, sf_dir, "facts"), "status")
+
+
+@query("SELECT relation, count(*) AS n FROM kb_facts GROUP BY relation ORDER BY n DESC, relation LIMIT 20")
+def analytics_by_relation_top20(spark, sf_dir):
+    return an.count_by(*tables(spark, sf_dir, "facts"), "relation", 20)
+
+
+@query("SELECT coalesce(s.path, '(none)') AS source, count(*) AS n FROM kb_facts f LEFT JOIN kb_sources s ON s.id = f.source_id GROUP BY 1 ORDER BY n DESC, source LIMIT 20")
+def analytics_by_source_top20(spark, sf_dir):
+    return an.by_source(*tables(spark, sf_dir, "facts", "sources"))
+
+
+@query("SELECT CASE WHEN confidence < 0.5 THEN '<0.5' WHEN confidence < 0.7 THEN '0.5–0.7' WHEN confidence < 0.9 THEN '0.7–0.9' ELSE '≥0.9' END AS bucket, count(*) AS n FROM kb_facts GROUP BY 1")
+def analytics_by_confidence(spark, sf_dir):
+    return an.by_confidence(*tables(spark, sf_dir, "facts"))
+
+
+COVERAGE = """SELECT s.id, s.path, count(f.id) AS total, CAST(coalesce(sum(CASE WHEN f.status IN ('accepted','confirmed') THEN 1 ELSE 0 END), 0) AS BIGINT) AS engine
+FROM kb_sources s LEFT JOIN kb_facts f ON f.source_id = s.id GROUP BY s.id, s.path"""
+
+
+@query(f"SELECT *, engine = 0 AS gap FROM ({COVERAGE})")
+def source_coverage(spark, sf_dir):
+    return an.coverage(*tables(spark, sf_dir, "facts", "sources"))
+
+
+@query(f"SELECT id, path FROM ({COVERAGE}) WHERE engine = 0")
+def coverage_gaps(spark, sf_dir):
+    return an.coverage(*tables(spark, sf_dir, "facts", "sources")).filter("gap").select("id", "path")
+
+
+@query("SELECT id, path, kind FROM kb_sources WHERE path NOT IN (SELECT concat('sources/', s_name, '.txt') FROM supplier WHERE s_nationkey % 2 = 0)")
+def coverage_orphans(spark, sf_dir):
+    (sources,) = tables(spark, sf_dir, "sources")
+    listed = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_nationkey % 2 = 0")
+    return an.orphans(sources, listed.select(F.concat(F.lit("sources/"), "s_name", F.lit(".txt")).alias("path"))).select("id", "path", "kind")
+
+
+@query("""WITH c AS (SELECT source_id, count(*) AS facts, CAST(sum(CASE WHEN status IN ('candidate','needs_review') THEN 1 ELSE 0 END) AS BIGINT) AS review,
+  CAST(sum(CASE WHEN status IN ('accepted','confirmed') THEN 1 ELSE 0 END) AS BIGINT) AS engine FROM kb_facts GROUP BY source_id),
+j AS (SELECT * FROM kb_jobs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC) = 1)
+SELECT s.id, s.path, coalesce(facts, 0) AS facts, coalesce(review, 0) AS review, coalesce(engine, 0) AS engine, j.id AS job_id, j.status AS job_status
+FROM kb_sources s LEFT JOIN c ON c.source_id = s.id LEFT JOIN j ON j.source_id = s.id""")
+def sources_overview(spark, sf_dir):
+    return an.sources_overview(*tables(spark, sf_dir, "facts", "sources", "jobs"))
+
+
+@query("SELECT f.id, subject, relation, object, status, s.path AS source_path FROM kb_facts f LEFT JOIN kb_sources s ON s.id = f.source_id WHERE status IN ('accepted','confirmed')")
+def facts_with_source(spark, sf_dir):
+    facts, sources = tables(spark, sf_dir, "facts", "sources")
+    return an.with_source(facts.filter(in_tier(ENGINE)), sources).select("id", "subject", "relation", "object", "status", "source_path")
+
+
+@query("SELECT pos, id, subject, object FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 123456789), (4, 11)) AS w(pos, wid) JOIN kb_facts ON id = wid")
+def facts_by_ids(spark, sf_dir):
+    return an.facts_by_ids(*tables(spark, sf_dir, "facts"), [7, 3, 7, 123456789, 11]).select("pos", "id", "subject", "object")
+
+
+@query("""SELECT e.id, e.fact_id, s.path, e.artifact_id, j.job_id, e.snippet FROM kb_evidence e JOIN kb_sources s ON s.id = e.source_id
+LEFT JOIN (SELECT artifact_id, max(id) AS job_id FROM kb_jobs GROUP BY 1) j ON j.artifact_id = e.artifact_id""")
+def evidence_view(spark, sf_dir):
+    return an.evidence_view(*tables(spark, sf_dir, "evidence", "sources", "jobs"))
+
+
+def _page(order, by, page=2):
+    @query(f"""SELECT f.id, f.confidence, s.path AS source_path FROM kb_facts f LEFT JOIN kb_sources s ON s.id = f.source_id
+WHERE f.status IN ('candidate', 'needs_review') ORDER BY {by} LIMIT 50 OFFSET {(page - 1) * 50}""")
+    def page_query(spark, sf_dir):
+        facts, sources = tables(spark, sf_dir, "facts", "sources")
+        facts = facts.withColumn("updated_at", F.pmod(F.col("id") * 31, F.lit(977)))
+        return an.review_page(facts, sources, order, page).select("id", "confidence", "source_path")
+
+    name = f"review_page_{order}"
+    QUERIES[name], ORACLES[name] = QUERIES.pop("page_query"), ORACLES.pop("page_query")
+
+
+for _order, _by in {
+    "newest": "f.id DESC", "oldest": "f.id", "updated": "(f.id * 31) % 977 DESC, f.id DESC", "confidence": "f.confidence DESC, f.id DESC",
+    "source": "s.path IS NULL, lower(s.path), f.id DESC",
+}.items():
+    _page(_order, _by)
+
+
+@query("SELECT count(DISTINCT fact_id) AS n FROM kb_events WHERE event_type IN ('rejected', 'amended')")
+def facts_with_events_distinct(spark, sf_dir):
+    return an.distinct_with_events(*tables(spark, sf_dir, "events"), ["rejected", "amended"])
+
+
+@query("SELECT snippet, min(id) AS first_id FROM kb_evidence GROUP BY snippet ORDER BY first_id LIMIT 20")
+def distinct_snippets_oldest(spark, sf_dir):
+    return an.distinct_snippets(*tables(spark, sf_dir, "evidence"))
+
+
+@query("SELECT source_id, max(id) AS job_id, max_by(status, id) AS status FROM kb_jobs GROUP BY source_id")
+def latest_job_per_source(spark, sf_dir):
+    return an.latest_per(*tables(spark, sf_dir, "jobs"), "source_id").select("source_id", F.col("id").alias("job_id"), "status")
+
+
+CHUNKS = """SELECT job_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running FROM kb_chunks GROUP BY job_id"""
+
+
+@query(f"""SELECT *, CASE WHEN done + failed = total AND failed > 0 THEN 'failed' WHEN done + failed = total OR (total > 0 AND done = total) THEN 'done'
+WHEN running > 0 THEN 'running' WHEN failed > 0 THEN 'failed' ELSE 'pending' END AS status FROM ({CHUNKS})""")
+def chunk_progress(spark, sf_dir):
+    return an.chunk_progress(*tables(spark, sf_dir, "chunks"))
+
+
+@query("SELECT job_id, count(*) AS failed, count(*) FILTER (attempts >= 3) AS exhausted FROM kb_chunks WHERE status = 'failed' GROUP BY job_id")
+def exhausted_chunks(spark, sf_dir):
+    return an.exhausted_chunks(*tables(spark, sf_dir, "chunks"))
+
+
+@query("SELECT job_id, min_by(id, chunk_index) AS chunk_id FROM kb_chunks WHERE status = 'pending' GROUP BY job_id")
+def next_pending_chunk(spark, sf_dir):
+    return an.next_pending(*tables(spark, sf_dir, "chunks"))
+
+
+@query("""WITH l AS (SELECT source_id, max(id) AS job_id, max_by(status, id) AS js FROM kb_jobs GROUP BY source_id),
+c AS (SELECT job_id, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed' AND attempts >= 3) AS spent FROM kb_chunks GROUP BY job_id)
+SELECT source_id, l.job_id, CASE WHEN js = 'running' THEN 'busy' WHEN js NOT IN ('pending', 'failed') THEN 'fresh' WHEN coalesce(spent, 0) > 0 THEN 'exhausted'
+WHEN coalesce(failed, 0) > 0 THEN 'retry' WHEN coalesce(done, 0) = 0 THEN 'fresh' WHEN js = 'pending' THEN 'resume' ELSE 'retry' END AS plan FROM l LEFT JOIN c ON c.job_id = l.job_id""")
+def extraction_plan(spark, sf_dir):
+    return an.plan_extraction(*tables(spark, sf_dir, "jobs", "chunks"))
+
+
+@query("SELECT f.id, 'missing_source' AS problem FROM kb_facts f WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT id FROM kb_sources WHERE id % 10 <> 3)")
+def integrity_facts(spark, sf_dir):
+    facts, sources = tables(spark, sf_dir, "facts", "sources")
+    return broken_facts(facts, sources.filter("id % 10 <> 3"))
+
+
+# -- engine ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT subject, rel, object FROM kb_relation")
+def engine_relation(spark, sf_dir):
+    return rules(spark, sf_dir, ".decl out(subject: symbol, rel: symbol, object: symbol)\nout(S, R, O) :- relation(S, R, O).", "out")
+
+
+@query("SELECT subject, rel FROM kb_relation JOIN kb_functional USING (rel) GROUP BY 1, 2 HAVING count(DISTINCT object) > 1")
+def rule_functional_conflict(spark, sf_dir):
+    return rules(spark, sf_dir, engine.DEFAULT_POLICY.split("\n", 2)[2], "error_functional_conflict")
+
+
+@query("SELECT DISTINCT a.subject AS x, b.object AS z FROM kb_relation a JOIN kb_relation b ON a.object = b.subject WHERE a.rel = 'knows' AND b.rel = 'knows'")
+def rule_grandparent(spark, sf_dir):
+    return rules(spark, sf_dir, '.decl far(x: symbol, z: symbol)\nfar(X, Z) :- relation(X, "knows", Y), relation(Y, "knows", Z).', "far")
+
+
+@query("SELECT DISTINCT subject AS x FROM kb_relation WHERE rel = 'knows' AND subject = object")
+def rule_same_as(spark, sf_dir):
+    return rules(spark, sf_dir, '.decl self(x: symbol)\nself(X) :- relation(X, "knows", X).', "self")
+
+
+@query("SELECT DISTINCT object AS v FROM kb_relation WHERE subject = 'user/7' AND rel = 'established_on'")
+def rule_constant_probe(spark, sf_dir):
+    return rules(spark, sf_dir, '.decl hit(v: symbol)\nhit(V) :- relation("user/7", "established_on", V).', "hit")
+
+
+@query("SELECT DISTINCT subject AS x FROM kb_relation WHERE rel = 'role' UNION SELECT DISTINCT object FROM kb_relation WHERE rel = 'knows' UNION SELECT 'extra'")
+def rule_union_heads(spark, sf_dir):
+    return rules(spark, sf_dir, '.decl seen(x: symbol)\nseen("extra").\nseen(X) :- relation(X, "role", _R).\nseen(X) :- relation(_Y, "knows", X).'.replace("_R", "R").replace("_Y", "Y"), "seen")
+
+
+@query("SELECT true AS present WHERE EXISTS (SELECT 1 FROM kb_relation WHERE rel = 'role')")
+def rule_zero_arity(spark, sf_dir):
+    return rules(spark, sf_dir, '.decl any_role()\nany_role() :- relation(X, "role", Y).', "any_role")
+
+
+@query("SELECT DISTINCT a.object AS a, b.rel AS b FROM kb_relation a, kb_functional b WHERE a.rel = 'role'")
+def rule_cross_product(spark, sf_dir):
+    return rules(spark, sf_dir, '.decl f(rel: symbol)\nf("established_on").\nf("born_on").\nf("died_on").\n.decl p(a: symbol, b: symbol)\np(A, B) :- relation(S, "role", A), f(B).', "p")
+
+
+@query("SELECT DISTINCT r.subject AS x, c.k AS k FROM kb_relation r JOIN (VALUES ('click', 'act'), ('purchase', 'act'), ('view', 'look')) AS c(o, k) ON r.object = c.o WHERE r.rel = 'role'")
+def rule_class_vocabulary(spark, sf_dir):
+    return rules(spark, sf_dir, '.decl class(o: symbol, k: symbol)\nclass("click", "act").\nclass("purchase", "act").\nclass("view", "look").\n.decl is(x: symbol, k: symbol)\nis(X, K) :- relation(X, "role", O), class(O, K).', "is")
+
+
+@query("SELECT rel AS label FROM kb_functional WHERE rel NOT IN (SELECT rel FROM kb_relation)")
+def dead_rules(spark, sf_dir):
+    return engine.dead_labels(parse_program(engine.DEFAULT_POLICY), relation_frame(spark, sf_dir))
+
+
+@query("SELECT '1' AS qid, string_agg(DISTINCT object, ', ' ORDER BY object) AS answer FROM kb_relation WHERE rel = 'role' UNION ALL SELECT '10', string_agg(DISTINCT object, ', ' ORDER BY object) FROM kb_relation WHERE rel = 'born_on'")
+def answers_bucketed(spark, sf_dir):
+    program = parse_program('.decl relation(subject: symbol, rel: symbol, object: symbol)\n.decl answer_q1(v: symbol)\n.decl answer_q10(v: symbol)\nanswer_q1(V) :- relation(S, "role", V).\nanswer_q10(V) :- relation(S, "born_on", V).')
+    return engine.answers(program, engine.evaluate(program, relation_frame(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT 'ERROR' AS severity, 'ERROR functional_conflict: ' || subject || ' ' || rel AS text FROM kb_relation JOIN kb_functional USING (rel) GROUP BY subject, rel HAVING count(DISTINCT object) > 1")
+def findings_report(spark, sf_dir):
+    program = parse_program(engine.DEFAULT_POLICY)
+    return engine.findings(program, engine.evaluate(program, relation_frame(spark, sf_dir))).select("severity", "text")
+
+
+# -- questions ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT object AS answer FROM kb_relation WHERE subject = 'user/3' AND rel IN ('established_on')")
+def lookup_object(spark, sf_dir):
+    return questions.lookup_object(plain_relation(spark, sf_dir), "user/3", ["established_on"])
+
+
+@query("SELECT DISTINCT subject AS answer FROM kb_relation WHERE object = 'click' AND rel = 'role'")
+def lookup_subject(spark, sf_dir):
+    return questions.lookup_subject(plain_relation(spark, sf_dir), ["role"], "click")
+
+
+@query("SELECT DISTINCT rel AS answer FROM kb_relation WHERE subject = 'user/3' AND object = 'click'")
+def lookup_relation(spark, sf_dir):
+    return questions.lookup_relation(plain_relation(spark, sf_dir), "user/3", "click")
+
+
+@query("SELECT DISTINCT rel, 'subject' AS side FROM kb_relation WHERE subject = 'user/3' UNION SELECT DISTINCT rel, 'object' FROM kb_relation WHERE object = 'user/3'")
+def discover_relations(spark, sf_dir):
+    return questions.discover(plain_relation(spark, sf_dir), "user/3")
+
+
+@query("SELECT DISTINCT b.object AS answer FROM kb_relation a JOIN kb_relation b ON b.subject = a.object WHERE a.subject = 'user/3' AND a.rel = 'knows' AND b.rel = 'role'")
+def two_hop(spark, sf_dir):
+    return questions.hops(plain_relation(spark, sf_dir), "user/3", ["knows", "role"])
+
+
+@query("SELECT DISTINCT c.object AS answer FROM kb_relation a JOIN kb_relation b ON b.subject = a.object JOIN kb_relation c ON c.subject = b.object WHERE a.subject = 'user/3' AND a.rel = 'knows' AND b.rel = 'knows' AND c.rel = 'born_on'")
+def three_hop(spark, sf_dir):
+    return questions.hops(plain_relation(spark, sf_dir), "user/3", ["knows", "knows", "born_on"])
+
+
+@query("SELECT subject AS answer FROM kb_relation WHERE rel = 'role' AND object = 'click' INTERSECT SELECT subject FROM kb_relation WHERE rel = 'established_on' AND object = '2011-02-01'")
+def conjunctive_filter(spark, sf_dir):
+    r = plain_relation(spark, sf_dir)
+    return questions.both(questions.lookup_subject(r, ["role"], "click"), questions.lookup_subject(r, ["established_on"], "2011-02-01"))
+
+
+@query(f"SELECT DISTINCT subject, object FROM kb_relation WHERE rel = 'established_on' AND {typed.sql_key('date', 'object')} >= 20110601")
+def typed_compare_date(spark, sf_dir):
+    return questions.compare(plain_relation(spark, sf_dir), "established_on", "date", ">=", "2011-06-01")
+
+
+def _typed_parts(spark, sf_dir, kind):
+    price = F.format_string("%d", F.floor("p_retailprice"))
+    shape = {"number": F.concat(price, F.lit(".5")), "ordinal": F.concat(F.col("p_size").cast("string"), F.lit("th")), "amount": F.concat(price, F.element_at(F.array(F.lit("만"), F.lit("억"), F.lit("조")), (F.col("p_size") % 3 + 1).cast("int")))}[kind]
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_name").alias("subject"), F.lit("worth").alias("rel"), shape.alias("object"))
+
+
+PARTS = """SELECT DISTINCT subject, object FROM (SELECT p_name AS subject, {} AS object FROM part) WHERE {} {} {}"""
+PRICE = "CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR)"
+
+
+@query(PARTS.format(f"{PRICE} || '.5'", typed.sql_key("number", "object"), ">", 950500))
+def typed_compare_number(spark, sf_dir):
+    return questions.compare(_typed_parts(spark, sf_dir, "number"), "worth", "number", ">", "950.5")
+
+
+@query(PARTS.format("CAST(p_size AS VARCHAR) || 'th'", typed.sql_key("ordinal", "object"), "<=", 3))
+def typed_compare_ordinal(spark, sf_dir):
+    return questions.compare(_typed_parts(spark, sf_dir, "ordinal"), "worth", "ordinal", "<=", "3rd")
+
+
+@query(PARTS.format(f"{PRICE} || CASE p_size % 3 WHEN 0 THEN '만' WHEN 1 THEN '억' ELSE '조' END", typed.sql_key("amount", "object"), "<", 95000000000))
+def typed_compare_amount(spark, sf_dir):
+    return questions.compare(_typed_parts(spark, sf_dir, "amount"), "worth", "amount", "<", "950억")
+
+
+@query("""WITH f AS (SELECT f.id, subject, coalesce(canonical, relation) AS c, object FROM kb_facts f LEFT JOIN kb_alias ON raw = relation WHERE status IN ('accepted','confirmed')),
+p AS (SELECT a.subject, b.object AS answer, a.id AS i, b.id AS j FROM f a JOIN f b ON b.subject = a.object WHERE a.c = 'knows' AND b.c = 'role'),
+u AS (SELECT subject, answer, i AS id FROM p UNION SELECT subject, answer, j FROM p),
+n AS (SELECT subject, answer, count(*) AS proofs FROM p GROUP BY 1, 2)
+SELECT subject, answer, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS fact_ids, any_value(proofs) AS proofs FROM u JOIN n USING (subject, answer) GROUP BY 1, 2""")
+def provenance_pairs(spark, sf_dir):
+    return questions.provenance(canonical_facts(spark, sf_dir).filter(in_tier(ENGINE)), ["knows", "role"])
+
+
+@query("SELECT status, count(*) AS n FROM kb_facts WHERE status NOT IN ('accepted', 'confirmed') GROUP BY status")
+def report_excluded_by_status(spark, sf_dir):
+    return an.count_by(tables(spark, sf_dir, "facts")[0].filter(~in_tier(ENGINE)), "status")
+
+
+@query("""WITH o AS (SELECT rel, object, count(*) AS n, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, object) AS k FROM kb_relation GROUP BY 1, 2)
+SELECT r.rel, count(*) AS facts, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects,
+  (SELECT string_agg(object, ', ' ORDER BY k) FROM o WHERE o.rel = r.rel AND k <= 3) AS examples, count(DISTINCT object) > 3 AS truncated FROM kb_relation r GROUP BY r.rel""")
+def schema_profile(spark, sf_dir):
+    return an.schema_profile(plain_relation(spark, sf_dir))
+
+
+@query("SELECT 'entity' AS kind, subject AS label FROM kb_relation UNION SELECT 'entity', object FROM kb_relation UNION SELECT 'relation', rel FROM kb_relation")
+def vocabulary_labels(spark, sf_dir):
+    return an.vocabulary(plain_relation(spark, sf_dir))
+
+
+@query("SELECT id, subject, relation, object FROM kb_facts WHERE status IN ('accepted','confirmed') AND (subject = 'user/3' OR object = 'user/3') ORDER BY id LIMIT 51")
+def exact_entity_facts(spark, sf_dir):
+    """One more than the snapshot's bound of 50, so that truncation shows."""
+    f = tables(spark, sf_dir, "facts")[0].filter(in_tier(ENGINE) & ((F.col("subject") == "user/3") | (F.col("object") == "user/3")))
+    return f.select("id", "subject", "relation", "object").orderBy("id").limit(51)
+
+
+# -- trust -------------------------------------------------------------------------------------------------------
+
+KEYED = """WITH k AS (SELECT f.*, coalesce(canonical, relation) AS c, CASE WHEN coalesce(canonical, relation) IN ('established_on', 'born_on') THEN 'date:' || replace(object, '-', '') ELSE 'raw:' || object END AS okey
+  FROM kb_facts f LEFT JOIN kb_alias ON raw = relation),
+e AS (SELECT * FROM k WHERE status IN ('accepted','confirmed') AND source_id IS NOT NULL)"""
+SOURCES = "count(DISTINCT source_id) AS n_sources, string_agg(DISTINCT CAST(source_id AS VARCHAR), ', ' ORDER BY CAST(source_id AS VARCHAR)) AS sources"
+LISTED = "(SELECT string_agg(CAST(x AS VARCHAR), ', ' ORDER BY x) FROM unnest(list_distinct(list(source_id))) AS t(x))"
+
+
+@query(f"{KEYED}, g AS (SELECT subject, c AS canonical, object, list_sort(list_distinct(list(source_id))) AS s FROM e GROUP BY 1, 2, 3) SELECT subject, canonical, object, CAST(len(s) AS BIGINT) AS n_sources, array_to_string(s, ', ') AS sources FROM g")
+def corroboration(spark, sf_dir):
+    return trust.corroboration(keyed(spark, sf_dir))
+
+
+CONFLICTS = f"""{KEYED}, v AS (SELECT subject, c AS canonical, okey, min(object) AS object, list_sort(list_distinct(list(source_id))) AS s FROM e JOIN kb_functional ON rel = c GROUP BY 1, 2, 3),
+d AS (SELECT subject, canonical, count(*) AS n_values FROM v GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+
+@query(f"{CONFLICTS} SELECT subject, canonical, object, n_values, CAST(len(s) AS BIGINT) AS n_sources, array_to_string(s, ', ') AS sources FROM v JOIN d USING (subject, canonical)")
+def single_valued_conflicts(spark, sf_dir):
+    (functional,) = tables(spark, sf_dir, "functional")
+    return trust.single_valued_conflicts(keyed(spark, sf_dir), functional)
+
+
+@query(f"""{KEYED}, g AS (SELECT subject, c AS canonical, okey, min(object) AS object, list_sort(list_distinct(list(source_id))) AS s FROM e GROUP BY 1, 2, 3),
+w AS (SELECT subject, c AS canonical, okey, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) AS candidates FROM k WHERE status IN ('candidate','needs_review') GROUP BY 1, 2, 3)
+SELECT g.subject, g.canonical, g.object, CAST(len(s) AS BIGINT) AS n_sources, array_to_string(s, ', ') AS sources, coalesce(candidates, '') AS candidates
+FROM g LEFT JOIN w ON w.subject = g.subject AND w.canonical = g.canonical AND w.okey = g.okey WHERE len(s) >= 2""")
+def workbench_corroborated(spark, sf_dir):
+    return trust.workbench(keyed(spark, sf_dir))
+
+
+ACCEPT = """WITH k AS (SELECT f.*, coalesce(canonical, relation) AS c, CASE WHEN coalesce(canonical, relation) IN ('established_on', 'born_on') THEN 'date:' || replace(object, '-', '') ELSE 'raw:' || object END AS okey,
+    status IN ('candidate','needs_review') AS review, (job_id IS NULL OR EXISTS (SELECT 1 FROM kb_jobs j WHERE j.id = f.job_id AND j.status = 'done')) AS ready,
+    (status = 'superseded' OR EXISTS (SELECT 1 FROM kb_events e WHERE e.fact_id = f.id AND e.event_type = 'rejected')) AS refused
+  FROM kb_facts f LEFT JOIN kb_alias ON raw = relation),
+sh AS (SELECT DISTINCT source_id, subject, c, okey FROM k WHERE refused AND source_id IS NOT NULL),
+a AS (SELECT k.*, sh.source_id IS NOT NULL AS shadow FROM k LEFT JOIN sh ON sh.source_id = k.source_id AND sh.subject = k.subject AND sh.c = k.c AND sh.okey = k.okey),
+b AS (SELECT *, source_id IS NOT NULL AND status <> 'superseded' AS live FROM a),
+m AS (SELECT *, live AND NOT (stale AND status = 'needs_review') AND NOT (review AND shadow) AS counts FROM b),
+p AS (SELECT subject, c, okey, count(DISTINCT source_id) FILTER (counts) AS n, list(DISTINCT source_id) FILTER (counts) AS s, coalesce(bool_or(NOT ready) FILTER (counts), false) AS unready, bool_or(live) AS live FROM m GROUP BY 1, 2, 3),
+r AS (SELECT subject, c, count(*) FILTER (live) AS live_values FROM p GROUP BY 1, 2),
+z AS (SELECT m.*, p.n, p.unready, coalesce(r.live_values, 0) AS live_values, p.live AS value_live, fn.rel IS NOT NULL AS single,
+    p.n + CASE WHEN source_id IS NOT NULL AND NOT list_contains(coalesce(p.s, []), source_id) THEN 1 ELSE 0 END AS support
+  FROM m JOIN p USING (subject, c, okey) JOIN r USING (subject, c) LEFT JOIN kb_functional fn ON fn.rel = m.c),
+q AS (SELECT id, status, CAST(support AS BIGINT) AS support, array_to_string(list_filter([CASE WHEN NOT review THEN 'not_review_candidate' END, CASE WHEN source_id IS NULL THEN 'source_missing' END,
+    CASE WHEN NOT ready OR unready THEN 'source_analysis_incomplete' END, CASE WHEN refused OR shadow THEN 'previously_rejected_or_superseded' END,
+    CASE WHEN support < 2 THEN 'insufficient_distinct_source_support' END, CASE WHEN single AND live_values - CASE WHEN live OR value_live THEN 1 ELSE 0 END > 0 THEN 'single_valued_conflict' END,
+    CASE WHEN stale AND status = 'needs_review' THEN 'stale_citation' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM z)"""
+
+
+def _judged(spark, sf_dir):
+    jobs, events, functional = tables(spark, sf_dir, "jobs", "events", "functional")
+    return trust.acceptance(keyed(spark, sf_dir), jobs, events, functional)
+
+
+@query(f"{ACCEPT} SELECT id, status, support, reasons FROM q")
+def acceptance_reasons(spark, sf_dir):
+    return _judged(spark, sf_dir)
+
+
+@query(f"{ACCEPT} SELECT id, support FROM q WHERE reasons = ''")
+def accept_eligible(spark, sf_dir):
+    return _judged(spark, sf_dir).filter("reasons = ''").select("id", "support")
+
+
+@query(f"{ACCEPT} SELECT id, support FROM q WHERE status = 'accepted' AND support < 2")
+def retract_lapsed(spark, sf_dir):
+    return _judged(spark, sf_dir).filter("status = 'accepted' and support < 2").select("id", "support")
+
+
+@query(f"{ACCEPT} SELECT id, CASE WHEN reasons = '' THEN 'accepted' WHEN status = 'accepted' AND support < 2 THEN 'needs_review' ELSE status END AS status, CASE WHEN reasons = '' THEN 'auto_accept_applied' WHEN status = 'accepted' AND support < 2 THEN 'auto_accept_retracted' END AS event FROM q")
+def auto_accept_pass(spark, sf_dir):
+    (facts,) = tables(spark, sf_dir, "facts")
+    return trust.apply_acceptance(facts, _judged(spark, sf_dir)).select("id", "status", "event")
+
+
+@query(f"""{CONFLICTS}, n AS (SELECT subject, c, okey, count(DISTINCT source_id) AS n FROM e GROUP BY 1, 2, 3)
+SELECT k.id, CASE WHEN coalesce(n.n, 0) >= 2 THEN 'corroborated' WHEN n.n = 1 THEN 'single_source' ELSE 'no_source' END || CASE WHEN d.n_values IS NOT NULL THEN ', conflicting' ELSE '' END AS labels
+FROM k LEFT JOIN n ON n.subject = k.subject AND n.c = k.c AND n.okey = k.okey LEFT JOIN d ON d.subject = k.subject AND d.canonical = k.c WHERE k.status IN ('accepted','confirmed')""")
+def trust_labels(spark, sf_dir):
+    (functional,) = tables(spark, sf_dir, "functional")
+    return trust.trust_labels(keyed(spark, sf_dir), functional)
+
+
+# -- store -------------------------------------------------------------------------------------------------------
+
+SWEEP = """WITH g AS (SELECT source_id, artifact_id FROM (SELECT * FROM kb_jobs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC) = 1) j
+  WHERE status = 'done' AND failed_chunks = 0 AND artifact_id IS NOT NULL AND EXISTS (SELECT 1 FROM kb_evidence e WHERE e.source_id = j.source_id AND e.artifact_id = j.artifact_id)),
+w AS (SELECT f.id, f.source_id, g.artifact_id FROM kb_facts f JOIN g USING (source_id) WHERE f.status IN ('accepted','confirmed')
+  AND EXISTS (SELECT 1 FROM kb_evidence e WHERE e.fact_id = f.id AND e.artifact_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM kb_evidence e WHERE e.fact_id = f.id AND e.artifact_id = g.artifact_id))"""
+
+
+@query(f"{SWEEP} SELECT id, source_id, artifact_id FROM w")
+def staleness_sweep(spark, sf_dir):
+    return store.staleness_sweep(*tables(spark, sf_dir, "facts", "jobs", "evidence"))
+
+
+@query(f"{SWEEP} SELECT f.id, CASE WHEN w.id IS NOT NULL THEN 'needs_review' ELSE status END AS status, f.stale OR w.id IS NOT NULL AS stale FROM kb_facts f LEFT JOIN w ON w.id = f.id")
+def staleness_applied(spark, sf_dir):
+    facts, jobs, evidence = tables(spark, sf_dir, "facts", "jobs", "evidence")
+    return store.apply_sweep(facts, store.staleness_sweep(facts, jobs, evidence)).select("id", "status", "stale")
+
+
+INCOMING = "SELECT (event_id + 1) % 100 AS source_id, concat('user/', CAST(user_id % 50 AS VARCHAR)) AS subject, 'role' AS relation, event_type AS object FROM events"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT * FROM ({INCOMING})), k AS (SELECT source_id, subject, relation, object, bool_or(status <> 'superseded') AS live, min(id) FILTER (status <> 'superseded') AS live_id, min(id) AS any_id FROM kb_facts GROUP BY 1, 2, 3, 4)
+SELECT i.*, CASE WHEN k.subject IS NULL THEN 'insert' WHEN live THEN 'keep' ELSE 'suppress' END AS action, coalesce(live_id, any_id) AS fact_id
+FROM i LEFT JOIN k ON k.source_id IS NOT DISTINCT FROM i.source_id AND k.subject = i.subject AND k.relation = i.relation AND k.object = i.object""")
+def reconcile_new(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    incoming = e.select(((F.col("event_id") + 1) % 100).alias("source_id"), F.concat(F.lit("user/"), (F.col("user_id") % 50).cast("string")).alias("subject"), F.lit("role").alias("relation"), F.col("event_type").alias("object"))
+    return store.reconcile(incoming, *tables(spark, sf_dir, "facts"))
+
+
+@query("SELECT DISTINCT id AS fact_id, id % 40 AS artifact_id FROM kb_facts f WHERE NOT EXISTS (SELECT 1 FROM kb_evidence e WHERE e.fact_id = f.id AND e.artifact_id = f.id % 40)")
+def reobserve_anchor(spark, sf_dir):
+    facts, evidence = tables(spark, sf_dir, "facts", "evidence")
+    return store.reobserve(facts.select(F.col("id").alias("fact_id"), (F.col("id") % 40).alias("artifact_id")), evidence)
+
+
+@query("""WITH d AS (SELECT id, fact_id, CASE id % 3 WHEN 0 THEN 'toggle' WHEN 1 THEN 'accept' ELSE 'reject' END AS action FROM (SELECT id, fact_id, row_number() OVER (PARTITION BY fact_id ORDER BY id) AS k FROM kb_events) WHERE k = 1)
+SELECT f.id, CASE WHEN d.id IS NULL OR status = 'superseded' THEN status WHEN action = 'reject' THEN 'superseded' WHEN action = 'toggle' AND status IN ('accepted','confirmed') THEN 'needs_review'
+WHEN status IN ('candidate','needs_review') THEN 'confirmed' ELSE status END AS status FROM kb_facts f LEFT JOIN d ON d.fact_id = f.id""")
+def review_decisions(spark, sf_dir):
+    facts, events = tables(spark, sf_dir, "facts", "events")
+    first = events.groupBy("fact_id").agg(F.min("id").alias("id"))
+    action = F.element_at(F.array(F.lit("toggle"), F.lit("accept"), F.lit("reject")), (F.col("id") % 3 + 1).cast("int"))
+    decisions = first.select("id", "fact_id", action.alias("action"), F.lit(None).cast("string").alias("observed"))
+    return store.fold_decisions(facts, decisions).select("id", "status")
+
+
+@query("SELECT fact_id, artifact_id, min(id) AS id, min_by(source_id, id) AS source_id, min_by(snippet, id) AS snippet FROM kb_evidence GROUP BY 1, 2")
+def evidence_anchors(spark, sf_dir):
+    return store.anchor_evidence(*tables(spark, sf_dir, "evidence"))
+
+
+@query("SELECT id, sha256(subject || chr(31) || relation || chr(31) || object) AS term_token FROM kb_facts")
+def term_tokens(spark, sf_dir):
+    return tables(spark, sf_dir, "facts")[0].select("id", store.token().alias("term_token"))
+
+
+# -- documents ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(length(text) - length(replace(text, 'q', '')) AS INTEGER) AS nulls, length(text) AS n FROM documents")
+def sanitize_counts(spark, sf_dir):
+    """The letter q stands for NUL, which the table's texts lack."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    s = d.select("doc_id", text.sanitize(F.replace("text", F.lit("q"), F.lit("\u0000"))).alias("s"))
+    return s.select("doc_id", "s.nulls", F.length("s.text").cast("long").alias("n"))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    return dx.chunk(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query()
+def excerpt_search(spark, sf_dir):
+    return dx.excerpt_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "Where is the GNU General Public License named?")
+
+
+@query()
+def extraction_filters(spark, sf_dir):
+    facts = canonical_facts(spark, sf_dir)
+    items = facts.select(
+        (F.col("id") % 200).alias("batch"), "id", "subject", F.lit("string").alias("subject_kind"), "relation", F.lit("string").alias("relation_kind"), "object", F.lit("string").alias("object_kind"), "canonical",
+        F.when(F.col("id") % 2 == 0, F.lit("한국어 원문 role user/1")).otherwise(F.lit("plain source")).alias("source_text"),
+    )
+    return dx.extraction_filters(items, ALIASES).select("id", "relation", "dropped")
+
+
+@query("SELECT id, subject, object FROM kb_facts WHERE contains('does user/31 know user/12?', lower(subject)) OR contains('does user/31 know user/12?', lower(object)) ORDER BY id LIMIT 8")
+def mentioned_facts(spark, sf_dir):
+    return dx.mentioned_facts(*tables(spark, sf_dir, "facts"), "Does user/31 know user/12?").select("id", "subject", "object")
