@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_batches, need
@@ -246,10 +246,11 @@ def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame,
 
     keys = rows.filter(F.col("text").isNotNull()).mapInArrow(functools.partial(_keys, rule=rule, plan=plan, clash=clash), "key long, deleted boolean, c long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(parts, "key")
-    # Buckets with two classes, one of them plain: the others link nobody.
-    shared = dealt.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("deleted").alias("d")).filter("lo <> hi and not d").select("key")
-    index = tmp.save(dealt.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "index")
+    # Buckets with two classes, one of them plain: the others link nobody. One shuffle and one sort of the keys; a
+    # window needs no second pass over them, as a grouped join would.
+    bucket = Window.partitionBy("key")
+    marked = keys.repartition(parts, "key").select("key", "deleted", "c", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"), F.min("deleted").over(bucket).alias("d"))
+    index = tmp.save(marked.filter("lo <> hi and not d").select("key", "deleted", "c").distinct(), "index")
 
     # The most connected class of each bucket: largest sum of its buckets' sizes.
     size = index.groupBy("key").agg(F.count("*").alias("s"))
