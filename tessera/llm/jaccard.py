@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_batches, need
@@ -144,43 +144,127 @@ def sketch_of(grams: np.ndarray) -> np.ndarray:
 
 def _digests(batches, k: int):
     for batch in batches:
-        rows = [(len(g), *digest_of(g)) for g in shingle_sets(batch.column("text"), k)]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n", "c", "c2"])
+        n, c, c2, sketch = [], [], [], []
+        for g in shingle_sets(batch.column("text"), k):
+            d = digest_of(g)
+            n.append(len(g)), c.append(d[0]), c2.append(d[1]), sketch.append(sketch_of(g).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, c, c2)], pa.array(sketch, pa.binary())], ["doc_id", "n", "c", "c2", "sketch"])
 
 
-def _keys(batches, rule: Rule, plan, clash: dict):
+#: Index keys packed together, at least, before they are dealt out.
+PACK = 1 << 18
+PACKED = "part int, home int, sure boolean, keys binary, owners binary, classes binary"
+
+
+def _pack(key: np.ndarray, c: np.ndarray, parts: int, turn: int):
+    """Rows of PACKED for a piece of the index. Keys go to the part of their range, 6 bytes each; owners are 2-byte
+    places in the row's classes, whose top bit says that the piece itself shares the key.
+
+    Of a key that several classes of the piece share only one row, a plain one, goes to the key's part; the
+    others are known to stay and are dealt out anywhere. So a key with a third of all documents reaches its part
+    once a piece.
+    """
+    order = np.lexsort((c, key))
+    key, c = key[order], c[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
+    key, c = key[new], c[new]
+    bare = key >> np.uint64(1)
+    first = np.ones(len(key), bool)
+    first[1:] = bare[1:] != bare[:-1]
+    at = np.flatnonzero(first)
+    size = np.diff(np.concatenate([at, [len(key)]]))
+    shared = (size > 1) & (key[at] & np.uint64(1) == 0)
+    known = np.repeat(shared, size)
+    sure = known & ~first
+    home = ((key >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
+    for flag, pick in ((False, ~sure), (True, sure)):
+        k, o, h, seen = key[pick], c[pick], home[pick], known[pick]
+        bounds = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
+        for i in range(len(bounds) - 1):
+            for lo in range(bounds[i], bounds[i + 1], 1 << 14):
+                part = slice(lo, min(lo + (1 << 14), bounds[i + 1]))
+                classes, owner = np.unique(o[part], return_inverse=True)
+                owner = owner.astype(np.uint16) | (seen[part].astype(np.uint16) << 15)
+                low = np.ascontiguousarray(k[part]).view(np.uint8).reshape(-1, 8)[:, :6]
+                yield int(h[lo]) if not flag else (turn + i) % parts, int(h[lo]), flag, low.tobytes(), owner.tobytes(), classes.tobytes()
+
+
+def _packed(batches, rule: Rule, plan, clash: dict, parts: int):
+    turn, keys, own, held = 0, [], [], 0
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+
+    def flush():
+        rows = list(zip(*_pack(np.concatenate(keys), np.concatenate(own), parts, turn), strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
+
     for batch in batches:
-        keys, own = [], []
         for g in shingle_sets(batch.column("text"), rule.k):
-            if len(g):
-                c, c2 = digest_of(g)
-                c = c2 if c in clash else c
-                part = keys_of(g, rule, plan)
-                keys.append(part)
-                own.append(np.full(len(part), c, np.int64))
-                if sum(map(len, keys[-64:])) > 1 << 20 or len(keys) >= 64:
-                    yield _key_batch(keys, own)
-                    keys, own = [], []
-        yield _key_batch(keys, own)
+            if not len(g):
+                continue
+            c, c2 = digest_of(g)
+            part = keys_of(g, rule, plan)
+            keys.append(part)
+            own.append(np.full(len(part), c2 if c in clash else c, np.int64))
+            held += len(part)
+            if held >= PACK:
+                yield flush()
+                turn, keys, own, held = turn + 1, [], [], 0
+    if keys:
+        yield flush()
+
+
+def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, class, known) of a packed row; keys are their 6 bytes."""
+    low = np.frombuffer(row["keys"], dtype=np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, :6] = low
+    owner = np.frombuffer(row["owners"], dtype=np.uint16)
+    return wide.view(np.uint64)[:, 0], np.frombuffer(row["classes"], dtype=np.int64)[owner & np.uint16(0x7FFF)], owner >= 0x8000
+
+
+INDEX = "key long, deleted boolean, c long"
 
 
-def _key_batch(keys, own):
-    k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-    c = np.concatenate(own) if own else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array((k & 1).astype(bool)), pa.array(c)], ["key", "deleted", "c"])
+def _index_batch(home: int, key: np.ndarray, c: np.ndarray):
+    named = (key >> np.uint64(1)).astype(np.int64) + (home << 47)
+    return pa.RecordBatch.from_arrays([pa.array(named), pa.array((key & np.uint64(1)).astype(bool)), pa.array(c)], ["key", "deleted", "c"])
 
 
-def _sketches(batches, k: int, clash: dict):
+def _shared_keys(batches):
+    """Index rows of a part whose key two classes share, one of them plain; the others link nobody."""
+    held: dict[int, list] = {}
     for batch in batches:
-        out = []
-        for g, t in zip(shingle_sets(batch.column("text"), k), batch.column("text"), strict=True):
-            c, c2 = digest_of(g)
-            out.append((c2 if c in clash else c, len(g), sketch_of(g).tolist(), t))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64())), batch.column("text")],
-            ["c", "n", "sketch", "text"],
-        )
+        for row in batch.to_pylist():
+            key, c, known = _unpack(row)
+            if row["sure"]:
+                yield _index_batch(row["home"], key, c)
+            else:
+                held.setdefault(row["home"], []).append((key, c, known))
+    for home in list(held):
+        key, c, known = (np.concatenate(x) for x in zip(*held.pop(home), strict=True))
+        order = np.lexsort((c, key))
+        key, c, known = key[order], c[order], known[order]
+        bare = key >> np.uint64(1)
+        at = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
+        size = np.diff(np.concatenate([at, [len(key)]]))
+        group = np.repeat(np.arange(len(at)), size)
+        several = np.logical_or.reduceat(c != c[at][group], at)
+        stay = (several & (key[at] & np.uint64(1) == 0)) | np.logical_or.reduceat(known, at)
+        yield _index_batch(home, key[stay[group]], c[stay[group]])
+
+
+def _texts(batches, k: int, clash: dict):
+    """(c, text) of all rows, or with a column want of those whose set has the class wanted."""
+    for batch in batches:
+        c = []
+        for g in shingle_sets(batch.column("text"), k):
+            d = digest_of(g)
+            c.append(d[1] if d[0] in clash else d[0])
+        got = np.array(c, dtype=np.int64)
+        out = pa.RecordBatch.from_arrays([pa.array(got), batch.column("text")], ["c", "text"])
+        yield out.filter(pa.array(got == np.asarray(batch.column("want")))) if "want" in batch.schema.names else out
 
 
 def _verify(batches, rule: Rule):
@@ -226,84 +310,99 @@ def components(tmp: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFra
 
 def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, c; components: c, comp of classes in links). c is a document's class of equal sets."""
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     rows = need(docs, doc_id="long", text="string")
-    first = tmp.save(rows.mapInArrow(functools.partial(_digests, k=rule.k), "doc_id long, n long, c long, c2 long"), "digests")
-    sets = first.filter("n > 0")
+    first = tmp.save(rows.mapInArrow(functools.partial(_digests, k=rule.k), "doc_id long, n long, c long, c2 long, sketch binary"), "digests")
     # Different sets with one 64-bit digest: told apart by the second. Expected: none, up to billions of sets.
-    clashing = sets.groupBy("c").agg(F.min("c2").alias("x"), F.max("c2").alias("y")).filter("x <> y").select("c").limit(100_001).collect()
+    clashing = first.filter("n > 0").groupBy("c").agg(F.min("c2").alias("x"), F.max("c2").alias("y")).filter("x <> y").select("c").limit(100_001).collect()
     if len(clashing) > 100_000:
         raise RuntimeError("digest clashes beyond their bound")
     clash = {r["c"]: True for r in clashing}
     told = F.when(F.col("c").isin(list(clash)), F.col("c2")).otherwise(F.col("c")) if clash else F.col("c")
     known = tmp.save(first.select("doc_id", "n", told.alias("c")), "known")
+    classes = tmp.save(first.filter("n > 0").groupBy(told.alias("c")).agg(F.min("n").alias("n"), F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
     tmp.drop(first)
-    per_band = known.filter("n > 0").groupBy("c").agg(F.min("n").alias("n")).groupBy("n").agg(F.count("*").alias("m"))
     edges = [int(e) for e in EDGES]
     band = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("n"))) - 1
-    counts = {r["b"]: r["m"] for r in per_band.groupBy(band.alias("b")).agg(F.sum("m").alias("m")).collect()}
+    counts = {r["b"]: r["m"] for r in classes.groupBy("n").agg(F.count("*").alias("m")).groupBy(band.alias("b")).agg(F.sum("m").alias("m")).collect()}
     plan = allocate(rule, counts)
 
-    keys = rows.filter(F.col("text").isNotNull()).mapInArrow(functools.partial(_keys, rule=rule, plan=plan, clash=clash), "key long, deleted boolean, c long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Buckets with two classes, one of them plain: the others link nobody. One shuffle and one sort of the keys; a
-    # window needs no second pass over them, as a grouped join would.
-    bucket = Window.partitionBy("key")
-    marked = keys.repartition(parts, "key").select("key", "deleted", "c", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"), F.min("deleted").over(bucket).alias("d"))
-    index = tmp.save(marked.filter("lo <> hi and not d").select("key", "deleted", "c").distinct(), "index")
+    # As many parts as the session deals shuffles to: its setting for the data's size also bounds a part's keys.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.filter(F.col("text").isNotNull()).mapInArrow(functools.partial(_packed, rule=rule, plan=plan, clash=clash, parts=parts), PACKED)
+    index = tmp.save(packed.repartitionById(parts, "part").mapInArrow(_shared_keys, INDEX).distinct(), "index")
 
     # The most connected class of each bucket: largest sum of its buckets' sizes.
     size = index.groupBy("key").agg(F.count("*").alias("s"))
     weight = index.join(size, "key").groupBy("c").agg(F.sum("s").alias("w"))
     best = index.join(weight, "c").groupBy("key").agg(F.max(F.struct("w", "c")).alias("top")).select("key", F.col("top.c").alias("hub"))
-    pairs1 = tmp.save(index.join(best, "key").filter("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), "pairs")
-
-    wanted = index.select("c").distinct().join(known.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("id")), "c")
-    texts = rows.join(wanted.withColumnRenamed("c", "want"), F.col("doc_id").eqNullSafe(F.col("id"))).select("want", "text")
-    found = texts.select("text", "want").mapInArrow(functools.partial(_with_want, k=rule.k, clash=clash), "c long, n long, sketch array<long>, text string")
-    cand = tmp.save(found.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts")
-
-    links1 = tmp.save(_verified(cand, _near(cand, pairs1, rule), rule), "links")
+    tried = index.join(best, "key").filter("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
+    pairs1 = tmp.save(_near(classes, tried, rule), "pairs")
+    texts1 = _fetch(tmp, rows, classes, pairs1, rule, clash)
+    links1 = tmp.save(_verified(texts1, pairs1, rule), "links")
+    tmp.drop(texts1)
     comp1 = components(tmp, links1)
+
     # What is still apart in a bucket: pairs of different components, one of the two plain.
     labelled = index.join(comp1, "c", "left").select("key", "deleted", "c", F.coalesce("comp", "c").alias("comp"))
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    left_over = tmp.save(labelled.join(open_keys, "key").join(cand.select("c", "n", "sketch"), "c"), "open")
-    x = left_over.select("key", F.col("deleted").alias("da"), F.col("c").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = left_over.select("key", F.col("deleted").alias("db"), F.col("c").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    pairs2 = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~(F.col("da") & F.col("db")) & _may_link(rule)).select("a", "b").distinct()
-    pairs2 = tmp.save(pairs2.join(pairs1, ["a", "b"], "left_anti"), "pairs")
-    links2 = tmp.save(_verified(cand, pairs2, rule), "links")
-    merged = comp1.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(links2)
-    out = components(tmp, merged)
-    tmp.drop(index, pairs1, pairs2, cand, links1, links2, left_over)
+    left_over = labelled.join(open_keys, "key").join(classes.select("c", "n", *_words_of_sketch("s")), "c")
+    left_over = tmp.save(left_over, "open")
+    side = lambda t: left_over.select(F.col("key").alias("k" + t), F.col("deleted").alias("d" + t), F.col("c").alias(t), F.col("comp").alias("c" + t), F.col("n").alias("n" + t), *[F.col(f"s{i}").alias(f"s{t}{i}") for i in range(SKETCH)])
+    met = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~(F.col("da") & F.col("db")) & _may_link(rule)
+    pairs2 = tmp.save(side("a").join(side("b"), met).select("a", "b").distinct().join(pairs1, ["a", "b"], "left_anti"), "pairs")
+    tmp.drop(index, left_over)
+    texts2 = _fetch(tmp, rows, classes, pairs2, rule, clash)
+    links2 = tmp.save(_verified(texts2, pairs2, rule), "links")
+    tmp.drop(texts2)
+    out = components(tmp, comp1.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(links2))
+    tmp.drop(pairs1, pairs2, links1, links2, classes)
     return known, out
 
 
-def _with_want(batches, k: int, clash: dict):
-    """_sketches of the rows whose set has the class asked for."""
-    for batch in batches:
-        for out in _sketches([batch], k, clash):
-            want = batch.column("want")
-            yield out.filter(pa.array(np.asarray(out.column("c")) == np.asarray(want)))
+def _words_of_sketch(name: str):
+    """The sketch's 64-bit words as columns."""
+    return [F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"{name}{i}") for i in range(SKETCH)]
 
 
 def _may_link(rule: Rule):
     """Sizes near enough and parity sketches no further apart than linked sets can be."""
-    apart = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(1, SKETCH)), F.bit_count(F.get("sa", F.lit(0)).bitwiseXOR(F.get("sb", F.lit(0)))))
+    apart = sum(F.bit_count(F.col(f"sa{i}").bitwiseXOR(F.col(f"sb{i}"))) for i in range(SKETCH))
     lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
     return (lo * rule.den >= hi * rule.num) & (apart * (rule.den + rule.num) <= (rule.den - rule.num) * (F.col("na") + F.col("nb")))
 
 
-def _near(cand: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    s = cand.select("c", "n", "sketch")
-    x = s.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = s.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(x, "a").join(y, "b").filter(_may_link(rule)).select("a", "b")
+def _near(classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    side = lambda t: classes.select(F.col("c").alias(t), F.col("n").alias("n" + t), *_words_of_sketch("s" + t))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(rule)).select("a", "b")
+
+
+#: Spark puts a Bloom filter of the wanted ids before the shuffle of the texts from this size of the table on.
+BLOOM_FROM = "1MB"
+
+
+def _fetch(tmp: Scratch, rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule, clash: dict) -> DataFrame:
+    """(c, text), one text for each class in pairs, from the documents with the class's smallest doc_id."""
+    spark = tmp.spark
+    conf = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(conf)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    named = tmp.save(classes.select("c", "id").join(wanted, "c", "left_semi").select(F.col("c").alias("want"), "id"), "wanted")
+    try:
+        spark.conf.set(conf, BLOOM_FROM)
+        # The comparison holds for every id; it marks this side as the one to filter the other by.
+        with_id = rows.join(named.filter(F.col("id") >= F.lit(-(1 << 63))), F.col("doc_id") == F.col("id")).select("text", "want")
+        found = with_id.mapInArrow(functools.partial(_texts, k=rule.k, clash=clash), "c long, text string")
+        nameless = rows.filter("doc_id is null").select("text").mapInArrow(functools.partial(_texts, k=rule.k, clash=clash), "c long, text string")
+        nameless = nameless.join(named.filter("id is null").select(F.col("want").alias("c")), "c", "left_semi")
+        return tmp.save(found.unionByName(nameless).groupBy("c").agg(F.first("text").alias("text")), "texts")
+    finally:
+        spark.conf.set(conf, before)
 
 
-def _verified(cand: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    both = pairs.join(cand.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(cand.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
+def _verified(texts: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(functools.partial(_verify, rule=rule), "a long, b long")
 
 
