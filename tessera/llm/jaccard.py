@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_batches, need
@@ -284,23 +284,26 @@ def components(tmp: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFra
     Alternates large-star and small-star steps, each one grouped minimum, until no edge changes: rounds grow
     with the logarithm of a component's length, and no task holds a component.
     """
-    def mark(df):
-        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).collect()[0]
+    def kept(df) -> tuple[DataFrame, tuple]:
+        """The edges saved, and what tells two edge sets apart; both from one job."""
+        seen = Observation()
+        out = tmp.save(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")), "edges")
+        return out, tuple(seen.get[k] for k in ("n", "x", "s"))
 
-    now = tmp.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    seen = mark(now)
+    now, seen = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(most_rounds):
+        if not seen[0]:
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # Large star: each larger neighbour goes to the smallest around u.
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        kept = tmp.save(large, "star")
         # Small star: all smaller neighbours of u, and u, go to the smallest of them.
-        tops = kept.groupBy("u").agg(F.min("v").alias("m"))
-        small = kept.join(tops, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        after = tmp.save(small, "edges")
-        tmp.drop(kept, now)
-        now, before, seen = after, seen, mark(after)
+        tops = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(tops, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        before, last = seen, now
+        now, seen = kept(small)
+        tmp.drop(last)
         if seen == before:
             break
     else:

@@ -492,6 +492,34 @@ def test_every_linked_pair_shares_an_index_key():
                 assert any(0 in x[v] + y[v] for v in x.keys() & y.keys()), (n, cut, add)
 
 
+def test_packed_keys_keep_exactly_the_shared_ones():
+    rng = random.Random(8)
+    spread = [int(x) & ~1 for x in _words.mix(np.arange(1, 513, dtype=np.uint64))]
+    for hot in (0.0, 0.5):
+        rows_, pieces = set(), []
+        for _ in range(6):
+            piece = [((spread[7] if rng.random() < hot else rng.choice(spread)) | (rng.random() < 0.3), rng.randrange(60)) for _ in range(300)]
+            rows_ |= set(piece)
+            pieces.append(piece)
+        dealt = collections.defaultdict(list)
+        for turn, piece in enumerate(pieces):
+            k, c = (np.array(x, dtype=t) for x, t in zip(zip(*piece), (np.uint64, np.int64)))
+            for row in jaccard._pack(k, c, 5, turn):
+                dealt[row[0]].append(dict(zip([x.split()[0] for x in jaccard.PACKED.split(", ")], row)))
+        got = set()
+        for part in dealt.values():
+            batch = pa.RecordBatch.from_pylist(part)
+            for out in jaccard._shared_keys([batch]):
+                got |= {(r["key"], r["deleted"], r["c"]) for r in out.to_pylist()}
+        by = collections.defaultdict(set)
+        for k, c in rows_:
+            by[k >> 1].add((k & 1, c))
+        want = {(k, d, c) for k, v in by.items() if len({c for _, c in v}) > 1 and any(not d for d, _ in v) for d, c in v}
+        assert len(got) == len(want) and collections.Counter(c for *_, c in got) == collections.Counter(c for *_, c in want)
+        groups = lambda x: sorted(tuple(sorted((int(d), c) for kk, d, c in x if kk == k)) for k in {r[0] for r in x})
+        assert groups(got) == groups(want)
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(1)
     for n in (1, 50, 3000):
