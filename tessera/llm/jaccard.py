@@ -32,6 +32,8 @@ GROWTH = 1.7
 #: Chance that a shingle of one set is in another of its band, for the cost of a chance agreement.
 SHARED = 0.35
 MOST_DELETIONS = 3
+#: Segments beyond the pigeonhole's need, as a share of it.
+SLACK = 0.1
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 
@@ -69,34 +71,51 @@ EDGES = np.array(bands())
 
 
 def allocate(rule: Rule, classes: dict[int, int]) -> list[tuple[int, int]]:
-    """(segments, segments with deletions) of each band's scheme, by cost; classes: how many each band holds."""
+    """(segments, segments with deletions) of each band's scheme, by cost; classes: how many each band holds.
+
+    Larger sets get SLACK more segments than the pigeonhole needs, so that each may leave its weakest out.
+    """
     out = []
     for b in range(len(EDGES) - 1):
         top = int(EDGES[b + 1]) - 1
         # The larger set of a pair may lie in the next band.
-        need_ = rule.most_apart(rule.den * top // rule.num, top) + 1
+        least = rule.most_apart(rule.den * top // rule.num, top) + 1
         n = classes.get(b, 0)
         best = None
-        for d in range(0, min(MOST_DELETIONS, need_ // 2) + 1):
-            m = need_ - d
+        for d in range(0, min(MOST_DELETIONS, least // 2) + 1):
+            plain = least - 2 * d + int(SLACK * least)
+            m = plain + d
             length = top / m
             rows = n * (m + d * length)
-            agree = n * n * (m - d) * SHARED**length + n * n * d * (length + 1) * SHARED ** max(length - 1, 0)
+            agree = n * n * plain * SHARED**length + n * n * d * (length + 1) * SHARED ** max(length - 1, 0)
             if best is None or rows + agree < best[0]:
                 best = (rows + agree, m, d)
         out.append(best[1:])
     return out
 
 
-def _segment_rows(grams: np.ndarray, salted: np.ndarray, band: int, m: int, d: int):
-    """Index keys of one set under one scheme; bit 0 tells a deletion from a plain segment."""
+def _segment_rows(grams: np.ndarray, salted: np.ndarray, band: int, m: int, d: int, least: int):
+    """Index keys of one set under one scheme; bit 0 tells a deletion from a plain segment.
+
+    least: differences, plus one, that must not hide every match. Segments with deletions count for two. Of the
+    plain ones the largest are used, all down to the size t at which least - 2d are reached: segments that agree
+    are of one size, so whichever of two sets has the larger t, a segment that it uses and that agrees is used by
+    the other as well. Empty and tiny segments, which strangers share, are so left out unless they are needed.
+    """
     cuts = np.searchsorted(grams, _cuts(m))
     run = np.zeros(len(grams) + 1, dtype=np.uint64)
     np.cumsum(salted, out=run[1:])
     bounds = np.concatenate([[0], cuts, [len(grams)]])
     total = run[bounds[1:]] - run[bounds[:-1]]
     place = _places(band, m)
-    keys = [mix(total + place) & ~np.uint64(1)]
+    size = np.diff(bounds)
+    want, plain = least - 2 * d, size[d:]
+    use = np.ones(m, bool)
+    if want <= 0:
+        use[d:] = False
+    elif want < len(plain):
+        use[d:] = plain >= np.partition(plain, len(plain) - want)[len(plain) - want]
+    keys = [mix(total[use] + place[use]) & ~np.uint64(1)]
     for i in range(d):
         a, b = bounds[i], bounds[i + 1]
         if b > a:
@@ -124,7 +143,9 @@ def keys_of(grams: np.ndarray, rule: Rule, plan: list[tuple[int, int]]) -> np.nd
     salted = mix(grams ^ np.uint64(0xD6E8FEB86659FD93))
     own = int(np.searchsorted(EDGES, n, "right")) - 1
     low = int(np.searchsorted(EDGES, max(1, rule.smallest(n)), "right")) - 1
-    return np.concatenate([_segment_rows(grams, salted, b, *plan[b]) for b in range(low, own + 1)])
+    # Partners in its own scheme may be larger; in a lower one they are smaller, and of that band at most.
+    least = lambda b: 1 + (rule.most_apart(rule.den * n // rule.num, n) if b == own else rule.most_apart(n, int(EDGES[b + 1]) - 1))
+    return np.concatenate([_segment_rows(grams, salted, b, *plan[b], least(b)) for b in range(low, own + 1)])
 
 
 def digest_of(grams: np.ndarray) -> tuple[int, int]:
