@@ -84,7 +84,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_dir: str | None
         missing = missing.join(stored.select("content"), "content", "left_anti")
     misses = missing.groupBy("content").agg(F.first("text").alias("text"))
     misses.mapInArrow(functools.partial(_encode, path=tokenizer_path, digest=digest), CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(at)
-    counts = _stored(spark, at, digest)
+    # Saved apart from its grouping, so that the join below is a plain one, whose hot digests AQE splits.
+    counts = own.save(_stored(spark, at, digest), "counts")
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
     return sized.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
