@@ -128,3 +128,24 @@ def import_dl(text: str) -> list[tuple[str, str, str]]:
     from ..datalog import parse_program
 
     return [tuple(map(terms.surface, f.args)) for f in parse_program(text).facts if f.name == "relation" and len(f.args) == 3]
+
+
+# How a policy file stands to what was recorded of it; the first and last may run.
+PRESENT, PRESENT_EMPTY, MISSING_RECORDED, UNRECORDED_DEFAULT = "present", "present_empty", "missing_recorded", "unrecorded_default"
+
+
+def policy_state(text: str | None, recorded: bool) -> str:
+    """text: the file's, None without a file; recorded: whether a policy was ever stored for this knowledge base."""
+    if text is not None:
+        return PRESENT if text.lstrip("﻿").strip() else PRESENT_EMPTY
+    return MISSING_RECORDED if recorded else UNRECORDED_DEFAULT
+
+
+def runnable_policy(text: str | None, recorded: bool, default: str) -> tuple[str, list[str]]:
+    """(policy, warnings) to run; PolicyError where rules once recorded are gone or the file says nothing."""
+    state = policy_state(text, recorded)
+    if state == PRESENT:
+        return text, []
+    if state == UNRECORDED_DEFAULT:
+        return default, ["WARN policy_unrecorded: no policy file; the default policy ran"]
+    raise PolicyError(f"the policy may not run: {state}")
