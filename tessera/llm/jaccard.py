@@ -3,10 +3,12 @@
 Two sets of sizes s >= t with Jaccard >= J differ in at most H = floor((1-J)/(1+J) * (s+t)) elements. Sizes fall
 into bands; a band's scheme cuts the hash universe into m segments, so that a set is m sub-sets. d of these
 segments also index their one-deletion neighbourhoods. A plain segment tells two sets apart only by one
-difference or more, one with deletions only by two or more; with m + d > H some segment of every linked pair
-must therefore agree (equal, or equal after one deletion on either side). d is chosen by cost, from the number
-of classes in the band: index rows against expected chance agreements. A set takes part in its own band's scheme
-and in the lower one where it may link down to.
+difference or more, one with deletions only by two or more; where the segments used weigh more than H together
+(one each, two with deletions), some segment of every linked pair must agree (equal, or equal after one deletion
+on either side). Allocation by cost happens twice: a band's d weighs index rows against expected chance
+agreements, from the number of its classes; and each set leaves out its weakest segments, those of fewest
+shingles, which strangers share, as far as the weight allows. A set takes part in its own band's scheme and in
+the lower one where it may link down to.
 
 Equal sets are one class before anything else, so exact copies cost nothing. Candidate pairs are never all
 pairs of a bucket: first every member is verified against the bucket's most connected class, linked classes
