@@ -1,12 +1,13 @@
 """Mixing sources to target weights by systematic sampling, with Spark expressions only.
 
-Every document of a source expects rate = target / source size copies. Documents are laid out in a fixed order
-(by size class, largest first, then by blocks, size and id), their expected copies are summed up along it, one
-random offset a source is added, and a document is emitted once for each whole number its stretch crosses. As
-sizes fall along the order, the words taken stay within about one large document of the target.
-
-No task holds a whole source: rows are ranked inside blocks of bounded size, and only the blocks' counts are
-summed along a source.
+Documents of a source are laid out in a fixed order: by size class, largest first, then by blocks, size and id.
+Their expected copies are summed up along it, one random offset a source is added, and a document is emitted once
+for each whole number its stretch crosses. A class expects (words still wanted) / (words still to come) copies of
+each of its documents, so what whole copies of large documents overshot or missed is made good by the smaller
+ones that follow, and the words taken end within about one small document of the target.
+
+No task holds a whole source: rows are ranked inside blocks of bounded size, and only the classes' and blocks'
+counts are summed along a source.
 """
 
 from __future__ import annotations
@@ -76,22 +77,49 @@ def mix_copies(docs: DataFrame, *, weights=(5.0, 2.0, 1.0), cap: float = 3.0, se
         ),
         "placed",
     )
-    along = Window.partitionBy("source").orderBy(F.desc("cls"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = placed.groupBy("source", "cls", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    along = Window.partitionBy("source", "cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("source", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("w")).withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
     offset = _scatter(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))) / F.lit(float(1 << 32))
-    share = targets(narrow, weights, cap)
-    plan = blocks.join(share.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).select(
-        F.col("source").alias("s3"), F.col("cls").alias("c3"), F.col("part").alias("p3"), "before", "source_size", "target", offset.alias("offset")
+    share = targets(narrow, weights, cap).withColumn("offset", offset).withColumnRenamed("source", "s2")
+    rates = _rates(blocks, share, cap)
+    plan = tmp.save(
+        blocks.join(rates, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cls") == F.col("c2"))).select(
+            F.col("source").alias("s3"), F.col("cls").alias("c3"), F.col("part").alias("p3"), "before", "source_size", "target", "offset", "rate", "passed"
+        ),
+        "plan",
     )
     rank = F.row_number().over(Window.partitionBy("source", "cls", "part").orderBy(F.desc("size"), "scatter", "doc_id"))
     ranked = placed.withColumn("rank", rank).join(plan, F.col("source").eqNullSafe(F.col("s3")) & (F.col("cls") == F.col("c3")) & (F.col("part") == F.col("p3")))
     at = F.col("before") + F.col("rank")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = lambda n: F.floor(F.col("offset") + rate * n)
+    crossed = lambda n: F.floor(F.col("offset") + (F.col("passed") + F.col("rate") * n))
     copies = F.when(F.col("size") > 0, crossed(at) - crossed(at - 1)).otherwise(F.lit(0)).cast("long")
     return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
+def _rates(blocks: DataFrame, share: DataFrame, cap: float) -> DataFrame:
+    """s2, c2, rate, passed of every class: the copies each of its documents expects, and the expected copies of all
+    classes before it. A source has some 2 * sqrt(largest size) classes, which one row folds over."""
+    classes = blocks.groupBy("source", "cls").agg(F.sum("n").cast("double").alias("n"), F.sum("w").cast("double").alias("w"))
+    listed = classes.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("cls")).alias("k"), "n", "w"))).alias("cs"))
+    at = listed.join(share, F.col("source").eqNullSafe(F.col("s2")))
+    zero = F.lit(0.0)
+    start = F.struct(F.col("target").alias("want"), F.col("source_size").cast("double").alias("left"), zero.alias("passed"), F.expr("cast(array() as array<struct<k:bigint,rate:double,passed:double>>)").alias("out"))
+
+    def step(acc, c):
+        rate = F.when(acc["left"] > 0, F.least(F.lit(float(cap)), F.greatest(zero, acc["want"] / acc["left"]))).otherwise(zero)
+        passed = acc["passed"] + rate * c["n"]
+        taken = (F.floor(F.col("offset") + passed) - F.floor(F.col("offset") + acc["passed"])).cast("double")
+        return F.struct(
+            (acc["want"] - taken * (c["w"] / c["n"])).alias("want"),
+            (acc["left"] - c["w"]).alias("left"),
+            passed.alias("passed"),
+            F.concat(acc["out"], F.array(F.struct(c["k"].alias("k"), rate.alias("rate"), acc["passed"].alias("passed")))).alias("out"),
+        )
+
+    folded = at.select("s2", "source_size", "target", "offset", F.explode(F.aggregate("cs", start, step, lambda acc: acc["out"])).alias("r"))
+    return folded.select("s2", "source_size", "target", "offset", (-F.col("r.k")).alias("c2"), F.col("r.rate").alias("rate"), F.col("r.passed").alias("passed"))
+
+
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """The columns of op1: every document with the words the mix takes from it, repeats counted."""
     return mix_copies(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
