@@ -4,7 +4,10 @@ Base kinds are regex matches (assign, access, hex). The method adds kind entropy
 20 or more key characters; a window of 20 slides over each, the counts of its characters are updated by the one
 that leaves and the one that enters, and with them the sum of c*log2(c), from which the window's Shannon entropy
 follows. A candidate whose best window passes its character class's threshold is a span, unless an allow-list
-pattern fits it or a base span holds it.
+pattern fits it or a base span holds it. The thresholds of the classes leave out about 1 % of uniformly random
+windows; words reach them too, so they hold only where letters and digits alternate as in random keys, and
+KEY_BITS, which words hardly reach, holds for every candidate. Keys of fewer than 20 characters, of digits
+only or of letters of one case only can't be told from words and numbers this way: only base kinds find them.
 
 Positions come from Spark's own functions: split gives the gaps between matches, regexp_extract_all the matches;
 running sums of their lengths are the starts and ends in code points.
@@ -28,12 +31,24 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}+"
-#: Bits a character that a window must exceed, by character class of the candidate.
-HEX_BITS, KEY_BITS = 3.0, 4.05
+#: Bits a character that a window must reach whatever the candidate's class.
+KEY_BITS = 4.05
+#: The same by class where the candidate alternates: class, bits, least alternations. The first class that fits counts.
+#: Bits are the lowest hundredth of windows of 20 random characters (of the class's smallest usual alphabet).
+CLASSES = [
+    (r"^[0-9a-fA-F]+$", 2.85, 0),
+    (r"^[A-Z2-7=-]+$", 3.30, 2),
+    (r"^(?:[0-9A-Z+/_=.-]+|[0-9a-z+/_=.-]+)$", 3.40, 3),
+    (r"^[A-Za-z]+$", 3.55, 0),
+    (r"^", 3.63, 4),
+]
+#: A change of kind (lower case, upper case, digit) between neighbours, but for a capital before small letters. A
+#: candidate needs one for each SPARSE characters at least, besides its class's number; random keys have 3 to 8 a 20.
+CHANGE, SPARSE = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 #: Candidates that are no secrets: words, joined words and paths, numbers and dates, rules, UUIDs, samples.
 ALLOWED = [
-    r"^[A-Za-z]+$",
+    r"^(?:[A-Z]+|[a-z]*(?:[A-Z]{1,6}[a-z]{2,}+|[A-Z][a-z](?=[A-Z][a-z]|$))*[A-Z]{0,6})$",
     r"^[A-Za-z]{0,18}([._/=-]+[A-Za-z]{1,18})+[._/=-]*$",
     r"^[0-9._/=+-]+$",
     r"^[=._/+-]+$",
@@ -91,8 +106,12 @@ def _is_secret(value: Column) -> Column:
     allowed = F.lit(False)
     for p in ALLOWED:
         allowed = allowed | F.rlike(value, F.lit(p))
-    is_hex = F.rlike(value, F.lit("^[0-9a-fA-F]+$"))
-    return F.when(allowed, F.lit(False)).otherwise(window_entropy(value) >= F.when(is_hex, HEX_BITS).otherwise(KEY_BITS))
+    changes = F.regexp_count(value, F.lit(CHANGE))
+    bits = F.lit(KEY_BITS)
+    for pattern, least, often in reversed(CLASSES):
+        enough = changes >= F.greatest(F.lit(float(often)), F.length(value) / SPARSE) if often else F.lit(True)
+        bits = F.when(F.rlike(value, F.lit(pattern)), F.when(enough, least).otherwise(KEY_BITS)).otherwise(bits)
+    return F.when(allowed, F.lit(False)).otherwise(window_entropy(value) >= bits)
 
 
 def scan_secrets(docs: DataFrame, *keep: str) -> DataFrame:

@@ -327,6 +327,22 @@ def test_entropy_spans_and_allow_list(spark):
     assert got == {0: "entropy:4:28", 1: "", 2: "", 3: "", 4: "", 5: ""}
 
 
+def test_random_keys_of_every_class_are_found(spark):
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"HEX": digits + "ABCDEF", "lower": lower + digits, "upper": upper + digits, "base32": upper + "234567", "letters": lower + upper, "mixed": lower + upper + digits, "base64": lower + upper + digits + "+/", "url": lower + upper + digits + "-_"}
+    rng = random.Random(3)
+    cases = [(k, n) for k in kinds for n in (20, 24, 32, 40, 64) for _ in range(100)]
+    texts = ["see " + "".join(rng.choices(kinds[k], k=n)) + " here" for k, n in cases]
+    found = collections.Counter(cases[r["doc_id"]] for r in rows(secrets.secret_report(docs(spark, texts))) if r["spans"])
+    # Letters alone may look like joined words, the more so the fewer they are.
+    assert all(found[k, n] >= (75 if k == "letters" and n < 32 else 90) for k, n in set(cases)), found
+
+
+def test_words_and_numbers_are_no_keys(spark):
+    texts = ["internationalization2024", "getUserNameFromDatabaseById", "chapter-12-of-the-book-of-17", "archive/2024/01/15/some-post-3", "v1.2.3-alpha.4-build.567", "ABSCHLUSSBERICHT2023-FASSUNG", "//docs.site.net/es/page12345"]
+    assert {r["spans"] for r in rows(secrets.secret_report(docs(spark, texts)))} == {""}
+
+
 def test_redaction(spark):
     texts = [None, "plain", "é password=hunter2hunter2 x", "deadbeefdeadbeef secret=abcdefabcdefabcdef"]
     got = {r["doc_id"]: r for r in rows(secrets.redact_documents(docs(spark, texts)))}
