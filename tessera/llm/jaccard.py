@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import Scratch, arrow_batches, need
 from ._words import mix, shingle_sets
@@ -334,8 +335,11 @@ def components(tmp: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFra
     return now.select(F.col("u").alias("c"), F.col("v").alias("comp"))
 
 
-def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n, c; components: c, comp of classes in links). c is a document's class of equal sets."""
+def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame, DataFrame, dict]:
+    """(documents: doc_id, n, c; components: c, comp of classes in links; the digests told apart by the second).
+
+    c is a document's class of equal sets.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = need(docs, doc_id="long", text="string")
@@ -384,7 +388,7 @@ def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame,
     tmp.drop(texts2)
     out = components(tmp, comp1.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(links2))
     tmp.drop(pairs1, pairs2, links1, links2, classes)
-    return known, out
+    return known, out, clash
 
 
 def _words_of_sketch(name: str):
@@ -441,7 +445,7 @@ def link_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     documents that share a name. Other columns are ignored; an empty table gives no rows.
     """
     tmp = Scratch(docs.sparkSession, "jaccard")
-    named, comps = link_classes(docs, rule, tmp)
+    named, comps, _ = link_classes(docs, rule, tmp)
     least = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("id")).join(comps, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "id")
     root = least.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_class = least.select("c", "comp").join(root, "comp").select("c", "component_id")
@@ -449,12 +453,30 @@ def link_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return named.filter("n > 0").join(of_class, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
+def _with_class(batches, k: int, clash: dict):
+    """The rows with their class as __c, null without shingles."""
+    for batch in batches:
+        c = []
+        for g in shingle_sets(batch.column("__text"), k):
+            d = digest_of(g)
+            c.append((d[1] if d[0] in clash else d[0]) if len(g) else None)
+        yield batch.drop_columns(["__text"]).append_column("__c", pa.array(c, pa.int64()))
+
+
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """docs with one document of each group of linked ones, the one with the smallest doc_id, all columns kept.
 
-    Documents without shingles stay, and so do repeated rows of the document that stays. Needs doc_id to be
-    an integer; rows with a null doc_id stay only if their group has no other.
+    A document is an id and a set of shingles: rows of one id with different sets are judged apart, and of those
+    linked under the smallest id one set stays. Documents without shingles stay, and so do repeated rows of the
+    document that stays. Needs doc_id to be an integer; a null doc_id counts as an id after all others, so such
+    rows stay only if their group has no other.
     """
-    groups = link_documents(docs, rule)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    tmp = Scratch(docs.sparkSession, "keep")
+    named, comps, clash = link_classes(docs, rule, tmp)
+    members = named.filter("n > 0").select("doc_id", "c").distinct().join(comps, "c", "left").select("doc_id", "c", F.coalesce("comp", "c").alias("comp"))
+    first = members.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "c")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("c") == F.col("first.c"))
+    gone = members.join(first, "comp").filter(~stays).select(F.col("doc_id").alias("__gone"), F.col("c").alias("__class"))
+    schema = StructType([*docs.schema.fields, StructField("__c", LongType())])
+    told = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(functools.partial(_with_class, k=rule.k, clash=clash), schema)
+    return told.join(gone, (F.col("__c") == F.col("__class")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti").drop("__c")

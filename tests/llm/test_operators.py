@@ -559,6 +559,18 @@ def test_link_edges(spark):
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("2", 2), ("4", 4), ("4", 4), ("None", 4)]
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(20)) for x in "abcd")
+    near = a + "end"
+    table = [(3, a), (None, near), (None, b), (None, ""), (5, a), (5, c), (5, c), (None, d), (None, d + "end"), (7, c + "end"), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(table)], DOCS)
+    got = sorted(r["n_chars"] for r in rows(jaccard.keep_one(df)))
+    assert got in ([0, 2, 3, 5, 6, 7, 10], [0, 2, 3, 5, 6, 8, 10])
+    assert jaccard.keep_one(df).schema == df.schema
+    linked = df.filter("n_chars in (3, 9)").withColumn("doc_id", F.lit(4).cast("long")).unionByName(df.filter("n_chars = 5").withColumn("doc_id", F.lit(4).cast("long")))
+    assert sorted(r["n_chars"] for r in rows(jaccard.keep_one(linked))) in ([3, 5], [3, 9])
+
+
 # -- op9 ---------------------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"
