@@ -55,25 +55,26 @@ def targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), cap: float = 3.0) -> Data
     return lined.select("source", "source_size", F.least(F.col("most"), F.coalesce(open_level["level"] * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def mix_copies(docs: DataFrame, *, weights=(5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every document.
+def mix_copies(docs: DataFrame, *keep: str, weights=(5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of every document, and the columns named in keep.
 
     size: words of the text; a null or empty text has 0. A null source is a source of its own; a null doc_id
     counts as the smallest. Ties and repeated rows are equal but for their place in the order, so any order of
-    them gives the same rows. Other columns are ignored. An empty table gives no rows; where all sizes are 0,
+    them gives the same rows; columns of keep, in their order, break ties. Other columns are ignored. An empty table gives no rows; where all sizes are 0,
     targets and copies are 0. Reruns agree: order and offset follow from the rows and seed alone.
     """
     tmp = Scratch(docs.sparkSession, "mix")
-    rows = need(docs, doc_id="long", source="string", text="string").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    own = {c: docs.schema[c].dataType.simpleString() for c in keep}
+    rows = need(docs, doc_id="long", source="string", text="string", **own).select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
     key = F.coalesce(F.col("doc_id"), F.lit(0))
     # Size class, largest first; a scattered number that splits a class into blocks.
     cls = F.floor(F.sqrt(F.col("size").cast("double")) * CLASSES).cast("long")
-    narrow = tmp.save(rows.select("doc_id", "source", "size", cls.alias("cls"), _scatter(F.concat(F.lit(f"{seed}:"), key.cast("string"))).alias("scatter")), "sizes")
+    narrow = tmp.save(rows.select("doc_id", "source", "size", *keep, cls.alias("cls"), _scatter(F.concat(F.lit(f"{seed}:"), key.cast("string"))).alias("scatter")), "sizes")
     per_class = narrow.groupBy("source", "cls").agg(F.count("*").alias("n"))
     wide = per_class.select(F.col("source").alias("s2"), F.col("cls").alias("c2"), F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
     placed = tmp.save(
         narrow.join(wide, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cls") == F.col("c2"))).select(
-            "doc_id", "source", "size", "cls", "scatter", F.floor(F.col("scatter") * F.col("parts") / F.lit(1 << 32)).cast("long").alias("part")
+            "doc_id", "source", "size", *keep, "cls", "scatter", F.floor(F.col("scatter") * F.col("parts") / F.lit(1 << 32)).cast("long").alias("part")
         ),
         "placed",
     )
@@ -88,12 +89,12 @@ def mix_copies(docs: DataFrame, *, weights=(5.0, 2.0, 1.0), cap: float = 3.0, se
         ),
         "plan",
     )
-    rank = F.row_number().over(Window.partitionBy("source", "cls", "part").orderBy(F.desc("size"), "scatter", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "cls", "part").orderBy(F.desc("size"), "scatter", "doc_id", *keep))
     ranked = placed.withColumn("rank", rank).join(plan, F.col("source").eqNullSafe(F.col("s3")) & (F.col("cls") == F.col("c3")) & (F.col("part") == F.col("p3")))
     at = F.col("before") + F.col("rank")
     crossed = lambda n: F.floor(F.col("offset") + (F.col("passed") + F.col("rate") * n))
     copies = F.when(F.col("size") > 0, crossed(at) - crossed(at - 1)).otherwise(F.lit(0)).cast("long")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *keep)
 
 
 def _rates(blocks: DataFrame, share: DataFrame, cap: float) -> DataFrame:
@@ -126,10 +127,15 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's columns, once for every copy taken, with its number as copy_no.
+    """The mix itself: each row's columns, once for every copy taken of it, with its number as copy_no.
 
-    Needs an integer doc_id that identifies the row; documents without one, or with no words, take no part.
+    Copies belong to rows: rows without a doc_id, and each of several with one, give the copies planned for
+    them. The rows are saved with a number of their own, by which the copies find them. Rows without words take
+    no part.
     """
-    taken = mix_copies(docs, **options).filter((F.col("copies") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    out = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"))
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__copies")
+    tmp = Scratch(docs.sparkSession, "mixed")
+    # Ties among rows of one id and size go by text first, so that reruns take copies of the same texts.
+    saved = tmp.save(docs.withColumn("__tie", F.xxhash64(F.col("text").cast("string"))).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    taken = mix_copies(saved, "__tie", "__row", **options).filter(F.col("copies") > 0).select(F.col("__row").alias("__id"), F.col("copies").alias("__copies"))
+    out = saved.join(taken, F.col("__row") == F.col("__id"))
+    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__copies", "__row", "__tie")

@@ -107,6 +107,21 @@ def test_mix_edges(spark):
     assert mixing.mix_report(docs(spark, [])).count() == 0
 
 
+def test_mix_emits_rows_without_an_id_and_with_a_shared_one(spark):
+    rng = random.Random(6)
+    table = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"t{i} " * rng.randint(1, 40), "en", f"s{i % 4 // 2}", i) for i in range(600)]
+    df = spark.createDataFrame(table, DOCS)
+    target = {r["source"]: r["target"] for r in rows(mixing.mix_copies(df).select("source", "target").distinct())}
+    got = rows(mixing.mix(df))
+    words = collections.Counter()
+    for r in got:
+        words[r["source"]] += len(r["text"].split())
+    assert all(abs(words[s] - t) <= 10 for s, t in target.items()), (words, target)
+    assert len({(r["n_chars"], r["copy_no"]) for r in got}) == len(got) and {i % 3 for i in (r["n_chars"] for r in got)} == {0, 1, 2}
+    again = rows(mixing.mix(df.repartition(5)))
+    assert sorted((r["n_chars"], r["copy_no"]) for r in again) == sorted((r["n_chars"], r["copy_no"]) for r in got)
+
+
 # -- op2 ---------------------------------------------------------------------------------------------------------
 
 
