@@ -22,8 +22,10 @@ from ._words import LOWER, buffers
 SAMPLE = 1500
 #: Hash buckets of the byte 3-grams, and the added count of each.
 BUCKETS, SMOOTH = 1 << 15, 0.5
-#: Rounds of EM, languages a document may have, and the penalty for each further one in units of log(n-grams).
-ROUNDS, MOST, PENALTY = 12, 3, 4.0
+#: Rounds of EM at once and at most, and the penalty for each further language in units of log(n-grams).
+ROUNDS, MOST_ROUNDS, PENALTY = 12, 240, 4.0
+#: Nats that proportions may be short of their best likelihood, as a share of the penalty.
+SETTLED = 0.05
 #: Bytes judged at once. A longer text is taken alone.
 BLOCK = 1 << 21
 
@@ -123,21 +125,51 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def _em(p: np.ndarray, count: np.ndarray, at: np.ndarray, which: np.ndarray, rounds: int):
+def _em(p: np.ndarray, count: np.ndarray, at: np.ndarray, which: np.ndarray, rounds: int, start: np.ndarray | None = None):
     """Proportions (documents x set size) and log-likelihood of each document for its set of languages.
 
     p: n-gram likelihoods (rows x set size), scaled; count: of each row; at: first row of each document;
-    which: document of each row.
+    which: document of each row; start: proportions to begin with, else even ones.
     """
     k = p.shape[1]
     n = np.add.reduceat(count, at)
-    pi = np.full((len(at), k), 1.0 / k, dtype=np.float32)
+    pi = np.full((len(at), k), 1.0 / k, dtype=np.float32) if start is None else start
     for _ in range(rounds):
         joint = p * pi[which]
         joint *= (count / joint.sum(axis=1))[:, None]
         pi = np.add.reduceat(joint, at, axis=0) / n[:, None]
     mass = np.maximum((p * pi[which]).sum(axis=1), 1e-30)
-    return pi, np.add.reduceat(count * np.log(mass), at)
+    return pi, np.add.reduceat(count * np.log(mass), at, dtype=np.float64)
+
+
+def _rows_of(at: np.ndarray, size: np.ndarray, docs: np.ndarray):
+    """(rows, first row of each, document of each row) of the documents chosen, put together."""
+    n = size[docs]
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    which = np.repeat(np.arange(len(docs)), n)
+    return np.arange(n.sum()) - first[which] + at[docs][which], first, which
+
+
+def _settle(p: np.ndarray, count: np.ndarray, at: np.ndarray, size: np.ndarray, docs: np.ndarray, sets: np.ndarray, wanted: np.ndarray, n: np.ndarray):
+    """(proportions, log-likelihood) of each chosen document for its set (columns of p), settled unless hopeless.
+
+    The likelihood is concave: from any proportions it can still gain no more than the largest, over the set, of
+    sum(count * p / mass) - n. Rounds go on until that is small, or too small for the likelihood to reach wanted.
+    """
+    pi, like = np.zeros(sets.shape, np.float32), np.zeros(len(docs))
+    open_, start = np.arange(len(docs)), None
+    for _ in range(MOST_ROUNDS // ROUNDS):
+        rows, first, which = _rows_of(at, size, docs[open_])
+        q, c = p[rows[:, None], sets[open_][which]], count[rows]
+        got, score = _em(q, c, first, which, ROUNDS, start)
+        pi[open_], like[open_] = got, score
+        mass = np.maximum((q * got[which]).sum(axis=1), 1e-30)
+        more = np.add.reduceat(q * (c / mass)[:, None], first, axis=0, dtype=np.float64).max(axis=1) - n[open_]
+        on = (more > SETTLED * PENALTY * np.log(n[open_] + 1)) & (score + more > wanted[open_])
+        if not on.any():
+            break
+        open_, start = open_[on], got[on]
+    return pi, like
 
 
 def infer(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, logp: np.ndarray, n_docs: int):
@@ -154,57 +186,34 @@ def infer(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, logp: np.ndarray
     # Scaling each n-gram by its best language changes no proportion and keeps single precision safe.
     best = rows.max(axis=1)
     p = np.exp(rows - best[:, None])
-    base = np.add.reduceat(c * best, at)
-    n = np.add.reduceat(c, at)
-    alone = np.add.reduceat(c[:, None] * (rows - best[:, None]), at, axis=0)
-    order = alone.argmax(axis=1)
-    score = alone.max(axis=1)
-    chosen = np.zeros((len(at), n_lang), bool)
-    chosen[np.arange(len(at)), order] = True
-    pi = chosen.astype(np.float32)
+    size = np.bincount(which)
+    base = np.add.reduceat(c * best, at, dtype=np.float64)
+    n = np.add.reduceat(c, at, dtype=np.float64)
+    alone = np.add.reduceat(c[:, None] * (rows - best[:, None]), at, axis=0, dtype=np.float64)
+    sets, score = alone.argmax(axis=1)[:, None], alone.max(axis=1)
+    pi = np.zeros((len(at), n_lang), np.float32)
+    pi[np.arange(len(at)), sets[:, 0]] = 1
     live = np.arange(len(at))
-    if n_lang > 1:
-        full, _ = _em(p, c, at, which, 4)
-    for _ in range(1, min(MOST, n_lang)):
-        # The next language: the largest proportion under all of them that the set lacks.
-        rest = np.where(chosen[live], -1.0, full[live])
-        add = rest.argmax(axis=1)
-        fits = rest.max(axis=1) > 0.01
-        live, add = live[fits], add[fits]
-        if not len(live):
-            break
-        trial = chosen[live].copy()
-        trial[np.arange(len(live)), add] = True
-        pick = np.zeros(len(at), bool)
-        pick[live] = True
-        sub = pick[which]
-        pos = np.cumsum(pick) - 1
-        own = pos[which[sub]]
-        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        masked = p[sub] * trial[own]
-        prop, like = _em_masked(masked, c[sub], starts, own, trial)
-        better = like - score[live] > PENALTY * np.log(n[live] + 1)
-        took = live[better]
-        chosen[took], pi[took], score[took] = trial[better], prop[better], like[better]
-        live = took
-        if not len(live):
-            break
+    while len(live) and sets.shape[1] < n_lang:
+        # Every language that a set lacks is tried; the one of the largest likelihood stays if it beats the penalty.
+        wanted = score[live] + PENALTY * np.log(n[live] + 1)
+        top, parts, trial = np.full(len(live), -np.inf), np.zeros((len(live), sets.shape[1] + 1), np.float32), np.zeros((len(live), sets.shape[1] + 1), np.int64)
+        for lang in range(n_lang):
+            lacks = np.flatnonzero((sets != lang).all(axis=1))
+            if not len(lacks):
+                continue
+            tried = np.concatenate([sets[lacks], np.full((len(lacks), 1), lang)], axis=1)
+            prop, like = _settle(p, c, at, size, live[lacks], tried, np.maximum(wanted, top)[lacks], n[live[lacks]])
+            up = like > top[lacks]
+            top[lacks[up]], parts[lacks[up]], trial[lacks[up]] = like[up], prop[up], tried[up]
+        better = top > wanted
+        live, sets = live[better], trial[better]
+        score[live] = top[better]
+        pi[live[:, None], sets] = parts[better]
     out[ids], gain[ids] = pi, (base + score) / n + np.log(BUCKETS)
     return out, gain
 
 
-def _em_masked(p, count, at, which, allowed):
-    """As _em, over all columns with those outside each document's set held at zero."""
-    n = np.add.reduceat(count, at)
-    pi = (allowed / allowed.sum(axis=1, keepdims=True)).astype(np.float32)
-    for _ in range(ROUNDS):
-        joint = p * pi[which]
-        joint *= (count / np.maximum(joint.sum(axis=1), 1e-30))[:, None]
-        pi = np.add.reduceat(joint, at, axis=0) / n[:, None]
-    mass = np.maximum((p * pi[which]).sum(axis=1), 1e-30)
-    return pi, np.add.reduceat(count * np.log(mass), at)
-
-
 PREDICTED = "doc_id long, has_letter boolean, lang_pred string, score double, languages array<string>, shares array<double>, gain double"
 
 

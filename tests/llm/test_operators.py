@@ -149,6 +149,17 @@ def test_mixtures_name_both_languages(spark):
     assert set(got[0]["languages"]) == {"en", "de"} and got[1]["languages"] == ["fr"] and abs(sum(got[0]["shares"]) - 1) < 1e-3
 
 
+def test_all_four_languages_and_a_small_passage_are_named(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(df)
+    long = {lang: " ".join(r["text"] for r in df.filter((F.col("lang") == lang) & (F.length("text") > 2000)).orderBy("doc_id").limit(60).collect()) for lang in ("en", "fr", "de", "es")}
+    four = " ".join(t[:15000] for t in long.values())
+    got = rows(langid.identify(docs(spark, [four, (long["en"] * 8)[:900_000] + long["de"][:4000]]), model))
+    got = {r["doc_id"]: r for r in got}
+    assert set(got[0]["languages"]) == {"en", "fr", "de", "es"} and max(got[0]["shares"]) < 0.32 and min(got[0]["shares"]) > 0.18
+    assert got[1]["languages"][0] == "en" and "de" in got[1]["languages"] and got[1]["score"] > 0.97
+
+
 def test_em_equals_a_plain_loop():
     rng = np.random.default_rng(3)
     p, c = rng.random((40, 3)).astype(np.float32), rng.integers(1, 5, 40).astype(np.float32)
