@@ -6,20 +6,32 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python. Batches are cut again by bytes inside the kernels.
-ARROW_ROWS = 1000
+#: Rows and bytes of text that a Python kernel works on at once; one longer text is taken alone.
+PIECE_ROWS, PIECE_BYTES = 1000, 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def pieces(batches, column: str = "text"):
+    """Arrow batches cut into slices that are small in rows and in bytes of one column, without copying them.
+
+    Spark bounds a batch by bytes; what a kernel derives from it is several times as large, hence the cut.
+    """
+    for batch in batches:
+        lo, n = 0, batch.num_rows
+        if not n:
+            yield batch
+        while lo < n:
+            hi = min(lo + PIECE_ROWS, n)
+            while hi - lo > 1 and batch.column(column).slice(lo, hi - lo).nbytes > PIECE_BYTES:
+                hi = lo + (hi - lo) // 2
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def need(df: DataFrame, **types: str) -> DataFrame:
@@ -30,10 +42,56 @@ def need(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often use names it: a binding by a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of values up to each element, itself included.
+
+    Appending to an array copies it, so sums run inside blocks of some root of the length, and along the blocks:
+    the work is the length to the power of 1.5, not its square.
+    """
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+
+    def sums(array):
+        grown = F.aggregate(
+            array,
+            F.struct(zero.alias("at"), none.alias("all")),
+            lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.array_append(acc["all"], acc["at"] + v).alias("all")),
+        )
+        return grown["all"]
+
+    def blocked(v):
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(v), step)
+        inner = F.transform(starts, lambda s: sums(F.slice(v, s, step)))
+
+        def along(blocks):
+            ends = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
+            return bound(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(e, i - 1), zero)))))
+
+        return F.when(F.size(v) < 32, sums(v)).otherwise(bound(inner, along))
+
+    return bound(F.transform(values, lambda x: x.cast("long")), blocked)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (local tests)."""
+    """The folder that driver and executors share; one of our own only in local mode, where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -45,6 +103,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_open: set[Scratch] = set()
+
+
+@atexit.register
+def _close_all() -> None:
+    for scratch in list(_open):
+        scratch.close()
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and survive the loss of any executor.
 
@@ -56,10 +123,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.live: set[str] = set()
-        atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        _open.add(self)
         df.write.option("compression", "zstd").parquet(path)
         self.live.add(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
@@ -72,8 +139,11 @@ class Scratch:
             if path in self.live:
                 remove(self.spark, path)
                 self.live.discard(path)
+        if not self.live:
+            self.close()
 
     def close(self) -> None:
+        _open.discard(self)
         try:
             remove(self.spark, self.root)
         except Exception:  # the session has ended; the cluster cleans its checkpoint folder

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import Scratch, arrow_batches, need
+from ._common import Scratch, fresh, need, pieces
 from ._words import mix, shingle_sets
 
 #: Growth of sizes from band to band.
@@ -167,7 +167,7 @@ def sketch_of(grams: np.ndarray) -> np.ndarray:
 
 
 def _digests(batches, k: int):
-    for batch in batches:
+    for batch in pieces(batches):
         n, c, c2, sketch = [], [], [], []
         for g in shingle_sets(batch.column("text"), k):
             d = digest_of(g)
@@ -223,7 +223,7 @@ def _packed(batches, rule: Rule, plan, clash: dict, parts: int):
         rows = list(zip(*_pack(np.concatenate(keys), np.concatenate(own), parts, turn), strict=True)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
 
-    for batch in batches:
+    for batch in pieces(batches):
         for g in shingle_sets(batch.column("text"), rule.k):
             if not len(g):
                 continue
@@ -281,7 +281,7 @@ def _shared_keys(batches):
 
 def _texts(batches, k: int, clash: dict):
     """(c, text) of all rows, or with a column want of those whose set has the class wanted."""
-    for batch in batches:
+    for batch in pieces(batches):
         c = []
         for g in shingle_sets(batch.column("text"), k):
             d = digest_of(g)
@@ -293,7 +293,7 @@ def _texts(batches, k: int, clash: dict):
 
 def _verify(batches, rule: Rule):
     """Pairs (a, b, text_a, text_b): those that link."""
-    for batch in batches:
+    for batch in pieces(batches, "text_a"):
         good = np.zeros(batch.num_rows, bool)
         left, right = shingle_sets(batch.column("text_a"), rule.k), shingle_sets(batch.column("text_b"), rule.k)
         for i, (x, y) in enumerate(zip(left, right, strict=True)):
@@ -341,7 +341,6 @@ def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame,
     c is a document's class of equal sets.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     rows = need(docs, doc_id="long", text="string")
     first = tmp.save(rows.mapInArrow(functools.partial(_digests, k=rule.k), "doc_id long, n long, c long, c2 long, sketch binary"), "digests")
     # Different sets with one 64-bit digest: told apart by the second. Expected: none, up to billions of sets.
@@ -453,14 +452,14 @@ def link_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return named.filter("n > 0").join(of_class, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
-def _with_class(batches, k: int, clash: dict):
-    """The rows with their class as __c, null without shingles."""
-    for batch in batches:
+def _with_class(batches, k: int, clash: dict, text: str, name: str):
+    """The rows with the class of their text in a further column, null without shingles; the text column goes."""
+    for batch in pieces(batches, text):
         c = []
-        for g in shingle_sets(batch.column("__text"), k):
+        for g in shingle_sets(batch.column(text), k):
             d = digest_of(g)
             c.append((d[1] if d[0] in clash else d[0]) if len(g) else None)
-        yield batch.drop_columns(["__text"]).append_column("__c", pa.array(c, pa.int64()))
+        yield batch.drop_columns([text]).append_column(name, pa.array(c, pa.int64()))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -476,7 +475,8 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     members = named.filter("n > 0").select("doc_id", "c").distinct().join(comps, "c", "left").select("doc_id", "c", F.coalesce("comp", "c").alias("comp"))
     first = members.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "c")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("c") == F.col("first.c"))
-    gone = members.join(first, "comp").filter(~stays).select(F.col("doc_id").alias("__gone"), F.col("c").alias("__class"))
-    schema = StructType([*docs.schema.fields, StructField("__c", LongType())])
-    told = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(functools.partial(_with_class, k=rule.k, clash=clash), schema)
-    return told.join(gone, (F.col("__c") == F.col("__class")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti").drop("__c")
+    name, text, gid, gclass = (fresh(docs, n) for n in ("__c", "__text", "__gone", "__class"))
+    gone = members.join(first, "comp").filter(~stays).select(F.col("doc_id").alias(gid), F.col("c").alias(gclass))
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    told = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(functools.partial(_with_class, k=rule.k, clash=clash, text=text, name=name), schema)
+    return told.join(gone, (F.col(name) == F.col(gclass)) & F.col("doc_id").cast("long").eqNullSafe(F.col(gid)), "left_anti").drop(name)

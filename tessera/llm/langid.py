@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, arrow_batches, need
+from ._common import fresh, need, pieces
 from ._words import LOWER, buffers
 
-#: Documents a language is learned from, about; those with the smallest hash of their id. A bound, not a cap on
-#: what is judged: the model has LANGUAGES x BUCKETS numbers however much text there is.
+#: Documents a language is learned from, about; chosen by a hash of id and text. A bound, not a cap on what is
+#: judged: the model has LANGUAGES x BUCKETS numbers however much text there is.
 SAMPLE = 1500
+#: Languages a model may have; labels beyond it are an error, since the model goes to every task.
+MOST_LANGUAGES = 400
 #: Hash buckets of the byte 3-grams, and the added count of each.
 BUCKETS, SMOOTH = 1 << 15, 0.5
 #: Rounds of EM at once and at most, and the penalty for each further language in units of log(n-grams).
@@ -88,7 +90,7 @@ def _blocks(bounds: np.ndarray):
 
 
 def _count_batches(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         data, bounds = buffers(batch.column("text"))
         total: dict[str, np.ndarray] = {}
@@ -106,17 +108,17 @@ def _count_batches(batches):
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of shape buckets x languages) from rows of doc_id, lang, text.
 
-    Rows with a null lang or text are no evidence. About `sample` documents a language are read, chosen by the
-    hash of their id; without any, there are no languages.
+    Rows with a null lang or text are no evidence. About `sample` documents a language are read, chosen by a
+    hash of id and text; without any, there are no languages. More than MOST_LANGUAGES labels raise an error.
     """
-    spark = labelled.sparkSession
-    arrow_batches(spark)
     rows = need(labelled, doc_id="long", lang="string", text="string").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(have) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} language labels: clean the lang column first")
     share = F.lit(0)
     for lang, n in sorted(have.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(sample << 20) // n)))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(1 << 20)) < share)
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 20)) < share)
     counts = chosen.select("lang", "text").mapInArrow(_count_batches, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     table = np.full((BUCKETS, max(1, len(langs))), SMOOTH)
@@ -218,7 +220,7 @@ PREDICTED = "doc_id long, has_letter boolean, lang_pred string, score double, la
 
 
 def _predict(batches, langs: list[str], logp: np.ndarray):
-    for batch in batches:
+    for batch in pieces(batches):
         data, bounds = buffers(batch.column("text"))
         letters = batch.column("has_letter").to_pylist()
         preds, scores, sets, shares, gains = [], [], [], [], []
@@ -250,7 +252,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     no 3-gram gets the first language with score 0. Only the text decides. Repeated rows give repeated rows;
     other columns are ignored; an empty table gives no rows.
     """
-    arrow_batches(docs.sparkSession)
     rows = need(docs, doc_id="long", text="string").select("doc_id", "text", F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("has_letter"))
     return rows.mapInArrow(functools.partial(_predict, langs=model[0], logp=model[1]), PREDICTED).drop("has_letter")
 
@@ -262,16 +263,16 @@ def language_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
 
 
-def _keep(batches, langs, logp, least: float):
-    for batch in batches:
+def _keep(batches, langs, logp, least: float, letter: str):
+    for batch in pieces(batches):
         data, bounds = buffers(batch.column("text"))
-        has = np.array(batch.column("__letter").to_pylist(), dtype=bool)
+        has = np.array(batch.column(letter).to_pylist(), dtype=bool)
         good = np.zeros(len(has), bool)
         for lo, hi in _blocks(bounds):
             doc, gram, count = _grams(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
             pi, gain = infer(doc, gram, count, logp, hi - lo)
             good[lo:hi] = has[lo:hi] & (~pi.any(axis=1) | (gain >= least))
-        yield batch.filter(pa.array(good)).drop_columns(["__letter"])
+        yield batch.filter(pa.array(good)).drop_columns([letter])
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_gain: float = 0.0) -> DataFrame:
@@ -281,8 +282,8 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_
     an even guess (by least_gain nats an n-gram). Without any language in the model nothing can be told, and
     only texts without letters go.
     """
-    arrow_batches(docs.sparkSession)
-    marked = docs.withColumn("__letter", F.coalesce(F.rlike(F.col("text").cast("string"), F.lit(r"\p{L}")), F.lit(False)))
+    letter = fresh(docs, "__letter")
+    marked = docs.withColumn(letter, F.coalesce(F.rlike(F.col("text").cast("string"), F.lit(r"\p{L}")), F.lit(False)))
     if not model[0]:
-        return marked.filter("__letter").drop("__letter")
-    return marked.mapInArrow(functools.partial(_keep, langs=model[0], logp=model[1], least=least_gain), docs.schema)
+        return marked.filter(F.col(letter)).drop(letter)
+    return marked.mapInArrow(functools.partial(_keep, langs=model[0], logp=model[1], least=least_gain, letter=letter), docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_batches, need
+from ._common import need, pieces
 
 #: Samples of a frame; payloads are filled with 255 to whole frames.
 FRAME = 576
@@ -226,7 +226,7 @@ MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 st
 
 
 def _text_media(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         cols: list[list] = [[] for _ in range(7)]
         for t in batch.column("text").cast(pa.binary()):
             raw = t.as_py() or b""
@@ -249,12 +249,11 @@ def text_media(docs: DataFrame) -> DataFrame:
     A null or empty text is one frame of 255. A null doc_id stays null. Repeated rows give repeated rows; other
     columns are ignored; an empty table gives no rows. One text is in memory at a time beside its batch.
     """
-    arrow_batches(docs.sparkSession)
     return need(docs, doc_id="long", text="string").mapInArrow(_text_media, MEDIA_SCHEMA)
 
 
 def _sniff_batches(batches):
-    for batch in batches:
+    for batch in pieces(batches, "blob"):
         kinds, carved = [], []
         for blob in batch.column("blob"):
             kind, inside = describe(blob.as_py())
@@ -270,7 +269,6 @@ def correct_types(blobs: DataFrame) -> DataFrame:
     type is the sniffed type, else the declared one; corrected says that they differ. carved lists the media
     objects inside as struct<start, end, type>. A null or empty blob has no sniffed type and carves nothing.
     """
-    arrow_batches(blobs.sparkSession)
     out = need(blobs, id="long", declared="string", blob="binary").mapInArrow(_sniff_batches, "id long, declared string, sniffed string, carved array<struct<start:long,end:long,type:string>>")
     kind = F.coalesce("sniffed", "declared")
     return out.select("id", "declared", kind.alias("type"), F.coalesce(F.col("sniffed").isNotNull() & ~F.col("sniffed").eqNullSafe(F.col("declared")), F.lit(False)).alias("corrected"), "carved")

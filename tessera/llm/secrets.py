@@ -4,13 +4,15 @@ Base kinds are regex matches (assign, access, hex). The method adds kind entropy
 20 or more key characters; a window of 20 slides over each, the counts of its characters are updated by the one
 that leaves and the one that enters, and with them the sum of c*log2(c), from which the window's Shannon entropy
 follows. A candidate whose best window passes its character class's threshold is a span, unless an allow-list
-pattern fits it or a base span holds it. The thresholds of the classes leave out about 1 % of uniformly random
-windows; words reach them too, so they hold only where letters and digits alternate as in random keys, and
-KEY_BITS, which words hardly reach, holds for every candidate. Keys of fewer than 20 characters, of digits
-only or of letters of one case only can't be told from words and numbers this way: only base kinds find them.
+rule fits it or a base span holds it. A prefix such as `ghp_` is set aside before a candidate gets its class. The
+thresholds of the classes leave out about 1 % of uniformly random windows; words reach them too, so they hold only
+where letters and digits alternate as in random keys, and KEY_BITS, which words hardly reach, holds for every
+candidate. Keys of fewer than 20 characters, of digits only or of letters of one case only can't be told from
+words and numbers this way: only base kinds find them.
 
 Positions come from Spark's own functions: split gives the gaps between matches, regexp_extract_all the matches;
-running sums of their lengths are the starts and ends in code points.
+running sums of their lengths are the starts and ends in code points. No pattern repeats a group but possessively,
+as the JVM matches other repeated groups by recursion, whose depth grows with the text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import need
+from ._common import bound, need, running_sums
 
 # Fixed values of the task's contract.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,6 +33,8 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}+"
+#: A maker's prefix: short words of letters, each ended by a mark.
+PREFIX = r"^(?:[A-Za-z]{2,10}[_-]){1,3}+"
 #: Bits a character that a window must reach whatever the candidate's class.
 KEY_BITS = 4.05
 #: The same by class where the candidate alternates: class, bits, least alternations. The first class that fits counts.
@@ -46,15 +50,22 @@ CLASSES = [
 #: candidate needs one for each SPARSE characters at least, besides its class's number; random keys have 3 to 8 a 20.
 CHANGE, SPARSE = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
-#: Candidates that are no secrets: words, joined words and paths, numbers and dates, rules, UUIDs, samples.
+#: Candidates that are no secrets. Each rule: patterns that must all be found, and patterns that must not be.
 ALLOWED = [
-    r"^(?:[A-Z]+|[a-z]*(?:[A-Z]{1,6}[a-z]{2,}+|[A-Z][a-z](?=[A-Z][a-z]|$))*[A-Z]{0,6})$",
-    r"^[A-Za-z]{0,18}([._/=-]+[A-Za-z]{1,18})+[._/=-]*$",
-    r"^[0-9._/=+-]+$",
-    r"^[=._/+-]+$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|lorem|www\.",
+    # Joined words in capitals and small letters.
+    ([r"^(?:[A-Z]++|[a-z]*+(?:[A-Z]{1,6}[a-z]{2,}+|[A-Z][a-z](?=[A-Z][a-z]|$))*+[A-Z]{0,6})$"], []),
+    # Words of at most 18 letters between marks, as in paths and dashed names.
+    ([r"^[A-Za-z._/=-]+$", r"[._/=-][A-Za-z]"], [r"[A-Za-z]{19}"]),
+    # Numbers, dates and rules.
+    ([r"^[0-9._/=+-]+$"], []),
+    # UUIDs.
+    ([r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"], []),
+    # Samples and addresses.
+    ([r"(?i)example|sample|placeholder|lorem|www\."], []),
 ]
+#: Counters of five bits, twelve in a number: the counts of a window of 20 characters out of the alphabet.
+BITS, PER_WORD = 5, 12
+WORDS = -(-(len(ALPHABET) + 1) // PER_WORD)
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None, groups: bool = False) -> Column:
@@ -62,56 +73,84 @@ def _spans(text: Column, pattern: str, kind: str, keep=None, groups: bool = Fals
     rank = KINDS.index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    sizes = F.transform(found, lambda m: F.length(m).cast("long"))
-    parts = F.arrays_zip(gaps.alias("gap"), F.concat(sizes, F.array(F.lit(0).cast("long"))).alias("size"))
-    none = F.expr("cast(array() as array<bigint>)")
-    starts = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("starts")),
-        lambda acc, p: F.struct((acc["at"] + p["gap"] + p["size"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + p["gap"])).alias("starts")),
-        lambda acc: acc["starts"],
-    )
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if groups else found
-    rows = F.arrays_zip(F.slice(starts, 1, F.size(found)).alias("start"), found.alias("match"), value.alias("value"))
-    if keep is not None:
-        rows = F.filter(rows, lambda r: keep(r["value"]))
-    return F.transform(rows, lambda r: F.struct(r["start"].alias("start"), F.lit(rank).alias("rank"), (r["start"] + F.length(r["match"])).alias("end"), F.lit(kind).alias("kind")))
+    # The text before the k-th match holds k gaps and the matches before it.
+    parts = F.arrays_zip(gaps.alias("gap"), found.alias("match"), value.alias("value"))
+
+    def placed(p):
+        ends = running_sums(F.transform(p, lambda x: x["gap"] + F.coalesce(F.length(x["match"]), F.lit(0))))
+        rows = F.arrays_zip(ends.alias("end"), p.alias("p"))
+        kept = F.filter(rows, lambda r: r["p"]["match"].isNotNull() & (keep(r["p"]["value"]) if keep else F.lit(True)))
+        return F.transform(kept, lambda r: F.struct((r["end"] - F.length(r["p"]["match"])).alias("start"), F.lit(rank).alias("rank"), r["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    return bound(parts, placed)
 
 
 def window_entropy(s: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits a character, of the windows of a string; by incremental counts."""
+    """Largest Shannon entropy, in bits a character, of the windows of a string; by incremental counts.
+
+    The counts are small numbers packed into a few longs, so a step touches the counters of the two characters
+    that enter and leave alone. A string shorter than the window has none: 0.
+    """
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    unit = F.array(*[F.lit(1 << BITS * (c % PER_WORD)).cast("long") for c in range(len(ALPHABET) + 1)])
     chars = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
-    f = lambda c: F.get(table, c)
-
-    def step(acc, p):
-        came, went = p["came"], p["went"]
-        before_in = F.get(acc["counts"], came)
-        after_out = F.transform(acc["counts"], lambda c, k: c + (k == came).cast("int"))
-        out_count = F.get(after_out, went)
-        total = acc["sum"] + f(before_in + 1) - f(before_in)
-        shrunk = F.when(went.isNotNull(), total + f(out_count - 1) - f(out_count)).otherwise(total)
-        counts = F.transform(acc["counts"], lambda c, k: c + (k == came).cast("int") - F.coalesce(k == went, F.lit(False)).cast("int"))
-        seen = acc["seen"] + 1
-        bits = F.lit(math.log2(window)) - shrunk / F.lit(float(window))
-        return F.struct(counts.alias("counts"), shrunk.alias("sum"), seen.alias("seen"), F.when(seen >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
-
+    f = lambda c: F.get(table, c.cast("int"))
+    names = [f"w{i}" for i in range(WORDS)]
+    word = lambda acc, c: F.get(F.array(*[acc[n] for n in names]), F.floor(c / PER_WORD).cast("int"))
+    count = lambda acc, c: F.call_function("shiftright", word(acc, c), (c % PER_WORD * BITS).cast("int")) % (1 << BITS)
+
+    def moved(acc, c, by):
+        step = F.coalesce(F.get(unit, c), F.lit(0).cast("long")) * by
+        return [(acc[n] + F.when(F.floor(c / PER_WORD) == i, step).otherwise(0)).alias(n) for i, n in enumerate(names)]
+
+    def enter(acc, p):
+        """The character that comes is counted."""
+        k = count(acc, p["came"])
+        return F.struct(*moved(acc, p["came"], 1), (acc["sum"] + f(k + 1) - f(k)).alias("sum"), (acc["seen"] + 1).alias("seen"), acc["best"].alias("best"))
+
+    def leave(acc, p):
+        """The one that goes is counted off; then the window stands."""
+        gone = p["went"].isNotNull()
+        k = F.when(gone, count(acc, p["went"]))
+        total = acc["sum"] + F.when(gone, f(k - 1) - f(k)).otherwise(0.0)
+        return F.struct(*moved(acc, p["went"], -1), total.alias("sum"), acc["seen"].alias("seen"), acc["best"].alias("best"))
+
+    def judge(acc):
+        bits = F.lit(math.log2(window)) - acc["sum"] / F.lit(float(window))
+        best = F.when(acc["seen"] >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"])
+        return F.struct(*[acc[n].alias(n) for n in names], acc["sum"].alias("sum"), acc["seen"].alias("seen"), best.alias("best"))
+
+    step = lambda acc, p: bound(bound(enter(acc, p), lambda a: leave(a, p)), judge)
     lagged = F.concat(F.array_repeat(F.lit(None).cast("int"), window), chars)
     pairs = F.filter(F.arrays_zip(chars.alias("came"), lagged.alias("went")), lambda p: p["came"].isNotNull())
-    return F.aggregate(pairs, F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(0.0).alias("best")), step, lambda acc: acc["best"])
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names], F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(0.0).alias("best"))
+    return F.aggregate(pairs, zero, step, lambda acc: acc["best"])
 
 
-def _is_secret(value: Column) -> Column:
+def _allowed(value: Column) -> Column:
     allowed = F.lit(False)
-    for p in ALLOWED:
-        allowed = allowed | F.rlike(value, F.lit(p))
-    changes = F.regexp_count(value, F.lit(CHANGE))
-    bits = F.lit(KEY_BITS)
-    for pattern, least, often in reversed(CLASSES):
-        enough = changes >= F.greatest(F.lit(float(often)), F.length(value) / SPARSE) if often else F.lit(True)
-        bits = F.when(F.rlike(value, F.lit(pattern)), F.when(enough, least).otherwise(KEY_BITS)).otherwise(bits)
-    return F.when(allowed, F.lit(False)).otherwise(window_entropy(value) >= bits)
+    for found, lacking in ALLOWED:
+        fits = F.lit(True)
+        for p in found:
+            fits = fits & F.rlike(value, F.lit(p))
+        for p in lacking:
+            fits = fits & ~F.rlike(value, F.lit(p))
+        allowed = allowed | fits
+    return allowed
+
+
+def _is_secret(value: Column) -> Column:
+    def judged(core):
+        changes = F.regexp_count(core, F.lit(CHANGE))
+        bits = F.lit(KEY_BITS)
+        for pattern, least, often in reversed(CLASSES):
+            enough = changes >= F.greatest(F.lit(float(often)), F.length(core) / SPARSE) if often else F.lit(True)
+            bits = F.when(F.rlike(core, F.lit(pattern)), F.when(enough, least).otherwise(KEY_BITS)).otherwise(bits)
+        return F.when(_allowed(value) | _allowed(core), F.lit(False)).otherwise(window_entropy(core) >= bits)
+
+    bare = F.regexp_replace(value, PREFIX, "")
+    return bound(F.when(F.length(bare) >= WINDOW, bare).otherwise(value), judged)
 
 
 def scan_secrets(docs: DataFrame, *keep: str) -> DataFrame:
@@ -124,9 +163,10 @@ def scan_secrets(docs: DataFrame, *keep: str) -> DataFrame:
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     gated = lambda cond, spans: F.when(cond, spans).otherwise(none)
-    rows = docs.select("doc_id", *[c for c in keep if c != "doc_id"], text.alias("__t"))
+    kept = ["doc_id", *[c for c in keep if c != "doc_id"]]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("__t"))
     base = rows.select(
-        *[c for c in rows.columns],
+        *[F.col(f"`{c}`") for c in rows.columns],
         gated(F.rlike("__t", F.lit(ASSIGN)), _spans(F.col("__t"), ASSIGN, "assign", lambda v: F.length(v) >= MIN_ASSIGN, groups=True)).alias("__assign"),
         gated(F.contains("__t", F.lit("AKIA")), _spans(F.col("__t"), ACCESS, "access", lambda v: F.length(v) >= MIN_ACCESS)).alias("__access"),
         gated(F.rlike("__t", F.lit(HEX)), _spans(F.col("__t"), HEX, "hex")).alias("__hex"),
@@ -134,7 +174,7 @@ def scan_secrets(docs: DataFrame, *keep: str) -> DataFrame:
     )
     known = F.concat("__assign", "__access", "__hex")
     fresh = F.filter("__more", lambda m: ~F.exists(known, lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    return base.select("doc_id", *[c for c in keep if c != "doc_id"], F.array_sort(F.concat(known, fresh)).alias("spans"))
+    return base.select(*[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat(known, fresh)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -145,14 +185,18 @@ def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by a mark of its kind; of overlapping spans the first counts."""
     t = F.coalesce(text, F.lit(""))
     piece = lambda a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
-    done = F.aggregate(
+    none = F.expr("cast(array() as array<struct<a:bigint,b:bigint,kind:string>>)")
+    # The pieces that stay, each with the kind of the span behind it; spans that begin inside one before fall away.
+    cuts = F.aggregate(
         spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("[SECRET:"), s["kind"], F.lit("]")).alias("out"))
+        F.struct(F.lit(0).cast("long").alias("at"), none.alias("cuts")),
+        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["cuts"].alias("cuts"))).otherwise(
+            F.struct(s["end"].alias("at"), F.array_append(acc["cuts"], F.struct(acc["at"].alias("a"), s["start"].alias("b"), s["kind"].alias("kind"))).alias("cuts"))
         ),
-        lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.greatest(F.length(t) - acc["at"], F.lit(0)).cast("int"))),
     )
+    tail = lambda at: F.substring(t, (at + 1).cast("int"), F.greatest(F.length(t) - at, F.lit(0)).cast("int"))
+    marked = lambda c: F.concat(piece(c["a"], c["b"]), F.lit("[SECRET:"), c["kind"], F.lit("]"))
+    done = bound(cuts, lambda c: F.concat(F.array_join(F.transform(c["cuts"], marked), ""), tail(c["at"])))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
@@ -161,12 +205,12 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     Texts without secrets, null ones included, stay as they are, n_chars with them.
     """
-    marked = scan_secrets(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "__row")
-    field = lambda c: F.col("__row").getField(c)
-    clean = redact(field("text").cast("string"), F.col("spans"))
-    changed = marked.withColumn("__clean", clean)
-    size = lambda c: F.when(F.size("spans") > 0, F.length("__clean").cast(docs.schema[c].dataType)).otherwise(field(c))
-    return changed.select(*[(F.col("__clean") if c == "text" else size(c) if c == "n_chars" else field(c)).alias(c) for c in docs.columns])
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = scan_secrets(packed, "row")
+    field = lambda c: F.col("row").getField(c)
+    changed = marked.withColumn("clean", redact(field("text").cast("string"), F.col("spans")))
+    size = lambda c: F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema[c].dataType)).otherwise(field(c))
+    return changed.select(*[(F.col("clean") if c == "text" else size(c) if c == "n_chars" else field(c)).alias(c) for c in docs.columns])
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

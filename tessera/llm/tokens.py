@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, arrow_batches, need
+from ._common import Scratch, need
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: Texts handed to the encoder at once, in characters.
@@ -45,7 +45,7 @@ def tokenizer_digest(path: str) -> str:
 
 def _encode(batches, path: str, digest: str):
     count = _encoder(path)
-    for batch in batches:
+    for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
         out: list[int] = []
         group, size = [], 0
@@ -72,7 +72,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_dir: str | None
     table gives no rows. Concurrent writers only append, so a count may be stored twice: readers take one.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     own = Scratch(spark, "tokens")
     digest = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col("text"), F.lit(""))

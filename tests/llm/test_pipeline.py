@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, langid, mixing, secrets
-from test_operators import brute_components, brute_overlaps
+from test_llm_operators import brute_components, brute_overlaps
 
 SF = "/root/testdata/sf0.001"
 
