@@ -133,6 +133,13 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def folder(self, name: str) -> str:
+        """A path below this scratch folder, kept until the driver's Python ends."""
+        _open.add(self)
+        path = f"{self.root}/{name}"
+        self.live.add(path)
+        return path
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = getattr(df, "_scratch_path", None)

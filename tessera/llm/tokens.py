@@ -3,20 +3,24 @@
 The digest of a text's normalised content (null becomes the empty text; nothing else changes, as every
 character counts for a tokenizer) and the digest of the tokenizer's file name a stored count. Documents join
 the cache on both; only distinct texts that miss are encoded, and their counts are appended to the cache.
+
+The cache is a folder of Parquet tables, `tokenizer=<digest>/run=<id>`: a run reads its own tokenizer's tables
+alone and writes one of its own, so runs at the same time never touch each other's files.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, need
+from ._common import Scratch, need, pieces
 
-CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "content binary, n_tokens long"
 #: Texts handed to the encoder at once, in characters.
 GROUP_CHARS = 1 << 21
 
@@ -43,7 +47,7 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()[:32]
 
 
-def _encode(batches, path: str, digest: str):
+def _encode(batches, path: str):
     count = _encoder(path)
     for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
@@ -57,42 +61,44 @@ def _encode(batches, path: str, digest: str):
                 group, size = [], 0
         if group:
             out += count(group)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("content").cast(pa.binary()), pa.array([digest] * len(out), pa.string()), pa.array(out, pa.int64())],
-            ["content", "tokenizer", "n_tokens"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("content").cast(pa.binary()), pa.array(out, pa.int64())], ["content", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_dir: str | None = None, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document.
 
-    cache_dir: a Parquet table of earlier counts, read and appended to; without one the counts are kept for
-    this call alone. Null text counts as empty (0 tokens). A null doc_id stays null. Repeated rows and exact
-    copies are encoded once and each gets its row. Columns other than doc_id and text are ignored. An empty
-    table gives no rows. Concurrent writers only append, so a count may be stored twice: readers take one.
+    cache_dir: a folder of earlier counts, read and added to; without one the counts are kept for this call
+    alone. Null text counts as empty (0 tokens). A null doc_id stays null. Repeated rows and exact copies are
+    encoded once and each gets its row. Columns other than doc_id and text are ignored. An empty table gives no
+    rows. Runs at the same time may store a count twice: readers take one.
     """
     spark = docs.sparkSession
     own = Scratch(spark, "tokens")
-    digest = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = need(docs, doc_id="long", text="string").select("doc_id", text.alias("text")).withColumn("content", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
-    at = cache_dir or f"{own.root}/cache"
-    stored = _stored(spark, at, digest)
+    at = f"{cache_dir or own.folder('cache')}/tokenizer={tokenizer_digest(tokenizer_path)}"
+    known = _stored(spark, at)
     missing = keyed.select("content", "text")
-    if stored is not None:
-        missing = missing.join(stored.select("content"), "content", "left_anti")
+    if known is not None:
+        missing = missing.join(known.select("content"), "content", "left_anti")
     misses = missing.groupBy("content").agg(F.first("text").alias("text"))
-    misses.mapInArrow(functools.partial(_encode, path=tokenizer_path, digest=digest), CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(at)
-    # Saved apart from its grouping, so that the join below is a plain one, whose hot digests AQE splits.
-    counts = own.save(_stored(spark, at, digest), "counts")
+    run = f"{at}/run={uuid.uuid4().hex}"
+    misses.mapInArrow(functools.partial(_encode, path=tokenizer_path), CACHE_SCHEMA).write.option("compression", "zstd").parquet(run)
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(run)
+    if known is not None:
+        # Of the earlier counts only those of these documents are taken; saved apart from their grouping, so that
+        # the join below is a plain one, whose hot digests AQE splits.
+        earlier = known.join(sized.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        counts = counts.unionByName(own.save(earlier, "earlier"))
     return sized.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _stored(spark, at: str, digest: str) -> DataFrame | None:
-    """This tokenizer's counts, one a content digest; None while there is no cache."""
+def _stored(spark, at: str) -> DataFrame | None:
+    """Counts that earlier runs stored for a tokenizer, a content perhaps more than once; None while there are none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(at).filter(F.col("tokenizer") == digest)
-    return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # The tables are named, so that what a run adds meanwhile is not read as known.
+    runs = [str(f.getPath()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return spark.read.schema(CACHE_SCHEMA).parquet(*runs) if runs else None

@@ -305,6 +305,94 @@ def test_templates_generalise_merge_and_reject(spark):
     assert {r["template"] for r in got if r["host"] == "good.org"} == {"/*/p"}
 
 
+def test_the_method_judges_pages_without_a_rule(spark):
+    got = urls.judge_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).filter("rule is null").toPandas()
+    assert (got["labels"] > 0).mean() > 0.9 and (got["verdict"] == "block").sum() > 0 and (got["verdict"] == "allow").sum() > 0
+
+
+def brute_learned(pages, rules):
+    """verdict of each page without a rule: plain dicts for the tree, the merging and the way up the domains."""
+    seen = []
+    for host, path in pages:
+        fits = [(len(r), v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        segs = []
+        for x in path.split("/"):
+            end = re.search(r"\.[A-Za-z]{1,5}$", x)
+            stem = x[: end.start()] if end else x
+            vary = re.fullmatch("[0-9]+|[0-9a-fA-F]{8,}", stem) or sum(c in "0123456789" for c in stem) >= 3 or len(stem) >= 40
+            segs.append("*" + (end[0] if end else "") if vary else x)
+        seen.append((host, segs, max(fits)[1] if fits else None))
+    names = [""] * len(seen)
+    for level in range(1, max(len(s) for _, s, _ in seen)):
+        kids = collections.defaultdict(collections.Counter)
+        for i, (h, s, _) in enumerate(seen):
+            if len(s) > level:
+                kids[h, names[i], level][s[level]] += 1
+        for i, (h, s, _) in enumerate(seen):
+            if len(s) > level:
+                k = kids[h, names[i], level]
+                wild = len(k) > 20 and k[s[level]] < 0.05 * sum(k.values()) and s[level] != ""
+                names[i] += "/" + ("*" if wild else s[level])
+    count = collections.defaultdict(lambda: [0, 0])
+    for i, (h, _, v) in enumerate(seen):
+        if v:
+            count[h, names[i]][v == "allow"] += 1
+    known = collections.defaultdict(lambda: [0, 0])
+    for (h, t), (b, a) in count.items():
+        parts = h.split(".") if h else []
+        for d in {".".join(parts[i:]) for i in range(len(parts) + 1)}:
+            known[d, t][0] += b
+            known[d, t][1] += a
+    groups = {}
+    for h, parent in {(h, re.sub(r"[^/]*/([^/]*)$", r"?/\1", t)) for h, t in count}:
+        row = sorted(((count[h, t][0] + 1) / (sum(count[h, t]) + 2), t) for hh, t in count if hh == h and re.sub(r"[^/]*/([^/]*)$", r"?/\1", t) == parent)
+        member, last = [], None
+        for share, t in row:
+            (b, a) = count[h, t]
+            if last:
+                (pb, pa), pshare = last
+                pool = (b + pb + 2) / (a + b + pa + pb + 4)
+                if (share - pshare) / math.sqrt(pool * (1 - pool) * (1 / (a + b + 2) + 1 / (pa + pb + 2))) > 1.64:
+                    member = []
+            member.append(t)
+            groups[h, t] = member
+            last = ((b, a), share)
+    out = []
+    for i, (h, _, v) in enumerate(seen):
+        member = groups.get((h, names[i]), [names[i]])
+        b, a = sum(count[h, t][0] for t in member), sum(count[h, t][1] for t in member)
+        if a + b < 5:
+            parts = h.split(".") if h else []
+            for d in [".".join(parts[k:]) for k in range(len(parts) + 1)]:
+                if sum(known[d, names[i]]) >= 5:
+                    b, a = known[d, names[i]]
+                    break
+        out.append(v or ("block" if a + b >= 5 and (b + 1) / (a + b + 2) >= 0.8 else "allow"))
+    return out
+
+
+def test_verdicts_equal_a_plain_tree(spark):
+    rng = random.Random(9)
+    hosts = ["a.x.org", "b.x.org", "x.org", "c.y.net", "y.net", "d.z.com", "e.z.com", ""]
+    words = ["news", "shop", "bad", "good", "p.html", "q7", "123", "deadbeef99", "", "2024-01-02"]
+    pages = []
+    for _ in range(900):
+        h = rng.choice(hosts)
+        deep = [rng.choice(words) if rng.random() < 0.8 else f"n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randint(1, 6))]
+        pages.append((h, "/" + "/".join(deep)) if h else ("", ""))
+    rules = [("block", "x.org/bad/"), ("allow", "x.org/good/"), ("block", "y.net/shop"), ("allow", "a.x.org/news"), ("block", "z.com/news/123"), ("allow", "z.com/bad")]
+    df = spark.createDataFrame([(i, f"http://{h}{p}" if h else None) for i, (h, p) in enumerate(pages)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in rows(urls.judge_urls(df, rules))}
+    assert [got[i] for i in range(len(pages))] == brute_learned(pages, rules)
+
+
+@pytest.mark.parametrize("n", [1_000, 100_000])
+def test_hostile_urls_end_soon(spark, n):
+    tails = ["1" * n + ".abcdefgh", "a/" * (n // 2), "1a" * (n // 2) + ".html", "." * n, "/" * n, "://" * (n // 3), "x.html" * (n // 6), "-1-" * (n // 3)]
+    pages = spark.createDataFrame([(i, f"http://h.org/{t}") for i, t in enumerate(tails)] + [(99, "a." * (n // 2) + "://x")], "page_id long, url string")
+    assert urls.judge_urls(pages).count() == len(tails) + 1
+
+
 # -- op5 ---------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
