@@ -1,13 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask is a fixed pattern of token positions, some of which are ignored. Under every mask each window of the
-benchmark and of a document is hashed over the kept positions only; equal hashes are hits, so a hit survives
-substituted tokens at ignored positions. Around each hit the two texts are aligned on the hit's diagonal and the
-best overlap is scored token by token; substitutions cost, and an overlap counts from MIN_MATCHED equal tokens on
-(or nearly the whole of a shorter item) at MIN_IDENTITY.
-
-The benchmark is processed in blocks of at most BLOCK_TOKENS tokens. A block's hashes (16 bytes a window and
-mask) are what each task gets, so what is sent out has a fixed bound however large the benchmark is.
+benchmark and of the documents is hashed over the kept positions only; equal hashes are hits, so a hit survives
+substituted tokens at ignored positions. Hits are found by joining the two tables of hashes. Around them the
+texts are aligned on the hits' diagonals and verified token by token.
+
+An overlap is a stretch of a diagonal in which at least MIN_IDENTITY of the tokens are equal, MIN_MATCHED of them,
+or SHORT_SHARE of an item too short for that. MASKS hit every stretch with MIN_MATCHED equal tokens and that
+identity, wherever the substitutions stand; SHORT_MASKS do the same for each length of a short item. Tests
+count this out over all patterns, so seeds lose no overlap.
+
+What is sent to every task is one bitmap of the benchmark's hashes, of at most MOST_BITS bits whatever the
+benchmark's size. It only keeps hashes that can't hit out of the shuffle: a benchmark that fills it means more
+rows in the join, not fewer hits. Documents with a hit are kept once a text, by its digest.
 """
 
 from __future__ import annotations
@@ -18,20 +23,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ._common import need
+from ._common import Scratch, fresh, need, pieces
 from ._words import _ODD, ALNUM, buffers, mix, words
 
-#: 1 keeps a position. Weight 6 each: two or three substitutions in any 12 tokens leave some mask intact.
-MASKS = ["1111011", "110110011", "11010001011", "1110010000101"]
-#: An item shorter than this is compared as one window of its own length.
-SHORT = 7
 MIN_MATCHED, MIN_IDENTITY, SHORT_SHARE = 13, 0.75, 0.8
-BLOCK_TOKENS = 1 << 18
-#: A gap in an overlap costs this much for each differing token, against 1 won by an equal one.
-COST = 2
+#: 1 keeps a position.
+MASKS = ["11101011", "10100100111", "1110000010011", "100010001111", "1011010000101", "111110001"]
+#: The masks of an item by its number of tokens, where it is too short for MIN_MATCHED.
+SHORT_MASKS = {
+    1: ["1"],
+    2: ["11"],
+    3: ["111"],
+    4: ["1111"],
+    5: ["111", "1101"],
+    6: ["1111", "11011"],
+    7: ["11111", "111011", "110111"],
+    8: ["111111", "1111011", "1101111"],
+    9: ["1111011", "1101111"],
+    10: ["111011", "11010011", "11111"],
+    11: ["1111011", "110010111", "1101100101", "111111"],
+    12: ["11101011", "101100111", "111111"],
+    13: ["11101011", "11001111"],
+    14: ["111010011", "1111011"],
+    15: ["1111011", "11001000111", "11010110001"],
+}
+#: Bits of the bitmap for each hash of the benchmark, and at most.
+BITS_A_HASH, MOST_BITS = 64, 1 << 27
+#: Where the bits of a hash that the bitmap holds begin.
+PROBES = (0, 17, 34)
 
 HITS = "doc_id long, item_id long, matched long, overlap_tokens long, item_tokens long, doc_start long, item_start long, identity double"
+#: Bits in one bitmap of Spark's bitmap functions.
+BUCKET = 32768
+
+
+def masks_of(n: int) -> list[str]:
+    """The masks that find every overlap with an item of n tokens."""
+    return SHORT_MASKS.get(n, MASKS) if n else []
+
+
+def least_matched(n):
+    """Equal tokens that an overlap with an item of n tokens needs."""
+    return np.minimum(MIN_MATCHED, np.ceil(SHORT_SHARE * np.asarray(n) - 1e-9)).astype(np.int64)
 
 
 def _tokens(column: pa.Array):
@@ -40,160 +75,242 @@ def _tokens(column: pa.Array):
     return h, own
 
 
-def _seeds(h: np.ndarray, own: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window that lies inside one text, and its position."""
-    kept = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
-    span = len(MASKS[mask])
-    n = len(h) - span + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.full(n, mask + 1, dtype=np.uint64)
-    for j, i in enumerate(kept):
-        out += h[i : i + n] * _ODD[j]
-    text = np.repeat(np.arange(len(own) - 1), np.diff(own))
-    inside = text[:n] == text[span - 1 :]
-    at = np.flatnonzero(inside)
-    return mix(out[at]), at
-
-
-def _index(rows) -> dict:
-    """The lookup structure of a block of (item_id, text)."""
-    h, own = _tokens(pa.array([t for _, t in rows], pa.string()))
-    keys, places = [], []
-    for m in range(len(MASKS)):
-        k, p = _seeds(h, own, m)
-        keys.append(k)
-        places.append(p)
-    key, place = np.concatenate(keys), np.concatenate(places)
-    order = np.argsort(key, kind="stable")
-    short = {}
-    for i in range(len(rows)):
-        n = int(own[i + 1] - own[i])
-        if 0 < n < SHORT:
-            short.setdefault(n, []).append(i)
-    return {"ids": [i for i, _ in rows], "tokens": h, "own": own, "key": key[order], "place": place[order], "short": short}
-
-
-def best_overlap(same: np.ndarray) -> tuple[int, int, int]:
-    """(matched, start, end) of the stretch with most points: 1 for an equal token, -COST for another."""
-    if not len(same):
-        return 0, 0, 0
-    run = np.concatenate([[0], np.cumsum(np.where(same, 1, -COST))])
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.flatnonzero(run[: end + 1] == low[end])[-1])
-    return int(same[start:end].sum()), start, end
-
-
-def _accept(matched: int, length: int, item: int) -> bool:
-    if not length or matched / length < MIN_IDENTITY:
-        return False
-    return matched >= MIN_MATCHED or (item < MIN_MATCHED / SHORT_SHARE and matched >= SHORT_SHARE * item)
-
-
-def _overlaps(doc: np.ndarray, pairs: set[tuple[int, int]], index: dict):
-    """The best accepted overlap of a document with each item among (item, diagonal)."""
-    best: dict[int, tuple] = {}
-    for item, diagonal in pairs:
-        b = index["tokens"][index["own"][item] : index["own"][item + 1]]
-        lo, hi = max(0, -diagonal), min(len(b), len(doc) - diagonal)
-        if hi <= lo:
+def _seeds(h: np.ndarray, text: np.ndarray, masks: list[str]):
+    """For each mask: the hash of each window that lies inside one text, and its position. text: of each token."""
+    heavy = max((m.count("1") for m in masks), default=0)
+    turned = [h * _ODD[j] for j in range(heavy)]
+    for mask in masks:
+        kept, span = [i for i, c in enumerate(mask) if c == "1"], len(mask)
+        n = len(h) - span + 1
+        if n <= 0:
             continue
-        matched, start, end = best_overlap(doc[lo + diagonal : hi + diagonal] == b[lo:hi])
-        if _accept(matched, end - start, len(b)):
-            row = (matched, -(lo + start + diagonal), end - start, len(b), lo + start + diagonal, lo + start)
-            if item not in best or row > best[item]:
-                best[item] = row
-    return best
+        out = np.full(n, int(mask, 2), dtype=np.uint64)
+        for j, i in enumerate(kept):
+            out += turned[j][i : i + n]
+        at = np.flatnonzero(text[:n] == text[span - 1 :])
+        yield mask, mix(out[at]), at
 
 
-def _candidates(h: np.ndarray, own: np.ndarray, index: dict) -> dict[int, set[tuple[int, int]]]:
-    """For each document with a hit, its (item, diagonal) pairs."""
-    key, place, bench_own = index["key"], index["place"], index["own"]
-    pairs: dict[int, set] = {}
-    for m in range(len(MASKS)):
-        k, at = _seeds(h, own, m)
-        left, right = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-        for j in np.flatnonzero(right > left):
-            doc = int(np.searchsorted(own, at[j], "right")) - 1
-            for p in place[left[j] : right[j]]:
-                item = int(np.searchsorted(bench_own, p, "right")) - 1
-                pairs.setdefault(doc, set()).add((item, int(at[j] - own[doc]) - int(p - bench_own[item])))
-    for n, items in index["short"].items():
-        for item in items:
-            b = index["tokens"][bench_own[item] : bench_own[item + 1]]
-            for s in np.flatnonzero(h[: max(0, len(h) - n + 1)] == b[0]):
-                doc = int(np.searchsorted(own, s, "right")) - 1
-                if s + n <= own[doc + 1] and (h[s : s + n] == b).all():
-                    pairs.setdefault(doc, set()).add((item, int(s - own[doc])))
-    return pairs
-
-
-def _match(batches, index: dict):
-    names = [c.split()[0] for c in HITS.split(", ")]
-    kinds = [pa.int64()] * 7 + [pa.float64()]
-    for batch in batches:
-        h, own = _tokens(batch.column("text"))
-        ids = batch.column("doc_id").to_pylist()
-        out = []
-        for doc, found in sorted(_candidates(h, own, index).items()):
-            for item, r in sorted(_overlaps(h[own[doc] : own[doc + 1]], found, index).items()):
-                out.append((ids[doc], index["ids"][item], r[0], r[2], r[3], r[4], r[5], r[0] / r[2]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+def _of_text(own: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(own) - 1), np.diff(own))
+
 
+SEEDS = "item long, key long, mask string"
 
-def _overlapping(column: pa.Array, index: dict) -> np.ndarray:
-    """For each text whether it overlaps an item."""
+
+def _item_seeds(batches):
+    """(item, key, mask): the distinct hashes of every item, under the masks of its length."""
+    for batch in pieces(batches):
+        h, own = _tokens(batch.column("text"))
+        ids = np.asarray(batch.column("item"))
+        cols: list[tuple] = []
+        for i in range(len(own) - 1):
+            part = h[own[i] : own[i + 1]]
+            for mask, key, _ in _seeds(part, np.zeros(len(part), np.int8), masks_of(len(part))):
+                key = np.unique(key)
+                cols.append((np.full(len(key), ids[i]), key.view(np.int64), np.full(len(key), mask, dtype=object)))
+        joined = [np.concatenate(c) if cols else np.zeros(0, np.int64) for c in (zip(*cols, strict=True) if cols else [()] * 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(joined[0], pa.int64()), pa.array(joined[1], pa.int64()), pa.array(joined[2].astype(str).tolist(), pa.string())], ["item", "key", "mask"])
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Bytes of the bitmap over all keys; BITS_A_HASH bits a key, MOST_BITS at most."""
+    n = seeds.count()
+    bits = BUCKET
+    while bits < min(n * BITS_A_HASH, MOST_BITS):
+        bits *= 2
+    places = F.array(*[F.pmod(F.call_function("shiftrightunsigned", F.col("key"), F.lit(s)), F.lit(bits)) for s in PROBES])
+    spots = seeds.select(F.explode(places).alias("bit")).withColumn("bucket", F.floor(F.col("bit") / BUCKET).cast("long"))
+    # Spark's own bitmaps: at most MOST_BITS / BUCKET rows of 4 KB.
+    parts = spots.groupBy("bucket").agg(F.bitmap_construct_agg((F.col("bit") % BUCKET).cast("long")).alias("map")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        out[r["bucket"] * (BUCKET // 8) : (r["bucket"] + 1) * (BUCKET // 8)] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out
+
+
+def _may_hit(key: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose bits are all set."""
+    at = np.arange(len(key))
+    for s in PROBES:
+        bit = (key[at] >> np.uint64(s)) & np.uint64(len(bitmap) * 8 - 1)
+        at = at[(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def _hits(column: pa.Array, masks: list[str], bitmap: np.ndarray):
+    """For each text its distinct hashes that may hit, as a list of arrays."""
     h, own = _tokens(column)
-    bad = np.zeros(len(own) - 1, dtype=bool)
-    for doc, found in _candidates(h, own, index).items():
-        bad[doc] = bool(_overlaps(h[own[doc] : own[doc + 1]], found, index))
-    return bad
-
-
-def _blocks(benchmark: DataFrame):
-    """Lists of (item_id, text) of at most BLOCK_TOKENS tokens, in order of item_id; one item may exceed it alone."""
-    rows = need(benchmark, item_id="long", text="string").filter(F.col("text").isNotNull()).distinct().orderBy("item_id", "text")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        n = r.text.count(" ") + 1
-        if block and size + n > BLOCK_TOKENS:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, r.text))
-        size += n
-    if block:
-        yield block
+    text = _of_text(own)
+    docs, keys = [], []
+    for _, key, at in _seeds(h, text, masks):
+        ok = _may_hit(key, bitmap)
+        docs.append(text[at[ok]])
+        keys.append(key[ok])
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    doc, key = doc[new], key[new]
+    cuts = np.searchsorted(doc, np.arange(len(own)))
+    return [key[cuts[i] : cuts[i + 1]] for i in range(len(own) - 1)]
+
+
+def _suspects(batches, masks, bitmap, text: str, name: str):
+    """The rows with a hash that may hit, and these hashes in a further column."""
+    for batch in pieces(batches, text):
+        keys = _hits(batch.column(text), masks, bitmap)
+        hit = np.array([len(k) > 0 for k in keys], dtype=bool)
+        held = pa.array([k for k in keys if len(k)], pa.list_(pa.int64()))
+        yield batch.filter(pa.array(hit)).drop_columns([text]).append_column(name, held)
+
+
+def _clean(batches, masks, bitmap, text: str):
+    """The rows without any."""
+    for batch in pieces(batches, text):
+        hit = np.array([len(k) > 0 for k in _hits(batch.column(text), masks, bitmap)], dtype=bool)
+        yield batch.filter(pa.array(~hit)).drop_columns([text])
+
+
+def best_stretch(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(matched, start, end) of the overlap of a diagonal with most equal tokens, then the shortest, then the first.
+
+    With 1 for an equal token and -3 for another, identity is at least 3/4 where a stretch sums to 0 or more. For
+    each end the first start that does is the best one.
+    """
+    won = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
+    low = np.minimum.accumulate(won)
+    start = np.searchsorted(-low, -won, "left")
+    equal = np.concatenate([[0], np.cumsum(same)])
+    matched = equal - equal[start]
+    if not len(same) or matched.max() < max(least, 1):
+        return None
+    best = None
+    at = np.flatnonzero(same)
+    for e in np.flatnonzero(matched == matched.max()):
+        # Trimmed to equal tokens at both ends.
+        a, b = int(at[equal[start[e]]]), int(at[equal[e] - 1]) + 1
+        if best is None or b - a < best[2] - best[1]:
+            best = (int(matched[e]), a, b)
+    return best
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Verified overlaps, one row a document and item: doc_id, item_id, matched, overlap_tokens, item_tokens,
-    doc_start, item_start (tokens from 0) and identity (matched / overlap_tokens).
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of consecutive numbers in a sorted array."""
+    cut = np.flatnonzero(np.diff(x) > 1)
+    return x[np.concatenate([[0], cut + 1])], x[np.concatenate([cut, [len(x) - 1]])]
+
+
+def _diagonals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct places of b's start along a on which some seed of the item b hits a.
 
-    Tokens are runs of ASCII digits and letters (A-Z as a-z) and characters beyond ASCII. Null and empty texts
-    and items overlap nothing; an item of fewer than SHORT tokens must occur whole. Repeated rows of a
-    document repeat its overlaps, repeated items count once. Other columns are ignored; an empty table on
-    either side gives no rows.
+    Runs of windows with one hash, as of repeated tokens, meet as runs: their diagonals are one range.
     """
-    rows = need(docs, doc_id="long", text="string")
-    out = None
-    for block in _blocks(benchmark):
-        part = rows.mapInArrow(functools.partial(_match, index=_index(block)), HITS)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
+    edge = np.zeros(len(a) + len(b) + 2, np.int64)
+    of_item = {mask: (key, at) for mask, key, at in _seeds(b, np.zeros(len(b), np.int8), masks_of(len(b)))}
+    for mask, ka, pa_ in _seeds(a, np.zeros(len(a), np.int8), list(of_item)):
+        kb, pb = of_item[mask]
+        both = np.intersect1d(ka, kb)
+        if not len(both):
+            continue
+        oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        sa, sb = ka[oa], kb[ob]
+        for k in both:
+            a1, a2 = _runs(pa_[oa[np.searchsorted(sa, k, "left") : np.searchsorted(sa, k, "right")]])
+            b1, b2 = _runs(pb[ob[np.searchsorted(sb, k, "left") : np.searchsorted(sb, k, "right")]])
+            for lo, hi in zip(b1, b2, strict=True):
+                np.add.at(edge, a1 - hi + len(b), 1)
+                np.add.at(edge, a2 - lo + len(b) + 1, -1)
+    return np.flatnonzero(np.cumsum(edge) > 0) - len(b)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple | None:
+    """(matched, length, item tokens, start in a, start in b) of the best overlap of a text a with an item b."""
+    least, best = int(least_matched(len(b))), None
+    for d in _diagonals(a, b).tolist():
+        lo, hi = max(0, -d), min(len(b), len(a) - d)
+        found = best_stretch(a[lo + d : hi + d] == b[lo:hi], least) if hi - lo >= least else None
+        if found:
+            matched, s, e = found
+            row = (matched, s - e, -(lo + s + d), -(lo + s))
+            best = max(best, row) if best else row
+            if matched == len(b):  # the whole item, at its first place: diagonals rise with the place in a
+                break
+    return best and (best[0], -best[1], len(b), -best[2], -best[3])
+
+
+FOUND = "digest binary, item long, matched long, overlap_tokens long, item_tokens long, doc_start long, item_start long"
+
+
+def _verify(batches):
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    for batch in pieces(batches):
+        a, own_a = _tokens(batch.column("text"))
+        b, own_b = _tokens(batch.column("item_text"))
+        digest, item, out = batch.column("digest").to_pylist(), batch.column("item").to_pylist(), []
+        for i in range(batch.num_rows):
+            if r := overlap(a[own_a[i] : own_a[i + 1]], b[own_b[i] : own_b[i + 1]]):
+                out.append((digest[i], item[i], *r))
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.binary() if not j else pa.int64()) for j in range(len(names))], names)
+
+
+def _overlaps(tmp: Scratch, docs: DataFrame, benchmark: DataFrame):
+    """(suspects, found, items, masks, bitmap, digest, keys); None for a benchmark without tokens.
+
+    suspects: the rows of docs that may hit, with their digest and hashes in the columns so named; found: FOUND,
+    verified, one row for each text and item; items: item, item_id, text.
+    """
+    known = need(benchmark, item_id="long", text="string").filter(F.col("text").isNotNull()).distinct()
+    items = tmp.save(known.withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = tmp.save(items.select("item", "text").mapInArrow(_item_seeds, SEEDS), "seeds")
+    masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())
+    if not masks:
+        return None
+    bitmap = _bitmap(seeds.select("key").distinct())
+    text, keys, digest = (fresh(docs, n) for n in ("__text", "__keys", "__digest"))
+    schema = StructType([*docs.schema.fields, StructField(keys, ArrayType(LongType()))])
+    marked = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(functools.partial(_suspects, masks=masks, bitmap=bitmap, text=text, name=keys), schema)
+    suspects = tmp.save(marked.withColumn(digest, F.unhex(F.md5(F.col("text").cast("string").cast("binary")))), "suspects")
+    hits = suspects.select(F.col(digest).alias("digest"), F.explode(keys).alias("key")).distinct()
+    pairs = hits.join(seeds.select("item", "key").distinct(), "key").select("digest", "item").distinct()
+    texts = suspects.groupBy(F.col(digest).alias("digest")).agg(F.first(F.col("text").cast("string")).alias("text"))
+    both = pairs.join(texts, "digest").join(items.select("item", F.col("text").alias("item_text")), "item")
+    found = tmp.save(both.select("digest", "item", "text", "item_text").mapInArrow(_verify, FOUND), "found")
+    return suspects, found, items, masks, bitmap, digest, keys
 
 
-def _drop_hit(batches, index: dict):
-    for batch in batches:
-        bad = _overlapping(batch.column("text"), index)
-        yield batch.filter(pa.array(~bad))
+def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Verified overlaps, the best of each document and item: doc_id, item_id, matched, overlap_tokens,
+    item_tokens, doc_start, item_start (tokens from 0) and identity (matched / overlap_tokens).
+
+    Best: most equal tokens, then the shortest stretch, then the first. Tokens are runs of ASCII digits and
+    letters (A-Z as a-z) and characters beyond ASCII. Null and empty texts and items overlap nothing. Repeated
+    rows of a document repeat its overlaps, repeated items count once. Other columns are ignored; an empty table
+    on either side gives no rows.
+    """
+    got = _overlaps(Scratch(docs.sparkSession, "decontam"), need(docs, doc_id="long", text="string"), benchmark)
+    if got is None:
+        return docs.sparkSession.createDataFrame([], HITS)
+    suspects, found, items, _, _, digest, _ = got
+    named = found.join(items.select("item", "item_id"), "item")
+    out = suspects.select("doc_id", F.col(digest).alias("digest")).join(named, "digest")
+    kept = [c.split()[0] for c in HITS.split(", ")[:-1]]
+    return out.select(*kept, (F.col("matched") / F.col("overlap_tokens")).alias("identity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text has no verified overlap, with all their columns; each row is judged alone.
 
-    No shuffle and no join: each block of the benchmark is one more pass over the rows in place.
+    Rows without a hash that may hit are passed on where they are; only the others are joined with the verdicts.
     """
-    for block in _blocks(benchmark):
-        docs = docs.mapInArrow(functools.partial(_drop_hit, index=_index(block)), docs.schema)
-    return docs
+    tmp = Scratch(docs.sparkSession, "decontam")
+    got = _overlaps(tmp, docs, benchmark)
+    if got is None:
+        return docs
+    suspects, found, _, masks, bitmap, digest, keys = got
+    text, gone = fresh(docs, "__text"), fresh(docs, "__gone")
+    clean = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(functools.partial(_clean, masks=masks, bitmap=bitmap, text=text), docs.schema)
+    bad = found.select(F.col("digest").alias(gone)).distinct()
+    return clean.unionByName(suspects.join(bad, F.col(digest) == F.col(gone), "left_anti").drop(digest, keys))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -202,41 +203,101 @@ TOKEN = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
 def brute_overlaps(texts, items):
-    """(doc, item) of accepted overlaps, over every diagonal."""
-    out = set()
-    for d, t in enumerate(texts):
-        a = TOKEN.findall((t or "").translate(LOWER))
-        for i, u in enumerate(items):
-            b = TOKEN.findall((u or "").translate(LOWER))
+    """(doc, item): the best overlap, from the rule alone: every stretch of every diagonal is looked at."""
+    out = {}
+    split = lambda t: TOKEN.findall((t or "").translate(LOWER))
+    for i, b in enumerate(map(split, items)):
+        need = min(13, math.ceil(0.8 * len(b) - 1e-9))
+        for d, a in enumerate(map(split, texts)):
+            best = None
             for o in range(-len(b) + 1, len(a)):
                 lo, hi = max(0, -o), min(len(b), len(a) - o)
-                m, s, e = decontam.best_overlap(np.array([a[j + o] == b[j] for j in range(lo, hi)], dtype=bool))
-                if decontam._accept(m, e - s, len(b)):
-                    out.add((d, i))
+                same = [a[j + o] == b[j] for j in range(lo, hi)]
+                if sum(same) < max(need, 1):
+                    continue
+                total = [0, *itertools.accumulate(same)]
+                for s in range(len(same)):
+                    for e in range(s + need, len(same) + 1):
+                        m = total[e] - total[s]
+                        if m >= max(need, 1) and 4 * m >= 3 * (e - s):
+                            row = (m, s - e, -(lo + s + o), -(lo + s))
+                            best = max(best, row) if best else row
+            if best:
+                out[d, i] = (best[0], -best[1], -best[2], -best[3])
     return out
 
 
-def test_overlaps_equal_brute_force(spark):
-    rng = random.Random(7)
-    vocab = [f"w{i}" for i in range(400)]
-    items = [" ".join(rng.choices(vocab, k=n)) for n in (15, 30, 50, 4, 9)]
+def patterns(length, gaps):
+    """All stretches of a length, as bits, that begin and end equal and have so many substitutions."""
+    full = (1 << length) - 1
+    return np.array([full & ~sum(1 << i for i in c) for c in itertools.combinations(range(1, length - 1), gaps)], dtype=np.int64)
+
+
+def hit_by(masks, length, p):
+    hit = np.zeros(len(p), bool)
+    for m in masks:
+        bits = int(m[::-1], 2)
+        for s in range(length - len(m) + 1):
+            hit |= ((p >> s) & bits) == bits
+    return hit
+
+
+def test_masks_hit_every_overlap():
+    # Stretches of 13 equal tokens on contain one of these: longer ones split into parts that are overlaps too.
+    for length, gaps in ((13, 0), (14, 1), (15, 2), (16, 3), (17, 4), (20, 5), (24, 6), (28, 7)):
+        assert hit_by(decontam.MASKS, length, patterns(length, gaps)).all(), (length, gaps)
+    for n in range(1, 17):
+        least = int(decontam.least_matched(n))
+        assert least == min(13, math.ceil(0.8 * n - 1e-9))
+        for length in range(least, n + 1):
+            p = patterns(length, length - least) if length > 1 else np.ones(1, np.int64)
+            assert hit_by(decontam.masks_of(n), length, p).all(), (n, length)
+
+
+def planted(rng, items, vocab, n):
     texts = []
-    for _ in range(40):
-        t = rng.choices(vocab, k=rng.randint(0, 60))
-        if rng.random() < 0.6:
+    for _ in range(n):
+        t = rng.choices(vocab, k=rng.randint(0, 50))
+        if rng.random() < 0.7:
             p = rng.choice(items).split()
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, max(1, len(p) // 4))):
                 p[rng.randrange(len(p))] = "changed"
             at = rng.randint(0, len(t))
             t[at:at] = p[: rng.randint(len(p) // 2, len(p))]
         texts.append(" ".join(t).title())
-    bench = spark.createDataFrame(list(enumerate(items)) + [(9, None), (10, ""), (0, items[0])], "item_id long, text string")
-    found = decontam.find_overlaps(docs(spark, texts, extra=True), bench)
-    got = {(r["doc_id"], r["item_id"]) for r in rows(found)}
+    return texts
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [" ".join(rng.choices(vocab, k=n)) for n in (15, 30, 45, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 17)]
+    # Four runs of 13 with 6 others between; the same words again and again.
+    parts = [rng.choices(vocab, k=13) for _ in range(4)]
+    items += [" ".join(" ".join(p) + " " + " ".join(rng.choices(vocab, k=6)) for p in parts), "again " * 30]
+    texts = planted(rng, items, vocab, 150) + [" ".join(" ".join(p) + " x1 x2 x3 x4 x5 x6" for p in parts), "again " * 50, "again " * 14, "again " * 12]
+    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (0, items[0])], "item_id long, text string")
+    found = rows(decontam.find_overlaps(docs(spark, texts, extra=True), bench))
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["overlap_tokens"], r["doc_start"], r["item_start"]) for r in found}
     want = brute_overlaps(texts, items)
-    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 10
-    clean = {r["doc_id"] for r in rows(decontam.decontaminate(docs(spark, texts), bench))}
-    assert clean == set(range(40)) - {d for d, _ in got}
+    assert got == want and len(found) == len(got) and len(want) > 50
+    clean = {r["doc_id"] for r in rows(decontam.decontaminate(docs(spark, texts, extra=True), bench))}
+    assert clean == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    f = lambda: sorted(map(tuple, decontam.find_overlaps(d, b).collect()))
+    whole = f()
+    monkeypatch.setattr(decontam, "MOST_BITS", 1 << 15)
+    assert f() == whole and whole
+
+
+@pytest.mark.parametrize("n", [1_000, 300_000])
+def test_repeated_words_end_soon(spark, n):
+    bench = spark.createDataFrame([(0, "word " * 1000), (1, "a b " * 500)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in rows(decontam.find_overlaps(docs(spark, ["word " * n, "a b " * (n // 2), "b " + "a " * n]), bench))}
+    assert got[0, 0] == 1000 and got[1, 1] == 1000 and (0, 1) not in got
 
 
 def test_planted_items_are_found_and_others_not(spark):
@@ -255,14 +316,6 @@ def test_overlap_edges(spark):
     assert decontam.decontaminate(docs(spark, EDGE_TEXTS, extra=True), bench).count() == len(EDGE_TEXTS)
 
 
-def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
-    d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    f = lambda: sorted(map(tuple, decontam.find_overlaps(d, b).collect()))
-    whole = f()
-    monkeypatch.setattr(decontam, "BLOCK_TOKENS", 700)
-    assert f() == whole
-
-
 # -- op4 ---------------------------------------------------------------------------------------------------------
 
 
