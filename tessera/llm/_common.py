@@ -55,36 +55,40 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def running_sums(values: Column) -> Column:
-    """The sums of values up to each element, itself included.
+def running(values: Column, merge, start: int) -> Column:
+    """For each element of an array of numbers, it and all before it merged (sum, greatest), as longs.
 
-    Appending to an array copies it, so sums run inside blocks of some root of the length, and along the blocks:
-    the work is the length to the power of 1.5, not its square.
+    merge: an associative function of two columns with start as its neutral value. Appending to an array copies
+    it, so values run inside blocks of some root of the length, and along the blocks: the work is the length to
+    the power of 1.5, not its square.
     """
-    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+    zero, none = F.lit(start).cast("long"), F.expr("cast(array() as array<bigint>)")
 
-    def sums(array):
+    def along(array):
         grown = F.aggregate(
             array,
             F.struct(zero.alias("at"), none.alias("all")),
-            lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.array_append(acc["all"], acc["at"] + v).alias("all")),
+            lambda acc, v: F.struct(merge(acc["at"], v).alias("at"), F.array_append(acc["all"], merge(acc["at"], v)).alias("all")),
         )
         return grown["all"]
 
     def blocked(v):
         step = F.ceil(F.sqrt(F.size(v))).cast("int")
-        starts = F.sequence(F.lit(1), F.size(v), step)
-        inner = F.transform(starts, lambda s: sums(F.slice(v, s, step)))
+        inner = F.transform(F.sequence(F.lit(1), F.size(v), step), lambda s: along(F.slice(v, s, step)))
 
-        def along(blocks):
-            ends = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
-            return bound(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(e, i - 1), zero)))))
+        def joined(blocks):
+            ends = along(F.transform(blocks, lambda b: F.element_at(b, -1)))
+            return bound(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: merge(x, F.coalesce(F.get(e, i - 1), zero))))))
 
-        return F.when(F.size(v) < 32, sums(v)).otherwise(bound(inner, along))
+        return F.when(F.size(v) < 32, along(v)).otherwise(bound(inner, joined))
 
     return bound(F.transform(values, lambda x: x.cast("long")), blocked)
 
 
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only in local mode, where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)

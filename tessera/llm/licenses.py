@@ -1,9 +1,10 @@
 """License scans with Spark expressions only: ordered signature rules over normalised words.
 
 A text is lower-cased (A-Z) and its words joined by single blanks, so one space stands between words and every
-rule is a pattern of words. A keyword prefilter finds the families whose keyword the text holds; only the rules
-of those families run. Each detection is a word interval with its rule's priority; one that lies inside another
-of higher priority, or of equal priority and greater length, is dropped. Overlaps without containment stay.
+rule is a pattern of words. A keyword prefilter comes first: each distinct keyword is looked for once, and only the
+rules of keywords that the text holds run. Each detection is a word interval with its rule's priority; one that
+lies inside another of higher priority, or of equal priority and greater length, is dropped. Overlaps without
+containment stay. The rules are those of license_rules, written by hand, and the base phrases.
 """
 
 from __future__ import annotations
@@ -11,90 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import need
+from ._common import bound, need, running, running_sums
+from .license_rules import read_rules
 
 # Fixed values of the task's contract: phrase and label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Priority of the base phrases, above every other rule's.
+FIRST = 100
 
-#: Families: label, keyword every rule of the family holds, names (regex over words), versions.
-FAMILIES = [  # keywords stand anywhere in the normalised text; short ones are whole words
-    ("apache", "apache", "apache(?: software)?", ["1 0", "1 1", "2 0", "2"]),
-    ("mit", " mit ", "mit", []),
-    ("bsd", " bsd ", "(?:modified |new |simplified )?bsd(?: [234] clause)?", []),
-    ("gpl", "gpl", "(?:gnu )?gpl(?:v[123])?", ["1", "2", "2 0", "3", "3 0"]),
-    ("gpl", "general public", "(?:gnu )?general public", ["1", "2", "2 0", "3", "3 0"]),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl(?:v[23])?", ["2", "2 1", "3", "3 0"]),
-    ("lgpl", "lesser general public", "(?:gnu )?lesser general public", ["2", "2 1", "3", "3 0"]),
-    ("agpl", "agpl", "(?:gnu )?agpl(?:v3)?", ["3", "3 0"]),
-    ("agpl", "affero", "(?:gnu )?affero general public", ["3", "3 0"]),
-    ("mpl", "mozilla", "mozilla public", ["1 0", "1 1", "2 0"]),
-    ("epl", "eclipse", "eclipse public", ["1 0", "2 0"]),
-    ("cddl", "common development", "common development and distribution", ["1 0", "1 1"]),
-    ("cc-by-sa", "cc by sa", "cc by sa", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc", "cc by nc", "cc by nc", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nd", "cc by nd", "cc by nd", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by", "creative commons", "creative commons attribution", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", "sharealike", "creative commons attribution sharealike", ["2 0", "3 0", "4 0"]),
-    ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial", ["2 0", "3 0", "4 0"]),
-    ("cc0", "cc0", "cc0", ["1 0"]),
-    ("unlicense", "unlicense", "unlicense", []),
-    ("isc", " isc ", "isc", []),
-    ("zlib", "zlib", "zlib(?: libpng)?", []),
-    ("artistic", "artistic", "artistic", ["1 0", "2 0"]),
-    ("python", "python software foundation", "python software foundation", ["2", "2 0"]),
-    ("boost", "boost", "boost software", ["1 0"]),
-    ("wtfpl", "wtfpl", "wtfpl", ["2"]),
-    ("eupl", "eupl", "eupl", ["1 1", "1 2"]),
-    ("ofl", "open font", "(?:sil )?open font", ["1 0", "1 1"]),
-]
-#: Ways of naming a family, most telling first: priority, gate and pattern; N is the family's name. The gate is
-#: text that every match holds; a rule runs only where both its gate and its family's keyword occur.
-FORMS = [
-    (90, " spdx license identifier ", "spdx license identifier N(?: only| or later)?"),
-    (80, " under ", "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
-    (70, " subject to ", "subject to (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
-    (70, " governed by ", "governed by (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
-    (70, " covered by ", "covered by (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
-    (70, " accordance with ", "in accordance with (?:the )?(?:terms of )?(?:the )?N(?: licen[sc]e)?"),
-    (60, " licen", "(?:the )?N licen[sc]es?"),
-    (50, " licen", "licen[sc]e (?:is )?N"),
-]
-#: Rules that name no family, written by hand: label, keyword, priority, pattern.
-LOOSE = [
-    ("mit", "free of charge", 85, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "without warranty", 40, "the software is provided as is without warranty of any kind"),
-    ("bsd", "redistribution", 85, "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "endorse", 60, "may be used to endorse or promote products derived from this software"),
-    ("isc", "permission to use copy", 85, "permission to use copy modify and (?:or )?distribute this software for any purpose"),
-    ("apache", "apache org", 85, "(?:http|https) www apache org licenses(?: license 2 0)?"),
-    ("gpl", "gnu org", 85, "(?:http|https) www gnu org (?:licenses|copyleft)(?: gpl)?"),
-    ("gpl", "free software foundation", 60, "published by the free software foundation"),
-    ("gpl", "later version", 40, "(?:either )?version [123] of the license or (?:at your option )?any later version"),
-    ("cc-by", "creativecommons", 85, "creativecommons org licenses by [1-4] [05]"),
-    ("cc-by-sa", "creativecommons", 86, "creativecommons org licenses by sa [1-4] [05]"),
-    ("cc-by-nc", "creativecommons", 86, "creativecommons org licenses by nc [1-4] [05]"),
-    ("cc0", "creativecommons", 86, "creativecommons org publicdomain zero 1 0"),
-    ("public-domain", "public domain", 70, "(?:dedicated to|released (?:in)?to|is in) the public domain"),
-    ("reserved", "rights reserved", 50, "(?:all )?rights reserved"),
-    ("copyright", "copyright", 30, "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
-    ("proprietary", "proprietary", 60, "(?:confidential and )?proprietary(?: and confidential)?(?: information)?"),
-    ("proprietary", "prior written", 60, "without (?:the )?(?:express )?prior written (?:permission|consent)"),
-    ("proprietary", "unauthorized", 60, "unauthorized (?:copying|use|reproduction|distribution)[a-z ]{0,40}prohibited"),
-]
-
-
-def rules() -> list[tuple[int, str, str, str, str]]:
-    """(priority, label, keyword, gate, pattern) of every rule, the highest priority first."""
-    out = [(p, label, key, key, pattern) for label, key, p, pattern in LOOSE]
-    out += [(100, label, phrase, phrase, phrase) for phrase, label in BASE.items()]
-    for label, key, name, versions in FAMILIES:
-        for p, gate, form in FORMS:
-            out.append((p, label, key, gate, form.replace("N", name)))
-            out += [(p + 5, f"{label}-{v.replace(' ', '.')}", key, gate, form.replace("N", name) + f" (?:version |v)?{v}") for v in versions]
-    return sorted(out, key=lambda r: (-r[0], r[1], r[4]))
+
+def rules() -> list[tuple[int, str, str, str]]:
+    """(priority, label, keyword, pattern) of every rule, the highest priority first."""
+    return [(FIRST, label, phrase, phrase) for phrase, label in BASE.items()] + read_rules()
 
 
 def words_text(text: Column) -> Column:
@@ -111,18 +41,35 @@ def _places(norm: Column, pattern: Column) -> Column:
     """array<struct<start, end>>: word intervals (end exclusive) of a pattern's matches, left to right."""
     whole = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
     found = F.regexp_extract_all(norm, whole, F.lit(0))
-    gaps = F.split(norm, whole, -1)
-    steps = F.arrays_zip(F.transform(gaps, _blanks).alias("gap"), F.transform(found, _blanks).alias("inner"))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    return F.aggregate(
-        F.slice(steps, 1, F.size(found)),
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["inner"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"] - 1).alias("start"), (acc["at"] + s["gap"] + s["inner"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    gaps = F.transform(F.split(norm, whole, -1), _blanks)
+    steps = F.arrays_zip(gaps.alias("gap"), F.transform(found, _blanks).alias("inner"))
+
+    def placed(p):
+        ends = running_sums(F.transform(p, lambda s: s["gap"] + F.coalesce(s["inner"], F.lit(0))))
+        rows = F.filter(F.arrays_zip(ends.alias("end"), p.alias("p")), lambda r: r["p"]["inner"].isNotNull())
+        return F.transform(rows, lambda r: F.struct((r["end"] - r["p"]["inner"] - 1).alias("start"), r["end"].alias("end")))
+
+    return bound(steps, placed)
+
+
+def _resolve(hits: Column, levels: list[int]) -> Column:
+    """Detections (start, less = -end, rank = -priority, label) that no other one holds and outranks.
+
+    Sorted by start, then the later end, then the higher priority, whatever may hold a detection stands before
+    it. For each priority, running maxima along the order tell how far the detections above it reach, and how far
+    its own: of those the later end, and of one end the earlier start, is the longer.
+    """
+    long = lambda h: F.call_function("shiftleft", -h["less"], F.lit(32)) - h["start"]
+    top = F.array(*[F.lit(-p) for p in levels])
+
+    def kept(h):
+        most = lambda f: F.transform(top, lambda r: running(F.transform(h, lambda x: f(x, r)), F.greatest, -1))
+        above = most(lambda x, r: F.when(x["rank"] < r, -x["less"]).otherwise(F.lit(-1)))
+        same = most(lambda x, r: F.when(x["rank"] == r, long(x)).otherwise(F.lit(-1)))
+        at = lambda table, x, i: F.get(F.get(table, (F.array_position(top, x["rank"]) - 1).cast("int")), i)
+        return bound(F.struct(above.alias("above"), same.alias("same")), lambda m: F.filter(h, lambda x, i: (at(m["above"], x, i) < -x["less"]) & (at(m["same"], x, i) <= long(x))))
+
+    return F.when(F.size(hits) < 2, hits).otherwise(bound(F.array_sort(F.array_distinct(hits)), kept))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -134,35 +81,19 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     rows = need(docs, doc_id="long", text="string").select("doc_id", words_text(F.col("text")).alias("norm"))
     book = rules()
+    by: dict[str, list[str]] = {}
+    for p, label, keyword, pattern in book:
+        by.setdefault(keyword, []).append(f"named_struct('rank',{-p},'label','{label}','pattern','{pattern}')")
     # One literal array, parsed once; the rules hold no quotes or backslashes.
-    shelf = F.expr("array(" + ",".join(f"named_struct('priority',{p},'label','{x}','keyword','{k}','gate','{g}','pattern','{r}')" for p, x, k, g, r in book) + ")")
-    hot = F.lit(False)
-    for gate in sorted({r[3] for r in book}):
-        hot = hot | F.contains("norm", F.lit(gate))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,priority:int,label:string>>)")
-    hits = F.flatten(
-        F.transform(
-            F.filter(shelf, lambda r: F.contains(F.col("norm"), r["gate"]) & F.contains(F.col("norm"), r["keyword"])),
-            lambda r: F.transform(_places(F.col("norm"), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"))),
-        )
-    )
-    # A detection falls to one that holds it and has a higher priority, or the same and more words.
-    over = lambda a, b: (b["start"] <= a["start"]) & (b["end"] >= a["end"]) & ((b["priority"] > a["priority"]) | ((b["priority"] == a["priority"]) & (b["end"] - b["start"] > a["end"] - a["start"])))
-    phrases = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(x).alias("label")) for p, x in BASE.items()])
-    base_none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,label:string>>)")
-    base = F.flatten(
-        F.transform(
-            F.filter(phrases, lambda b: F.contains(F.col("norm"), b["phrase"])),
-            lambda b: F.transform(_places(F.col("norm"), b["phrase"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), b["label"].alias("label"))),
-        )
-    )
-    step = rows.select(
-        "doc_id",
-        (_blanks(F.col("norm")) - 1).alias("n_words"),
-        F.when(hot, F.array_distinct(hits)).otherwise(none).alias("hits"),
-        F.when(hot, base).otherwise(base_none).alias("base"),
-    )
-    return step.select("doc_id", "n_words", "base", F.filter("hits", lambda a: ~F.exists(F.col("hits"), lambda b: over(a, b))).alias("found"))
+    shelf = F.expr("array(" + ",".join(f"named_struct('keyword','{k}','rules',array({','.join(r)}))" for k, r in by.items()) + ")")
+    norm = F.col("norm")
+    of_rule = lambda r: F.transform(_places(norm, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("less"), r["rank"].alias("rank"), r["label"].alias("label")))
+    hits = F.flatten(F.transform(F.filter(shelf, lambda k: F.contains(norm, k["keyword"])), lambda k: F.flatten(F.transform(k["rules"], of_rule))))
+    step = rows.select("doc_id", (_blanks(norm) - 1).alias("n_words"), hits.alias("hits"))
+    end = lambda h: (-h["less"]).alias("end")
+    base = F.transform(F.filter("hits", lambda h: h["rank"] == -FIRST), lambda h: F.struct(h["start"].alias("start"), end(h), h["label"].alias("label")))
+    found = F.transform(_resolve(F.col("hits"), sorted({r[0] for r in book}, reverse=True)), lambda h: F.struct(h["start"].alias("start"), end(h), (-h["rank"]).alias("priority"), h["label"].alias("label")))
+    return step.select("doc_id", "n_words", base.alias("base"), found.alias("found"))
 
 
 def license_report(docs: DataFrame) -> DataFrame:
