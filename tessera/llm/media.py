@@ -7,8 +7,10 @@ valid objects inside are carved. Validators read lengths from the format itself,
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import re
 import struct
 import zlib
 
@@ -22,9 +24,11 @@ from ._common import need, pieces
 #: Samples of a frame; payloads are filled with 255 to whole frames.
 FRAME = 576
 RATE = 8000
+#: The mark that ends a JPEG's coded data, and an object of a PDF.
+CODED, OBJECT = re.compile(rb"\xff[^\x00\xd0-\xd7]"), re.compile(rb"\s{0,4}[0-9]{1,10} [0-9]{1,5} obj")
 
 
-def _png(b: bytes, at: int) -> int:
+def _png(b: bytes, at: int, memo: dict) -> int:
     pos = at + 8
     first = True
     while pos + 12 <= len(b):
@@ -39,55 +43,67 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _chain(memo: dict[int, int], pos: int, step) -> int:
+    """Where a walk from pos ends (0 for nowhere valid). step(pos) is the next place, or minus the end, or 0.
+
+    Walks that meet go on alike, so each place is walked from once, however many starts lead there.
+    """
+    path = []
+    while pos not in memo:
+        path.append(pos)
+        to = step(pos)
+        if to <= 0:
+            memo[pos] = -to
+            break
+        pos = to
+    end = memo[pos]
+    memo.update(dict.fromkeys(path, end))
+    return end
+
+
+def _gif(b: bytes, at: int, memo: dict) -> int:
     if at + 13 > len(b):
         return 0
-    flags = b[at + 10]
-    pos = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-
-    def blocks(p: int) -> int:
-        while p < len(b):
-            if b[p] == 0:
-                return p + 1
-            p += b[p] + 1
-        return 0
+    inner, outer = memo.setdefault("gif data", {}), memo.setdefault("gif", {})
+    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
-    while pos and pos < len(b):
-        if b[pos] == 0x3B:
-            return pos + 1 - at
-        if b[pos] == 0x21:
-            pos = blocks(pos + 2)
-        elif b[pos] == 0x2C and pos + 10 < len(b):
-            f = b[pos + 9]
-            pos = blocks(pos + 11 + (3 << ((f & 7) + 1) if f & 0x80 else 0))
-        else:
+    def data(p: int) -> int:
+        return _chain(inner, p, lambda q: 0 if q >= len(b) else -(q + 1) if b[q] == 0 else q + b[q] + 1)
+
+    def block(p: int) -> int:
+        if p >= len(b):
             return 0
-    return 0
+        if b[p] == 0x3B:
+            return -(p + 1)
+        if b[p] == 0x21:
+            return data(p + 2)
+        return data(p + 11 + table(b[p + 9])) if b[p] == 0x2C and p + 10 < len(b) else 0
 
+    end = _chain(outer, at + 13 + table(b[at + 10]), block)
+    return end and end - at
 
-def _jpeg(b: bytes, at: int) -> int:
-    pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
-        kind = b[pos + 1]
+
+def _jpeg(b: bytes, at: int, memo: dict) -> int:
+    def marker(p: int) -> int:
+        if p + 2 > len(b) or b[p] != 0xFF:
+            return 0
+        kind = b[p + 1]
         if kind == 0xD9:
-            return pos + 2 - at
-        n = struct.unpack_from(">H", b, pos + 2)[0]
+            return -(p + 2)
+        n = struct.unpack_from(">H", b, p + 2)[0] if p + 4 <= len(b) else 0
         if n < 2:
             return 0
-        pos += 2 + n
+        p += 2 + n
         if kind == 0xDA:  # coded data: up to a mark that is neither a fill byte nor a restart
-            while True:
-                pos = b.find(b"\xff", pos)
-                if pos < 0 or pos + 1 >= len(b):
-                    return 0
-                if b[pos + 1] == 0 or 0xD0 <= b[pos + 1] <= 0xD7:
-                    pos += 2
-                    continue
-                break
-    return 0
+            found = CODED.search(b, p)
+            return found.start() if found else 0
+        return p
 
+    end = _chain(memo.setdefault("jpeg", {}), at + 2, marker)
+    return end and end - at
 
-def _bmp(b: bytes, at: int) -> int:
+
+def _bmp(b: bytes, at: int, memo: dict) -> int:
     if at + 30 > len(b):
         return 0
     size, zero, offset, head, w, h, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -95,7 +111,7 @@ def _bmp(b: bytes, at: int) -> int:
     return size if good and at + size <= len(b) and size >= offset + (w * bits + 31) // 32 * 4 * abs(h) else 0
 
 
-def _riff(b: bytes, at: int) -> int:
+def _riff(b: bytes, at: int, memo: dict) -> int:
     if at + 12 > len(b):
         return 0
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -109,20 +125,55 @@ def _riff(b: bytes, at: int) -> int:
     return end - at if pos == end and (form != b"WAVE" or {b"fmt ", b"data"} <= kinds) else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b"startxref" in b[at:end] else 0
-
+def _pdf_ends(b: bytes) -> dict[int, int]:
+    """For each %PDF- that has one, the end of its last section.
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + offset + size == end and end + 22 + note <= len(b) else 0
-
-
-def _gzip(b: bytes, at: int) -> int:
+    A file may have several sections (a first-page part, updates), each ended by %%EOF behind startxref and the
+    place of its cross references, counted from the file's start. That place tells whose end it is, also where a
+    file holds another: the start that lies so far before the table, or else has an object there. A first-page
+    part names place 0 and belongs to the nearest start.
+    """
+    starts = [m.start() for m in re.finditer(b"%PDF-", b)]
+    known, tables, out = set(starts), [m.start() for m in re.finditer(rb"(?<!start)xref", b)] if starts else [], {}
+    for m in re.finditer(rb"startxref\s{1,4}([0-9]{1,12})\s{1,4}%%EOF", b) if starts else ():
+        before = bisect.bisect_left(starts, m.start())
+        if not before:
+            continue
+        place, near = int(m[1]), starts[before - 1]
+        table = bisect.bisect_left(tables, m.start())
+        if place and table and tables[table - 1] - place in known:
+            near = tables[table - 1] - place
+        elif place and not OBJECT.match(b, near + place):
+            continue
+        out[near] = m.end()
+    return out
+
+
+def _pdf(b: bytes, at: int, memo: dict) -> int:
+    if "pdf" not in memo:
+        memo["pdf"] = _pdf_ends(b)
+    return memo["pdf"].get(at, at) - at
+
+
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """For each archive its end. An end record names the directory's size and place, and with them the start."""
+    out, end = {}, b.find(b"PK\x05\x06")
+    while end >= 0 and end + 22 <= len(b):
+        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+        start = end - size - offset
+        if start >= 0 and size and b[start + offset : start + offset + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+            out[start] = max(out.get(start, 0), end + 22 + note)
+        end = b.find(b"PK\x05\x06", end + 4)
+    return out
+
+
+def _zip(b: bytes, at: int, memo: dict) -> int:
+    if "zip" not in memo:
+        memo["zip"] = _zip_ends(b)
+    return memo["zip"].get(at, at) - at
+
+
+def _gzip(b: bytes, at: int, memo: dict) -> int:
     d = zlib.decompressobj(31)
     try:
         view, pos = memoryview(b)[at:], 0
@@ -136,17 +187,20 @@ def _gzip(b: bytes, at: int) -> int:
     return min(pos, len(view)) - len(d.unused_data) if d.eof else 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    pos = at
-    while b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b) and b[pos + 4] == 0:
-        n = b[pos + 26]
-        size = 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if pos + size > len(b):
+def _ogg(b: bytes, at: int, memo: dict) -> int:
+    """A stream begins at a page so marked; a page behind it begins none."""
+    if at + 27 > len(b) or not b[at + 5] & 2:
+        return 0
+
+    def page(p: int) -> int:
+        if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4]:
             return 0
-        last, pos = b[pos + 5] & 4, pos + size
-        if last:
-            return pos - at
-    return 0
+        n = b[p + 26]
+        end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        return 0 if end > len(b) else -end if b[p + 5] & 4 else end
+
+    end = _chain(memo.setdefault("ogg", {}), at, page)
+    return end and end - at
 
 
 # Magic numbers of the formats, with type and validator.
@@ -178,11 +232,11 @@ def _automaton():
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of the valid media objects in data, outer ones first; parts of carved ones stay listed."""
-    out = []
+    out, memo = [], {}
     for last, i in _automaton().iter(data.decode("latin-1")):
         magic, kind, size_of = MAGIC[i]
         at = last + 1 - len(magic)
-        if n := size_of(data, at):
+        if n := size_of(data, at, memo):
             out.append((at, at + n, RIFF_TYPES.get(data[at + 8 : at + 12], kind) if magic == b"RIFF" else kind))
     return sorted(out, key=lambda x: (x[0], -x[1]))
 
@@ -202,7 +256,7 @@ def to_wav(payload: bytes) -> bytes:
 
 def from_wav(data: bytes) -> bytes:
     """The samples of the data chunk, found by walking the chunks."""
-    if not _riff(data, 0) or data[8:12] != b"WAVE":
+    if not _riff(data, 0, {}) or data[8:12] != b"WAVE":
         raise ValueError("no valid WAVE object")
     pos = 12
     while data[pos : pos + 4] != b"data":

@@ -572,6 +572,49 @@ def test_types_are_corrected_and_media_carved(spark):
     assert not got[4]["corrected"] and got[5]["type"] == "application/gzip" and got[6]["carved"] == [] and got[8]["corrected"] is False
 
 
+def zipped(*files):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in files:
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def pdf(body=b"", linear=False, updates=0):
+    """A file with a table of cross references a section; linear: a first-page part before it."""
+    out = b"%PDF-1.4\n" + (b"1 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer\n<<>>\nstartxref\n0\n%%EOF\n" if linear else b"")
+    for i in range(updates + 1):
+        out += b"%d 0 obj\n<<>>stream\n%b\nendstream\nendobj\n" % (i + 2, body if not i else b"")
+        out += b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF\n" % len(out)
+    return out[:-1]
+
+
+def ogg(pages):
+    page = lambda kind, data: b"OggS\0" + bytes([kind]) + bytes(20) + bytes([1, len(data)]) + data
+    return b"".join(page(2 * (i == 0) | 4 * (i == pages - 1), b"x" * 9) for i in range(pages))
+
+
+def test_lengths_come_from_the_format():
+    inner = zipped(("a.txt", b"hello"))
+    outer = zipped(("in.zip", inner), ("b.txt", b"bye"))
+    assert media.describe(outer + b"tail") == ("application/zip", [(outer.index(inner), outer.index(inner) + len(inner), "application/zip")])
+    for blob in (pdf(), pdf(linear=True), pdf(updates=3), pdf(linear=True, updates=1)):
+        assert media.sniff(b"junk" + blob + b"\njunk") == [(4, 4 + len(blob), "application/pdf")]
+    held = pdf(updates=1)
+    around = pdf(held, updates=1)
+    at = around.index(held)
+    assert media.sniff(around) == [(0, len(around), "application/pdf"), (at, at + len(held), "application/pdf")]
+    assert media.sniff(ogg(5)) == [(0, len(ogg(5)), "audio/ogg")]
+
+
+def test_repeated_signatures_end_soon():
+    for blob in (b"%PDF-" * 200_000, b"PK\x03\x04" * 100_000 + b"PK\x05\x06" * 100_000, b"GIF89a" * 150_000, b"\xff\xd8\xff\xe0\0\x04" * 150_000, ogg(20_000), b"OggS\0\2" * 100_000, b"RIFF\4\0\0\0WAVE" * 80_000, b"startxref 1 %%EOF" * 50_000, b"BM" * 500_000):
+        media.sniff(blob)
+
+
 def test_hostile_bytes_never_raise():
     rng = random.Random(5)
     seeds = [png(), bmp(), media.to_wav(b"\xff" * 576), b"GIF89a" + bytes(40), b"\xff\xd8\xff\xe0\0\x10" + bytes(40), b"PK\x03\x04" + bytes(60), b"OggS" + bytes(60), b"\x1f\x8b\x08" + bytes(30), b"%PDF-1.4 startxref %%EOF"]
