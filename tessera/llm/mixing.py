@@ -15,11 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, need
+from ._common import Scratch, fresh, need
 
 SPACES = r"[^\x20\x09-\x0D]+"
 #: Size classes a unit of the root of the size, and the rows a block aims at.
 CLASSES, BLOCK_ROWS = 2, 20_000
+#: Expected copies are whole numbers of this many halvings of one, so prefix sums are exact and a rate of the cap
+#: gives each document just the cap. A source may have 2**39 documents.
+UNIT = 24
 
 
 def _scatter(c):
@@ -60,16 +63,18 @@ def mix_copies(docs: DataFrame, *keep: str, weights=(5.0, 2.0, 1.0), cap: float
 
     size: words of the text; a null or empty text has 0. A null source is a source of its own; a null doc_id
     counts as the smallest. Ties and repeated rows are equal but for their place in the order, so any order of
-    them gives the same rows; columns of keep, in their order, break ties. Other columns are ignored. An empty table gives no rows; where all sizes are 0,
+    them gives the same rows; columns of keep, in their order, break ties. Repeats of one whole row can't be told
+    apart and fill one block. Other columns are ignored. An empty table gives no rows; where all sizes are 0,
     targets and copies are 0. Reruns agree: order and offset follow from the rows and seed alone.
     """
     tmp = Scratch(docs.sparkSession, "mix")
     own = {c: docs.schema[c].dataType.simpleString() for c in keep}
-    rows = need(docs, doc_id="long", source="string", text="string", **own).select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
-    key = F.coalesce(F.col("doc_id"), F.lit(0))
+    # Rows scatter by id and text, so that those without an id or with a shared one scatter too.
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    rows = need(docs, doc_id="long", source="string", text="string", **own).select("doc_id", "source", word_count(F.col("text")).alias("size"), _scatter(key).alias("scatter"), *keep)
     # Size class, largest first; a scattered number that splits a class into blocks.
     cls = F.floor(F.sqrt(F.col("size").cast("double")) * CLASSES).cast("long")
-    narrow = tmp.save(rows.select("doc_id", "source", "size", *keep, cls.alias("cls"), _scatter(F.concat(F.lit(f"{seed}:"), key.cast("string"))).alias("scatter")), "sizes")
+    narrow = tmp.save(rows.select("doc_id", "source", "size", *keep, cls.alias("cls"), "scatter"), "sizes")
     per_class = narrow.groupBy("source", "cls").agg(F.count("*").alias("n"))
     wide = per_class.select(F.col("source").alias("s2"), F.col("cls").alias("c2"), F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
     placed = tmp.save(
@@ -80,7 +85,7 @@ def mix_copies(docs: DataFrame, *keep: str, weights=(5.0, 2.0, 1.0), cap: float
     )
     along = Window.partitionBy("source", "cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = placed.groupBy("source", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("w")).withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    offset = _scatter(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))) / F.lit(float(1 << 32))
+    offset = F.shiftright(_scatter(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))), 32 - UNIT)
     share = targets(narrow, weights, cap).withColumn("offset", offset).withColumnRenamed("source", "s2")
     rates = _rates(blocks, share, cap)
     plan = tmp.save(
@@ -92,24 +97,25 @@ def mix_copies(docs: DataFrame, *keep: str, weights=(5.0, 2.0, 1.0), cap: float
     rank = F.row_number().over(Window.partitionBy("source", "cls", "part").orderBy(F.desc("size"), "scatter", "doc_id", *keep))
     ranked = placed.withColumn("rank", rank).join(plan, F.col("source").eqNullSafe(F.col("s3")) & (F.col("cls") == F.col("c3")) & (F.col("part") == F.col("p3")))
     at = F.col("before") + F.col("rank")
-    crossed = lambda n: F.floor(F.col("offset") + (F.col("passed") + F.col("rate") * n))
+    crossed = lambda n: F.shiftright(F.col("offset") + F.col("passed") + F.col("rate") * n, UNIT)
     copies = F.when(F.col("size") > 0, crossed(at) - crossed(at - 1)).otherwise(F.lit(0)).cast("long")
     return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *keep)
 
 
 def _rates(blocks: DataFrame, share: DataFrame, cap: float) -> DataFrame:
     """s2, c2, rate, passed of every class: the copies each of its documents expects, and the expected copies of all
-    classes before it. A source has some 2 * sqrt(largest size) classes, which one row folds over."""
-    classes = blocks.groupBy("source", "cls").agg(F.sum("n").cast("double").alias("n"), F.sum("w").cast("double").alias("w"))
+    classes before it, both in units. A source has some 2 * sqrt(largest size) classes, which one row folds over."""
+    classes = blocks.groupBy("source", "cls").agg(F.sum("n").alias("n"), F.sum("w").cast("double").alias("w"))
     listed = classes.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("cls")).alias("k"), "n", "w"))).alias("cs"))
     at = listed.join(share, F.col("source").eqNullSafe(F.col("s2")))
-    zero = F.lit(0.0)
-    start = F.struct(F.col("target").alias("want"), F.col("source_size").cast("double").alias("left"), zero.alias("passed"), F.expr("cast(array() as array<struct<k:bigint,rate:double,passed:double>>)").alias("out"))
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    start = F.struct(F.col("target").alias("want"), F.col("source_size").cast("double").alias("left"), none.alias("passed"), F.expr("cast(array() as array<struct<k:bigint,rate:bigint,passed:bigint>>)").alias("out"))
 
     def step(acc, c):
-        rate = F.when(acc["left"] > 0, F.least(F.lit(float(cap)), F.greatest(zero, acc["want"] / acc["left"]))).otherwise(zero)
+        share = F.when(acc["left"] > 0, F.least(F.lit(float(cap)), F.greatest(zero, acc["want"] / acc["left"]))).otherwise(zero)
+        rate = F.floor(share * float(1 << UNIT)).cast("long")
         passed = acc["passed"] + rate * c["n"]
-        taken = (F.floor(F.col("offset") + passed) - F.floor(F.col("offset") + acc["passed"])).cast("double")
+        taken = (F.shiftright(F.col("offset") + passed, UNIT) - F.shiftright(F.col("offset") + acc["passed"], UNIT)).cast("double")
         return F.struct(
             (acc["want"] - taken * (c["w"] / c["n"])).alias("want"),
             (acc["left"] - c["w"]).alias("left"),
@@ -131,11 +137,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Copies belong to rows: rows without a doc_id, and each of several with one, give the copies planned for
     them. The rows are saved with a number of their own, by which the copies find them. Rows without words take
-    no part.
+    no part. Where docs has a column copy_no already, the number's name gets an underscore.
     """
     tmp = Scratch(docs.sparkSession, "mixed")
+    tie, row, key, copies, number = (fresh(docs, n) for n in ("__tie", "__row", "__id", "__copies", "copy_no"))
     # Ties among rows of one id and size go by text first, so that reruns take copies of the same texts.
-    saved = tmp.save(docs.withColumn("__tie", F.xxhash64(F.col("text").cast("string"))).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    taken = mix_copies(saved, "__tie", "__row", **options).filter(F.col("copies") > 0).select(F.col("__row").alias("__id"), F.col("copies").alias("__copies"))
-    out = saved.join(taken, F.col("__row") == F.col("__id"))
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__copies", "__row", "__tie")
+    saved = tmp.save(docs.withColumn(tie, F.xxhash64(F.col("text").cast("string"))).withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = mix_copies(saved, tie, row, **options).filter(F.col("copies") > 0).select(F.col(row).alias(key), F.col("copies").alias(copies))
+    out = saved.join(taken, F.col(row) == F.col(key))
+    return out.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(key, copies, row, tie)

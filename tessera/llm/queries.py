@@ -94,7 +94,8 @@ _SCATTER = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 ORACLES = {
     "op1_mixing": f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    {_SCATTER.format("'17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')")} AS scatter FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
@@ -107,25 +108,24 @@ WITH RECURSIVE d AS (
 ), line AS (SELECT min_by(level, i) AS level FROM lv WHERE most >= level * w),
 t AS (
   SELECT lv.source, source_size, least(most, coalesce(line.level * w, most)) AS target,
-    {_SCATTER.format("'17:' || coalesce('s' || lv.source, 'n')")} / 4294967296.0::DOUBLE AS off FROM lv, line
+    {_SCATTER.format("'17:' || coalesce('s' || lv.source, 'n')")} >> 8 AS off FROM lv, line
 ), c AS (
-  SELECT doc_id, source, size, CAST(floor(sqrt(size::DOUBLE) * 2) AS BIGINT) AS cls,
-    {_SCATTER.format("'17:' || CAST(coalesce(doc_id, 0) AS VARCHAR)")} AS scatter FROM d
+  SELECT doc_id, source, size, CAST(floor(sqrt(size::DOUBLE) * 2) AS BIGINT) AS cls, scatter FROM d
 ), p AS (
   SELECT *, CAST(floor(scatter * ceil(count(*) OVER (PARTITION BY source, cls) / 20000.0::DOUBLE) / 4294967296.0::DOUBLE) AS BIGINT) AS part FROM c
 ), k AS (
   SELECT *, row_number() OVER (PARTITION BY source, cls ORDER BY part, size DESC, scatter, doc_id) AS pos FROM p
 ), cl AS (
-  SELECT source, cls, count(*)::DOUBLE AS n, sum(size)::DOUBLE AS w, row_number() OVER (PARTITION BY source ORDER BY cls DESC) AS i FROM c GROUP BY source, cls
+  SELECT source, cls, count(*) AS n, sum(size)::DOUBLE AS w, row_number() OVER (PARTITION BY source ORDER BY cls DESC) AS i FROM c GROUP BY source, cls
 ), f AS (
-  SELECT source, off, target AS want, source_size::DOUBLE AS lft, 0.0::DOUBLE AS passed, 0.0::DOUBLE AS rate, 0.0::DOUBLE AS prior, CAST(NULL AS BIGINT) AS cls, CAST(0 AS BIGINT) AS i FROM t
+  SELECT source, off, target AS want, source_size::DOUBLE AS lft, CAST(0 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS rate, CAST(0 AS BIGINT) AS prior, CAST(NULL AS BIGINT) AS cls, CAST(0 AS BIGINT) AS i FROM t
   UNION ALL
-  SELECT source, off, want - (floor(off + (passed + rate * n)) - floor(off + passed)) * (w / n), lft - w, passed + rate * n, rate, passed, cls, i
-  FROM (SELECT f.source, f.off, f.want, f.lft, f.passed, cl.n, cl.w, cl.cls, cl.i, CASE WHEN f.lft > 0 THEN least(3.0::DOUBLE, greatest(0.0::DOUBLE, f.want / f.lft)) ELSE 0.0::DOUBLE END AS rate
+  SELECT source, off, want - (((off + passed + rate * n) >> 24) - ((off + passed) >> 24)) * (w / n), lft - w, passed + rate * n, rate, passed, cls, i
+  FROM (SELECT f.source, f.off, f.want, f.lft, f.passed, cl.n, cl.w, cl.cls, cl.i, CAST(floor(CASE WHEN f.lft > 0 THEN least(3.0::DOUBLE, greatest(0.0::DOUBLE, f.want / f.lft)) ELSE 0.0::DOUBLE END * 16777216.0::DOUBLE) AS BIGINT) AS rate
     FROM f JOIN cl ON cl.source IS NOT DISTINCT FROM f.source AND cl.i = f.i + 1)
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
-  SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN k.size > 0 THEN CAST(floor(f.off + (f.prior + f.rate * pos)) - floor(f.off + (f.prior + f.rate * (pos - 1))) AS BIGINT) ELSE 0 END AS copies
+  SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN k.size > 0 THEN ((f.off + f.prior + f.rate * pos) >> 24) - ((f.off + f.prior + f.rate * (pos - 1)) >> 24) ELSE 0 END AS copies
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source JOIN f ON f.source IS NOT DISTINCT FROM k.source AND f.cls = k.cls)
 """,
     "op8_ngram_jaccard": """

@@ -123,6 +123,24 @@ def test_mix_emits_rows_without_an_id_and_with_a_shared_one(spark):
     assert sorted((r["n_chars"], r["copy_no"]) for r in again) == sorted((r["n_chars"], r["copy_no"]) for r in got)
 
 
+def test_sources_at_the_cap_give_each_document_just_the_cap(spark):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 97), "en", "a" if i < 4000 else "b", 0) for i in range(60000)], DOCS)
+    got = mixing.mix_report(df).join(df.select("doc_id", "source"), "doc_id").filter("source = 'a'").agg(F.min("copies"), F.max("copies")).first()
+    assert tuple(got) == (3, 3)
+
+
+def test_rows_without_an_id_scatter(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    df = spark.createDataFrame([(None if i % 2 else 7, f"t{i} x y", "en", "s", 0) for i in range(2000)], DOCS)
+    got = mixing.mix_copies(df)
+    assert got.count() == 2000 and abs(got.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] - 6000) <= 3
+
+
+def test_names_of_the_mix_may_stand_already(spark):
+    df = docs(spark, ["a b", "c d e"]).withColumns({"copy_no": F.lit(9), "__row": F.lit(1), "__copies": F.lit(2), "copies": F.lit(3), "scatter": F.lit(4)})
+    assert mixing.mix(df).columns == df.columns + ["copy_no_"]
+
+
 # -- op2 ---------------------------------------------------------------------------------------------------------
 
 
