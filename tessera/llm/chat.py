@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import need
+from ._common import bound, need, running_sums
 
 TURN, TEXT, JOIN, END = "<|turn|>", "<|text|>", "<|join|>", "<|end|>"
 
@@ -43,13 +43,14 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_mask of every conversation.
 
     turns: rows of conv_id, turn, role, text. Rows sort by turn, then role, then text (so that ties and
-    repeated rows have one order); null turns come first; null roles and texts are empty; rows with a null
-    conv_id form one conversation. loss_mask lists the [start, end) code points of formatted that hold
+    repeated rows have one order); null turns come first; null roles and texts are empty; a row with a null
+    conv_id is a conversation of its own, as nothing says which others it belongs to. loss_mask lists the [start, end) code points of formatted that hold
     assistant texts, one interval a turn. Other columns are ignored; an empty table gives no rows.
     """
     rows = need(turns, conv_id="long", turn="long", role="string", text="string")
     t = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(t)).alias("turns"))
+    alone = rows.withColumn("own", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    sorted_turns = alone.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list(t)).alias("turns"))
     safe = sorted_turns.select("conv_id", F.transform("turns", lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))).alias("turns"))
     blocks = safe.select("conv_id", _merge(F.col("turns")).alias("blocks"))
     head = lambda b: F.concat(F.lit(TURN), b["role"], F.lit(TEXT))
@@ -66,15 +67,9 @@ def format_chat(turns: DataFrame) -> DataFrame:
             )
         ).alias("pieces"),
     )
-    mask = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("mask")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["mask"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p["s"])).alias("end"))))).otherwise(acc["mask"]).alias("mask"),
-        ),
-        lambda acc: acc["mask"],
-    )
+    ends = running_sums(F.transform("pieces", lambda p: F.length(p["s"])))
+    lost = F.filter(F.arrays_zip(ends.alias("end"), F.col("pieces").alias("p")), lambda x: x["p"]["loss"])
+    mask = F.transform(lost, lambda x: F.struct((x["end"] - F.length(x["p"]["s"])).alias("start"), x["end"].alias("end")))
     return flat.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), mask.alias("loss_mask"))
 
 
@@ -100,6 +95,21 @@ def read_chat(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    # Each interval is cut to its length from the text that begins there.
-    lost = F.array_join(F.transform("loss_mask", lambda m: unescape(F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))), "")
-    return formatted.select("conv_id", turns.alias("turns"), lost.alias("loss_text"), "formatted")
+    return formatted.select("conv_id", turns.alias("turns"), _cut(F.col("formatted"), F.col("loss_mask")).alias("loss_text"), "formatted")
+
+
+def _cut(text: Column, mask: Column) -> Column:
+    """The unescaped text under a mask's intervals, in order, nothing between.
+
+    A position in a text is found by walking there, so intervals are cut out of stretches of the text, each with
+    some root of their number, and not all out of the whole.
+    """
+    piece = lambda t, a, n: F.substring(t, (a + 1).cast("int"), n.cast("int"))
+
+    def stretch(m):
+        first, last = F.get(m, F.lit(0))["start"], F.element_at(m, -1)["end"]
+        return bound(piece(text, first, last - first), lambda t: F.array_join(F.transform(m, lambda x: unescape(piece(t, x["start"] - first, x["end"] - x["start"]))), ""))
+
+    step = F.ceil(F.sqrt(F.size(mask))).cast("int")
+    parts = F.transform(F.sequence(F.lit(1), F.size(mask), step), lambda i: bound(F.slice(mask, i, step), stretch))
+    return F.when(F.size(mask) == 0, F.lit("")).otherwise(F.array_join(parts, ""))

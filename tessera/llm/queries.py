@@ -145,15 +145,16 @@ FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN r ON r.a = d
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), n AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM c
 ), e AS (
   SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS r, replace(replace(text, '\', '\\'), '<|', '<\|') AS t,
-    CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) THEN 0 ELSE 1 END AS head FROM c
+    CASE WHEN role = lag(role) OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text) THEN 0 ELSE 1 END AS head FROM n
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(t) + CASE WHEN head = 1 THEN length('<|turn|>' || r || '<|text|>' || '<|end|>') ELSE length('<|join|>') END) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, own
 """,
 }

@@ -882,9 +882,17 @@ def test_chat_merges_neighbours_and_handles_edges(spark):
     got = {r["conv_id"]: r["formatted"] for r in rows(chat.format_chat(df))}
     assert got[1] == "<|turn|>user<|text|>a<|join|>b<|end|><|turn|>assistant<|text|>c<|join|>d<|end|>"
     assert got[2] == "<|turn|>user<|text|>z<|join|>y<|join|>y<|end|>" and None in got
+    alone = rows(chat.format_chat(spark.createDataFrame([(None, 1, "user", "x"), (None, 1, "user", "x"), (None, 2, "assistant", "y")], TURNS)))
+    assert len(alone) == 3
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_long_conversations_end_soon(spark):
+    df = spark.range(20000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|\\"), F.col("id").cast("string")).alias("text"))
+    back = rows(chat.read_chat(chat.format_chat(df)))[0]
+    assert [t["text"] for t in back["turns"]] == [f"é<|\\{i}" for i in range(20000)] and back["loss_text"] == "".join(f"é<|\\{i}" for i in range(1, 20000, 2))
+
+
 # -- op10 --------------------------------------------------------------------------------------------------------
 
 
