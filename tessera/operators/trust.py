@@ -56,6 +56,15 @@ def workbench(keyed: DataFrame) -> DataFrame:
     return _joined(at.withColumn("candidates", ids)).select("subject", "canonical", "object", "n_sources", "sources", "candidates")
 
 
+def conflict_groups(keyed: DataFrame, functional: DataFrame) -> DataFrame:
+    """Subjects with two or more sourced values of a single-valued relation: how many values, and the review
+    candidates for any of them. A group's candidates are its output: a person works through them."""
+    disputed = single_valued_conflicts(keyed, functional).groupBy("subject", "canonical").agg(F.max("n_values").alias("n_values"))
+    waiting = keyed.filter(in_tier(REVIEW)).join(disputed.select("subject", "canonical"), ["subject", "canonical"], "left_semi")
+    listed = waiting.groupBy("subject", "canonical").agg(F.count("*").alias("n_candidates"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ", ").alias("candidates"))
+    return disputed.join(listed, ["subject", "canonical"], "left").fillna({"n_candidates": 0, "candidates": ""})
+
+
 # Reasons against acceptance, in their order.
 REASONS = ["not_review_candidate", "source_missing", "source_analysis_incomplete", "previously_rejected_or_superseded", "insufficient_distinct_source_support", "single_valued_conflict", "stale_citation"]
 
@@ -64,41 +73,47 @@ def acceptance(keyed: DataFrame, jobs: DataFrame, events: DataFrame, functional:
     """id, status, support and reasons of every fact; no reasons means eligible.
 
     Support: distinct sources of review and engine facts of one value, without stale facts that need review and
-    without review facts that a rejection of the same value by the same source shadows; a fact supports itself.
-    A rival is any sourced review or engine fact with another value of the same single-valued relation.
-    Everything is grouped once per value or per subject and relation; facts are never paired.
+    without review facts of a source whose own fact of that value was superseded (a shadow; facts without a source
+    may shadow each other). A fact without a finished job is not analysed. A rival is any sourced review or engine
+    fact with another value of the same single-valued relation; shadows and staleness don't silence it.
+    Facts are grouped once by source and value; values, and the rivals of a subject, follow from these groups,
+    which hold flags and counts alone. Facts are never paired, and no list of supporters is kept.
     """
-    done = jobs.filter(F.col("status") == "done").select(F.col("id").alias("job_id"), F.lit(True).alias("job_done"))
+    done = jobs.filter(F.col("status") == "done").select(F.col("id").alias("job_id"), F.lit(True).alias("ready"))
     refused = events.filter(F.col("event_type") == "rejected").select(F.col("fact_id").alias("id")).distinct().withColumn("refused", F.lit(True))
-    f = keyed.join(done, "job_id", "left").join(refused, "id", "left").fillna(False, ["job_done", "refused"])
-    # A fact without a job is done with.
-    f = f.withColumn("ready", F.col("job_done") | F.col("job_id").isNull()).withColumn("refused", F.col("refused") | (F.col("status") == "superseded"))
+    f = keyed.join(done, "job_id", "left").join(refused, "id", "left").fillna(False, ["ready", "refused"])
     value = ["subject", "canonical", "okey"]
-    shadow = f.filter("refused and source_id is not null").select("source_id", *value).distinct().withColumn("shadow", F.lit(True))
-    f = f.join(shadow, ["source_id", *value], "left").fillna(False, ["shadow"])
-    live = F.col("source_id").isNotNull() & (in_tier(ENGINE) | in_tier(REVIEW))
-    counts = live & ~(F.col("stale") & (F.col("status") == "needs_review")) & ~(in_tier(REVIEW) & F.col("shadow"))
-    per_value = f.groupBy(*value).agg(
-        F.collect_set(F.when(counts, F.col("source_id"))).alias("supporters"),
-        F.max(F.when(counts, ~F.col("ready"))).alias("unready"),
-        F.max(live).alias("live"),
+    current = ~(F.col("stale") & (F.col("status") == "needs_review"))
+    told = lambda tier, c: F.coalesce(F.max(F.when(in_tier(tier) & current, c)), F.lit(False))
+    # One row a source and value. What its review facts add counts only where no superseded one shadows them.
+    by_source = f.groupBy("source_id", *value).agg(
+        F.max(F.col("status") == "superseded").alias("shadow"), F.max(in_tier(ENGINE) | in_tier(REVIEW)).alias("live"),
+        told(ENGINE, F.lit(True)).alias("engine"), told(REVIEW, F.lit(True)).alias("review"),
+        told(ENGINE, ~F.col("ready")).alias("engine_waits"), told(REVIEW, ~F.col("ready")).alias("review_waits"),
+    )
+    open_ = ~F.col("shadow")
+    sourced = by_source.filter("source_id is not null").select(
+        *value, "live", (F.col("engine") | (F.col("review") & open_)).alias("counted"), (F.col("engine_waits") | (F.col("review_waits") & open_)).alias("waits")
     )
-    rivals = per_value.filter("live").groupBy("subject", "canonical").agg(F.count("*").alias("live_values"))
-    at = f.join(per_value.drop("live"), value).join(rivals, ["subject", "canonical"], "left").join(functional.select(F.col("rel").alias("canonical"), F.lit(True).alias("single")), "canonical", "left")
-    own = F.when(F.col("source_id").isNotNull() & ~F.array_contains("supporters", F.coalesce("source_id", F.lit(-1))), 1).otherwise(0)
-    support = F.size("supporters") + own
-    others = F.col("live_values") - F.when(live, 1).otherwise(F.when(F.size("supporters") > 0, 1).otherwise(0))
+    per_value = sourced.groupBy(*value).agg(F.sum(F.col("counted").cast("long")).alias("support"), F.max("waits").alias("unready"), F.max("live").alias("value_live"))
+    rivals = per_value.filter("value_live").groupBy("subject", "canonical").agg(F.count("*").alias("live_values"))
+    shadows = by_source.filter("shadow").select(F.col("source_id").alias("s"), *[F.col(c).alias("s_" + c) for c in value])
+    at = f.join(shadows, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("subject") == F.col("s_subject")) & (F.col("canonical") == F.col("s_canonical")) & (F.col("okey") == F.col("s_okey")), "left")
+    at = at.withColumn("shadow", F.col("s_subject").isNotNull()).drop("s", *["s_" + c for c in value]).join(per_value, value, "left")
+    at = at.join(rivals, ["subject", "canonical"], "left").join(functional.select(F.col("rel").alias("canonical"), F.lit(True).alias("single")), "canonical", "left")
+    at = at.fillna(False, ["unready", "value_live"]).fillna(0, ["support", "live_values"])
+    others = F.col("live_values") - F.col("value_live").cast("long")
     no = [
         ~in_tier(REVIEW),
         F.col("source_id").isNull(),
-        ~F.col("ready") | F.coalesce("unready", F.lit(False)),
-        F.col("refused") | F.col("shadow"),
-        support < MIN_SOURCES,
+        ~F.col("ready") | F.col("unready"),
+        (F.col("status") == "superseded") | F.col("refused") | F.col("shadow"),
+        F.col("support") < MIN_SOURCES,
         F.coalesce("single", F.lit(False)) & (others > 0),
         F.col("stale") & (F.col("status") == "needs_review"),
     ]
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), r) for c, r in zip(no, REASONS, strict=True)]))
-    return at.select("id", "status", support.cast("long").alias("support"), F.array_join(reasons, ", ").alias("reasons"))
+    return at.select("id", "status", "support", F.array_join(reasons, ", ").alias("reasons"))
 
 
 def apply_acceptance(facts: DataFrame, judged: DataFrame) -> DataFrame:

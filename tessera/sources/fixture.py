@@ -18,7 +18,7 @@ SELECT event_id AS id, concat('user/', CAST(user_id % 50 AS STRING)) AS subject,
   CASE (event_id * 3 + user_id) % 10 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'accepted' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'confirmed' WHEN 4 THEN 'accepted'
        WHEN 5 THEN 'candidate' WHEN 6 THEN 'needs_review' WHEN 7 THEN 'candidate' WHEN 8 THEN 'superseded' ELSE 'candidate' END AS status,
   CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS confidence,
-  CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 100 END AS source_id,
+  CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 5 THEN -1 - event_id % 3 ELSE event_id % 100 END AS source_id,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 150 END AS job_id,
   event_id % 17 = 0 AS stale FROM events""",
     "kb_jobs": """
@@ -30,12 +30,28 @@ SELECT p_partkey AS id, p_partkey % 150 AS job_id, CAST(floor(p_partkey / 150) A
   CASE p_size % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'running' ELSE 'done' END AS status,
   CAST(p_size % 4 AS BIGINT) AS attempts FROM part""",
     "kb_evidence": """
-SELECT o_orderkey AS id, (o_orderkey * 7) % 10000 AS fact_id, o_custkey % 100 AS source_id,
+SELECT o_orderkey AS id, CAST(floor(o_orderkey * 2 / 3) AS BIGINT) AS fact_id, o_custkey % 100 AS source_id,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey % 40 END AS artifact_id, concat(o_orderpriority, ' ', o_orderstatus) AS snippet FROM orders""",
     "kb_events": """
-SELECT event_id AS id, (event_id * 3) % 10000 AS fact_id,
-  CASE event_id % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'rejected' WHEN 2 THEN 'auto_accept_applied' ELSE 'amended' END AS event_type,
-  CASE event_id % 3 WHEN 0 THEN 'system' WHEN 1 THEN 'human' ELSE 'rule' END AS actor FROM events WHERE event_id % 6 = 1""",
+SELECT event_id AS id, CAST(floor(event_id / 3) AS BIGINT) * 2 AS fact_id,
+  CASE (event_id + user_id) % 9 WHEN 0 THEN 'created' WHEN 1 THEN 'rejected' WHEN 2 THEN 'auto_accept_applied' WHEN 3 THEN 'amended' WHEN 4 THEN 'created'
+       WHEN 5 THEN 'auto_accept_applied' ELSE 'created' END AS event_type,
+  CASE user_id % 3 WHEN 0 THEN 'system' WHEN 1 THEN 'human' ELSE 'rule' END AS actor,
+  CASE (event_id * 5 + user_id) % 7 WHEN 0 THEN 'toggle' WHEN 1 THEN 'accept' WHEN 2 THEN 'reject' WHEN 3 THEN 'amend' WHEN 4 THEN 'toggle' ELSE 'accept' END AS action,
+  CASE user_id % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'confirmed' END AS observed FROM events""",
+    "kb_artifacts": """
+SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey * 3 AS BIGINT) AS source_id, CASE WHEN n_regionkey = 0 THEN 'original_text' ELSE 'extracted_text' END AS kind,
+  concat('artifacts/', n_name, '.txt') AS path FROM nation""",
+    "kb_terms": """
+SELECT fact_id, subject, rel, object, CASE WHEN fact_id % 19 = 4 THEN 'stale' ELSE sha2(concat(subject, chr(31), rel, chr(31), object), 256) END AS term_token
+FROM (SELECT id AS fact_id, concat('{"t":"string","v":"', subject, '"}') AS subject, concat('{"t":"string","v":"', relation, '"}') AS rel,
+  concat('{"t":"string","v":"', object, '"}') AS object FROM kb_facts WHERE object <> 'view')""",
+    "kb_repairs": """
+SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_nationkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
+  CASE WHEN c_nationkey % 4 = 1 THEN concat('worker-', CAST(c_custkey % 3 AS STRING)) END AS owner,
+  CASE WHEN c_nationkey % 4 = 1 THEN CAST(1000 + c_custkey % 60 AS BIGINT) END AS lease_until FROM customer""",
+    "kb_repair_items": """
+SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS BIGINT) AS job_id, CASE p_partkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' ELSE 'pending' END AS status FROM part""",
     "kb_alias": """
 SELECT * FROM (VALUES ('founded', 'established_on'), ('established', 'established_on'), ('born', 'born_on'), ('goal', 'purpose')) AS t(raw, canonical)""",
     "kb_functional": """
@@ -44,13 +60,15 @@ SELECT * FROM (VALUES ('established_on'), ('born_on'), ('died_on')) AS t(rel)"""
 SELECT DISTINCT f.subject, COALESCE(a.canonical, f.relation) AS rel, f.object
 FROM kb_facts f LEFT JOIN kb_alias a ON a.raw = f.relation WHERE f.status IN ('accepted', 'confirmed')""",
 }
-BASE_TABLES = {"kb_sources": ["supplier"], "kb_facts": ["events"], "kb_jobs": ["customer"], "kb_chunks": ["part"], "kb_evidence": ["orders"], "kb_events": ["events"]}
+BASE_TABLES = {"kb_sources": ["supplier"], "kb_facts": ["events"], "kb_jobs": ["customer"], "kb_chunks": ["part"], "kb_evidence": ["orders"], "kb_events": ["events"], "kb_terms": ["events"], "kb_artifacts": ["nation"], "kb_repairs": ["customer"], "kb_repair_items": ["part"]}
 ALIASES = {"founded": "established_on", "established": "established_on", "born": "born_on", "goal": "purpose"}
 
 
 def kb(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables kb_sources, kb_facts, kb_jobs, kb_chunks, kb_evidence, kb_events, kb_alias, kb_functional."""
+    """One of the projected tables, over the driver's tables of a folder."""
     text = VIEWS[name]
+    if "FROM kb_facts" in text:
+        text = f"WITH kb_facts AS ({VIEWS['kb_facts']}) {text}"
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE_TABLES.get(name, [])}
     for t in frames:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")
@@ -59,8 +77,9 @@ def kb(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql(query: str) -> str:
     """A DuckDB query over the tables above."""
-    ctes = ",\n".join(f"{n} AS ({q.replace('AS STRING', 'AS VARCHAR')})" for n, q in VIEWS.items())
+    other = lambda q: q.replace("AS STRING", "AS VARCHAR").replace("sha2(", "sha256(").replace(", 256)", ")")
+    ctes = ",\n".join(f"{n} AS ({other(q)})" for n, q in VIEWS.items())
     body = query.strip()
     if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return f"WITH RECURSIVE {ctes},\n{body[5:]}"
+    return f"WITH RECURSIVE {ctes}\n{body}"

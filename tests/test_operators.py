@@ -80,13 +80,20 @@ def test_typed_twins_are_no_conflict(spark):
 
 
 def test_acceptance_reasons(spark):
-    f = facts(spark, [("a", "r", "x", "candidate", 1), ("a", "r", "x", "candidate", 2), ("b", "r", "x", "candidate", 1), ("c", "r", "x", "candidate", None), ("d", "r", "x", "accepted", 5)])
-    jobs = spark.createDataFrame([], "id long, status string")
+    rows = [
+        ("a", "r", "x", "candidate", 1), ("a", "r", "x", "candidate", 2), ("b", "r", "x", "candidate", 1), ("c", "r", "x", "candidate", None), ("d", "r", "x", "accepted", 5),
+        ("e", "r", "x", "candidate", 1), ("e", "r", "x", "confirmed", 2), ("e", "r", "x", "superseded", 1), ("f", "s", "x", "candidate", 1), ("f", "s", "x", "candidate", 2), ("f", "s", "y", "candidate", 3),
+        ("g", "r", "x", "candidate", 1), ("g", "r", "x", "candidate", 2),
+    ]
+    f = facts(spark, rows).withColumn("job_id", F.when(F.col("subject") == "g", None).otherwise(1).cast("long"))
+    jobs = spark.createDataFrame([(1, "done")], "id long, status string")
     events = spark.createDataFrame([], "fact_id long, event_type string")
-    functional = spark.createDataFrame([], "rel string")
-    got = {r["id"]: r["reasons"] for r in trust.acceptance(trust.with_keys(f, pf.alias_frame(spark, {})), jobs, events, functional).collect()}
-    assert got[1] == got[2] == "" and got[3] == "insufficient_distinct_source_support"
-    assert got[4] == "source_missing, insufficient_distinct_source_support" and got[5].startswith("not_review_candidate")
+    functional = spark.createDataFrame([("s",)], "rel string")
+    got = {r["id"]: (r["support"], r["reasons"]) for r in trust.acceptance(trust.with_keys(f, pf.alias_frame(spark, {})), jobs, events, functional).collect()}
+    assert got[1] == got[2] == (2, "") and got[3] == (1, "insufficient_distinct_source_support")
+    assert got[4] == (0, "source_missing, insufficient_distinct_source_support") and got[5][1].startswith("not_review_candidate")
+    assert got[6] == (1, "previously_rejected_or_superseded, insufficient_distinct_source_support") and got[8][0] == 1
+    assert got[9] == (2, "single_valued_conflict") and got[12] == (2, "source_analysis_incomplete")
 
 
 def test_decisions_fold_in_order(spark):
