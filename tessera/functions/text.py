@@ -39,6 +39,12 @@ def compact(c: Column) -> Column:
     return _each(lambda x: _SEPARATORS.sub("", unicodedata.normalize("NFKC", x)).casefold())(c)
 
 
+def compact_all(c: Column) -> Column:
+    """compact() of every text of an array."""
+    one = lambda x: _SEPARATORS.sub("", unicodedata.normalize("NFKC", x)).casefold()
+    return F.pandas_udf(lambda s: s.map(lambda xs: [one(x) for x in xs], na_action="ignore"), "array<string>")(c)
+
+
 def escape(c: Column) -> Column:
     """Line makers, control characters and bidi marks as escapes."""
     return _each(terms.escape)(c)
@@ -83,12 +89,41 @@ def sanitize(c: Column) -> Column:
     return F.struct(F.replace(c, nul, F.lit("�")).alias("text"), F.coalesce(F.length(c) - F.length(F.replace(c, nul, F.lit(""))), F.lit(0)).alias("nulls"))
 
 
-# Roles and the length of names that fused Korean text joins.
-ROLES = "대표이사|대표|CTO|CEO|CFO|담당자|발표자|총괄"
-NAME = "[가-힣]{2,5}"
+# Roles that fused Korean text joins to a name, longer ones first, and the length of such names.
+ROLES = ["대표이사", "대표", "CTO", "CEO", "CFO", "담당자", "발표자", "총괄"]
+SHORTEST, LONGEST = 2, 5
+
+
+def _syllables(text: str, at: int, step: int) -> int:
+    """How many of LONGEST characters from at on, forward or back, are Hangul syllables, up to the first that isn't."""
+    n = 0
+    while n < LONGEST and 0 <= at < len(text) and "가" <= text[at] <= "힣":
+        n, at = n + 1, at + step
+    return n
+
+
+def split_fused(text: str) -> str:
+    """A name fused with the role behind or before it gets a blank between, with the original in brackets."""
+    out, at, kept = [], 0, 0
+    while at < len(text):
+        role = next((r for r in ROLES if text.startswith(r, at)), None)
+        end = at + len(role) if role else at
+        before = min(_syllables(text, at - 1, -1), at - kept) if role else 0
+        after = _syllables(text, end, 1) if role else 0
+        if role and before >= SHORTEST and not after:
+            out += [text[kept : at - before], f"{text[at - before : at]} {role} (원문: {text[at - before : end]})"]
+            at = kept = end
+        elif role and after >= SHORTEST and not _syllables(text, at - 1, -1):
+            out += [text[kept:at], f"{role} {text[end : end + after]} (원문: {text[at : end + after]})"]
+            at = kept = end + after
+        else:
+            at += 1
+    return "".join(out) + text[kept:]
 
 
 def split_roles(c: Column) -> Column:
-    """Separates fused name and role, keeping the original in brackets."""
-    after = F.regexp_replace(c, f"({NAME})({ROLES})(?![가-힣])", "$1 $2 (원문: $0)")
-    return F.regexp_replace(after, f"(?<![가-힣])({ROLES})({NAME})", "$1 $2 (원문: $0)")
+    """Separates fused name and role, keeping the original in brackets; texts without a role stay as they are."""
+    held = F.lit(False)
+    for role in ROLES:
+        held = held | F.contains(c, F.lit(role))
+    return F.when(held, _each(split_fused)(c)).otherwise(c)

@@ -55,7 +55,9 @@ COPULAS = ["입니다", "이다", "임", "있습니다", "없습니다", "합니
 TYPED_FUNCTORS = ["amount", "date", "number", "ordinal"]
 UNITS_ALONE = ["%", "％", "건", "개", "곳", "명", "년", "원", "조", "억", "만"]
 ROLE_RELATIONS = ["역할", "직책", "직위", "직함", "대표", "대표이사", "role", "title", "position"]
-METRIC = r"(?:[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:%|％|명|곳|건|년|개|원|조|억|만))"
+ROLE_CUES = ["원문:", "대표", "대표이사", "CTO", "CEO", "CFO", "담당자", "발표자", "총괄", "소속"]
+#: A measure: a digit of any script, perhaps commas and blanks, then a unit.
+METRIC = r"\p{Nd},*\s*(?:" + "|".join(UNITS_ALONE) + ")"
 RECORD_END = r"[\n\r]+|[。.!?;；]"
 PLACEHOLDER_LABELS = ["column", "field", "metadata", "row", "source", "value"]
 HANGUL, HAN, ASCII_LABEL = r"[가-힣]", r"[㐀-䶿一-鿿豈-﫿]+", r"^[A-Za-z0-9_ -]+$"
@@ -81,16 +83,37 @@ def extraction_filters(items: DataFrame, aliases: dict[str, str]) -> DataFrame:
     han = korean & (foreign(F.col("subject")) | foreign(F.col("canonical")) | foreign(F.col("object")))
     known = sorted({"value", *[c.lower() for c in aliases.values()]})
     packed = at.withColumn("__text", text.compact(F.col("source_text"))).withColumn("__rel", text.compact(F.col("canonical"))).withColumn("__subject", text.compact(F.col("subject")))
+    # A measure's records: those of the source that hold its object, or else its relation.
+    packed = packed.withColumn("__object", text.compact(F.col("object"))).withColumn("__label", text.compact(F.col("relation"))).withColumn("__records", text.compact_all(F.split("source_text", RECORD_END)))
     ascii_rel = korean & ~F.lower("canonical").isin(*known) & F.rlike("canonical", F.lit(ASCII_LABEL)) & ~F.contains("__text", F.col("__rel"))
-    records = F.split("source_text", RECORD_END)
-    backed = F.exists(records, lambda r: F.contains(r, obj) & F.contains(r, F.trim("subject")) | F.contains(r, rel) & F.contains(r, F.trim("subject")))
+    holds = lambda rec, c: (F.col(c) != "") & F.contains(rec, F.col(c))
+    backed = F.exists("__records", lambda rec: (holds(rec, "__object") | holds(rec, "__label")) & F.contains(rec, F.col("__subject")))
     metric = F.rlike("object", F.lit(METRIC)) & ((F.col("__subject") == "") | ~backed)
     bridge = plain("relation") & F.lower("canonical").isin(*BRIDGES) & ((F.col("subject_kind") == "term") | (F.col("object_kind") == "term"))
     dropped = (
         F.when(F.col("__shape"), "bad_shape").when(bridge, "bridge").when(F.col("__reversed"), "reversed_role").when(han, "unbacked_han").when(ascii_rel, "unbacked_ascii").when(metric, "unsupported_metric")
     )
     out = packed.withColumn("dropped", dropped).withColumn("relation", F.when(plain("relation") & rel.isin(*KEY_VALUE), "value").otherwise(F.col("relation")))
-    return out.drop("__shape", "__role", "__obj", "__batch", "__bearer", "__reversed", "__text", "__rel", "__subject")
+    return out.drop("__shape", "__role", "__obj", "__batch", "__bearer", "__reversed", "__text", "__rel", "__subject", "__object", "__label", "__records")
+
+
+def low_signal(label: str = "relation"):
+    """Whether a relation label says too little to be shown as a discovery: null, blank or a placeholder."""
+    name = F.lower(F.trim(text.nfc(F.col(label))))
+    return F.coalesce((name == "") | name.isin(*PLACEHOLDER_LABELS), F.lit(True))
+
+
+def renamed(facts: DataFrame) -> DataFrame:
+    """Facts whose relation an alias renamed."""
+    return facts.filter(F.col("relation") != F.col("canonical"))
+
+
+def needs_role_pass(column: str = "text"):
+    """Whether a chunk names roles, and so gets a second extraction pass for them."""
+    cue = F.lit(False)
+    for c in ROLE_CUES:
+        cue = cue | F.contains(F.col(column), F.lit(c))
+    return F.coalesce(cue, F.lit(False))
 
 
 TOKEN = re.compile(r"[A-Za-z0-9_]{2,}|[㐀-鿿豈-﫿가-힣]+")
@@ -120,8 +143,10 @@ def excerpt_search(docs: DataFrame, question: str, top: int = MOST_EXCERPTS) ->
     def find(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([best_excerpt(x, tokens) if isinstance(x, str) else ("", 0) for x in s], columns=["excerpt", "score"])
 
-    hit = F.lit(False)
-    for t in tokens:  # only texts with a token reach Python
+    # Only texts that may hold a token reach Python: ASCII ones by lower(), which folds them; others in any case,
+    # as letters such as the sharp s fold to others.
+    hit = F.rlike("text", F.lit(r"[^\x00-\x7F]"))
+    for t in tokens:
         hit = hit | F.contains(F.lower("text"), F.lit(t))
     found = docs.filter(hit).select("doc_id", F.pandas_udf(find, "excerpt string, score long")("text").alias("e"))
     return found.select("doc_id", "e.score", "e.excerpt").filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(top)
@@ -130,5 +155,6 @@ def excerpt_search(docs: DataFrame, question: str, top: int = MOST_EXCERPTS) ->
 def mentioned_facts(facts: DataFrame, question: str, top: int = 8) -> DataFrame:
     """Facts whose subject or object occurs in the question, the oldest first; top is the report's size."""
     q = F.lit(unicodedata.normalize("NFC", question).casefold())
-    named = lambda c: F.contains(q, F.lower(c)) & (F.length(c) > 0)
+    folded = lambda c: F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), text.fold(F.col(c))).otherwise(F.lower(c))
+    named = lambda c: F.contains(q, folded(c)) & (F.length(c) > 0)
     return facts.filter(named("subject") | named("object")).orderBy("id").limit(top)

@@ -225,15 +225,18 @@ class Report:
         return "\n".join([*lines, *[f"ANSWER q{q}: {a}" for q, a in self.answers.items()]])
 
 
-def run_check(relation: DataFrame, policy: str, query: str = "") -> Report:
+def run_check(relation: DataFrame, policy: str, query: str = "", rows: DataFrame | None = None) -> Report:
     """Evaluates policy and query over a relation frame. A program that cannot run is an error of the report.
-    The report itself is on the driver: it is as large as what the rules found."""
+    The report itself is on the driver: it is as large as what the rules found. rows: see annotate()."""
     try:
         program = parse_program(policy + "\n" + query)
         frames = evaluate(program, relation)
     except DatalogError as e:
         return Report(False, [f"ERROR engine: {e}"], [], {}, [])
-    found = findings(program, frames).distinct().collect()
+    found = findings(program, frames).distinct()
+    if rows is not None:
+        found = annotate(found, rows).withColumn("text", F.concat_ws(" ", "text", "note"))
+    found = found.collect()
     errors = sorted({r["text"] for r in found if r["severity"] == "ERROR"})
     warnings = sorted({r["text"] for r in found if r["severity"] == "WARN"} | {f"WARN dead_rule: {r['label']}" for r in dead_labels(program, relation).collect()})
     said = {r["qid"]: r["answer"] for r in answers(program, frames).collect()}
@@ -264,6 +267,84 @@ def check_query(query: str, relation: DataFrame, own: str | None = None) -> str
     return None
 
 
+def functional_relations(text: str) -> set[str]:
+    """Labels that a policy text declares functional, by the look of its lines alone: also of a text that does
+    not parse, and of lines switched off by a comment."""
+    out = set()
+    for piece in text.split('functional("')[1:]:
+        label, quote, rest = piece.partition('"')
+        if quote and rest.lstrip().startswith(")") and rest.lstrip()[1:].lstrip().startswith("."):
+            out.add(label)
+    return out
+
+
+def review_rules(program: Program) -> int:
+    """How many rules derive findings."""
+    return sum(r.head.name.startswith(tuple(PREFIXES)) for r in program.rules)
+
+
+CONFLICT, CONFLICT_COLUMNS = "functional_conflict", ["subject", "rel"]
+
+
+def annotate(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """findings with note: for the conflict rule, whose columns are known, the facts behind a relation that an
+    alias renamed, as (label #id=value, ...) by id; null for all else.
+
+    rows: id, subject, relation, canonical, object of engine facts. They are matched by position and value, never
+    by a finding's text. A note lists the facts of one subject and relation: it is for a person to read.
+    """
+    known = (F.col("code") == CONFLICT) & (F.col("columns") == F.array(*map(F.lit, CONFLICT_COLUMNS)))
+    part = F.struct("id", F.concat("relation", F.lit(" #"), F.col("id").cast("string"), F.lit("="), "object").alias("part"))
+    notes = rows.groupBy("subject", "canonical").agg(F.max(F.col("relation") != F.col("canonical")).alias("renamed"), F.array_sort(F.collect_list(part)).alias("parts"))
+    shown = notes.filter("renamed").select("subject", "canonical", F.concat(F.lit("("), F.array_join(F.transform("parts", lambda p: p["part"]), ", "), F.lit(")")).alias("note"))
+    at = found.join(shown, known & (F.get("values", F.lit(0)) == F.col("subject")) & (F.get("values", F.lit(1)) == F.col("canonical")), "left")
+    return at.drop("subject", "canonical")
+
+
+def verify(rows: DataFrame, policy_text: str | None, recorded: bool, query: str = "", default: str | None = None) -> Report:
+    """The check of a knowledge base: its policy's state first, then facts, rules and query, then notes and warnings.
+
+    rows: id, subject, relation, canonical, object of engine facts. A policy that is gone or empty is the report's
+    one error. A default policy that ran because none was recorded, and a policy without rules that review
+    anything, are warnings: such a check says nothing of the knowledge base.
+    """
+    from ..sources.policy_files import PRESENT, PolicyError, policy_state, runnable_policy
+
+    try:
+        policy, warnings = runnable_policy(policy_text, recorded, default or DEFAULT_POLICY)
+    except PolicyError as e:
+        return Report(False, [f"ERROR policy: {e}"], [], {}, [])
+    relation = base_relation(rows.select("subject", F.col("canonical").alias("relation"), "object"))
+    report = run_check(relation, policy, query, rows)
+    if policy_state(policy_text, recorded) == PRESENT and not report.errors and not review_rules(parse_program(policy)):
+        warnings = [*warnings, "WARN policy_no_review_rules: the policy has no rule that reviews facts"]
+    report.warnings = [*warnings, *report.warnings]
+    return report
+
+
+class InferenceCache:
+    """Keeps the base relation of the last check while its fingerprint stays the same; what rules derive is new
+    in every run. The relation is a saved table below a folder that driver and executors share."""
+
+    def __init__(self, folder: str):
+        self.folder, self.key, self.kept = folder, None, None
+
+    def relation(self, facts: DataFrame) -> DataFrame:
+        """The relation frame of subject, relation, object strings."""
+        key = tuple(fingerprint(facts.select("subject", F.col("relation").alias("rel"), "object")).first())
+        if key != self.key:
+            path = f"{self.folder}/relation-{key[0]}-{key[1]}"
+            base_relation(facts).write.mode("overwrite").parquet(path)
+            self.key, self.kept = key, facts.sparkSession.read.parquet(path)
+        return self.kept
+
+
+def fingerprint(relation: DataFrame) -> DataFrame:
+    """One row, n and digest, that tells sets of subject, rel, object apart: equal sets have equal rows."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("\u001f", "subject", "rel", "object").cast("binary")), 1, 15), 16, 10).cast("long")
+    return relation.select("subject", "rel", "object").distinct().agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(digest), F.lit(0)).alias("digest"))
+
+
 #: A policy of our own: single-valued dates, and the class vocabulary as a comment to switch on.
 DEFAULT_POLICY = """
 .decl relation(subject: symbol, rel: symbol, object: symbol)
@@ -273,4 +354,8 @@ functional("established_on").
 functional("born_on").
 functional("died_on").
 error_functional_conflict(S, R) :- functional(R), relation(S, R, A), relation(S, R, B), A != B.
+// .decl class(object: symbol, kind: symbol)
+// class("company", "organisation").
+// .decl warn_unknown_class(subject: symbol, object: symbol)
+// warn_unknown_class(S, O) :- relation(S, "is_a", O), class(O, "unknown").
 """
