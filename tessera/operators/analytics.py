@@ -91,11 +91,18 @@ def clamp_page(page: int, total: int, size: int) -> int:
     return min(max(page, 1), max(1, -(-total // size)))
 
 
-def evidence_view(evidence: DataFrame, sources: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Evidence with its source, and its artifact's newest job where there is one."""
+def evidence_view(evidence: DataFrame, sources: DataFrame, artifacts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Evidence with its source's path, and its artifact's path and chunk's place where there are such."""
     s = sources.select(F.col("id").alias("source_id"), "path")
-    j = jobs.groupBy("artifact_id").agg(F.max("id").alias("job_id"))
-    return evidence.join(s, "source_id").join(j, "artifact_id", "left").select("id", "fact_id", "path", "artifact_id", "job_id", "snippet")
+    a = artifacts.select(F.col("id").alias("artifact_id"), F.col("path").alias("artifact_path"))
+    c = chunks.select(F.col("id").alias("chunk_id"), "chunk_index")
+    at = evidence.join(s, "source_id").join(a, "artifact_id", "left").join(c, "chunk_id", "left")
+    return at.select("id", "fact_id", "path", "artifact_id", "artifact_path", "chunk_index", "snippet")
+
+
+def review_ids(facts: DataFrame, sources: DataFrame, order: str = "newest") -> DataFrame:
+    """The ids of the whole review queue in its order."""
+    return with_source(facts.filter(in_tier(REVIEW)), sources).orderBy(*_order(order)).select("id")
 
 
 def distinct_with_events(events: DataFrame, types: list[str]) -> DataFrame:
@@ -153,13 +160,16 @@ def plan_extraction(jobs: DataFrame, chunks: DataFrame, budget: int = 3) -> Data
 
 
 def schema_profile(relation: DataFrame, examples: int = 3) -> DataFrame:
-    """Each relation's facts, distinct subjects and objects, and its most frequent objects as examples."""
+    """Each relation's facts, distinct subjects and objects, and the most frequent of both as examples."""
     sizes = relation.groupBy("rel").agg(F.count("*").alias("facts"), F.count_distinct("subject").alias("subjects"), F.count_distinct("object").alias("objects"))
-    counts = relation.groupBy("rel", "object").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("rel").orderBy(F.desc("n"), "object"))
-    top = counts.withColumn("k", rank).filter(F.col("k") <= examples)
-    shown = top.groupBy("rel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "object"))), lambda x: x["object"]), ", ").alias("examples"))
-    return sizes.join(shown, "rel").withColumn("truncated", F.col("objects") > examples)
+    rank = F.row_number().over(Window.partitionBy("rel").orderBy(F.desc("n"), "label"))
+
+    def shown(column: str, name: str) -> DataFrame:
+        top = relation.groupBy("rel", F.col(column).alias("label")).agg(F.count("*").alias("n")).withColumn("k", rank).filter(F.col("k") <= examples)
+        return top.groupBy("rel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]), ", ").alias(name))
+
+    at = sizes.join(shown("subject", "subject_examples"), "rel").join(shown("object", "object_examples"), "rel")
+    return at.withColumn("truncated", F.greatest("objects", "subjects") > examples)
 
 
 def vocabulary(relation: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ENGINE, REVIEW, SNIPPET_CHARS, in_tier
@@ -15,13 +15,70 @@ def token(subject="subject", relation="relation", obj="object"):
 
 
 def check_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
-    """(id, problem) of engine facts whose stored terms are missing or have another token."""
-    t = term_rows.select(F.col("fact_id"), token("subject", "rel", "object").alias("now"), F.col("term_token").alias("kept"))
-    at = facts.filter(in_tier(ENGINE)).join(t, facts["id"] == F.col("fact_id"), "left")
-    problem = F.when(F.col("fact_id").isNull(), "missing").when(~F.col("term_token").eqNullSafe(F.col("kept")) | (F.col("now") != F.col("kept")), "token_mismatch")
+    """(id, problem) of engine facts whose stored terms are missing or have another token than they should."""
+    t = term_rows.select("fact_id", token("subject", "rel", "object").alias("now"), F.col("term_token").alias("kept"))
+    at = facts.filter(in_tier(ENGINE)).select("id").join(t, F.col("id") == F.col("fact_id"), "left")
+    problem = F.when(F.col("fact_id").isNull(), "missing").when(~F.col("now").eqNullSafe(F.col("kept")), "token_mismatch")
     return at.select("id", problem.alias("problem")).filter("problem is not null")
 
 
+def engine_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """id and the three stored terms of engine facts whose terms are whole. check_terms() names the others: an
+    action over facts first asks that there are none, or fills in what is missing."""
+    whole = term_rows.filter(token("subject", "rel", "object") == F.col("term_token")).select(F.col("fact_id").alias("id"), "subject", "rel", "object")
+    return facts.filter(in_tier(ENGINE)).select("id").join(whole, "id")
+
+
+def backfill_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """Rows of term_rows for the engine facts without any, from their display labels as strings."""
+    from ..functions import text
+
+    bare = facts.filter(in_tier(ENGINE)).select(F.col("id").alias("fact_id"), "subject", "relation", "object").join(term_rows.select("fact_id"), "fact_id", "left_anti")
+    # Labels with quotes, backslashes or beyond ASCII need the general encoder; no Python sees the others.
+    slot = lambda c: F.when(F.rlike(c, F.lit(r'^[\x20-\x21\x23-\x5B\x5D-\x7E]*$')), text.string_term(F.col(c))["v"]).otherwise(text.slot(F.lit("string"), F.col(c))["v"])
+    made = bare.select("fact_id", slot("subject").alias("subject"), slot("relation").alias("rel"), slot("object").alias("object"))
+    return made.withColumn("term_token", token("subject", "rel", "object"))
+
+
+def terms_by_ids(term_rows: DataFrame, ids: list[int]) -> DataFrame:
+    """The rows of the facts asked for, each once; unknown ids are left out. ids are the caller's own list."""
+    return term_rows.filter(F.col("fact_id").isin(*set(ids))) if ids else term_rows.limit(0)
+
+
+def lookup(table: DataFrame, **keys) -> DataFrame:
+    """The rows with these values, as of one id or path; null is a value like others."""
+    for name, value in keys.items():
+        table = table.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return table
+
+
+def upsert_sources(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """path, kind, id and action of incoming sources (path, kind), each path once: insert, keep or change of kind.
+    Of several kinds for one path the least counts."""
+    fresh = incoming.groupBy("path").agg(F.min("kind").alias("kind"))
+    at = fresh.join(stored.select("path", F.col("kind").alias("had"), "id"), "path", "left")
+    return at.select("path", "kind", "id", F.when(F.col("had").isNull(), "insert").when(F.col("had") == F.col("kind"), "keep").otherwise("change").alias("action"))
+
+
+def nfc_plan(labels: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """id, column, before, after of every label that is not in NFC. Applying it and taking it back are one join."""
+    from ..functions import text
+
+    long = labels.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("before")) for c in columns])).alias("x")).select("id", "x.*")
+    odd = long.filter(F.rlike("before", F.lit(r"[^\x00-\x7F]")))
+    return odd.withColumn("after", text.nfc(F.col("before"))).filter("before <> after")
+
+
+def nfc_apply(labels: DataFrame, plan: DataFrame, columns: tuple[str, ...], back: bool = False) -> DataFrame:
+    """labels with the plan's changes made, or taken back; a label that changed meanwhile is left alone."""
+    old, new = ("after", "before") if back else ("before", "after")
+    for c in columns:
+        step = plan.filter(F.col("column") == c).select(F.col("id").alias("__id"), F.col(old).alias("__old"), F.col(new).alias("__new"))
+        at = labels.join(step, (F.col("id") == F.col("__id")) & (F.col(c) == F.col("__old")), "left")
+        labels = at.withColumn(c, F.coalesce("__new", c)).drop("__id", "__old", "__new")
+    return labels
+
+
 def staleness_sweep(facts: DataFrame, jobs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Ids of engine facts that the newest complete analysis of their source no longer cites.
 
@@ -55,44 +112,41 @@ def reconcile(incoming: DataFrame, facts: DataFrame) -> DataFrame:
     return at.select(*k, action.alias("action"), F.coalesce("live_id", "any_id").alias("fact_id"))
 
 
+def suppressions(reconciled: DataFrame) -> DataFrame:
+    """One event for each superseded fact that a run saw again: nothing was inserted, and it says so."""
+    hit = reconciled.filter(F.col("action") == "suppress").select("fact_id", "source_id").distinct()
+    return hit.select("fact_id", "source_id", F.lit("reextraction_suppressed").alias("event_type"), F.lit("system").alias("actor"))
+
+
+def batch_summary(reconciled: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_id, path and the facts a run inserted of each source it saw, those with none included."""
+    n = reconciled.groupBy("source_id").agg(F.sum((F.col("action") == "insert").cast("long")).alias("inserted"))
+    return n.join(sources.select(F.col("id").alias("source_id"), "path"), "source_id").select("source_id", "path", "inserted")
+
+
+def seen_again(facts: DataFrame, observed: DataFrame) -> DataFrame:
+    """facts with stale cleared where a fact_id of observed is seen again."""
+    seen = observed.select(F.col("fact_id").alias("__seen")).distinct()
+    at = facts.join(seen, F.col("id") == F.col("__seen"), "left")
+    return at.withColumn("stale", F.col("stale") & F.col("__seen").isNull()).drop("__seen")
+
+
 def reobserve(observed: DataFrame, evidence: DataFrame) -> DataFrame:
     """(fact_id, artifact_id) pairs seen now that have no evidence yet."""
     k = ["fact_id", "artifact_id"]
     return observed.select(*k).distinct().join(evidence.select(*k).distinct(), k, "left_anti")
 
 
-def fold_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(id, status, applied) after an ordered stream of decisions on each fact.
-
-    decisions: id, fact_id, action (toggle, accept, reject), observed (optional status seen when deciding).
-    They apply in order of id: a decision whose observed status no longer holds does nothing, and nothing leaves
-    superseded. applied counts the real changes. One fact's decisions are one group.
-    """
-    per = decisions.groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("id", "action", "observed"))).alias("ds"))
-
-    def step(acc, d):
-        now = acc["status"]
-        review, engine = in_tier(REVIEW, now), in_tier(ENGINE, now)
-        to = (
-            F.when((now == "superseded") | (d["observed"].isNotNull() & (d["observed"] != now)), now)
-            .when(d["action"] == "reject", "superseded")
-            .when((d["action"] == "toggle") & engine, "needs_review")
-            .when(d["action"].isin("toggle", "accept") & review, "confirmed")
-            .otherwise(now)
-        )
-        return F.struct(to.alias("status"), (acc["applied"] + (to != now).cast("long")).alias("applied"))
-
-    at = facts.select("id", "status").join(per, facts["id"] == F.col("fact_id"), "left")
-    start = F.struct(F.col("status"), F.lit(0).cast("long").alias("applied"))
-    out = F.when(F.col("ds").isNull(), start).otherwise(F.aggregate("ds", start, step))
-    return at.select("id", out.alias("r")).select("id", "r.status", "r.applied")
-
-
 def merge_identities(sources: DataFrame) -> DataFrame:
     """(id, kept_id) of sources whose normalised path, given as npath, occurs more than once with one kind."""
-    w = Window.partitionBy("npath")
-    at = sources.withColumn("n", F.count("*").over(w)).withColumn("kinds", F.size(F.collect_set("kind").over(w))).withColumn("kept_id", F.min("id").over(w))
-    return at.filter("n > 1 and kinds = 1 and id <> kept_id").select("id", "kept_id")
+    groups = sources.groupBy("npath").agg(F.count("*").alias("n"), F.min("kind").alias("one"), F.max("kind").alias("other"), F.min("id").alias("kept_id"))
+    return sources.join(groups.filter("n > 1 and one = other"), "npath").filter("id <> kept_id").select("id", "kept_id")
+
+
+def repoint(table: DataFrame, merges: DataFrame, column: str = "source_id") -> DataFrame:
+    """The table with references to merged sources led to the one kept."""
+    m = merges.select(F.col("id").alias("__from"), F.col("kept_id").alias("__to"))
+    return table.join(m, F.col(column) == F.col("__from"), "left").withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
 
 
 def reanalyze_clear(facts: DataFrame, source_id: int) -> DataFrame:
@@ -110,7 +164,3 @@ def anchor_evidence(evidence: DataFrame) -> DataFrame:
     """The first evidence of each fact at each artifact, snippets cut to their bound."""
     first = evidence.groupBy("fact_id", "artifact_id").agg(F.min_by(F.struct("id", "source_id", "snippet"), "id").alias("e"))
     return first.select("fact_id", "artifact_id", F.col("e.id").alias("id"), F.col("e.source_id").alias("source_id"), F.substring("e.snippet", 1, SNIPPET_CHARS).alias("snippet"))
-
-
-def expired_leases(repairs: DataFrame, now) -> DataFrame:
-    return repairs.filter((F.col("status") == "running") & (F.col("lease_until") < F.lit(now)))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..datalog import parse_program
 from ..functions import text, typed
 from ..operators import analytics as an
 from ..operators import documents as dx
-from ..operators import engine, questions, store, trust
+from ..operators import engine, lifecycle, planner, questions, store, trust
+from ..operators.intents import check_intent
 from ..schema import ENGINE, REVIEW, broken_facts, in_tier
 from ..sources.fixture import ALIASES, kb, sql
 from ..sources.policy_files import canonicalize
@@ -125,10 +130,32 @@ def facts_by_ids(spark, sf_dir):
     return an.facts_by_ids(*tables(spark, sf_dir, "facts"), [7, 3, 7, 123456789, 11]).select("pos", "id", "subject", "object")
 
 
-@query("""SELECT e.id, e.fact_id, s.path, e.artifact_id, j.job_id, e.snippet FROM kb_evidence e JOIN kb_sources s ON s.id = e.source_id
-LEFT JOIN (SELECT artifact_id, max(id) AS job_id FROM kb_jobs GROUP BY 1) j ON j.artifact_id = e.artifact_id""")
+@query("""SELECT e.id, e.fact_id, s.path, e.artifact_id, a.path AS artifact_path, c.chunk_index, e.snippet FROM kb_evidence e JOIN kb_sources s ON s.id = e.source_id
+LEFT JOIN kb_artifacts a ON a.id = e.artifact_id LEFT JOIN kb_chunks c ON c.id = e.chunk_id""")
 def evidence_view(spark, sf_dir):
-    return an.evidence_view(*tables(spark, sf_dir, "evidence", "sources", "jobs"))
+    return an.evidence_view(*tables(spark, sf_dir, "evidence", "sources", "artifacts", "chunks"))
+
+
+@query("SELECT id, subject, relation, object, status FROM kb_facts WHERE id = 17")
+def fact_lookup(spark, sf_dir):
+    return store.lookup(*tables(spark, sf_dir, "facts"), id=17).select("id", "subject", "relation", "object", "status")
+
+
+@query("SELECT s.id, s.path, s.kind, a.id AS artifact_id FROM kb_sources s LEFT JOIN kb_artifacts a ON a.source_id = s.id WHERE s.path = (SELECT min(path) FROM kb_sources)")
+def source_lookup(spark, sf_dir):
+    sources, artifacts = tables(spark, sf_dir, "sources", "artifacts")
+    path = sources.agg(F.min("path")).first()[0]
+    return store.lookup(sources, path=path).join(artifacts.select(F.col("id").alias("artifact_id"), "source_id"), F.col("id") == F.col("source_id"), "left").select("id", "path", "kind", "artifact_id")
+
+
+@query("SELECT j.id, j.status, s.path AS source_path, a.path AS artifact_path FROM kb_jobs j JOIN kb_sources s ON s.id = j.source_id LEFT JOIN kb_artifacts a ON a.id = j.artifact_id")
+def job_listing(spark, sf_dir):
+    return lifecycle.job_listing(*tables(spark, sf_dir, "jobs", "sources", "artifacts"))
+
+
+@query("SELECT f.id FROM kb_facts f LEFT JOIN kb_sources s ON s.id = f.source_id WHERE f.status IN ('candidate', 'needs_review')")
+def review_ids(spark, sf_dir):
+    return an.review_ids(*tables(spark, sf_dir, "facts", "sources"), "source")
 
 
 def _page(order, by, page=2):
@@ -346,9 +373,10 @@ def report_excluded_by_status(spark, sf_dir):
     return an.count_by(tables(spark, sf_dir, "facts")[0].filter(~in_tier(ENGINE)), "status")
 
 
-@query("""WITH o AS (SELECT rel, object, count(*) AS n, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, object) AS k FROM kb_relation GROUP BY 1, 2)
-SELECT r.rel, count(*) AS facts, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects,
-  (SELECT string_agg(object, ', ' ORDER BY k) FROM o WHERE o.rel = r.rel AND k <= 3) AS examples, count(DISTINCT object) > 3 AS truncated FROM kb_relation r GROUP BY r.rel""")
+@query("""WITH o AS (SELECT rel, object, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, object) AS k FROM kb_relation GROUP BY 1, 2),
+s AS (SELECT rel, subject, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, subject) AS k FROM kb_relation GROUP BY 1, 2)
+SELECT r.rel, count(*) AS facts, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects, (SELECT string_agg(subject, ', ' ORDER BY k) FROM s WHERE s.rel = r.rel AND k <= 3) AS subject_examples,
+  (SELECT string_agg(object, ', ' ORDER BY k) FROM o WHERE o.rel = r.rel AND k <= 3) AS object_examples, greatest(count(DISTINCT object), count(DISTINCT subject)) > 3 AS truncated FROM kb_relation r GROUP BY r.rel""")
 def schema_profile(spark, sf_dir):
     return an.schema_profile(plain_relation(spark, sf_dir))
 
@@ -358,11 +386,89 @@ def vocabulary_labels(spark, sf_dir):
     return an.vocabulary(plain_relation(spark, sf_dir))
 
 
-@query("SELECT id, subject, relation, object FROM kb_facts WHERE status IN ('accepted','confirmed') AND (subject = 'user/3' OR object = 'user/3') ORDER BY id LIMIT 51")
+@query("""SELECT id, subject, relation, object, CASE WHEN subject = object THEN 'both' WHEN subject = 'user/3' THEN 'subject' ELSE 'object' END AS side FROM kb_facts
+WHERE status IN ('accepted','confirmed') AND (subject = 'user/3' OR object = 'user/3') ORDER BY id LIMIT 51""")
 def exact_entity_facts(spark, sf_dir):
     """One more than the snapshot's bound of 50, so that truncation shows."""
-    f = tables(spark, sf_dir, "facts")[0].filter(in_tier(ENGINE) & ((F.col("subject") == "user/3") | (F.col("object") == "user/3")))
-    return f.select("id", "subject", "relation", "object").orderBy("id").limit(51)
+    return questions.exact_facts(tables(spark, sf_dir, "facts")[0].filter(in_tier(ENGINE)), "user/3")
+
+
+def _traced(spark, sf_dir, atoms, answer):
+    """The trace, or no rows where a bound leaves none."""
+    found = questions.trace(canonical_facts(spark, sf_dir).filter(in_tier(ENGINE)), atoms, answer)
+    return found if found is not None else spark.createDataFrame([], "answer string, fact_ids string")
+
+
+TIERED = "WITH f AS (SELECT f.id, subject, coalesce(canonical, relation) AS c, object FROM kb_facts f LEFT JOIN kb_alias ON raw = relation WHERE status IN ('accepted','confirmed'))"
+
+
+@query(f"""{TIERED}, p AS (SELECT a.object AS answer, a.id AS i, b.id AS j FROM f a JOIN f b ON b.subject = a.object WHERE a.subject = 'user/3' AND a.c = 'knows' AND b.c = 'established_on' AND b.object = '2011-02-01'),
+u AS (SELECT answer, i AS id FROM p UNION SELECT answer, j FROM p) SELECT answer, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS fact_ids FROM u GROUP BY 1""")
+def trace_two_atoms(spark, sf_dir):
+    return _traced(spark, sf_dir, [("user/3", "knows", "?P"), ("?P", "established_on", "2011-02-01")], "?P")
+
+
+@query(f"""{TIERED} SELECT DISTINCT a.object AS answer, array_to_string(list_sort(list_distinct([a.id, b.id, d.id])), ',') AS fact_ids FROM f a JOIN f b ON b.subject = a.object JOIN f d ON d.subject = a.object
+WHERE a.subject = 'user/3' AND a.c = 'knows' AND b.c = 'knows' AND b.object = 'user/3' AND d.c = 'role' AND d.object = 'purchase'""")
+def trace_three_atoms(spark, sf_dir):
+    return _traced(spark, sf_dir, [("user/3", "knows", "?P"), ("?P", "knows", "user/3"), ("?P", "role", "purchase")], "?P")
+
+
+def _planned(spark, sf_dir, intent, specs=None):
+    """The answers of every candidate of an intent as a model would write it."""
+    found = planner.plan_checked(check_intent(json.dumps(intent)), plain_relation(spark, sf_dir), ALIASES, specs)
+    return functools.reduce(DataFrame.unionByName, [c.answers.select(F.lit(c.query).alias("query"), "answer") for c in found])
+
+
+_entity, _var, _rel = (lambda v, k=k: {"kind": k, "value": v} for k in ("entity", "var", "relation"))
+
+
+@query("""SELECT 'answer_q0(V) :- relation("user/3", "established_on", V).' AS query, object AS answer FROM kb_relation WHERE subject = 'user/3' AND rel = 'established_on'""")
+def planned_lookup(spark, sf_dir):
+    return _planned(spark, sf_dir, {"kind": "lookup_object", "subject": _entity("user/3"), "relation": _rel("founded"), "relation_candidates": ["established"], "operator": "="})
+
+
+@query("""SELECT DISTINCT 'answer_q0(V2) :- relation("user/3", "knows", V1), relation(V1, "role", V2).' AS query, b.object AS answer FROM kb_relation a JOIN kb_relation b ON b.subject = a.object
+WHERE a.subject = 'user/3' AND a.rel = 'knows' AND b.rel = 'role'""")
+def planned_hops(spark, sf_dir):
+    hops = [{"subject": _entity("user/3"), "relation": _rel("knows"), "object": _var("X")}, {"subject": _var("X"), "relation": _rel("role"), "object": _var("Y")}]
+    return _planned(spark, sf_dir, {"kind": "conjunctive_lookup", "hops": hops})
+
+
+@query("SELECT subject AS answer FROM kb_relation WHERE rel = 'role' AND object = 'click' INTERSECT SELECT subject FROM kb_relation WHERE rel = 'established_on' AND object = '2011-02-01'")
+def planned_filter(spark, sf_dir):
+    conditions = [{"subject": _var("X"), "relation": _rel("role"), "object": _entity("click")}, {"subject": _var("X"), "relation": _rel("founded"), "object": _entity("2011-02-01")}]
+    return _planned(spark, sf_dir, {"kind": "conjunctive_filter", "conditions": conditions}).select("answer")
+
+
+@query("SELECT 'born_on < 2011-06-01' AS query, subject AS answer FROM kb_relation WHERE rel = 'born_on' AND CAST(replace(object, '-', '') AS BIGINT) < 20110601 GROUP BY subject")
+def planned_comparison(spark, sf_dir):
+    return _planned(spark, sf_dir, {"kind": "compare_typed_value", "relation": _rel("born"), "operator": "<", "value_type": "date", "value": "2011-06-01"}, {"born_on": {"type": "date"}})
+
+
+@query("SELECT DISTINCT rel AS label FROM kb_relation WHERE lower(trim(rel)) NOT IN ('column', 'field', 'metadata', 'row', 'source', 'value') AND trim(rel) <> ''")
+def discovery_labels(spark, sf_dir):
+    return plain_relation(spark, sf_dir).select(F.col("rel").alias("label")).distinct().filter(~dx.low_signal("label"))
+
+
+@query("SELECT f.id, relation, canonical FROM kb_facts f JOIN kb_alias ON raw = relation")
+def renamed_facts(spark, sf_dir):
+    return dx.renamed(canonical_facts(spark, sf_dir)).select("id", "relation", "canonical")
+
+
+@query("""WITH c AS (SELECT subject, rel FROM kb_relation JOIN kb_functional USING (rel) GROUP BY 1, 2 HAVING count(DISTINCT object) > 1),
+f AS (SELECT f.id, subject, relation, coalesce(canonical, relation) AS rel, object FROM kb_facts f LEFT JOIN kb_alias ON raw = relation WHERE status IN ('accepted','confirmed')),
+n AS (SELECT subject, rel, '(' || string_agg(relation || ' #' || CAST(id AS VARCHAR) || '=' || object, ', ' ORDER BY id) || ')' AS note FROM f GROUP BY 1, 2 HAVING bool_or(relation <> rel))
+SELECT 'ERROR functional_conflict: ' || subject || ' ' || rel AS text, note FROM c LEFT JOIN n USING (subject, rel)""")
+def annotated_findings(spark, sf_dir):
+    program = parse_program(engine.DEFAULT_POLICY)
+    found = engine.findings(program, engine.evaluate(program, relation_frame(spark, sf_dir)))
+    return engine.annotate(found, canonical_facts(spark, sf_dir).filter(in_tier(ENGINE))).select("text", "note")
+
+
+@query("SELECT count(*) AS n, bit_xor(CAST('0x' || substr(md5(subject || chr(31) || rel || chr(31) || object), 1, 15) AS BIGINT)) AS digest FROM kb_relation")
+def relation_fingerprint(spark, sf_dir):
+    return engine.fingerprint(plain_relation(spark, sf_dir))
 
 
 # -- trust -------------------------------------------------------------------------------------------------------
@@ -482,26 +588,207 @@ INCOMING = "SELECT (event_id + 1) % 100 AS source_id, concat('user/', CAST(user_
 SELECT i.*, CASE WHEN k.subject IS NULL THEN 'insert' WHEN live THEN 'keep' ELSE 'suppress' END AS action, coalesce(live_id, any_id) AS fact_id
 FROM i LEFT JOIN k ON k.source_id IS NOT DISTINCT FROM i.source_id AND k.subject = i.subject AND k.relation = i.relation AND k.object = i.object""")
 def reconcile_new(spark, sf_dir):
+    return _reconciled(spark, sf_dir)
+
+
+def _reconciled(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     incoming = e.select(((F.col("event_id") + 1) % 100).alias("source_id"), F.concat(F.lit("user/"), (F.col("user_id") % 50).cast("string")).alias("subject"), F.lit("role").alias("relation"), F.col("event_type").alias("object"))
     return store.reconcile(incoming, *tables(spark, sf_dir, "facts"))
 
 
+@query(f"""WITH i AS (SELECT DISTINCT * FROM ({INCOMING})), k AS (SELECT source_id, subject, relation, object, bool_or(status <> 'superseded') AS live, min(id) AS any_id FROM kb_facts GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT any_id AS fact_id, i.source_id, 'reextraction_suppressed' AS event_type, 'system' AS actor
+FROM i JOIN k ON k.source_id IS NOT DISTINCT FROM i.source_id AND k.subject = i.subject AND k.relation = i.relation AND k.object = i.object WHERE NOT live""")
+def suppressed_events(spark, sf_dir):
+    return store.suppressions(_reconciled(spark, sf_dir))
+
+
+@query(f"""WITH i AS (SELECT DISTINCT * FROM ({INCOMING})) SELECT i.source_id, s.path, count(*) FILTER (NOT EXISTS (SELECT 1 FROM kb_facts k
+WHERE k.source_id IS NOT DISTINCT FROM i.source_id AND k.subject = i.subject AND k.relation = i.relation AND k.object = i.object)) AS inserted FROM i JOIN kb_sources s ON s.id = i.source_id GROUP BY 1, 2""")
+def batch_summary(spark, sf_dir):
+    return store.batch_summary(_reconciled(spark, sf_dir), *tables(spark, sf_dir, "sources"))
+
+
+@query("SELECT id, stale AND id NOT IN (SELECT fact_id FROM kb_evidence) AS stale FROM kb_facts")
+def seen_again(spark, sf_dir):
+    facts, evidence = tables(spark, sf_dir, "facts", "evidence")
+    return store.seen_again(facts, evidence).select("id", "stale")
+
+
 @query("SELECT DISTINCT id AS fact_id, id % 40 AS artifact_id FROM kb_facts f WHERE NOT EXISTS (SELECT 1 FROM kb_evidence e WHERE e.fact_id = f.id AND e.artifact_id = f.id % 40)")
 def reobserve_anchor(spark, sf_dir):
     facts, evidence = tables(spark, sf_dir, "facts", "evidence")
     return store.reobserve(facts.select(F.col("id").alias("fact_id"), (F.col("id") % 40).alias("artifact_id")), evidence)
 
 
-@query("""WITH d AS (SELECT id, fact_id, CASE id % 3 WHEN 0 THEN 'toggle' WHEN 1 THEN 'accept' ELSE 'reject' END AS action FROM (SELECT id, fact_id, row_number() OVER (PARTITION BY fact_id ORDER BY id) AS k FROM kb_events) WHERE k = 1)
-SELECT f.id, CASE WHEN d.id IS NULL OR status = 'superseded' THEN status WHEN action = 'reject' THEN 'superseded' WHEN action = 'toggle' AND status IN ('accepted','confirmed') THEN 'needs_review'
-WHEN status IN ('candidate','needs_review') THEN 'confirmed' ELSE status END AS status FROM kb_facts f LEFT JOIN d ON d.fact_id = f.id""")
-def review_decisions(spark, sf_dir):
+#: All decisions of each fact, one after the other.
+DECIDED = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY id) AS k FROM kb_events),
+r(id, k, decision, action, status, before, object, said) AS (SELECT id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), status, status, object, CAST(NULL AS VARCHAR) FROM kb_facts
+  UNION ALL SELECT r.id, d.k, d.id, d.action, CASE WHEN r.status = 'superseded' OR d.observed <> r.status THEN r.status WHEN d.action = 'reject' THEN 'superseded'
+      WHEN d.action = 'toggle' AND r.status IN ('accepted','confirmed') THEN 'needs_review' WHEN d.action IN ('toggle', 'accept') AND r.status IN ('candidate','needs_review') THEN 'confirmed' ELSE r.status END,
+    r.status, CASE WHEN d.action = 'amend' AND r.status <> 'superseded' AND coalesce(d.observed = r.status, true) THEN 'amended ' || CAST(d.id AS VARCHAR) ELSE r.object END, r.object
+  FROM r JOIN d ON d.fact_id = r.id AND d.k = r.k + 1)"""
+
+
+def _reviewed(spark, sf_dir):
     facts, events = tables(spark, sf_dir, "facts", "events")
-    first = events.groupBy("fact_id").agg(F.min("id").alias("id"))
-    action = F.element_at(F.array(F.lit("toggle"), F.lit("accept"), F.lit("reject")), (F.col("id") % 3 + 1).cast("int"))
-    decisions = first.select("id", "fact_id", action.alias("action"), F.lit(None).cast("string").alias("observed"))
-    return store.fold_decisions(facts, decisions).select("id", "status")
+    none = F.lit(None).cast("string")
+    amended = F.when(F.col("action") == "amend", F.concat(F.lit("amended "), F.col("id").cast("string")))
+    return lifecycle.review(facts, events.select("id", "fact_id", "action", "observed", none.alias("subject"), none.alias("relation"), amended.alias("object")))
+
+
+@query(f"{DECIDED} SELECT id, status, object FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1")
+def review_decisions(spark, sf_dir):
+    return _reviewed(spark, sf_dir).select("id", "status", "object")
+
+
+@query(f"""{DECIDED} SELECT r.id AS fact_id, decision, action, CASE WHEN action = 'amend' THEN concat_ws(' | ', f.subject, f.relation, said) ELSE before END AS before,
+CASE WHEN action = 'amend' THEN concat_ws(' | ', f.subject, f.relation, r.object) ELSE r.status END AS after FROM r JOIN kb_facts f ON f.id = r.id
+WHERE decision IS NOT NULL AND CASE WHEN action = 'amend' THEN r.object <> said ELSE r.status <> before END""")
+def review_audit(spark, sf_dir):
+    return lifecycle.review_log(_reviewed(spark, sf_dir))
+
+
+@query("SELECT id AS fact_id, status AS observed, 'accept' AS action FROM kb_facts WHERE status IN ('candidate','needs_review') AND (relation <> 'role' OR status = 'candidate')")
+def bulk_accept(spark, sf_dir):
+    (facts,) = tables(spark, sf_dir, "facts")
+    chosen = facts.select("id", F.when(F.col("relation") == "role", "candidate").alias("observed"))
+    return lifecycle.bulk_accept(facts, chosen).select("fact_id", "observed", "action")
+
+
+CHUNKED = "SELECT c.id, {} AS status, {} AS attempts FROM kb_chunks c"
+
+
+@query(f"""WITH m AS (SELECT job_id, min_by(id, chunk_index) AS mine FROM kb_chunks WHERE status = 'pending' AND job_id NOT IN (SELECT job_id FROM kb_chunks WHERE status = 'running') GROUP BY 1)
+{CHUNKED.format("CASE WHEN mine IS NOT NULL THEN 'running' ELSE status END", "attempts + CASE WHEN mine IS NOT NULL THEN 1 ELSE 0 END")} LEFT JOIN m ON m.mine = c.id""")
+def chunk_claim(spark, sf_dir):
+    return lifecycle.claim(*tables(spark, sf_dir, "chunks")).select("id", "status", "attempts")
+
+
+@query(CHUNKED.format("CASE WHEN status = 'running' AND attempts < 3 THEN CASE WHEN attempts > 0 THEN 'done' ELSE 'failed' END ELSE status END", "attempts"))
+def chunk_finish(spark, sf_dir):
+    (chunks,) = tables(spark, sf_dir, "chunks")
+    return lifecycle.finish(chunks, chunks.filter("attempts < 3").select(F.col("id").alias("chunk_id"), (F.col("attempts") > 0).alias("ok"))).select("id", "status", "attempts")
+
+
+@query(CHUNKED.format("CASE WHEN status = 'failed' AND attempts < 3 AND job_id IN (SELECT id FROM kb_jobs WHERE status = 'failed') THEN 'pending' ELSE status END", "attempts"))
+def chunk_retry(spark, sf_dir):
+    chunks, jobs = tables(spark, sf_dir, "chunks", "jobs")
+    return lifecycle.retry(chunks, jobs.filter("status = 'failed'").select(F.col("id").alias("job_id"))).select("id", "status", "attempts")
+
+
+@query(CHUNKED.format("CASE WHEN status = 'running' THEN 'pending' ELSE status END", "CASE WHEN status = 'running' THEN greatest(attempts - 1, 0) ELSE attempts END"))
+def chunk_requeue(spark, sf_dir):
+    (chunks,) = tables(spark, sf_dir, "chunks")
+    return lifecycle.requeue(chunks, chunks).select("id", "status", "attempts")
+
+
+@query(f"""SELECT j.id, coalesce(p.status, j.status) AS status, coalesce(total, 0) AS total_chunks, coalesce(done, 0) AS completed_chunks, coalesce(failed, 0) AS failed_chunks FROM kb_jobs j
+LEFT JOIN (SELECT *, CASE WHEN done + failed = total AND failed > 0 THEN 'failed' WHEN done + failed = total THEN 'done' WHEN running > 0 THEN 'running' WHEN failed > 0 THEN 'failed' ELSE 'pending' END AS status FROM ({CHUNKS})) p ON p.job_id = j.id""")
+def job_roll_up(spark, sf_dir):
+    return lifecycle.roll_up(*tables(spark, sf_dir, "jobs", "chunks"))
+
+
+@query("SELECT job_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM kb_repair_items GROUP BY 1")
+def repair_progress(spark, sf_dir):
+    return lifecycle.repair_progress(*tables(spark, sf_dir, "repair_items"))
+
+
+@query("SELECT id, owner FROM kb_repairs WHERE status = 'running' AND lease_until < 1030")
+def expired_leases(spark, sf_dir):
+    return lifecycle.expired(*tables(spark, sf_dir, "repairs"), 1030).select("id", "owner")
+
+
+@query("""SELECT id, CASE WHEN id = (SELECT min(id) FROM kb_repairs WHERE status IN ('pending', 'running')) THEN 'running' ELSE status END AS status,
+CASE WHEN id = (SELECT min(id) FROM kb_repairs WHERE status IN ('pending', 'running')) THEN 'me' ELSE owner END AS owner FROM kb_repairs""")
+def repair_lease(spark, sf_dir):
+    return lifecycle.lease(*tables(spark, sf_dir, "repairs"), "me", 5000).select("id", "status", "owner")
+
+
+@query("""SELECT id, CASE WHEN status = 'running' AND owner = 'worker-1' AND lease_until >= 1030 THEN 1060 ELSE lease_until END AS lease_until FROM kb_repairs""")
+def repair_heartbeat(spark, sf_dir):
+    return lifecycle.heartbeat(*tables(spark, sf_dir, "repairs"), "worker-1", 1030).select("id", "lease_until")
+
+
+@query("""SELECT fact_id AS id, 'token_mismatch' AS problem FROM kb_terms JOIN kb_facts ON id = fact_id WHERE status IN ('accepted','confirmed') AND fact_id % 19 = 4
+UNION ALL SELECT id, 'missing' FROM kb_facts WHERE status IN ('accepted','confirmed') AND id NOT IN (SELECT fact_id FROM kb_terms)""")
+def term_integrity(spark, sf_dir):
+    facts, rows = tables(spark, sf_dir, "facts", "terms")
+    return store.check_terms(facts, rows)
+
+
+@query("SELECT fact_id AS id, t.subject, rel, t.object FROM kb_terms t JOIN kb_facts f ON f.id = fact_id WHERE f.status IN ('accepted','confirmed') AND fact_id % 19 <> 4")
+def engine_terms(spark, sf_dir):
+    return store.engine_terms(*tables(spark, sf_dir, "facts", "terms"))
+
+
+JSON_TERM = """'{{"t":"string","v":"' || {} || '"}}'"""
+
+
+@query(f"""SELECT *, sha256(subject || chr(31) || rel || chr(31) || object) AS term_token FROM (SELECT id AS fact_id, {JSON_TERM.format("subject")} AS subject, {JSON_TERM.format("relation")} AS rel, {JSON_TERM.format("object")} AS object
+FROM kb_facts WHERE status IN ('accepted','confirmed') AND id NOT IN (SELECT fact_id FROM kb_terms))""")
+def term_backfill(spark, sf_dir):
+    return store.backfill_terms(*tables(spark, sf_dir, "facts", "terms"))
+
+
+@query("SELECT fact_id, subject, rel, object FROM kb_terms WHERE fact_id IN (3, 7, 11, 123456789)")
+def terms_by_ids(spark, sf_dir):
+    return store.terms_by_ids(*tables(spark, sf_dir, "terms"), [7, 3, 7, 123456789, 11]).select("fact_id", "subject", "rel", "object")
+
+
+@query("""SELECT path, kind, id, CASE WHEN id IS NULL THEN 'insert' WHEN kind = had THEN 'keep' ELSE 'change' END AS action FROM (SELECT i.path, i.kind, s.id, s.kind AS had
+FROM (SELECT concat('sources/', c_name, '.txt') AS path, 'text' AS kind FROM customer UNION SELECT concat('sources/', s_name, '.txt'), 'text' FROM supplier) i LEFT JOIN kb_sources s ON s.path = i.path)""")
+def source_upsert(spark, sf_dir):
+    read = lambda t, c: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.concat(F.lit("sources/"), c, F.lit(".txt")).alias("path"), F.lit("text").alias("kind"))
+    return store.upsert_sources(read("customer", "c_name").unionByName(read("supplier", "s_name")), *tables(spark, sf_dir, "sources"))
+
+
+@query("""SELECT s.id, k.kept_id FROM (SELECT id, kind, id % 40 AS g FROM kb_sources) s JOIN (SELECT id % 40 AS g, min(id) AS kept_id FROM kb_sources GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT kind) = 1) k ON k.g = s.g WHERE s.id <> k.kept_id""")
+def merged_identities(spark, sf_dir):
+    (sources,) = tables(spark, sf_dir, "sources")
+    return store.merge_identities(sources.withColumn("npath", F.col("id") % 40))
+
+
+@query("""WITH k AS (SELECT id % 40 AS g, min(id) AS kept FROM kb_sources GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT kind) = 1)
+SELECT f.id, coalesce(k.kept, f.source_id) AS source_id FROM kb_facts f LEFT JOIN kb_sources s ON s.id = f.source_id LEFT JOIN k ON k.g = s.id % 40""")
+def repointed_facts(spark, sf_dir):
+    facts, sources = tables(spark, sf_dir, "facts", "sources")
+    return store.repoint(facts, store.merge_identities(sources.withColumn("npath", F.col("id") % 40))).select("id", "source_id")
+
+
+LOOSE = "SELECT id, 'subject' AS \"column\", subject AS before, nfc_normalize(subject) AS after FROM kb_loose UNION ALL SELECT id, 'object', object, nfc_normalize(object) FROM kb_loose"
+
+
+@query(f"SELECT * FROM ({LOOSE}) WHERE before <> after")
+def nfc_plan(spark, sf_dir):
+    return store.nfc_plan(*tables(spark, sf_dir, "loose"), ("subject", "object"))
+
+
+@query("SELECT id, nfc_normalize(subject) AS subject, nfc_normalize(object) AS object FROM kb_loose")
+def nfc_applied(spark, sf_dir):
+    (loose,) = tables(spark, sf_dir, "loose")
+    return store.nfc_apply(loose, store.nfc_plan(loose, ("subject", "object")), ("subject", "object")).select("id", "subject", "object")
+
+
+@query("SELECT id, subject, object FROM kb_loose")
+def nfc_reverted(spark, sf_dir):
+    (loose,) = tables(spark, sf_dir, "loose")
+    cols = ("subject", "object")
+    plan = store.nfc_plan(loose, cols)
+    return store.nfc_apply(store.nfc_apply(loose, plan, cols), plan, cols, back=True).select("id", *cols)
+
+
+@query("SELECT * FROM kb_facts WHERE source_id IS DISTINCT FROM 7 OR status NOT IN ('candidate','needs_review')")
+def reanalyze_clear(spark, sf_dir):
+    return store.reanalyze_clear(*tables(spark, sf_dir, "facts"), 7)
+
+
+@query("SELECT 'sources' AS name, count(*) AS n FROM kb_sources WHERE id <> 7 UNION ALL SELECT 'facts', count(*) FROM kb_facts WHERE source_id IS DISTINCT FROM 7 UNION ALL SELECT 'evidence', count(*) FROM kb_evidence WHERE source_id IS DISTINCT FROM 7")
+def delete_source(spark, sf_dir):
+    sources, facts, evidence = tables(spark, sf_dir, "sources", "facts", "evidence")
+    left = store.delete_source(7, sources=sources, facts=facts, evidence=evidence)
+    return functools.reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in left.items()])
 
 
 @query("SELECT fact_id, artifact_id, min(id) AS id, min_by(source_id, id) AS source_id, min_by(snippet, id) AS snippet FROM kb_evidence GROUP BY 1, 2")
@@ -509,9 +796,10 @@ def evidence_anchors(spark, sf_dir):
     return store.anchor_evidence(*tables(spark, sf_dir, "evidence"))
 
 
-@query("SELECT id, sha256(subject || chr(31) || relation || chr(31) || object) AS term_token FROM kb_facts")
+@query(f"""SELECT id, sha256({JSON_TERM.format("subject")} || chr(31) || {JSON_TERM.format("relation")} || chr(31) || {JSON_TERM.format("object")}) AS term_token FROM kb_facts""")
 def term_tokens(spark, sf_dir):
-    return tables(spark, sf_dir, "facts")[0].select("id", store.token().alias("term_token"))
+    stored = [text.string_term(F.col(c))["v"] for c in ("subject", "relation", "object")]
+    return tables(spark, sf_dir, "facts")[0].select("id", store.token(*stored).alias("term_token"))
 
 
 # -- documents ---------------------------------------------------------------------------------------------------

@@ -31,7 +31,7 @@ SELECT p_partkey AS id, p_partkey % 150 AS job_id, CAST(floor(p_partkey / 150) A
   CAST(p_size % 4 AS BIGINT) AS attempts FROM part""",
     "kb_evidence": """
 SELECT o_orderkey AS id, CAST(floor(o_orderkey * 2 / 3) AS BIGINT) AS fact_id, o_custkey % 100 AS source_id,
-  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey % 40 END AS artifact_id, concat(o_orderpriority, ' ', o_orderstatus) AS snippet FROM orders""",
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey % 40 END AS artifact_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS chunk_id, concat(o_orderpriority, ' ', o_orderstatus) AS snippet FROM orders""",
     "kb_events": """
 SELECT event_id AS id, CAST(floor(event_id / 3) AS BIGINT) * 2 AS fact_id,
   CASE (event_id + user_id) % 9 WHEN 0 THEN 'created' WHEN 1 THEN 'rejected' WHEN 2 THEN 'auto_accept_applied' WHEN 3 THEN 'amended' WHEN 4 THEN 'created'
@@ -46,6 +46,14 @@ SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey * 3 AS BIGINT) AS sou
 SELECT fact_id, subject, rel, object, CASE WHEN fact_id % 19 = 4 THEN 'stale' ELSE sha2(concat(subject, chr(31), rel, chr(31), object), 256) END AS term_token
 FROM (SELECT id AS fact_id, concat('{"t":"string","v":"', subject, '"}') AS subject, concat('{"t":"string","v":"', relation, '"}') AS rel,
   concat('{"t":"string","v":"', object, '"}') AS object FROM kb_facts WHERE object <> 'view')""",
+    "kb_loose": """
+SELECT id, concat('Réné ', subject) AS subject, relation, CASE WHEN id % 3 = 0 THEN concat('가́ ', object) ELSE object END AS object FROM kb_facts""",
+    "kb_items": """
+SELECT id, id % 200 AS batch, CASE id % 16 WHEN 1 THEN 'date(2020)' WHEN 6 THEN '漢字' WHEN 8 THEN '회사' ELSE subject END AS subject, CASE WHEN id % 16 = 1 THEN 'term' ELSE 'string' END AS subject_kind,
+  CASE id % 16 WHEN 2 THEN 'subject' WHEN 3 THEN '값' WHEN 4 THEN '완료 여부' WHEN 5 THEN 'role' WHEN 7 THEN 'made_up' WHEN 9 THEN '값' ELSE relation END AS relation, 'string' AS relation_kind,
+  CASE id % 16 WHEN 2 THEN 'number(3)' WHEN 3 THEN '이다' WHEN 5 THEN concat('user/', CAST((user_id + 1) % 50 AS STRING)) WHEN 8 THEN '5명' WHEN 9 THEN '1,200 원' WHEN 10 THEN '명' WHEN 11 THEN '３ 개' ELSE object END AS object,
+  CASE WHEN id % 16 = 2 THEN 'term' ELSE 'string' END AS object_kind,
+  CASE WHEN id % 2 = 0 THEN '한국어 원문. 회사 5명! role user/1' WHEN id % 16 = 9 THEN concat(subject, ' 값 1,200원; x') ELSE 'plain source' END AS source_text FROM (SELECT f.*, f.id * 7 AS user_id FROM kb_facts f)""",
     "kb_repairs": """
 SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_nationkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
   CASE WHEN c_nationkey % 4 = 1 THEN concat('worker-', CAST(c_custkey % 3 AS STRING)) END AS owner,
@@ -60,7 +68,7 @@ SELECT * FROM (VALUES ('established_on'), ('born_on'), ('died_on')) AS t(rel)"""
 SELECT DISTINCT f.subject, COALESCE(a.canonical, f.relation) AS rel, f.object
 FROM kb_facts f LEFT JOIN kb_alias a ON a.raw = f.relation WHERE f.status IN ('accepted', 'confirmed')""",
 }
-BASE_TABLES = {"kb_sources": ["supplier"], "kb_facts": ["events"], "kb_jobs": ["customer"], "kb_chunks": ["part"], "kb_evidence": ["orders"], "kb_events": ["events"], "kb_terms": ["events"], "kb_artifacts": ["nation"], "kb_repairs": ["customer"], "kb_repair_items": ["part"]}
+BASE_TABLES = {"kb_sources": ["supplier"], "kb_facts": ["events"], "kb_jobs": ["customer"], "kb_chunks": ["part"], "kb_evidence": ["orders"], "kb_events": ["events"], "kb_terms": ["events"], "kb_loose": ["events"], "kb_items": ["events"], "kb_artifacts": ["nation"], "kb_repairs": ["customer"], "kb_repair_items": ["part"]}
 ALIASES = {"founded": "established_on", "established": "established_on", "born": "born_on", "goal": "purpose"}
 
 
@@ -69,6 +77,7 @@ def kb(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     if "FROM kb_facts" in text:
         text = f"WITH kb_facts AS ({VIEWS['kb_facts']}) {text}"
+    text = text.replace("{", "{{").replace("}", "}}")
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE_TABLES.get(name, [])}
     for t in frames:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")

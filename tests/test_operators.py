@@ -97,9 +97,14 @@ def test_acceptance_reasons(spark):
 
 
 def test_decisions_fold_in_order(spark):
-    f = facts(spark, [("a", "r", "x", "candidate", 1), ("b", "r", "x", "confirmed", 1), ("c", "r", "x", "superseded", 1)])
-    d = spark.createDataFrame([(1, 1, "accept", "candidate"), (2, 1, "accept", "candidate"), (3, 1, "toggle", None), (4, 2, "reject", None), (5, 2, "toggle", None), (6, 3, "accept", None)], "id long, fact_id long, action string, observed string")
-    assert sorted(map(tuple, store.fold_decisions(f, d).collect())) == [(1, "needs_review", 2), (2, "superseded", 1), (3, "superseded", 0)]
+    from tessera.operators import lifecycle
+
+    f = facts(spark, [("a", "r", "x", "candidate", 1), ("b", "r", "x", "confirmed", 1), ("c", "r", "x", "superseded", 1), ("d", "r", "x", "candidate", 1)])
+    made = [(1, 1, "accept", "candidate"), (2, 1, "accept", "candidate"), (3, 1, "toggle", None), (4, 2, "reject", None), (5, 2, "toggle", None), (6, 3, "accept", None), (7, 4, "amend", None), (8, 3, "amend", None)]
+    d = spark.createDataFrame([(*m, None, None, "y" if m[2] == "amend" else None) for m in made], "id long, fact_id long, action string, observed string, subject string, relation string, object string")
+    out = lifecycle.review(f, d)
+    assert sorted((r["id"], r["status"], r["object"]) for r in out.collect()) == [(1, "needs_review", "x"), (2, "superseded", "x"), (3, "superseded", "x"), (4, "candidate", "y")]
+    assert sorted(tuple(r) for r in lifecycle.review_log(out).collect()) == [(1, 1, "accept", "candidate", "confirmed"), (1, 3, "toggle", "confirmed", "needs_review"), (2, 4, "reject", "confirmed", "superseded"), (4, 7, "amend", "d | r | x", "d | r | y")]
 
 
 def test_empty_tier_raises():
