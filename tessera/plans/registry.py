@@ -813,24 +813,67 @@ def sanitize_counts(spark, sf_dir):
     return s.select("doc_id", "s.nulls", F.length("s.text").cast("long").alias("n"))
 
 
-@query()
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text, {BLANKS}), '\\n\\s*\\n')) AS x, generate_subscripts(regexp_split_to_array(trim(text, {BLANKS}), '\\n\\s*\\n'), 1) AS i FROM documents),
+t AS (SELECT doc_id, i, trim(x, {BLANKS}) AS x FROM p WHERE trim(x, {BLANKS}) <> ''),
+c AS (SELECT doc_id, i, 0 AS j, x, true AS whole FROM t WHERE length(x) <= 300
+  UNION ALL SELECT doc_id, i, j, trim(substr(x, j * 300 + 1, 300), {BLANKS}), false FROM t, unnest(range(CAST(ceil(length(x) / 300.0) AS BIGINT))) AS u(j) WHERE length(x) > 300),
+pieces AS (SELECT doc_id, x, whole, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM c WHERE x <> ''),
+r AS (SELECT doc_id, k, CAST(0 AS BIGINT) AS n, x AS held, whole AS open FROM pieces WHERE k = 1
+  UNION ALL SELECT r.doc_id, p.k, CASE WHEN p.whole AND open AND length(held) + 2 + length(x) <= 300 THEN n ELSE n + 1 END,
+    CASE WHEN p.whole AND open AND length(held) + 2 + length(x) <= 300 THEN held || chr(10) || chr(10) || x ELSE x END, p.whole FROM r JOIN pieces p ON p.doc_id = r.doc_id AND p.k = r.k + 1),
+packed AS (SELECT doc_id, n, held FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY k DESC) = 1),
+tails AS (SELECT *, trim(right(lag(held) OVER (PARTITION BY doc_id ORDER BY n), 40), {BLANKS}) AS tail FROM packed)
+SELECT doc_id, CAST(n AS INTEGER) AS chunk_index, CASE WHEN coalesce(tail, '') = '' THEN held ELSE tail || chr(10) || chr(10) || held END AS chunk FROM tails""")
 def document_chunks(spark, sf_dir):
     return dx.chunk(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-@query()
-def excerpt_search(spark, sf_dir):
-    return dx.excerpt_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "Where is the GNU General Public License named?")
+ASKED = "Where is the GNU General Public License named?"
 
 
-@query()
+@query("""WITH q AS (SELECT unnest(['where', 'is', 'the', 'gnu', 'general', 'public', 'license', 'named']) AS w, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8], 1) AS i),
+d AS (SELECT doc_id, text, replace(lower(nfc_normalize(text)), 'ß', 'ss') AS folded FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, text, folded, i, strpos(folded, w) - 1 AS hit FROM d, q WHERE contains(folded, w)),
+s AS (SELECT doc_id, text, i, hit, (SELECT count(*) FROM q WHERE contains(substr(folded, CAST(greatest(0, hit - 300) + 1 AS BIGINT), CAST(hit + 300 - greatest(0, hit - 300) AS BIGINT)), w)) AS score FROM h),
+best AS (SELECT *, greatest(0, hit - 240) AS a, least(length(text), hit + 420) AS b FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1)
+SELECT doc_id, score, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(regexp_replace(substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '\\s+', ' ', 'g')) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS excerpt
+FROM best ORDER BY score DESC, doc_id LIMIT 8""")
+def excerpt_search(spark, sf_dir):
+    return dx.excerpt_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), ASKED)
+
+
+#: NFKC over the letters of these texts, then letters and digits alone, folded.
+COMPACT = "regexp_replace(lower(translate({}, '％３', '%3')), '[\\s\\pP\\pS_]+', '', 'g')"
+
+
+@query(f"""WITH i AS (SELECT k.*, coalesce(canonical, relation) AS c, lower(trim(coalesce(canonical, relation))) IN ('역할', '직책', '직위', '직함', '대표', '대표이사', 'role', 'title', 'position') AS is_role,
+    source_text SIMILAR TO '.*[가-힣].*' AS korean FROM kb_items k LEFT JOIN kb_alias ON raw = relation),
+b AS (SELECT DISTINCT batch, trim(subject) AS bearer FROM i WHERE is_role AND relation_kind = 'string' AND subject_kind = 'string'),
+f AS (SELECT i.*, bearer IS NOT NULL AS reversed, {COMPACT.format("source_text")} AS t, {COMPACT.format("c")} AS cr, {COMPACT.format("i.subject")} AS cs, {COMPACT.format("i.object")} AS co, {COMPACT.format("relation")} AS cl,
+    list_transform(regexp_split_to_array(source_text, '[\\n\\r]+|[。.!?;；]'), lambda x: {COMPACT.format("x")}) AS records,
+    list_concat(regexp_extract_all(i.subject, '[㐀-䶿一-鿿豈-﫿]+'), regexp_extract_all(c, '[㐀-䶿一-鿿豈-﫿]+'), regexp_extract_all(i.object, '[㐀-䶿一-鿿豈-﫿]+')) AS han
+  FROM i LEFT JOIN b ON b.batch = i.batch AND is_role AND relation_kind = 'string' AND object_kind = 'string' AND bearer = trim(i.object))
+SELECT id, CASE WHEN relation_kind = 'string' AND trim(relation) IN ('값', 'value', 'has_value', 'label_value') THEN 'value' ELSE relation END AS relation,
+  CASE WHEN (subject_kind = 'term' AND regexp_matches(subject, '^\\s*(amount|date|number|ordinal)\\(')) OR (object_kind = 'string' AND trim(object) IN ('입니다', '이다', '임', '있습니다', '없습니다', '합니다', '%', '％', '건', '개', '곳', '명', '년', '원', '조', '억', '만'))
+      OR (relation_kind = 'string' AND cl LIKE '%여부') THEN 'bad_shape'
+    WHEN relation_kind = 'string' AND lower(c) IN ('주체', 'subject', 'entity', 'normalized', 'normalized_as', 'canonical', 'canonical_form') AND (subject_kind = 'term' OR object_kind = 'term') THEN 'bridge'
+    WHEN reversed THEN 'reversed_role'
+    WHEN korean AND len(list_filter(han, lambda x: NOT contains(source_text, x))) > 0 THEN 'unbacked_han'
+    WHEN korean AND lower(c) NOT IN ('value', 'established_on', 'born_on', 'purpose') AND regexp_matches(c, '^[A-Za-z0-9_ -]+$') AND NOT contains(t, cr) THEN 'unbacked_ascii'
+    WHEN regexp_matches(object, '\\p{{Nd}},*\\s*(%|％|건|개|곳|명|년|원|조|억|만)') AND (cs = '' OR len(list_filter(records, lambda x: ((co <> '' AND contains(x, co)) OR (cl <> '' AND contains(x, cl))) AND contains(x, cs))) = 0) THEN 'unsupported_metric' END AS dropped
+FROM f""")
 def extraction_filters(spark, sf_dir):
-    facts = canonical_facts(spark, sf_dir)
-    items = facts.select(
-        (F.col("id") % 200).alias("batch"), "id", "subject", F.lit("string").alias("subject_kind"), "relation", F.lit("string").alias("relation_kind"), "object", F.lit("string").alias("object_kind"), "canonical",
-        F.when(F.col("id") % 2 == 0, F.lit("한국어 원문 role user/1")).otherwise(F.lit("plain source")).alias("source_text"),
-    )
-    return dx.extraction_filters(items, ALIASES).select("id", "relation", "dropped")
+    items, aliases = tables(spark, sf_dir, "items", "alias")
+    return dx.extraction_filters(canonicalize(items, aliases), ALIASES).select("id", "relation", "dropped")
+
+
+@query("SELECT doc_id FROM documents WHERE text LIKE '%CEO%' OR text LIKE '%CTO%' OR text LIKE '%CFO%' OR text LIKE '%대표%'")
+def role_passes(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.filter(dx.needs_role_pass()).select("doc_id")
 
 
 @query("SELECT id, subject, object FROM kb_facts WHERE contains('does user/31 know user/12?', lower(subject)) OR contains('does user/31 know user/12?', lower(object)) ORDER BY id LIMIT 8")
