@@ -5,6 +5,9 @@ Two parsers exist on purpose: the lenient one groups values of trust analytics,
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +23,9 @@ ORDINALS = [r"^제?(\p{Nd}+)\s*(?:호|위|번|차|등|째)$", r"(?i)^(\p{Nd}+)\s
 AMOUNT = rf"^({NUM}) ?(\P{{Nd}}+)$"
 AMOUNT_CALL = rf'(?i)^amount\(\s*"?({NUM})"?\s*,\s*(?:"([^"]*)"|([^,)"]+))\s*\)$'
 
-#: Decimal digits of the scripts that Unicode text mixes in: full-width and Arabic-Indic, besides ASCII.
-WIDE = "".join(chr(0xFF10 + i) for i in range(10)) + "".join(chr(0x0660 + i) for i in range(10))
-PLAIN = "0123456789" * 2
+#: The decimal digits of all scripts but ASCII, and the ASCII digits they stand for.
+WIDE = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isdecimal())
+PLAIN = "".join(str(unicodedata.decimal(c)) for c in WIDE)
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:

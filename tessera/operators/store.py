@@ -34,8 +34,7 @@ def backfill_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
     from ..functions import text
 
     bare = facts.filter(in_tier(ENGINE)).select(F.col("id").alias("fact_id"), "subject", "relation", "object").join(term_rows.select("fact_id"), "fact_id", "left_anti")
-    # Labels with quotes, backslashes or beyond ASCII need the general encoder; no Python sees the others.
-    slot = lambda c: F.when(F.rlike(c, F.lit(r'^[\x20-\x21\x23-\x5B\x5D-\x7E]*$')), text.string_term(F.col(c))["v"]).otherwise(text.slot(F.lit("string"), F.col(c))["v"])
+    slot = lambda c: text.slot(F.lit("string"), F.col(c))["v"]
     made = bare.select("fact_id", slot("subject").alias("subject"), slot("relation").alias("rel"), slot("object").alias("object"))
     return made.withColumn("term_token", token("subject", "rel", "object"))
 

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..datalog import parse_program
-from ..functions import text, typed
+from ..functions import extraction, text, typed, units
 from ..operators import analytics as an
 from ..operators import documents as dx
 from ..operators import engine, lifecycle, planner, questions, store, trust
 from ..operators.intents import check_intent
-from ..schema import ENGINE, REVIEW, broken_facts, in_tier
+from ..schema import ENGINE, broken_evidence, broken_facts, in_tier
 from ..sources.fixture import ALIASES, kb, sql
-from ..sources.policy_files import canonicalize
+from ..sources.policy_files import canonicalize, export_dl, variants
+from ..streaming.events import latest_events, windowed_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -879,3 +880,98 @@ def role_passes(spark, sf_dir):
 @query("SELECT id, subject, object FROM kb_facts WHERE contains('does user/31 know user/12?', lower(subject)) OR contains('does user/31 know user/12?', lower(object)) ORDER BY id LIMIT 8")
 def mentioned_facts(spark, sf_dir):
     return dx.mentioned_facts(*tables(spark, sf_dir, "facts"), "Does user/31 know user/12?").select("id", "subject", "object")
+
+
+# -- scalar functions --------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, lower(nfc_normalize(subject)) AS folded, lower(regexp_replace(nfc_normalize(object), '[^\\p{L}\\p{N}]+', '', 'g')) AS compact FROM kb_loose")
+def folded_labels(spark, sf_dir):
+    (loose,) = tables(spark, sf_dir, "loose")
+    return loose.select("id", text.fold(F.col("subject")).alias("folded"), text.compact(F.col("object")).alias("compact"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS escaped FROM documents WHERE text IS NOT NULL")
+def escaped_texts(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    return d.select("doc_id", text.escape(F.col("text")).alias("escaped"))
+
+
+@query("""SELECT DISTINCT 'relation("' || subject || '", "' || relation || '", "' || object || '").' AS line FROM kb_facts""")
+def exported_lines(spark, sf_dir):
+    return export_dl(*tables(spark, sf_dir, "facts"))
+
+
+@query("SELECT DISTINCT 's:' || nfc_normalize(subject) AS subject, 's:' || relation AS rel, 's:' || nfc_normalize(object) AS object FROM kb_loose")
+def general_relation(spark, sf_dir):
+    """The relation frame by the general encoder, for labels beyond ASCII."""
+    frame = engine.base_relation(tables(spark, sf_dir, "loose")[0])
+    return frame.select(*[F.col(f"__cmp_{c}").alias(c) for c in engine.BASE])
+
+
+@query("""SELECT p_partkey AS id, CAST(round(CAST(p_retailprice AS DECIMAL(20,4)) * 1000, 0) AS BIGINT) AS number, CAST(p_size AS BIGINT) AS ordinal,
+CAST(round(CAST(p_retailprice AS DECIMAL(20,4)) * 10000, 0) AS BIGINT) AS amount, CAST((2000 + p_size) * 10000 + (1 + p_size % 12) * 100 + 1 AS BIGINT) AS "date" FROM part""")
+def lenient_values(spark, sf_dir):
+    """The lenient parser over the spellings that it takes besides the exact ones."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    price = F.format_number("p_retailprice", 4)
+    size = F.col("p_size").cast("string")
+    return part.select(
+        F.col("p_partkey").alias("id"),
+        typed.typed_key("number", F.concat(F.lit("number("), price, F.lit(")"))).alias("number"),
+        typed.typed_key("ordinal", F.concat(F.lit("제"), F.translate(size, "0123456789", "０１２３４５６７８９"), F.lit("호"))).alias("ordinal"),
+        typed.typed_key("amount", F.concat(price, F.lit("만원"))).alias("amount"),
+        typed.typed_key("date", F.concat(F.lit("date("), (F.col("p_size") + 2000).cast("string"), F.lit(", "), (F.col("p_size") % 12 + 1).cast("string"), F.lit(")"))).alias("date"),
+    )
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 3 THEN 0 ELSE 1 + id % 2 END AS facts, CASE WHEN id % 4 = 3 THEN NULL ELSE subject END AS subject, CASE WHEN id % 4 = 3 THEN NULL ELSE CASE WHEN id % 3 = 0 THEN 'term' ELSE 'string' END END AS kind, id % 4 = 3 AS failed FROM kb_facts""")
+def decoded_batches(spark, sf_dir):
+    """Batches as a model may write them: prose before, several envelopes, and one bad item in some."""
+    slot = F.concat(F.lit('{"kind":"'), F.when(F.col("id") % 3 == 0, "term").otherwise("string"), F.lit('","value":"'), F.when(F.col("id") % 3 == 0, F.lit("f(1)")).otherwise(F.col("object")), F.lit('"}'))
+    item = F.concat(F.lit('{"subject":"'), "subject", F.lit('","relation":"'), "relation", F.lit('","object":'), slot, F.lit(',"confidence":'), F.when(F.col("id") % 4 == 3, F.lit("true")).otherwise(F.lit('"0.5"')), F.lit("}"))
+    items = F.concat(F.lit("["), item, F.when(F.col("id") % 2 == 1, F.concat(F.lit(","), item)).otherwise(F.lit("")), F.lit("]"))
+    raw = F.when(F.col("id") % 5 == 0, items).otherwise(F.concat(F.lit('Here they are: {"facts":'), items, F.lit("} done")))
+    d = tables(spark, sf_dir, "facts")[0].select("id", extraction.decode(raw).alias("d"))
+    first = F.get("d.facts", F.lit(0))
+    return d.select("id", F.size("d.facts").cast("long").alias("facts"), first["subject"].alias("subject"), first["object_kind"].alias("kind"), F.col("d.error").isNotNull().alias("failed"))
+
+
+@query("""SELECT id, '김철수 대표 (원문: 김철수대표) ' || object || ' 대표 박영희 (원문: 대표박영희)' AS shown FROM kb_facts""")
+def split_roles(spark, sf_dir):
+    (facts,) = tables(spark, sf_dir, "facts")
+    return facts.select("id", text.split_roles(F.concat(F.lit("김철수대표 "), "object", F.lit(" 대표박영희"))).alias("shown"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN '년' END AS asked, CASE WHEN id % 3 = 0 THEN '개월' END AS stated FROM kb_facts""")
+def unit_mismatches(spark, sf_dir):
+    (facts,) = tables(spark, sf_dir, "facts")
+    stated = F.concat((F.col("id") % 90 + 2).cast("string"), F.when(F.col("id") % 3 == 0, "개월").when(F.col("id") % 3 == 1, "년").otherwise("원"))
+    return facts.select("id", units.unit_mismatch(F.lit("몇 년 걸렸나?"), stated).alias("m")).select("id", "m.asked", "m.stated")
+
+
+@query("""WITH v AS (SELECT 'founded' AS label UNION SELECT 'goal' UNION SELECT 'knows')
+SELECT label, (SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT v.label AS x UNION SELECT canonical FROM kb_alias WHERE raw = v.label UNION SELECT raw FROM kb_alias WHERE canonical IN (SELECT canonical FROM kb_alias WHERE raw = v.label))) AS variants FROM v""")
+def label_variants(spark, sf_dir):
+    return spark.createDataFrame([(x, ", ".join(sorted(variants(x, ALIASES)))) for x in ("founded", "goal", "knows")], "label string, variants string")
+
+
+@query("SELECT id FROM kb_evidence WHERE id % 7 = 3 OR length(snippet) > 1000 OR (id % 5 = 1 AND id % 7 <> 3)")
+def broken_evidence_offsets(spark, sf_dir):
+    """Offsets made for each row: some half given, some reversed."""
+    (evidence,) = tables(spark, sf_dir, "evidence")
+    start = F.when(F.col("id") % 7 == 3, None).otherwise(F.col("id") % 11 + 5)
+    end = F.when((F.col("id") % 5 == 1) & (F.col("id") % 7 != 3), F.lit(1)).otherwise(F.col("id") % 11 + 9)
+    return broken_evidence(evidence.withColumns({"start_offset": start, "end_offset": end}))
+
+
+@query("SELECT fact_id, max_by(event_type, id) AS event_type, max(id) AS id FROM kb_events GROUP BY fact_id")
+def latest_event_states(spark, sf_dir):
+    (events_,) = tables(spark, sf_dir, "events")
+    return latest_events(events_.withColumn("at", F.current_timestamp())).select("fact_id", "event_type", "id")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_event_counts(spark, sf_dir):
+    at = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("at"), "event_type")
+    return windowed_counts(at.withColumn("at", F.col("at").cast("timestamp"))).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
