@@ -472,11 +472,15 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     tmp = Scratch(docs.sparkSession, "keep")
     named, comps, clash = link_classes(docs, rule, tmp)
-    members = named.filter("n > 0").select("doc_id", "c").distinct().join(comps, "c", "left").select("doc_id", "c", F.coalesce("comp", "c").alias("comp"))
-    first = members.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "c")).alias("first"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("c") == F.col("first.c"))
-    name, text, gid, gclass = (fresh(docs, n) for n in ("__c", "__text", "__gone", "__class"))
-    gone = members.join(first, "comp").filter(~stays).select(F.col("doc_id").alias(gid), F.col("c").alias(gclass))
+    # The first of each class, then of each component: classes, and not their copies, meet their component.
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "c")
+    leaders = named.filter("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")).alias("f")).select("c", "f.doc_id").join(comps, "c", "left")
+    first = leaders.groupBy(F.coalesce("comp", "c").alias("comp")).agg(F.min(order).alias("first"))
+    name, text, spread, kept_id, kept_class, stays = (fresh(docs, n) for n in ("__c", "__text", "__spread", "__kept", "__class", "__stays"))
+    keepers = first.select(F.col("first.doc_id").alias(kept_id), F.col("first.c").alias(kept_class), F.lit(True).alias(stays))
     schema = StructType([*docs.schema.fields, StructField(name, LongType())])
     told = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(functools.partial(_with_class, k=rule.k, clash=clash, text=text, name=name), schema)
-    return told.join(gone, (F.col(name) == F.col(gclass)) & F.col("doc_id").cast("long").eqNullSafe(F.col(gid)), "left_anti").drop(name)
+    # Rows without shingles meet no keeper; a number of their own spreads them.
+    told = told.withColumn(spread, F.coalesce(F.col(name), F.monotonically_increasing_id()))
+    met = (F.col(spread) == F.col(kept_class)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & F.col(name).isNotNull()
+    return told.join(keepers, met, "left").filter(F.col(name).isNull() | F.col(stays)).select(*[F.col(f"`{c}`") for c in docs.columns])
