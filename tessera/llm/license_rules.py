@@ -6,6 +6,10 @@ license's own text says, 80 notices that grant it, 70 addresses, 60 identifiers,
 No pattern repeats without a bound.
 """
 
+from __future__ import annotations
+
+import re
+
 # Phrases of public license texts, notices and identifiers.
 RULES = """
 mit|90|free of charge|permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?
@@ -246,7 +250,7 @@ ruby|60|ruby license|(?:the )?ruby license
 ruby|80|terms as ruby|(?:under )?the same terms as ruby(?: itself)?
 w3c|60|w3c software|(?:the )?w3c software(?: notice)?(?: and)?(?: document)? license
 ncsa|60|illinois ncsa|university of illinois ncsa open source license
-openssl|60|openssl license|(?:the )?openssl(?: ssleay)? license
+openssl|60| openssl |(?:the )?openssl(?: ssleay)? license
 openssl|90|openssl toolkit|this product includes software developed by the openssl project for use in the openssl toolkit
 curl|60|curl license|(?:the )?curl license
 ijg|90|independent jpeg group|this software is based in part on the work of the independent jpeg group
@@ -277,7 +281,7 @@ public-domain|40|public domain|(?:a )?public domain (?:work|text|image|book)
 dual|80|dual licensed|(?:is )?dual licensed under
 dual|60|at your option|at your option under (?:the )?(?:terms of )?either
 reserved|80|rights reserved|copyright (?:c )?(?:19|20)[0-9]{2} [a-z0-9 ]{1,60}all rights reserved
-reserved|50|rights reserved|all rights (?:are )?reserved
+reserved|50|all rights|all rights (?:are )?reserved
 reserved|50|alle rechte|alle rechte vorbehalten
 reserved|50|tous droits|tous droits réservés
 reserved|50|todos los derechos|todos los derechos reservados
@@ -302,6 +306,19 @@ warranty|30|without warranties|without warranties or conditions of any kind
 """
 
 
+#: Words that stand in any text, and so are no anchors.
+COMMON = "a all an and any as at be by can do for from free has have if in is it its may no not of on one or other our part that the this to under use used want what with without work you your new".split()
+
+
+def anchor(pattern: str) -> str:
+    """A word that every match of a pattern holds: the longest of those outside groups, options and classes."""
+    left = re.sub(r"\(\?:( ?)[^()]*?( ?)\)\??", "\\1\0\\2", pattern)
+    while "(?:" in left:
+        left = re.sub(r"\(\?:( ?)[^()]*?( ?)\)\??", "\\1\0\\2", left)
+    left = re.sub(r"\[[^\]]*\](?:\{[0-9,]+\})?\??|[a-z]\?", "\0", left)
+    return max((w for w in left.split() if "\0" not in w and w not in COMMON), key=len)
+
+
 def read_rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, pattern) of every rule, the highest priority first, else in the order above."""
     out = []

@@ -1,8 +1,9 @@
 """License scans with Spark expressions only: ordered signature rules over normalised words.
 
 A text is lower-cased (A-Z) and its words joined by single blanks, so one space stands between words and every
-rule is a pattern of words. A keyword prefilter comes first: each distinct keyword is looked for once, and only the
-rules of keywords that the text holds run. Each detection is a word interval with its rule's priority; one that
+rule is a pattern of words. A prefilter comes first: every rule has an anchor, a word that all its matches hold, and
+a keyword, a longer piece of text that they hold. The text's words are met once with all anchors, and only rules
+whose anchor and keyword the text holds run. Each detection is a word interval with its rule's priority; one that
 lies inside another of higher priority, or of equal priority and greater length, is dropped. Overlaps without
 containment stay. The rules are those of license_rules, written by hand, and the base phrases.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bound, need, running, running_sums
-from .license_rules import read_rules
+from .license_rules import anchor, read_rules
 
 # Fixed values of the task's contract: phrase and label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -83,12 +84,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     book = rules()
     by: dict[str, list[str]] = {}
     for p, label, keyword, pattern in book:
-        by.setdefault(keyword, []).append(f"named_struct('rank',{-p},'label','{label}','pattern','{pattern}')")
+        by.setdefault(anchor(pattern), []).append(f"named_struct('rank',{-p},'label','{label}','keyword','{keyword}','pattern','{pattern}')")
     # One literal array, parsed once; the rules hold no quotes or backslashes.
-    shelf = F.expr("array(" + ",".join(f"named_struct('keyword','{k}','rules',array({','.join(r)}))" for k, r in by.items()) + ")")
+    shelf = F.expr("array(" + ",".join(f"named_struct('anchor','{w}','rules',array({','.join(r)}))" for w, r in by.items()) + ")")
     norm = F.col("norm")
+    none = F.expr("cast(array() as array<struct<start:bigint,less:bigint,rank:int,label:string>>)")
     of_rule = lambda r: F.transform(_places(norm, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("less"), r["rank"].alias("rank"), r["label"].alias("label")))
-    hits = F.flatten(F.transform(F.filter(shelf, lambda k: F.contains(norm, k["keyword"])), lambda k: F.flatten(F.transform(k["rules"], of_rule))))
+    of_anchor = lambda k: F.flatten(F.transform(F.filter(k["rules"], lambda r: F.contains(norm, r["keyword"])), of_rule))
+    held = F.array_intersect(F.split(norm, " "), F.expr("array(" + ",".join(f"'{w}'" for w in by) + ")"))
+    hits = bound(held, lambda words: F.when(F.size(words) == 0, none).otherwise(F.flatten(F.transform(F.filter(shelf, lambda k: F.array_contains(words, k["anchor"])), of_anchor))))
     step = rows.select("doc_id", (_blanks(norm) - 1).alias("n_words"), hits.alias("hits"))
     end = lambda h: (-h["less"]).alias("end")
     base = F.transform(F.filter("hits", lambda h: h["rank"] == -FIRST), lambda h: F.struct(h["start"].alias("start"), end(h), h["label"].alias("label")))
@@ -97,12 +101,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """The digest columns of op7, from scan_licenses. score: 1 - 2**-(strength), strength the priorities' sum by 50."""
+    """The digest columns of op7, from scan_licenses. score: s / (s + 50), s the sum of the detections' priorities."""
     d = scan_licenses(docs)
     starts = F.transform("base", lambda b: b["start"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     of_base = F.transform("base", lambda b: b["label"])
-    strength = F.aggregate("found", F.lit(0.0), lambda acc, f: acc + f["priority"] / F.lit(50.0))
+    strength = F.aggregate("found", F.lit(0), lambda acc, f: acc + f["priority"]).cast("double")
     return d.select(
         "doc_id",
         "n_words",
@@ -111,5 +115,5 @@ def license_report(docs: DataFrame) -> DataFrame:
         F.array_max(starts).alias("last_word"),
         joined(of_base).alias("base_labels"),
         joined(F.concat(of_base, F.transform("found", lambda f: f["label"]))).alias("labels"),
-        (F.lit(1.0) - F.pow(F.lit(2.0), -strength)).alias("score"),
+        (strength / (strength + F.lit(50.0))).alias("score"),
     )
