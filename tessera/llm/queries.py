@@ -91,6 +91,9 @@ QUERIES = {
 
 _SCATTER = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 
+#: The license rules as SQL values; letters beyond ASCII are the letter Z there, as in the texts of the SQL.
+_RULES = ", ".join(f"({p}, '{x}', '{k}', '{''.join(c if c.isascii() else 'Z' for c in r)}')" for p, x, k, r in licenses.rules())
+
 ORACLES = {
     "op1_mixing": f"""
 WITH RECURSIVE d AS (
@@ -127,6 +130,44 @@ t AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
   SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN k.size > 0 THEN ((f.off + f.prior + f.rate * pos) >> 24) - ((f.off + f.prior + f.rate * (pos - 1)) >> 24) ELSE 0 END AS copies
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source JOIN f ON f.source IS NOT DISTINCT FROM k.source AND f.cls = k.cls)
+""",
+    "op5_secret_scans": f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+kinds(kind, rank, pattern) AS (VALUES ('assign', 0, '(?i:(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?)([A-Za-z0-9+/_.=-]+)'), ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]+'), ('entropy', 3, '[A-Za-z0-9+/_=.-]{{20,}}')),
+m AS (SELECT r, kind, rank, regexp_split_to_array(text, pattern) AS gaps, regexp_extract_all(text, pattern, 0) AS found, CASE WHEN kind = 'assign' THEN regexp_extract_all(text, pattern, 1) ELSE regexp_extract_all(text, pattern, 0) END AS vals FROM t, kinds WHERE regexp_matches(text, pattern)),
+u AS (SELECT r, kind, rank, unnest(found) AS match, unnest(vals) AS val, unnest(gaps[:len(found)]) AS gap, generate_subscripts(found, 1) AS k FROM m),
+s AS (SELECT r, kind, rank, match, val, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY r, kind ORDER BY k) AS BIGINT) AS "end" FROM u),
+base AS (SELECT r, kind, rank, "end" - length(match) AS start, "end" FROM s WHERE (kind = 'assign' AND length(val) >= 12) OR (kind = 'access' AND length(match) >= 18) OR (kind = 'hex' AND length(match) >= 16)),
+c AS (SELECT r, match, "end" - length(match) AS start, "end", regexp_replace(match, '^([A-Za-z]{{2,10}}[_-]){{1,3}}', '') AS bare FROM s WHERE kind = 'entropy'),
+d AS (SELECT *, CASE WHEN length(bare) >= 20 THEN bare ELSE match END AS core FROM c),
+e AS (SELECT *, list_max(list_transform(range(1, length(core) - 18), lambda i: list_aggregate(string_split(substr(core, i, 20), ''), 'entropy'))) AS bits,
+    len(list_filter(range(1, length(core)), lambda i: regexp_full_match(substr(core, i, 2), '[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Za-z]'))) AS changes FROM d),
+f AS (SELECT *, CASE WHEN regexp_full_match(core, '[0-9a-fA-F]+') THEN 2.85 WHEN regexp_full_match(core, '[A-Z2-7=-]+') THEN CASE WHEN changes >= greatest(2, length(core) / 12.0) THEN 3.30 ELSE 4.05 END
+    WHEN regexp_full_match(core, '[0-9A-Z+/_=.-]+|[0-9a-z+/_=.-]+') THEN CASE WHEN changes >= greatest(3, length(core) / 12.0) THEN 3.40 ELSE 4.05 END
+    WHEN regexp_full_match(core, '[A-Za-z]+') THEN 3.55 ELSE CASE WHEN changes >= greatest(4, length(core) / 12.0) THEN 3.63 ELSE 4.05 END END AS least FROM e),
+more AS (SELECT r, 'entropy' AS kind, 3 AS rank, start, "end" FROM f WHERE bits >= least AND len(list_filter([match, core], lambda v:
+    regexp_full_match(v, '[A-Z]+|[a-z]*([A-Z]{{1,6}}[a-z]{{2,}}|([A-Z][a-z])+[A-Z][a-z]{{2,}})*([A-Z]{{0,6}}|([A-Z][a-z])+)') OR (regexp_full_match(v, '[A-Za-z._/=-]+') AND regexp_matches(v, '[._/=-][A-Za-z]') AND NOT regexp_matches(v, '[A-Za-z]{{19}}'))
+    OR regexp_full_match(v, '[0-9._/=+-]+') OR regexp_full_match(v, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}') OR regexp_matches(v, '(?i)example|sample|placeholder|lorem|www\\.'))) = 0
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = f.r AND b.start <= f.start AND b."end" >= f."end")),
+n AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS said FROM base GROUP BY r),
+g AS (SELECT r, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN n USING (r) LEFT JOIN g USING (r)
+""",
+    "op7_license_scans": f"""
+WITH rules(priority, label, keyword, pattern) AS (VALUES {_RULES}),
+t AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(' ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^\\x00-\\x7F]', 'Z', 'g') AS norm FROM documents),
+m AS (SELECT r, priority, label, regexp_split_to_array(norm, '\\b(?:' || pattern || ')\\b') AS gaps, regexp_extract_all(norm, '\\b(?:' || pattern || ')\\b', 0) AS found
+  FROM t JOIN rules ON contains(norm, translate(keyword, 'é', 'Z')) AND regexp_matches(norm, '\\b(?:' || pattern || ')\\b')),
+u AS (SELECT row_number() OVER () AS g, * FROM m),
+v AS (SELECT g, r, priority, label, unnest(found) AS match, unnest(gaps[:len(found)]) AS gap, generate_subscripts(found, 1) AS k FROM u),
+w AS (SELECT r, priority, label, length(match) - length(replace(match, ' ', '')) AS inner_, CAST(sum(length(gap) - length(replace(gap, ' ', '')) + length(match) - length(replace(match, ' ', ''))) OVER (PARTITION BY g ORDER BY k) AS BIGINT) AS "end" FROM v),
+hits AS (SELECT DISTINCT r, priority, label, "end" - inner_ - 1 AS start, "end" FROM w),
+stay AS (SELECT * FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.r = a.r AND b.start <= a.start AND b."end" >= a."end" AND (b.priority > a.priority OR (b.priority = a.priority AND b."end" - b.start > a."end" - a.start)))),
+base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits WHERE priority = 100 GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM stay UNION SELECT r, label FROM hits WHERE priority = 100) GROUP BY r),
+told AS (SELECT r, CAST(sum(priority) AS DOUBLE) AS s FROM stay GROUP BY r)
+SELECT doc_id, CAST(length(norm) - length(replace(norm, ' ', '')) - 1 AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(s / (s + 50.0::DOUBLE), 0.0::DOUBLE) AS score
+FROM t LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN told USING (r)
 """,
     "op8_ngram_jaccard": """
 WITH RECURSIVE w AS (
