@@ -410,9 +410,9 @@ def trace_two_atoms(spark, sf_dir):
 
 
 @query(f"""{TIERED} SELECT DISTINCT a.object AS answer, array_to_string(list_sort(list_distinct([a.id, b.id, d.id])), ',') AS fact_ids FROM f a JOIN f b ON b.subject = a.object JOIN f d ON d.subject = a.object
-WHERE a.subject = 'user/3' AND a.c = 'knows' AND b.c = 'knows' AND b.object = 'user/3' AND d.c = 'role' AND d.object = 'purchase'""")
+WHERE a.subject = 'user/8' AND a.c = 'knows' AND b.c = 'role' AND b.object = 'purchase' AND d.c = 'born_on' AND d.object = '2011-01-01'""")
 def trace_three_atoms(spark, sf_dir):
-    return _traced(spark, sf_dir, [("user/3", "knows", "?P"), ("?P", "knows", "user/3"), ("?P", "role", "purchase")], "?P")
+    return _traced(spark, sf_dir, [("user/8", "knows", "?P"), ("?P", "role", "purchase"), ("?P", "born_on", "2011-01-01")], "?P")
 
 
 def _planned(spark, sf_dir, intent, specs=None):
@@ -871,10 +871,11 @@ def extraction_filters(spark, sf_dir):
     return dx.extraction_filters(canonicalize(items, aliases), ALIASES).select("id", "relation", "dropped")
 
 
-@query("SELECT doc_id FROM documents WHERE text LIKE '%CEO%' OR text LIKE '%CTO%' OR text LIKE '%CFO%' OR text LIKE '%대표%'")
+@query("SELECT id FROM kb_items WHERE id % 5 = 0 OR source_text LIKE '%대표%' OR source_text LIKE '%원문:%'")
 def role_passes(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.filter(dx.needs_role_pass()).select("doc_id")
+    (items,) = tables(spark, sf_dir, "items")
+    told = items.withColumn("text", F.concat("source_text", F.when(F.col("id") % 5 == 0, F.lit(" by its CEO")).otherwise(F.lit(""))))
+    return told.filter(dx.needs_role_pass()).select("id")
 
 
 @query("SELECT id, subject, object FROM kb_facts WHERE contains('does user/31 know user/12?', lower(subject)) OR contains('does user/31 know user/12?', lower(object)) ORDER BY id LIMIT 8")

@@ -18,7 +18,7 @@ SELECT event_id AS id, concat('user/', CAST(user_id % 50 AS STRING)) AS subject,
   CASE (event_id * 3 + user_id) % 10 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'accepted' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'confirmed' WHEN 4 THEN 'accepted'
        WHEN 5 THEN 'candidate' WHEN 6 THEN 'needs_review' WHEN 7 THEN 'candidate' WHEN 8 THEN 'superseded' ELSE 'candidate' END AS status,
   CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS confidence,
-  CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 5 THEN -1 - event_id % 3 ELSE event_id % 100 END AS source_id,
+  CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 5 THEN -1 - event_id % 3 ELSE event_id % 97 END AS source_id,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 150 END AS job_id,
   event_id % 17 = 0 AS stale FROM events""",
     "kb_jobs": """
