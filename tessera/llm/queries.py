@@ -130,6 +130,17 @@ t AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
   SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN k.size > 0 THEN ((f.off + f.prior + f.rate * pos) >> 24) - ((f.off + f.prior + f.rate * (pos - 1)) >> 24) ELSE 0 END AS copies
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source JOIN f ON f.source IS NOT DISTINCT FROM k.source AND f.cls = k.cls)
+""",
+    "op3_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ts FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ts FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+dt AS (SELECT r, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS p FROM d),
+bt AS (SELECT i, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS q, len(ts) AS n, least(13, (4 * len(ts) + 4) // 5) AS need FROM b),
+e AS (SELECT r, i, n, need, p, q, count(*) OVER (PARTITION BY r, i, p - q) AS c, row_number() OVER (PARTITION BY r, i, p - q ORDER BY p) AS k FROM dt JOIN bt USING (t)),
+f AS (SELECT * FROM e WHERE c >= need),
+s AS (SELECT x.r, x.i, x.n, y.k - x.k + 1 AS m, y.p - x.p + 1 AS l, x.p, x.q FROM f x JOIN f y ON y.r = x.r AND y.i = x.i AND y.p - y.q = x.p - x.q AND y.k >= x.k + x.need - 1 AND 4 * (y.k - x.k + 1) >= 3 * (y.p - x.p + 1)),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY m DESC, l, p, q) = 1)
+SELECT doc_id, item_id, m AS matched, l AS overlap_tokens, n AS item_tokens, p AS doc_start, q AS item_start, m / l AS identity FROM best JOIN d USING (r) JOIN b USING (i)
 """,
     "op5_secret_scans": f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

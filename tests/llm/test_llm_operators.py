@@ -9,7 +9,9 @@ import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -299,6 +301,10 @@ def test_overlaps_equal_brute_force(spark):
     got = {(r["doc_id"], r["item_id"]): (r["matched"], r["overlap_tokens"], r["doc_start"], r["item_start"]) for r in found}
     want = brute_overlaps(texts, items)
     assert got == want and len(found) == len(got) and len(want) > 50
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    benchmark = bench.toPandas()  # noqa: F841
+    told = duckdb.sql(queries.ORACLES["op3_decontamination"]).df()
+    assert {(int(r.doc_id), int(r.item_id)): (r.matched, r.overlap_tokens, r.doc_start, r.item_start) for r in told.itertuples()} == want
     clean = {r["doc_id"] for r in rows(decontam.decontaminate(docs(spark, texts, extra=True), bench))}
     assert clean == set(range(len(texts))) - {d for d, _ in want}
 
@@ -922,10 +928,8 @@ def test_counts_equal_the_library_and_the_cache_serves(spark, tmp_path, name):
 
 
 def test_queries_and_oracles_match(spark):
-    import duckdb
-
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), c.sql(sql).df()
@@ -936,9 +940,6 @@ def test_queries_and_oracles_match(spark):
 
 def test_secret_sql_equals_the_operator_on_planted_keys(spark):
     """The SQL of op5 over texts that hold keys of every kind, words and hostile marks; the given tables hold few."""
-    import duckdb
-    import pandas as pd
-
     rng = random.Random(21)
     alphabets = ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", secrets.ALPHABET, "abcXYZ", "ab/."]
     keys = ["".join(rng.choices(a, k=rng.randint(15, 70))) for a in alphabets for _ in range(40)]
@@ -953,9 +954,6 @@ def test_secret_sql_equals_the_operator_on_planted_keys(spark):
 
 
 def test_license_sql_equals_the_operator_on_samples(spark):
-    import duckdb
-    import pandas as pd
-
     rng = random.Random(22)
     samples = [example(r[3], full) for r in licenses.rules() for full in (False, True)]
     texts = EDGE_TEXTS + LICENSES + [" é, ".join(rng.sample(samples, 5)) for _ in range(120)] + [" ".join(rng.sample(samples, 12)) for _ in range(40)]
