@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.datalog import DatalogError, parse_program
 from tessera.functions import extraction
-from tessera.operators import documents, engine, planner
+from tessera.operators import documents, engine, intents, planner, questions
 from tessera.sources import files
 
 BASE = ".decl relation(subject: symbol, rel: symbol, object: symbol)\n"
@@ -93,3 +93,108 @@ def test_extraction_filters(spark):
 def test_outcome_view(spark):
     rows = planner.outcome_view(spark.createDataFrame([(1, "ambiguous"), (2, "odd_state")], "id long, status string")).collect()
     assert [tuple(r) for r in rows] == [(1, "ambiguous", "Ambiguous", "rephrase"), (2, "odd_state", "Odd State", "")]
+
+
+@pytest.mark.parametrize(
+    "question, entity, label",
+    [
+        ("“김철수” 의 직책", "“김철수”", None), ("아크메에 대한 설립일은 언제인가?", "아크메", "설립일"), ("What was the founding date of Acme Corp?", "Acme Corp", "founding date"),
+        ("show Ada title", "Ada", "role"), ("Find the price of it", "", None), ("아크메가 제공하는 것은?", "아크메", "제공"), ("which relation connects acme to other facts", "", None),
+    ],
+)
+def test_more_questions(question, entity, label):
+    i = intents.read_intent(question)
+    assert i.entity == entity.strip("“” ") or i.entity == entity
+    assert label is None or label in i.relations
+
+
+def entity(v):
+    return {"kind": "entity", "value": v}
+
+
+def var(v):
+    return {"kind": "var", "value": v}
+
+
+def rel(v):
+    return {"kind": "relation", "value": v}
+
+
+GOOD = [
+    {"kind": "lookup_object", "subject": entity(" Ada "), "relation": rel("role"), "operator": "=", "reason": "advisory"},
+    {"kind": "lookup_subject", "relation": rel("role"), "object": entity("x")},
+    {"kind": "lookup_relation", "subject": entity("a"), "object": entity("b")},
+    {"kind": "discover_entity_relations", "subject": entity("a"), "relation_candidates": ["r"]},
+    {"kind": "compare_typed_value", "relation": rel("born_on"), "operator": "<", "value_type": "date", "value": "2020-01-01"},
+    {"kind": "conjunctive_lookup", "hops": [{"subject": entity("a"), "relation": rel("r"), "object": var("X")}, {"subject": var("X"), "relation": rel("s"), "object": var("Y")}]},
+    {"kind": "conjunctive_filter", "conditions": [{"subject": var("X"), "relation": rel("r"), "object": entity("a")}, {"subject": var("X"), "relation": rel("s"), "object": entity("b")}]},
+    {"kind": "unknown_or_unsupported", "reason": "no relation named"},
+]
+BAD = [
+    {"kind": "other"}, {"kind": "lookup_object", "relation": rel("r")}, {"kind": "lookup_object", "subject": entity("a"), "relation": rel("r"), "value_type": "duration"}, {"kind": "unknown_or_unsupported"},
+    {**GOOD[4], "object": entity("x")}, {**GOOD[4], "value": None}, {"kind": "conjunctive_lookup", "hops": GOOD[5]["hops"][:1]}, {"kind": "conjunctive_lookup", "hops": GOOD[5]["hops"][::-1]},
+    {"kind": "conjunctive_filter", "conditions": [GOOD[6]["conditions"][0], {"subject": var("Z"), "relation": rel("s"), "object": entity("b")}]}, {**GOOD[3], "relation_candidates": [" "]},
+]
+
+
+def test_proposed_intents_are_checked():
+    for g in GOOD:
+        assert intents.check_intent("Sure: " + json.dumps(g) + " done")["kind"] == g["kind"]
+    assert intents.check_intent(json.dumps(GOOD[0]))["subject"] == "Ada"
+    for b in [json.dumps(x) for x in BAD] + ["no json"]:
+        with pytest.raises(ValueError):
+            intents.check_intent(b)
+
+
+def test_planned_intents(spark):
+    r = spark.createDataFrame([("a", "born_on", "2020-01-01"), ("b", "born_on", "2021-01-01"), ("a", "knows", "b"), ("b", "knows", "c"), ("c", "age", "ten")], "subject string, rel string, object string")
+    plan = lambda i, specs=None: planner.plan_checked(intents.check_intent(json.dumps(i)), r, {"born": "born_on"}, specs)
+    answers = lambda cs: sorted(x["answer"] for c in cs for x in c.answers.collect())
+    compare = {**GOOD[4], "relation": rel("born"), "value": "2020-06-01"}
+    assert answers(plan(compare, {"born_on": {"type": "date"}})) == ["a"] and plan(compare) == []
+    with pytest.raises(DatalogError):
+        plan({**compare, "relation": rel("age"), "value_type": "number"}, {"age": {"type": "number"}})
+    hops = [{"subject": entity("a"), "relation": rel("knows"), "object": var("X")}, {"subject": var("X"), "relation": rel("knows"), "object": var("Y")}]
+    two = plan({"kind": "conjunctive_lookup", "hops": hops})
+    assert answers(two) == ["c"] and planner.atoms_of(two[0].query) == ([("a", "knows", "?V1"), ("?V1", "knows", "?V2")], "?V2")
+    assert answers(plan({"kind": "lookup_relation", "subject": entity("a"), "object": entity("b")})) == ["knows"]
+    assert answers(plan({"kind": "discover_entity_relations", "subject": entity("c")})) == ["age", "knows"]
+
+
+def test_traces_and_their_bounds(spark):
+    f = spark.createDataFrame([(1, "a", "k", "b"), (2, "b", "k", "c"), (3, "a", "k", "b"), (4, "b", "r", "x"), (5, "q", "z", "q")], "id long, subject string, canonical string, object string")
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    assert rows(questions.trace(f, [("a", "k", "?X"), ("?X", "k", "?Y")], "?Y")) == [("c", "1,2,3")]
+    assert rows(questions.trace(f, [("a", "k", "?X"), ("?X", "k", "?Y"), ("?X", "r", "x")], "?Y")) == [("c", "1,2,4"), ("c", "2,3,4")]
+    assert rows(questions.trace(f, [("?X", "z", "?X")], "?X")) == [("q", "5")]
+    assert questions.trace(f, [("a", "k", "?X"), ("?Z", "r", "x")], "?X") is None
+    assert questions.trace(f, [("a", "k", "?X")], "?X", most=1) is None
+
+
+def test_ask_gives_proofs_or_what_there_is_to_read(spark):
+    f = spark.createDataFrame([(1, "Acme", "purpose", "grow", "goal"), (2, "Bea", "knows", "Acme", "knows")], "id long, subject string, canonical string, object string, relation string")
+    docs = spark.createDataFrame([(1, "Acme wants to grow. Straße."), (2, "nothing"), (3, None)], "doc_id long, text string")
+    r = f.select("subject", f["canonical"].alias("rel"), "object")
+    got = planner.ask("What is the goal of Acme?", r, {"goal": "purpose"}, f, docs)
+    assert got.trace == [("grow", "1")] and not got.excerpts
+    lost = planner.ask("Which strasse does Acme own?", r, {}, f, docs)
+    assert lost.outcome == "unsupported" and lost.excerpts[0][0] == 1 and lost.grounding == [1, 2]
+
+
+def test_verify_says_what_a_check_is_worth(spark):
+    rows = spark.createDataFrame([(1, "Org", "founded", "established_on", "2020"), (2, "Org", "established_on", "established_on", "2021")], "id long, subject string, relation string, canonical string, object string")
+    good = engine.verify(rows, engine.DEFAULT_POLICY, True)
+    assert good.errors == ["ERROR functional_conflict: Org established_on (founded #1=2020, established_on #2=2021)"] and not good.ok
+    assert engine.verify(rows, None, True).errors[0].startswith("ERROR policy") and engine.verify(rows, " ", True).errors[0].startswith("ERROR policy")
+    assert engine.verify(rows, None, False).warnings[0].startswith("WARN policy_unrecorded")
+    bare = engine.verify(rows, ".decl relation(subject: symbol, rel: symbol, object: symbol)", True)
+    assert bare.ok and bare.warnings == ["WARN policy_no_review_rules: the policy has no rule that reviews facts"]
+    assert engine.functional_relations(engine.DEFAULT_POLICY) == {"established_on", "born_on", "died_on"}
+
+
+def test_the_cache_follows_the_fingerprint(spark, tmp_path):
+    cache = engine.InferenceCache(str(tmp_path))
+    df = spark.createDataFrame([("a", "r", "x"), ("a", "r", "x")], "subject string, relation string, object string")
+    first = cache.relation(df)
+    assert first.count() == 1 and cache.relation(df.distinct()) is first
+    assert cache.relation(df.unionByName(df.limit(1).selectExpr("subject", "relation", "'y' as object"))).count() == 2
