@@ -37,6 +37,8 @@ SHARED = 0.35
 MOST_DELETIONS = 3
 #: Segments beyond the pigeonhole's need, as a share of it.
 SLACK = 0.1
+#: Rows of a bucket that one task compares with the whole bucket; larger buckets are dealt to several tasks.
+BUCKET_ROWS = 4000
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 
@@ -375,11 +377,13 @@ def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame,
 
     # What is still apart in a bucket: pairs of different components, one of the two plain.
     labelled = index.join(comp1, "c", "left").select("key", "deleted", "c", F.coalesce("comp", "c").alias("comp"))
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts")).filter("x <> y").select("key", "parts")
     left_over = labelled.join(open_keys, "key").join(classes.select("c", "n", *_words_of_sketch("s")), "c")
     left_over = tmp.save(left_over, "open")
-    side = lambda t: left_over.select(F.col("key").alias("k" + t), F.col("deleted").alias("d" + t), F.col("c").alias(t), F.col("comp").alias("c" + t), F.col("n").alias("n" + t), *[F.col(f"s{i}").alias(f"s{t}{i}") for i in range(SKETCH)])
-    met = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~(F.col("da") & F.col("db")) & _may_link(rule)
+    # A large bucket's rows are dealt out on one side, and each part meets all of it on the other.
+    dealt = {"a": F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    side = lambda t: left_over.select(F.col("key").alias("k" + t), dealt[t].alias("p" + t), F.col("deleted").alias("d" + t), F.col("c").alias(t), F.col("comp").alias("c" + t), F.col("n").alias("n" + t), *[F.col(f"s{i}").alias(f"s{t}{i}") for i in range(SKETCH)])
+    met = (F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~(F.col("da") & F.col("db")) & _may_link(rule)
     pairs2 = tmp.save(side("a").join(side("b"), met).select("a", "b").distinct().join(pairs1, ["a", "b"], "left_anti"), "pairs")
     tmp.drop(index, left_over)
     texts2 = _fetch(tmp, rows, classes, pairs2, rule, clash)

@@ -767,7 +767,8 @@ def mutated(rng, words, edits):
 
 
 @pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(5, 80, 100)])
-def test_components_equal_brute_force(spark, rule):
+def test_components_equal_brute_force(spark, rule, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 3)
     rng = random.Random(rule.num)
     vocab = [f"v{i}" for i in range(300)]
     texts = list(EDGE_TEXTS)
