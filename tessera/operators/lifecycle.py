@@ -153,3 +153,25 @@ def end_repair(repairs: DataFrame, owner: str, now: int, status: str = "done") -
     """The owner's running repairs end; another owner's, and those whose lease ran out, do not."""
     mine = (F.col("status") == "running") & (F.col("owner") == owner) & (F.col("lease_until") >= now)
     return repairs.withColumns({"status": F.when(mine, status).otherwise(F.col("status")), "lease_until": F.when(mine, None).otherwise(F.col("lease_until"))})
+
+
+# -- questions ---------------------------------------------------------------------------------------------------
+
+# How a candidate evaluation leaves its question.
+OUTCOMES = {"valid": "translated", "no_answer": "no_answer", "ambiguous": "ambiguous", "review_required": "review_required", "invalid": "translation_failed", "engine_policy_error": "translation_failed"}
+
+
+def translate(questions: DataFrame, results: DataFrame, again: bool = False) -> DataFrame:
+    """questions (id, status, query_dl, reason) after results (question_id, outcome, query, reason).
+
+    Only pending questions change, or with again all but translated ones; an unknown outcome fails. A question
+    that has no query in the end keeps none of an earlier one.
+    """
+    r = results.select(F.col("question_id").alias("__q"), "outcome", F.col("query").alias("__query"), F.col("reason").alias("__reason")).dropDuplicates(["__q"])
+    at = questions.join(r, F.col("id") == F.col("__q"), "left")
+    book = F.create_map(*[F.lit(x) for kv in OUTCOMES.items() for x in kv])
+    free = F.col("status") != "translated" if again else F.col("status") == "pending"
+    hit = free & F.col("__q").isNotNull()
+    to = F.coalesce(F.try_element_at(book, F.col("outcome")), F.lit("translation_failed"))
+    new = {"status": to, "query_dl": F.when(to == "translated", F.col("__query")), "reason": F.coalesce("__reason", F.lit(""))}
+    return at.select("id", *[F.when(hit, v).otherwise(F.col(c)).alias(c) for c, v in new.items()])

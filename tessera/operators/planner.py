@@ -52,7 +52,7 @@ def plan(intent: Intent, relation: DataFrame, aliases: dict[str, str]) -> list[C
     if not out and intent.kind == "discover":
         e = _quoted(intent.entity)
         for side, head in (("subject", f"relation({e}, V, O)"), ("object", f"relation(S, V, {e})")):
-            found = questions.discover(relation, intent.entity).filter(F.col("side") == side).select(F.col("rel").alias("answer")).distinct()
+            found = questions.discover(relation, intent.entity).filter(F.col("side") == side).select(F.col("rel").alias("answer")).distinct().filter(~documents.low_signal("answer"))
             if any(r["side"] == side for r in own):
                 out.append(Candidate("discovery", f"answer_q0(V) :- {head}.", found))
     return out

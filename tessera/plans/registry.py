@@ -712,6 +712,20 @@ def repair_heartbeat(spark, sf_dir):
     return lifecycle.heartbeat(*tables(spark, sf_dir, "repairs"), "worker-1", 1030).select("id", "lease_until")
 
 
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN CASE p_partkey % 5 WHEN 0 THEN 'translated' WHEN 1 THEN 'no_answer' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'review_required' ELSE 'translation_failed' END
+  WHEN p_size % 3 = 1 THEN 'translated' ELSE 'ambiguous' END AS status, CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'q' || p_partkey END WHEN p_size % 3 = 1 THEN 'old' END AS query_dl,
+  CASE WHEN p_size % 3 = 0 AND p_partkey % 5 = 4 THEN 'bad' ELSE '' END AS reason FROM part""")
+def question_translation(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pick = lambda c, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs) + 1).cast("int"))
+    asked = part.select(F.col("p_partkey").alias("id"), pick("p_size", "pending", "translated", "ambiguous").alias("status"), F.when(F.col("p_size") % 3 == 1, "old").alias("query_dl"), F.lit("").alias("reason"))
+    results = part.select(
+        F.col("p_partkey").alias("question_id"), pick("p_partkey", "valid", "no_answer", "ambiguous", "review_required", "odd").alias("outcome"),
+        F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query"), F.when(F.col("p_partkey") % 5 == 4, "bad").alias("reason"),
+    )
+    return lifecycle.translate(asked, results)
+
+
 @query("""SELECT fact_id AS id, 'token_mismatch' AS problem FROM kb_terms JOIN kb_facts ON id = fact_id WHERE status IN ('accepted','confirmed') AND fact_id % 19 = 4
 UNION ALL SELECT id, 'missing' FROM kb_facts WHERE status IN ('accepted','confirmed') AND id NOT IN (SELECT fact_id FROM kb_terms)""")
 def term_integrity(spark, sf_dir):

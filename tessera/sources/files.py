@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text
 
@@ -75,12 +76,102 @@ def new_artifacts(sources: DataFrame, stored: DataFrame | None) -> DataFrame:
     return fresh if stored is None else fresh.join(stored.select("path", "checksum").distinct(), ["path", "checksum"], "left_anti")
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of a local SQLite file on the driver, for small knowledge bases; large ones come as Parquet."""
+#: SQL types of a SQLite column by what its declared type holds, in this order; others are strings.
+SQLITE_TYPES = (("INT", "long"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"), ("BLOB", "binary"))
+
+
+def _open(path: str):
     import sqlite3
     from contextlib import closing
 
-    if not table.isidentifier():
-        raise ValueError(f"no table name: {table}")
-    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
-        return spark.createDataFrame(pd.read_sql_query(f'SELECT * FROM "{table}"', db))
+    return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
+
+
+class _Rows(InputPartition):
+    def __init__(self, first: int, last: int):
+        super().__init__((first, last))
+
+
+class _SqliteReader(DataSourceReader):
+    def __init__(self, path: str, table: str, columns: list[str], pieces: int):
+        self.path, self.table, self.columns, self.pieces = path, table, columns, pieces
+
+    def partitions(self):
+        with _open(self.path) as db:
+            first, last = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        if first is None:
+            return [_Rows(0, -1)]
+        step = -(-(last - first + 1) // self.pieces)
+        return [_Rows(lo, min(lo + step - 1, last)) for lo in range(first, last + 1, step)]
+
+    def read(self, partition):
+        names = ", ".join(f'"{c}"' for c in self.columns)
+        with _open(self.path) as db:
+            yield from db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', partition.value)
+
+
+class SqliteSource(DataSource):
+    """Spark source "sqlite": a table of a SQLite file that every executor can open, read-only, by ranges of rowid.
+
+    Options: path, table, and pieces, into how many ranges the rows are cut (8).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite"
+
+    def _table(self) -> str:
+        table = self.options["table"]
+        if not table.isidentifier():
+            raise ValueError(f"no table name: {table}")
+        return table
+
+    def schema(self) -> str:
+        with _open(self.options["path"]) as db:
+            rows = db.execute(f'PRAGMA table_info("{self._table()}")').fetchall()
+        if not rows:
+            raise ValueError(f"no table {self._table()}")
+        kind = lambda t: next((to for part, to in SQLITE_TYPES if part in (t or "").upper()), "string")
+        return ", ".join(f"`{r[1]}` {kind(r[2])}" for r in rows)
+
+    def reader(self, schema):
+        return _SqliteReader(self.options["path"], self._table(), schema.names, int(self.options.get("pieces", 8)))
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, pieces: int = 8) -> DataFrame:
+    """A table of a SQLite file, read by the executors."""
+    spark.dataSource.register(SqliteSource)
+    return spark.read.format("sqlite").option("path", path).option("table", table).option("pieces", pieces).load()
+
+
+def write_whole(path: str, text: str) -> None:
+    """Writes a small driver-side file so that readers see the old or the new text, never a part."""
+    import os
+    import tempfile
+
+    folder = os.path.dirname(os.path.abspath(path))
+    handle, temporary = tempfile.mkstemp(dir=folder, prefix=".new-")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(temporary, path)
+    except BaseException:
+        os.unlink(temporary)
+        raise
+
+
+def query_text(questions: DataFrame) -> str:
+    """The query file's text: the queries of translated questions by id. As long as what people asked."""
+    rows = questions.filter((F.col("status") == "translated") & F.col("query_dl").isNotNull()).select("id", "query_dl").orderBy("id").collect()
+    return "\n".join(r["query_dl"].rstrip() for r in rows) + ("\n" if rows else "")
+
+
+def read_query(path: str) -> str:
+    """The text of a query file; an absent one asks nothing."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    except FileNotFoundError:
+        return ""

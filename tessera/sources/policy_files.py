@@ -149,3 +149,20 @@ def runnable_policy(text: str | None, recorded: bool, default: str) -> tuple[str
     if state == UNRECORDED_DEFAULT:
         return default, ["WARN policy_unrecorded: no policy file; the default policy ran"]
     raise PolicyError(f"the policy may not run: {state}")
+
+
+def mark_policy(known: dict | None, text: str, now: str, revision: int | None = None) -> dict:
+    """The record of a policy once its text was seen: sha, first_seen, last_seen and revision.
+
+    known: the record as it stands. revision: the one the caller read; another one meanwhile is an error, so two
+    writers never overwrite each other. The same text keeps its revision; a new one gets the next.
+    """
+    import hashlib
+
+    have = known["revision"] if known else 0
+    if revision is not None and revision != have:
+        raise PolicyError(f"the policy's record is at revision {have}, not {revision}")
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    if known and known["sha"] == sha:
+        return {**known, "last_seen": now}
+    return {"sha": sha, "first_seen": now, "last_seen": now, "revision": have + 1}

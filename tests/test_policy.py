@@ -31,3 +31,32 @@ def test_unit_mismatch_column(spark):
 
     rows = spark.createDataFrame([("몇 년?", "24개월"), (None, "x")], "q string, v string").select(units.unit_mismatch(F.col("q"), F.col("v")).alias("m")).select("m.*").collect()
     assert [tuple(r) for r in rows] == [("년", "개월"), (None, None)]
+
+
+def test_policy_records_move_by_compare_and_set():
+    one = pf.mark_policy(None, "a.", "t1")
+    assert (one["revision"], pf.mark_policy(one, "a.", "t2")["revision"], pf.mark_policy(one, "a.", "t2")["first_seen"]) == (1, 1, "t1")
+    two = pf.mark_policy(one, "b.", "t3", revision=1)
+    assert two["revision"] == 2 and two["first_seen"] == "t3"
+    with pytest.raises(pf.PolicyError):
+        pf.mark_policy(two, "c.", "t4", revision=1)
+
+
+def test_sqlite_and_query_files(spark, tmp_path):
+    import sqlite3
+
+    from tessera.sources import files
+
+    path = str(tmp_path / "kb.db")
+    with sqlite3.connect(path) as db:
+        db.execute("create table facts (id integer primary key, subject text, confidence real, raw blob)")
+        db.executemany("insert into facts values (?, ?, ?, ?)", [(i, f"s{i}" if i % 3 else None, i / 10, b"x") for i in range(100)])
+        db.execute("create table empty (id integer)")
+    got = files.read_sqlite(spark, path, "facts", pieces=7)
+    assert got.count() == 100 and [f.dataType.simpleString() for f in got.schema] == ["bigint", "string", "double", "binary"] and got.filter("subject is null").count() == 34
+    assert files.read_sqlite(spark, path, "empty").count() == 0
+    with pytest.raises(Exception):
+        files.read_sqlite(spark, path, 'x"; drop').count()
+    q = spark.createDataFrame([(2, "translated", "b."), (1, "translated", "a."), (3, "pending", "c."), (4, "translated", None)], "id long, status string, query_dl string")
+    files.write_whole(str(tmp_path / "query.dl"), files.query_text(q))
+    assert files.read_query(str(tmp_path / "query.dl")) == "a.\nb.\n" and files.read_query(str(tmp_path / "none.dl")) == "" and sorted(x.name for x in tmp_path.iterdir()) == ["kb.db", "query.dl"]
