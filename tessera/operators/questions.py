@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import typed
@@ -133,6 +133,24 @@ def exact_facts(facts: DataFrame, entity: str, most: int = 50) -> DataFrame:
     return facts.filter(s | o).select("id", "subject", "relation", "object", side.alias("side")).orderBy("id").limit(most + 1)
 
 
+# How much of a knowledge base a snapshot shows.
+SNAPSHOT = {"relation": 100, "subject": 100, "object": 100, "fact": 50}
+
+
+def snapshot(relation: DataFrame, facts: DataFrame, entity: str) -> DataFrame:
+    """(part, position, label, beyond): the first relation labels, subjects and objects in order, and the oldest
+    facts of an entity, each list with one more row than its bound: beyond marks that row, so truncation shows."""
+    lists = {"relation": relation.select(F.col("rel").alias("label")), "subject": relation.select(F.col("subject").alias("label")), "object": relation.select(F.col("object").alias("label"))}
+    lists["fact"] = exact_facts(facts, entity, SNAPSHOT["fact"]).select(F.format_string("%019d", "id").alias("label"))
+    out = None
+    for part, df in lists.items():
+        # The window runs over the bounded list alone.
+        top = df.distinct().orderBy("label").limit(SNAPSHOT[part] + 1).withColumn("position", F.row_number().over(Window.orderBy("label")))
+        rows = top.select(F.lit(part).alias("part"), "position", "label", (F.col("position") > SNAPSHOT[part]).alias("beyond"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def select_unambiguous(candidates: list[tuple[str, DataFrame]]) -> tuple[str, list[str]]:
     """(outcome, answers) of evaluated candidates: the first family with answers decides; two different answer
     sets in it are ambiguous. Answers shown to a person are few; each set is read up to a bound plus one."""

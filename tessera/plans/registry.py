@@ -394,6 +394,14 @@ def exact_entity_facts(spark, sf_dir):
     return questions.exact_facts(tables(spark, sf_dir, "facts")[0].filter(in_tier(ENGINE)), "user/3")
 
 
+@query("""WITH l AS (SELECT 'relation' AS part, rel AS label, 100 AS most FROM kb_relation UNION SELECT 'subject', subject, 100 FROM kb_relation UNION SELECT 'object', object, 100 FROM kb_relation
+UNION SELECT 'fact', printf('%019d', id), 50 FROM kb_facts WHERE status IN ('accepted','confirmed') AND (subject = 'user/3' OR object = 'user/3'))
+SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY label) AS INTEGER) AS position, label, row_number() OVER (PARTITION BY part ORDER BY label) > most AS beyond FROM l
+QUALIFY row_number() OVER (PARTITION BY part ORDER BY label) <= most + 1""")
+def schema_snapshot(spark, sf_dir):
+    return questions.snapshot(plain_relation(spark, sf_dir), tables(spark, sf_dir, "facts")[0].filter(in_tier(ENGINE)), "user/3")
+
+
 def _traced(spark, sf_dir, atoms, answer):
     """The trace, or no rows where a bound leaves none."""
     found = questions.trace(canonical_facts(spark, sf_dir).filter(in_tier(ENGINE)), atoms, answer)
