@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from . import chat, decontam, jaccard, langid, licenses, media, mixing, secrets, tokens, urls
-from ._common import need, shared_dir, table
+from ._common import Scratch, need, table
 
 TOKENIZER = "piece_bpe_32k.model"
 OP8_RULE = jaccard.Rule(k=3, num=90, den=100)
@@ -69,7 +67,7 @@ def op10_token_counts(spark, sf_dir):
     import public_tokenizers
 
     # One cache for the tables of a corpus: benchmark items are counted first, so documents meet stored counts.
-    path, cache = public_tokenizers.path(TOKENIZER), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    path, cache = public_tokenizers.path(TOKENIZER), Scratch(spark, "counts").folder("cache")
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
     tokens.count_tokens(items, path, cache_dir=cache)
     return tokens.count_tokens(table(spark, sf_dir, "documents"), path, cache_dir=cache)
