@@ -55,6 +55,22 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: A key with more than the HEAVY-th part of all rows is heavy, so fewer than HEAVY keys are.
+HEAVY = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups on key, however many rows a key has; how: inner, or left for groups without some keys.
+
+    groups has one row a key and in copies how many of the total rows have it. By that sum fewer than HEAVY keys
+    are heavy: their groups are broadcast and their rows stay where they are. A key of the others, which are
+    shuffled, is a small part of all rows.
+    """
+    heavy = groups.filter(F.col(copies) * HEAVY > total)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(groups.filter(F.col(copies) * HEAVY <= total), key, how))
+
+
 def running(values: Column, merge, start: int) -> Column:
     """For each element of an array of numbers, it and all before it merged (sum, greatest), as longs.
 

@@ -26,6 +26,9 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 #: Words of digits, letters and anything beyond ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
+#: Words of letters and anything beyond ASCII.
+LETTERS = ALNUM.copy()
+LETTERS[48:58] = False
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -116,6 +119,27 @@ def words(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray, block: int =
     return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, bounds, side="left")
 
 
+def word_codes(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes, own, distinct): every word as a place in the array of distinct words, and each document's bounds.
+
+    inside: as in words; letters A-Z become a-z. Words are compared whole, not by a hash.
+    """
+    data, bounds = buffers(column)
+    isin = inside[data]
+    first, last = isin.copy(), isin.copy()
+    first[1:] &= ~isin[:-1]
+    last[:-1] &= ~isin[1:]
+    own = bounds[:-1][np.diff(bounds) > 0]
+    first[own] = isin[own]
+    cut = own[own > 0] - 1
+    last[cut] = isin[cut]
+    letters = LOWER[data[isin]]
+    ends = np.cumsum(isin)[np.flatnonzero(last)]
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    told = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return np.asarray(told.indices, dtype=np.int64), np.searchsorted(np.flatnonzero(first), bounds, "left"), told.dictionary
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words that begin at each word; the last k-1 of an array are cut short and not for use."""
     if not len(hashes):

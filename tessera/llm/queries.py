@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, licenses, media, mixing, secrets, tokens, urls
+from . import chat, decontam, divergence, jaccard, langid, licenses, media, mixing, resampling, secrets, tokens, urls, warc
 from ._common import Scratch, need, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -73,6 +73,18 @@ def op10_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), path, cache_dir=cache)
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence_report(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark, sf_dir):
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -83,7 +95,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_language_id, op3_decontamination, op4_url_filters, op5_secret_scans, op6_media_columns,
-        op7_license_scans, op8_ngram_jaccard, op9_chat_formatting, op10_token_counts, pipeline,
+        op7_license_scans, op8_ngram_jaccard, op9_chat_formatting, op10_token_counts,
+        op11_importance_resampling, op12_source_divergence, op13_warc, pipeline,
     )
 }
 
@@ -206,5 +219,47 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(t) + CASE WHEN head = 1 THEN length('<|turn|>' || r || '<|text|>' || '<|end|>') ELSE length('<|join|>') END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id, own
+""",
+    "op11_importance_resampling": r"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+x AS (SELECT 0 AS goal, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, -row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT goal, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM x),
+g AS (SELECT goal, r, unnest(flatten(list_transform(range(3), lambda k: list_transform(range(1, len(ws) + 1 - k), lambda i: array_to_string(ws[i:i+k], ' '))))) AS f FROM w),
+n AS (SELECT goal, r, f, count(*) AS c FROM g GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2*i+1:2*i+2] AS BIGINT))), lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1])), 4294967295) % 10000 AS bucket FROM h, crc),
+m AS (SELECT bucket, coalesce(sum(c) FILTER (goal = 0), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (goal = 1), 0)::DOUBLE AS t FROM n JOIN b USING (f) GROUP BY bucket),
+v AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM m) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM m) + 10000)))) AS BIGINT) AS gain FROM m),
+d AS (SELECT r, CAST(sum(c) AS BIGINT) AS n_features, CAST(sum(c * gain) AS BIGINT) AS weight FROM n JOIN b USING (f) JOIN v USING (bucket) WHERE goal = 0 GROUP BY r),
+e AS (SELECT doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN d USING (r) WHERE goal = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * (SELECT count(*) FROM e WHERE words >= 20) // 100 THEN place END AS rank FROM o
+""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS whole FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS size FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.size, 0) + 2 * v.v) AS BIGINT) AS p,
+  CAST(1 + (1000000000::HUGEINT * (k.total + 2)) // (v.whole + 2 * v.v) AS BIGINT) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS keeper, sha1(payload) AS h FROM p)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * j)) & 31), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to FROM m
 """,
 }
