@@ -11,18 +11,15 @@ from pyspark.sql import functions as F
 from .. import terms
 from ..datalog import DatalogError, Literal, Program, Rule, parse_program
 from ..sources.policy_files import variants
-from . import documents, engine, questions
-from .intents import Intent, check_intent, read_intent
+from . import documents, engine, questions, traces
+from .candidates import Candidate, dry_run, select_candidates
+from .intents import Intent, read_intent
 
 # Bounds.
 MOST_EXPANDED, MOST_RELATIONS, MOST_FACTS = 64, 100, 50
 
 
-@dataclass
-class Candidate:
-    family: str
-    query: str
-    answers: DataFrame
+BASE = ".decl relation(subject: symbol, rel: symbol, object: symbol)\n"
 
 
 def _quoted(x: str) -> str:
@@ -51,10 +48,11 @@ def plan(intent: Intent, relation: DataFrame, aliases: dict[str, str]) -> list[C
                 out.append(Candidate("direct", f"answer_q0(V) :- relation(V, {r}, {e}).", questions.lookup_subject(relation, [row["rel"]], intent.entity)))
     if not out and intent.kind == "discover":
         e = _quoted(intent.entity)
-        for side, head in (("subject", f"relation({e}, V, O)"), ("object", f"relation(S, V, {e})")):
-            found = questions.discover(relation, intent.entity).filter(F.col("side") == side).select(F.col("rel").alias("answer")).distinct().filter(~documents.low_signal("answer"))
-            if any(r["side"] == side for r in own):
-                out.append(Candidate("discovery", f"answer_q0(V) :- {head}.", found))
+        for row in sorted(own, key=lambda r: (r["side"] != "subject", r["rel"])):
+            r, side = _quoted(row["rel"]), row["side"]
+            body = f"relation({e}, {r}, O)" if side == "subject" else f"relation(S, {r}, {e})"
+            found = relation.filter((F.col(side) == intent.entity) & (F.col("rel") == row["rel"])).select(F.col("rel").alias("answer")).distinct()
+            out.append(Candidate(f"{side}_discovery", f"answer_q0({r}) :- {body}.", found, row["rel"]))
     return out
 
 
@@ -64,9 +62,30 @@ def _present(relation: DataFrame, labels: list[str], aliases: dict[str, str]) ->
     return sorted(r["rel"] for r in relation.filter(F.col("rel").isin(*wanted)).select("rel").distinct().collect())
 
 
-def plan_checked(intent: dict, relation: DataFrame, aliases: dict[str, str], specs: dict[str, dict] | None = None) -> list[Candidate]:
+def _exact(intent: dict, facts: DataFrame, aliases: dict[str, str]) -> list[Candidate]:
+    """Lookups through the facts that name the intent's entity: their own labels, also those that an alias would
+    hide. Read are the oldest, as many as a snapshot shows; with more of them nothing is proposed from them."""
+    kind, out = intent["kind"], []
+    entity = intent["subject"] if kind == "lookup_object" else intent["object"]
+    own = questions.exact_facts(facts, entity, MOST_FACTS).collect()
+    if len(own) > MOST_FACTS:
+        return []
+    wanted = {v for x in [intent["relation"], *intent["relations"]] for v in variants(x, aliases)}
+    side = "subject" if kind == "lookup_object" else "object"
+    for label in sorted({r["relation"] for r in own if r["side"] in (side, "both") and wanted & set(variants(r["relation"], aliases))}):
+        e, rel = _quoted(entity), _quoted(label)
+        body = f"relation({e}, {rel}, V)" if side == "subject" else f"relation(V, {rel}, {e})"
+        given = facts.filter((F.col(side) == entity) & (F.col("relation") == label))
+        out.append(Candidate("exact_fact", f"answer_q0(V) :- {body}.", given.select(F.col("object" if side == "subject" else "subject").alias("answer")).distinct()))
+    return out
+
+
+def plan_checked(intent: dict, relation: DataFrame, aliases: dict[str, str], specs: dict[str, dict] | None = None, facts: DataFrame | None = None) -> list[Candidate]:
     """Candidate queries of an intent that check_intent passed, one for each relation label that facts have.
 
+    facts (id, subject, relation, object of the engine tier): lookups also go through the facts that name their
+    entity, so that a question finds an answer where the relation list does not hold its label.
+
     A comparison runs only for a relation with one typed spec of the asked type, and not at all where some object
     of it has no value of that type: then no part of the answer would be sure. Equal queries are one candidate;
     more than the bound are the caller's to review.
@@ -105,7 +124,12 @@ def plan_checked(intent: dict, relation: DataFrame, aliases: dict[str, str], spe
             labels = _present(relation, [r], aliases)
             sides.append(questions.lookup_subject(relation, labels, o[1]) if s[0] == "var" else questions.lookup_object(relation, s[1], labels))
         out.append(Candidate("direct", " and ".join(str(h) for h in intent["hops"]), questions.both(*sides)))
-    return list({c.query: c for c in out}.values())
+    if facts is not None and kind in ("lookup_object", "lookup_subject"):
+        out += _exact(intent, facts, aliases)
+    first: dict[str, Candidate] = {}
+    for c in out:
+        first.setdefault(c.query, c)
+    return list(first.values())
 
 
 def diagnose(intent: Intent, relation: DataFrame, aliases: dict[str, str]) -> str:
@@ -130,13 +154,15 @@ class Answer:
 
     @property
     def label(self) -> str:
+        if self.outcome == "no_answer":
+            return "VERIFIED — engine (negative)"
         return "VERIFIED — engine" if self.outcome == "valid" else "UNVERIFIED — source exploration"
 
 
 def atoms_of(query: str) -> tuple[list[tuple[str, str, str]], str] | None:
     """(atoms, answer) of a query of one rule for questions.trace; None for any other program."""
     try:
-        program = parse_program(".decl relation(subject: symbol, rel: symbol, object: symbol)\n.decl answer_q0(v: symbol)\n" + query)
+        program = parse_program(BASE + ".decl answer_q0(v: symbol)\n" + query)
     except DatalogError:
         return None
     if len(program.rules) != 1 or program.rules[0].comparisons or not isinstance(program.rules[0].head.args[0], terms.Var):
@@ -145,29 +171,39 @@ def atoms_of(query: str) -> tuple[list[tuple[str, str, str]], str] | None:
     return [tuple(map(shown, x.args)) for x in program.rules[0].literals], shown(program.rules[0].head.args[0])
 
 
-def ask(question: str, relation: DataFrame, aliases: dict[str, str], facts: DataFrame | None = None, docs: DataFrame | None = None) -> Answer:
+def ask(question: str, relation: DataFrame, aliases: dict[str, str], facts: DataFrame | None = None, docs: DataFrame | None = None, intent: dict | None = None, specs: dict[str, dict] | None = None) -> Answer:
     """The verified answer of a question, or the outcome that keeps it from one.
 
-    facts (id, subject, canonical, object of the engine tier) give a verified answer its proofs. An unverified one
-    gets the best excerpts of docs (doc_id, text) and the facts that the question names, for a person to read.
+    intent: a model's, as check_intent passed it; without one the question's words are read. All candidates run in
+    one job. facts (id, subject, canonical, object, and relation for exact lookups) of the engine tier give a
+    verified answer its proofs; an answer over three facts counts as verified only where every part of it has a
+    proof of three facts. What is neither verified nor known to have no answer gets the best excerpts of docs
+    (doc_id, text) and the facts that the question names, for a person to read.
     """
     text = " ".join(question.split())
-    intent = read_intent(text)
-    if not text or intent.kind == "unsupported":
-        return _explored(Answer("unsupported", reason=intent.reason), text, facts, docs)
+    read = None if intent else read_intent(text)
+    if not text or (intent or {}).get("kind") == "unknown_or_unsupported" or read and read.kind == "unsupported":
+        return _explored(Answer("unsupported", reason=intent["reason"] if intent and text else read.reason if read else "empty question"), text, facts, docs)
     try:
-        candidates = plan(intent, relation, aliases)
+        exact = facts if facts is not None and "relation" in facts.columns else None
+        proposed = plan(read, relation, aliases) if read else plan_checked(intent, relation, aliases, specs, exact)
     except DatalogError as e:
         return _explored(Answer("review_required", reason=str(e)), text, facts, docs)
-    if not candidates:
-        return _explored(Answer("no_answer", reason=diagnose(intent, relation, aliases)), text, facts, docs)
-    outcome, answers = questions.select_unambiguous([(c.family, c.answers) for c in candidates])
-    if outcome != "valid":
-        return _explored(Answer(outcome, answers), text, facts, docs)
-    out = Answer(outcome, answers, candidates[0].query)
+    if not proposed:
+        return _explored(Answer("no_answer", reason=diagnose(read, relation, aliases) if read else "no fact has the relation"), text, facts, docs)
+    frame = engine.base_relation(relation.select("subject", F.col("rel").alias("relation"), "object"))
+    runs = dry_run([(0, c) for c in proposed], frame, aliases)
+    got = select_candidates(runs).first()
+    if got["outcome"] != "valid":
+        return _explored(Answer(got["outcome"], list(got["answers"]), got["query"] or ""), text, facts, docs)
+    out = Answer("valid", list(got["answers"]), got["query"])
     atoms = atoms_of(out.query)
-    found = questions.trace(facts, *atoms) if facts is not None and atoms else None
+    found = traces.trace(facts, *atoms) if facts is not None and atoms else None
     out.trace = [tuple(r) for r in found.orderBy("answer", "fact_ids").collect()] if found is not None else []
+    if facts is not None and atoms and len(atoms[0]) == 3:
+        proved = {a for a, ids in out.trace if ids.count(",") == 2}
+        if not proved.issuperset(out.answers):
+            return _explored(Answer("review_required", reason="a proof of three facts is not complete"), text, facts, docs)
     return out
 
 
@@ -200,10 +236,9 @@ def expand_aliases(program: Program, aliases: dict[str, str]) -> Program:
 
 def run_question(query: str, relation: DataFrame, aliases: dict[str, str]) -> dict[str, str]:
     """Answers of a query draft over the engine's relation frame, aliases expanded."""
-    base = ".decl relation(subject: symbol, rel: symbol, object: symbol)\n"
     if why := engine.check_query(query, relation):
         raise DatalogError(why)
-    program = expand_aliases(parse_program(base + query), aliases)
+    program = expand_aliases(parse_program(BASE + query), aliases)
     return {r["qid"]: r["answer"] for r in engine.answers(program, engine.evaluate(program, relation)).collect()}
 
 

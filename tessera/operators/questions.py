@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import typed
 
 OPERATORS = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
-# Bounds of traces, with which an answer has no trace rather than part of one.
-MOST_MATCHES, MOST_PROOFS, MOST_CANDIDATES = 512, 256, 32
-MOST_ATOMS = 3
+#: Fixed value: proofs of an answer past which it has no trace rather than part of one.
+MOST_PROOFS = 256
 
 
 def lookup_object(relation: DataFrame, subject: str, rels: list[str]) -> DataFrame:
@@ -66,60 +65,6 @@ def provenance(facts: DataFrame, rels: list[str]) -> DataFrame:
     return df.groupBy("subject", "answer").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("fact_ids"), F.count("*").alias("proofs"))
 
 
-def _is_var(x: str) -> bool:
-    return x.startswith("?")
-
-
-def _cut(df: DataFrame, most: int) -> DataFrame | None:
-    """df where it has at most so many rows, else None: what is past a bound is no part of an answer."""
-    held = df.limit(most + 1).cache()
-    return held if held.count() <= most else None
-
-
-def trace(facts: DataFrame, atoms: list[tuple[str, str, str]], answer: str, most: int = MOST_MATCHES, proofs: int = MOST_PROOFS) -> DataFrame | None:
-    """(answer, fact_ids) of the proofs of a query over one to three connected atoms; None where there is no trace.
-
-    facts: id, subject, canonical, object. atoms: subject, relation, object; ?X is a variable, all else a constant.
-    Up to two atoms give a row an answer with all supporting ids, three a row a distinct set of ids. The atom of
-    fewest matches comes first, then those that share most variables; each is read only where it joins what is
-    there already. Past a bound, or for unconnected atoms, there is no trace.
-    """
-    if not 1 <= len(atoms) <= MOST_ATOMS or not any(answer in a for a in atoms):
-        return None
-
-    def rows(atom, i):
-        """The atom's facts with its variables as columns; constants and repeated variables are filters."""
-        df, named = facts, {}
-        for c, x in zip(("subject", "canonical", "object"), atom, strict=True):
-            if not _is_var(x):
-                df = df.filter(F.col(c) == x)
-            elif x in named:
-                df = df.filter(F.col(c) == F.col(named[x]))
-            else:
-                named[x] = c
-        return df.select(F.col("id").alias(f"id{i}"), *[F.col(c).alias(x) for x, c in named.items()])
-
-    left = {i: rows(a, i) for i, a in enumerate(atoms)}
-    constants = lambda i: sum(not _is_var(x) for x in atoms[i])
-    first = max(left, key=lambda i: (constants(i), -i))
-    at, bound, ids = _cut(left.pop(first), most), {x for x in atoms[first] if _is_var(x)}, [f"id{first}"]
-    while at is not None and left:
-        i = max(left, key=lambda j: (len(bound & set(atoms[j])), constants(j), -j))
-        shared = sorted(bound & set(atoms[i]))
-        if not shared:
-            return None
-        at = _cut(at.join(left.pop(i), shared), most)
-        bound |= {x for x in atoms[i] if _is_var(x)}
-        ids.append(f"id{i}")
-    if at is None:
-        return None
-    sets = at.select(F.col(answer).alias("answer"), F.array_sort(F.array_distinct(F.array(*ids))).alias("ids")).distinct()
-    if len(atoms) < MOST_ATOMS:
-        sets = sets.groupBy("answer").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-    out = _cut(sets, proofs)
-    return out and out.select("answer", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("fact_ids"))
-
-
 def traced(prov: DataFrame) -> DataFrame:
     """Provenance with fact_ids nulled where a bound is passed: no trace instead of part of one."""
     return prov.withColumn("fact_ids", F.when(F.col("proofs") <= MOST_PROOFS, F.col("fact_ids")))
@@ -149,21 +94,3 @@ def snapshot(relation: DataFrame, facts: DataFrame, entity: str) -> DataFrame:
         rows = top.select(F.lit(part).alias("part"), "position", "label", (F.col("position") > SNAPSHOT[part]).alias("beyond"))
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-def select_unambiguous(candidates: list[tuple[str, DataFrame]]) -> tuple[str, list[str]]:
-    """(outcome, answers) of evaluated candidates: the first family with answers decides; two different answer
-    sets in it are ambiguous. Answers shown to a person are few; each set is read up to a bound plus one."""
-    if len(candidates) > MOST_CANDIDATES:
-        return "review_required", []
-    by_family: dict[str, set[tuple[str, ...]]] = {}
-    for family, df in candidates:
-        rows = [r["answer"] for r in df.select("answer").distinct().orderBy("answer").limit(MOST_MATCHES + 1).collect()]
-        if len(rows) > MOST_MATCHES:
-            return "review_required", []
-        if rows:
-            by_family.setdefault(family, set()).add(tuple(rows))
-    for family in ("direct", "discovery"):
-        if sets := by_family.get(family):
-            return ("valid", list(next(iter(sets)))) if len(sets) == 1 else ("ambiguous", [])
-    return "no_answer", []

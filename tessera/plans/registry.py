@@ -12,7 +12,8 @@ from ..datalog import parse_program
 from ..functions import extraction, text, typed, units
 from ..operators import analytics as an
 from ..operators import documents as dx
-from ..operators import engine, lifecycle, planner, questions, store, trust
+from ..operators import candidates as cd
+from ..operators import engine, lifecycle, planner, questions, store, traces, trust
 from ..operators.intents import check_intent
 from ..schema import ENGINE, broken_evidence, broken_facts, in_tier
 from ..sources.fixture import ALIASES, kb, sql
@@ -404,7 +405,7 @@ def schema_snapshot(spark, sf_dir):
 
 def _traced(spark, sf_dir, atoms, answer):
     """The trace, or no rows where a bound leaves none."""
-    found = questions.trace(canonical_facts(spark, sf_dir).filter(in_tier(ENGINE)), atoms, answer)
+    found = traces.trace(canonical_facts(spark, sf_dir).filter(in_tier(ENGINE)), atoms, answer)
     return found if found is not None else spark.createDataFrame([], "answer string, fact_ids string")
 
 
@@ -423,6 +424,130 @@ def trace_three_atoms(spark, sf_dir):
     return _traced(spark, sf_dir, [("user/8", "knows", "?P"), ("?P", "role", "purchase"), ("?P", "born_on", "2011-01-01")], "?P")
 
 
+#: Two questions; the last rules of each pass a bound on larger tables, and have no trace there.
+TRACED = """.decl answer_q10(v: symbol)
+.decl answer_q2(v: symbol)
+answer_q10(P) :- relation("user/3", "knows", P).
+answer_q10(S) :- relation(S, "knows", "user/3"), relation(S, "born_on", "2010-01-01").
+answer_q10(R) :- relation("user/3", "knows", P), relation(P, "role", R).
+answer_q2(P) :- relation("user/8", "knows", P), relation(P, "knows", Q), relation(Q, "knows", "user/8").
+answer_q2(P) :- relation(P, "knows", "user/8"), relation("user/8", "knows", P), relation(P, "established_on", "2010-02-01").
+answer_q2("someone") :- relation(X, "knows", X).
+answer_q2(P) :- relation("user/8", "knows", P), relation(Z, "role", "view").
+"""
+
+# Of each rule: its proofs, whether its bounds hold, and whether its proofs are gathered an answer.
+TRACES = f"""{TIERED}, e AS (SELECT * FROM f),
+a AS (SELECT count(*) FILTER (subject = 'user/3' AND c = 'knows') AS k3, count(*) FILTER (c = 'knows' AND object = 'user/3') AS o3, count(*) FILTER (c = 'born_on' AND object = '2010-01-01') AS b1, count(*) FILTER (c = 'role') AS r,
+  count(*) FILTER (subject = 'user/8' AND c = 'knows') AS k8, count(*) FILTER (c = 'knows') AS k, count(*) FILTER (c = 'knows' AND object = 'user/8') AS o8, count(*) FILTER (c = 'established_on' AND object = '2010-02-01') AS e2, count(*) FILTER (c = 'knows' AND subject = object) AS kk FROM e),
+p1 AS (SELECT object AS answer, [id] AS ids FROM e WHERE subject = 'user/3' AND c = 'knows'),
+p2 AS (SELECT x.subject AS answer, list_sort([x.id, y.id]) AS ids FROM e x JOIN e y ON y.subject = x.subject WHERE x.c = 'knows' AND x.object = 'user/3' AND y.c = 'born_on' AND y.object = '2010-01-01'),
+p3 AS (SELECT y.object AS answer, list_sort([x.id, y.id]) AS ids FROM e x JOIN e y ON y.subject = x.object WHERE x.subject = 'user/3' AND x.c = 'knows' AND y.c = 'role'),
+p5 AS (SELECT x.subject AS answer, list_sort(list_distinct([x.id, y.id, z.id])) AS ids, [x.id, y.id] AS xy, [x.id, z.id] AS xz, [y.id, z.id] AS yz FROM e x JOIN e y ON y.object = x.subject JOIN e z ON z.subject = x.subject
+  WHERE x.c = 'knows' AND x.object = 'user/8' AND y.subject = 'user/8' AND y.c = 'knows' AND z.c = 'established_on' AND z.object = '2010-02-01'),
+n5 AS (SELECT CASE WHEN o8 <= k8 AND o8 <= e2 THEN CASE WHEN k8 <= e2 THEN xy ELSE xz END WHEN k8 <= e2 THEN CASE WHEN o8 <= e2 THEN xy ELSE yz END ELSE CASE WHEN o8 <= k8 THEN xz ELSE yz END END AS n FROM a,
+  (SELECT (SELECT count(*) FROM e x JOIN e y ON y.object = x.subject WHERE x.c = 'knows' AND x.object = 'user/8' AND y.subject = 'user/8' AND y.c = 'knows') AS xy,
+   (SELECT count(*) FROM e x JOIN e z ON z.subject = x.subject WHERE x.c = 'knows' AND x.object = 'user/8' AND z.c = 'established_on' AND z.object = '2010-02-01') AS xz,
+   (SELECT count(*) FROM e y JOIN e z ON z.subject = y.object WHERE y.subject = 'user/8' AND y.c = 'knows' AND z.c = 'established_on' AND z.object = '2010-02-01') AS yz)),
+p4 AS (SELECT x.object AS answer, list_sort(list_distinct([x.id, y.id, z.id])) AS ids FROM e x JOIN e y ON y.subject = x.object JOIN e z ON z.subject = y.object WHERE (SELECT k FROM a) <= 512 AND x.subject = 'user/8' AND x.c = 'knows' AND y.c = 'knows' AND z.c = 'knows' AND z.object = 'user/8'),
+n4 AS (SELECT CASE WHEN k8 <= o8 THEN (SELECT count(*) FROM e x JOIN e y ON y.subject = x.object WHERE x.subject = 'user/8' AND x.c = 'knows' AND y.c = 'knows') ELSE (SELECT count(*) FROM e y JOIN e z ON z.subject = y.object WHERE y.c = 'knows' AND z.c = 'knows' AND z.object = 'user/8') END AS n FROM a),
+p6 AS (SELECT 'someone' AS answer, [id] AS ids FROM e WHERE c = 'knows' AND subject = object),
+t AS (SELECT '10' AS qid, answer, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM p1, a WHERE k3 <= 256 GROUP BY answer
+  UNION SELECT '10', answer, list_sort(list_distinct(flatten(list(ids)))) FROM p2, a WHERE o3 <= 512 AND b1 <= 512 AND (SELECT count(*) FROM p2) <= 256 GROUP BY answer
+  UNION SELECT '10', answer, list_sort(list_distinct(flatten(list(ids)))) FROM p3, a WHERE k3 <= 512 AND r <= 512 AND (SELECT count(*) FROM p3) <= 256 GROUP BY answer
+  UNION SELECT '2', answer, ids FROM p4, n4, a WHERE k8 <= 512 AND k <= 512 AND o8 <= 512 AND n <= 512 AND (SELECT count(*) FROM p4) <= 256
+  UNION SELECT '2', answer, ids FROM p5, n5, a WHERE o8 <= 512 AND k8 <= 512 AND e2 <= 512 AND n <= 512 AND (SELECT count(*) FROM p5) <= 256
+  UNION SELECT '2', answer, list_sort(flatten(list(ids))) FROM p6, a WHERE kk <= 256 GROUP BY answer)"""
+
+
+def _traces(spark, sf_dir):
+    facts = canonical_facts(spark, sf_dir).filter(in_tier(ENGINE))
+    sources, evidence, functional = tables(spark, sf_dir, "sources", "evidence", "functional")
+    disputed = trust.single_valued_conflicts(keyed(spark, sf_dir), functional)
+    return traces.trace_facts(traces.trace_answers(facts, TRACED), facts, sources, evidence, disputed)
+
+
+# The disputed values as CONFLICTS has them, under names of their own.
+DISPUTED = f"""dk AS (SELECT f.subject, coalesce(a.canonical, f.relation) AS canonical, coalesce(CASE WHEN coalesce(a.canonical, f.relation) IN ('established_on', 'born_on') THEN {typed.sql_key("date", "object")} END::VARCHAR, 'raw:' || object) AS okey, f.source_id FROM kb_facts f LEFT JOIN kb_alias a ON a.raw = f.relation WHERE f.status IN ('accepted','confirmed') AND f.source_id IS NOT NULL),
+disputed AS (SELECT subject, canonical FROM dk WHERE canonical IN (SELECT rel FROM kb_functional) GROUP BY 1, 2 HAVING count(DISTINCT okey) > 1)"""
+
+
+@query(f"""{TRACES}, {DISPUTED},
+u AS (SELECT qid, answer, ids, unnest(ids) AS fact_id FROM t),
+v AS (SELECT o.fact_id, min_by(coalesce(nullif(o.snippet, ''), s.path), o.id) AS said FROM kb_evidence o JOIN kb_sources s ON s.id = o.source_id GROUP BY 1)
+SELECT qid, answer, array_to_string(ids, ',') AS fact_ids, u.fact_id, k.subject, k.relation, k.object, coalesce(s.path, '') AS source, coalesce(v.said, '') AS evidence, d.subject IS NOT NULL AS conflicted
+FROM u JOIN kb_facts k ON k.id = u.fact_id LEFT JOIN kb_alias al ON al.raw = k.relation LEFT JOIN kb_sources s ON s.id = k.source_id LEFT JOIN v ON v.fact_id = k.id LEFT JOIN disputed d ON d.subject = k.subject AND d.canonical = coalesce(al.canonical, k.relation)""")
+def trace_facts(spark, sf_dir):
+    found = _traces(spark, sf_dir)
+    return found.withColumn("fact_ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).drop("ids")
+
+
+@query(f"""{TRACES}, {DISPUTED},
+u AS (SELECT t.*, exists(SELECT 1 FROM kb_facts k LEFT JOIN kb_alias al ON al.raw = k.relation JOIN disputed d ON d.subject = k.subject AND d.canonical = coalesce(al.canonical, k.relation) WHERE list_contains(t.ids, k.id)) AS conflicted FROM t)
+SELECT CAST(row_number() OVER (ORDER BY CAST(qid AS BIGINT), answer, ids) AS INTEGER) AS position, qid, answer, array_to_string(ids, ',') AS fact_ids, conflicted FROM u""")
+def trace_report(spark, sf_dir):
+    return traces.report_trace(_traces(spark, sf_dir))
+
+
+#: (question, family, label, query): every outcome of a dry run, and of a question, is among them.
+PROPOSED = [
+    (1, "direct", "", 'answer_q1(V) :- relation("user/3", "established_on", V).'),
+    (1, "exact_fact", "", 'answer_q1(V) :- relation("user/3", "founded", V).'),
+    (1, "subject_discovery", "role", 'answer_q1("role") :- relation("user/3", "role", O).'),
+    (2, "direct", "", 'answer_q2(V) :- relation("user/3", "established_on", V).'),
+    (2, "direct", "", 'answer_q2(V) :- relation("user/3", "role", V).'),
+    (3, "direct", "", 'answer_q3(V) :- relation("nobody", "role", V).'),
+    (3, "direct", "", "answer_q3(V) :- fact(V)."),
+    (4, "direct", "", 'answer_q4(V) :- relation("user/3", "role" V).'),
+    (5, "direct", "", 'answer_q5(V) :- relation("user/3", "role", V).'),
+    (5, "direct", "", 'answer_q5(A) :- relation(A, "founded", B), relation(A, "founded", C), relation(A, "founded", D), relation(A, "founded", E).'),
+    (6, "object_discovery", "subject", 'answer_q6("subject") :- relation(S, "knows", "user/3").'),
+    (7, "subject_discovery", "knows", 'answer_q7("knows") :- relation("user/3", "knows", O).'),
+    (7, "object_discovery", "knows", 'answer_q7("knows") :- relation(S, "knows", "user/3").'),
+    (8, "subject_discovery", "knows", 'answer_q8("knows") :- relation("user/3", "knows", O).'),
+]
+
+
+def _runs(spark, sf_dir):
+    declared = lambda q, text: f".decl answer_q{q}(v: symbol)\n{text}"
+    return cd.dry_run([(q, cd.Candidate(family, declared(q, text), label=label)) for q, family, label, text in PROPOSED], relation_frame(spark, sf_dir), ALIASES)
+
+
+def _run_rows(*values):
+    """VALUES rows of PROPOSED with SQL for each candidate's answers, or its outcome."""
+    place, rows = {}, []
+    for (q, family, label, _), v in zip(PROPOSED, values, strict=True):
+        place[q] = place.get(q, -1) + 1
+        said = f"(SELECT list(x ORDER BY x) FROM (SELECT DISTINCT {v[1]}) t(x))" if v[0] == "sql" else "NULL::VARCHAR[]"
+        rows.append(f"SELECT {q}::BIGINT AS question, {place[q]}::INTEGER AS position, '{family}' AS family, '{label}' AS label, {'NULL' if v[0] == 'sql' else repr(v[1])} AS known, {said} AS found")
+    return " UNION ALL ".join(rows)
+
+
+_of = lambda who, rel: ("sql", f"object FROM kb_relation WHERE subject = '{who}' AND rel = '{rel}'")
+RUNS = "WITH p AS (" + _run_rows(
+    _of("user/3", "established_on"), _of("user/3", "established_on"), ("sql", "'role' FROM kb_relation WHERE subject = 'user/3' AND rel = 'role'"),
+    _of("user/3", "established_on"), _of("user/3", "role"),
+    _of("nobody", "role"), ("known", "invalid"), ("known", "invalid"), _of("user/3", "role"), ("known", "engine_policy_error"),
+    ("sql", "'subject' FROM kb_relation WHERE rel = 'knows' AND object = 'user/3'"), ("sql", "'knows' FROM kb_relation WHERE rel = 'knows' AND subject = 'user/3'"),
+    ("sql", "'knows' FROM kb_relation WHERE rel = 'knows' AND object = 'user/3'"), ("sql", "'knows' FROM kb_relation WHERE rel = 'knows' AND subject = 'user/3'"),
+) + """), r AS (SELECT question, position, family, coalesce(known, CASE WHEN found IS NULL THEN 'no_answer' WHEN label = 'subject' THEN 'review_required' ELSE 'valid' END) AS outcome, coalesce(len(found), 0) AS n, coalesce(array_to_string(found, ' | '), '') AS answers FROM p)"""
+
+
+@query(f"{RUNS} SELECT * FROM r")
+def candidate_outcomes(spark, sf_dir):
+    return _runs(spark, sf_dir).select("question", "position", "family", "outcome", "n", F.array_join("answers", " | ").alias("answers"))
+
+
+@query(f"""{RUNS}, v AS (SELECT *, family NOT LIKE '%discovery' AS direct FROM r WHERE outcome = 'valid'),
+b AS (SELECT * FROM v WHERE direct OR question NOT IN (SELECT question FROM v WHERE direct)),
+s AS (SELECT question, min(position) AS position, min_by(answers, position) AS answers, count(DISTINCT answers) > 1 OR (NOT any_value(direct) AND count(DISTINCT family) > 1) AS torn FROM b GROUP BY 1),
+q AS (SELECT question, bool_or(outcome = 'engine_policy_error') AS failed, bool_or(outcome = 'review_required') AS review, bool_and(outcome = 'invalid') AS wrong FROM r GROUP BY 1)
+SELECT q.question, CASE WHEN failed THEN 'engine_policy_error' WHEN s.question IS NOT NULL THEN CASE WHEN torn THEN 'ambiguous' ELSE 'valid' END WHEN review THEN 'review_required' WHEN wrong THEN 'invalid' ELSE 'no_answer' END AS outcome,
+  CASE WHEN NOT failed THEN s.position END AS position, CASE WHEN failed THEN '' ELSE coalesce(s.answers, '') END AS answers FROM q LEFT JOIN s ON s.question = q.question""")
+def candidate_selection(spark, sf_dir):
+    return cd.select_candidates(_runs(spark, sf_dir)).select("question", "outcome", "position", F.array_join("answers", " | ").alias("answers"))
+
+
 def _planned(spark, sf_dir, intent, specs=None):
     """The answers of every candidate of an intent as a model would write it."""
     found = planner.plan_checked(check_intent(json.dumps(intent)), plain_relation(spark, sf_dir), ALIASES, specs)

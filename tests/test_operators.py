@@ -125,14 +125,6 @@ def test_chunks():
         documents.chunks_of("x", 0)
 
 
-def test_ambiguous_answers(spark):
-    a, b = spark.createDataFrame([("x",)], "answer string"), spark.createDataFrame([("y",)], "answer string")
-    assert questions.select_unambiguous([("direct", a), ("direct", a), ("discovery", b)]) == ("valid", ["x"])
-    assert questions.select_unambiguous([("direct", a), ("direct", b)]) == ("ambiguous", [])
-    assert questions.select_unambiguous([("direct", a.limit(0))]) == ("no_answer", [])
-    assert questions.select_unambiguous([("direct", a)] * 33)[0] == "review_required"
-
-
 def test_streamed_latest_events(spark, tmp_path):
     from tessera.streaming.events import latest_events, read_events
 

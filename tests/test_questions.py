@@ -161,16 +161,6 @@ def test_planned_intents(spark):
     assert answers(plan({"kind": "discover_entity_relations", "subject": entity("c")})) == ["age", "knows"]
 
 
-def test_traces_and_their_bounds(spark):
-    f = spark.createDataFrame([(1, "a", "k", "b"), (2, "b", "k", "c"), (3, "a", "k", "b"), (4, "b", "r", "x"), (5, "q", "z", "q")], "id long, subject string, canonical string, object string")
-    rows = lambda t: sorted(map(tuple, t.collect()))
-    assert rows(questions.trace(f, [("a", "k", "?X"), ("?X", "k", "?Y")], "?Y")) == [("c", "1,2,3")]
-    assert rows(questions.trace(f, [("a", "k", "?X"), ("?X", "k", "?Y"), ("?X", "r", "x")], "?Y")) == [("c", "1,2,4"), ("c", "2,3,4")]
-    assert rows(questions.trace(f, [("?X", "z", "?X")], "?X")) == [("q", "5")]
-    assert questions.trace(f, [("a", "k", "?X"), ("?Z", "r", "x")], "?X") is None
-    assert questions.trace(f, [("a", "k", "?X")], "?X", most=1) is None
-
-
 def test_ask_gives_proofs_or_what_there_is_to_read(spark):
     f = spark.createDataFrame([(1, "Acme", "purpose", "grow", "goal"), (2, "Bea", "knows", "Acme", "knows")], "id long, subject string, canonical string, object string, relation string")
     docs = spark.createDataFrame([(1, "Acme wants to grow. Straße."), (2, "nothing"), (3, None)], "doc_id long, text string")
