@@ -22,23 +22,50 @@ def check_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
     return at.select("id", problem.alias("problem")).filter("problem is not null")
 
 
-def engine_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
-    """id and the three stored terms of engine facts whose terms are whole. check_terms() names the others: an
-    action over facts first asks that there are none, or fills in what is missing."""
+def whole_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """id and the three stored terms of the engine facts whose terms are whole, for those who repair the others."""
     whole = term_rows.filter(token("subject", "rel", "object") == F.col("term_token")).select(F.col("fact_id").alias("id"), "subject", "rel", "object")
     return facts.filter(in_tier(ENGINE)).select("id").join(whole, "id")
 
 
-def backfill_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
-    """Rows of term_rows for the engine facts without any, from their display labels as strings."""
+def engine_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """id and the three stored terms of all engine facts. An action fails where some fact's terms are missing or have
+    another token than they should: no rule ever runs over part of the facts.
+
+    The guard is a filter with a value that is not deterministic, so it is neither pruned with the columns that it
+    reads nor passed by a later filter: every engine fact is checked in every action.
+    """
+    t = term_rows.select("fact_id", "subject", "rel", "object", "term_token")
+    at = facts.filter(in_tier(ENGINE)).select("id").join(t, F.col("id") == F.col("fact_id"), "left")
+    problem = F.when(F.col("fact_id").isNull(), "are missing").otherwise("differ from their token")
+    broken = F.raise_error(F.concat(F.lit("the stored terms of fact "), F.col("id").cast("string"), F.lit(" "), problem)).cast("boolean")
+    sound = (F.monotonically_increasing_id() >= 0) & (token("subject", "rel", "object").eqNullSafe(F.col("term_token")) & F.col("fact_id").isNotNull())
+    return at.filter(F.when(sound, True).otherwise(broken)).select("id", "subject", "rel", "object")
+
+
+def _made_terms(facts: DataFrame) -> DataFrame:
+    """Rows of the term table from the display labels of facts (fact_id, subject, relation, object), as strings."""
     from ..functions import text
 
-    bare = facts.filter(in_tier(ENGINE)).select(F.col("id").alias("fact_id"), "subject", "relation", "object").join(term_rows.select("fact_id"), "fact_id", "left_anti")
     slot = lambda c: text.slot(F.lit("string"), F.col(c))["v"]
-    made = bare.select("fact_id", slot("subject").alias("subject"), slot("relation").alias("rel"), slot("object").alias("object"))
+    made = facts.select("fact_id", slot("subject").alias("subject"), slot("relation").alias("rel"), slot("object").alias("object"))
     return made.withColumn("term_token", token("subject", "rel", "object"))
 
 
+def backfill_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """Rows of term_rows for the engine facts without any, from their display labels as strings."""
+    bare = facts.filter(in_tier(ENGINE)).select(F.col("id").alias("fact_id"), "subject", "relation", "object").join(term_rows.select("fact_id"), "fact_id", "left_anti")
+    return _made_terms(bare)
+
+
+def repaired_terms(facts: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """term_rows with what check_terms() names made anew from display labels; rows that are whole stay as they are.
+    To write a fact's labels again is how a person mends it: this does it for all that are broken."""
+    broken = check_terms(facts, term_rows).select(F.col("id").alias("fact_id"))
+    labels = facts.select(F.col("id").alias("fact_id"), "subject", "relation", "object").join(broken, "fact_id", "left_semi")
+    return term_rows.select("fact_id", "subject", "rel", "object", "term_token").join(broken, "fact_id", "left_anti").unionByName(_made_terms(labels))
+
+
 def terms_by_ids(term_rows: DataFrame, ids: list[int]) -> DataFrame:
     """The rows of the facts asked for, each once; unknown ids are left out. ids are the caller's own list."""
     return term_rows.filter(F.col("fact_id").isin(*set(ids))) if ids else term_rows.limit(0)
@@ -111,6 +138,31 @@ def reconcile(incoming: DataFrame, facts: DataFrame) -> DataFrame:
     return at.select(*k, action.alias("action"), F.coalesce("live_id", "any_id").alias("fact_id"))
 
 
+def reconcile_terms(incoming: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each incoming (source_id, term_token, subject, relation, object) once, with action insert, keep or suppress,
+    and the fact_id it meets.
+
+    What a triple is its token says: terms that only look alike stay apart. Facts from before there were tokens
+    have none; those alone are met by their display text. Of all that a triple meets, a live row goes before a
+    superseded one, then the least id; a triple that meets superseded rows alone is suppressed. Both matches are
+    keyed joins on pre-aggregated facts; null sources meet null sources.
+    """
+    best = F.min(F.struct((F.col("status") == "superseded").alias("dead"), F.col("id").alias("fact_id"))).alias("best")
+    text = ["subject", "relation", "object"]
+    tokens = facts.filter(F.col("term_token").isNotNull()).groupBy("source_id", "term_token").agg(best)
+    legacy = facts.filter(F.col("term_token").isNull()).groupBy("source_id", *text).agg(best)
+    at = incoming.select("source_id", "term_token", *text).distinct()
+
+    def met(at, known, keys, name):
+        side = known.select(*[F.col(k).alias("k_" + k) for k in keys], F.col("best").alias(name))
+        return at.join(side, [F.col(k).eqNullSafe(F.col("k_" + k)) for k in keys], "left").drop(*["k_" + k for k in keys])
+
+    at = met(met(at, tokens, ["source_id", "term_token"], "by_token"), legacy, ["source_id", *text], "by_text")
+    hit = F.least("by_token", "by_text")
+    action = F.when(hit.isNull(), "insert").when(hit["dead"], "suppress").otherwise("keep")
+    return at.select("source_id", "term_token", *text, action.alias("action"), hit["fact_id"].alias("fact_id"))
+
+
 def suppressions(reconciled: DataFrame) -> DataFrame:
     """One event for each superseded fact that a run saw again: nothing was inserted, and it says so."""
     hit = reconciled.filter(F.col("action") == "suppress").select("fact_id", "source_id").distinct()
@@ -136,12 +188,6 @@ def reobserve(observed: DataFrame, evidence: DataFrame) -> DataFrame:
     return observed.select(*k).distinct().join(evidence.select(*k).distinct(), k, "left_anti")
 
 
-def merge_identities(sources: DataFrame) -> DataFrame:
-    """(id, kept_id) of sources whose normalised path, given as npath, occurs more than once with one kind."""
-    groups = sources.groupBy("npath").agg(F.count("*").alias("n"), F.min("kind").alias("one"), F.max("kind").alias("other"), F.min("id").alias("kept_id"))
-    return sources.join(groups.filter("n > 1 and one = other"), "npath").filter("id <> kept_id").select("id", "kept_id")
-
-
 def repoint(table: DataFrame, merges: DataFrame, column: str = "source_id") -> DataFrame:
     """The table with references to merged sources led to the one kept."""
     m = merges.select(F.col("id").alias("__from"), F.col("kept_id").alias("__to"))
@@ -153,12 +199,6 @@ def reanalyze_clear(facts: DataFrame, source_id: int) -> DataFrame:
     return facts.filter(~(F.col("source_id").eqNullSafe(F.lit(source_id)) & in_tier(REVIEW)))
 
 
-def delete_source(source_id: int, **tables: DataFrame) -> dict[str, DataFrame]:
-    """Tables without the rows of a source; sources match by id, all others by source_id."""
-    gone = lambda name: F.col("id" if name == "sources" else "source_id").eqNullSafe(F.lit(source_id))
-    return {name: df.filter(~gone(name)) for name, df in tables.items()}
-
-
 def anchor_evidence(evidence: DataFrame) -> DataFrame:
     """The first evidence of each fact at each artifact, snippets cut to their bound."""
     first = evidence.groupBy("fact_id", "artifact_id").agg(F.min_by(F.struct("id", "source_id", "snippet"), "id").alias("e"))

@@ -13,7 +13,7 @@ from ..functions import extraction, text, typed, units
 from ..operators import analytics as an
 from ..operators import documents as dx
 from ..operators import candidates as cd
-from ..operators import engine, lifecycle, planner, questions, store, traces, trust
+from ..operators import engine, lifecycle, planner, questions, references, store, traces, trust
 from ..operators.intents import check_intent
 from ..schema import ENGINE, broken_evidence, broken_facts, in_tier
 from ..sources.fixture import ALIASES, kb, sql
@@ -731,6 +731,27 @@ def _reconciled(spark, sf_dir):
     return store.reconcile(incoming, *tables(spark, sf_dir, "facts"))
 
 
+# Objects come as strings or as terms, which look alike; a third of the stored facts is from before there were tokens.
+TOKENED = """WITH i AS (SELECT DISTINCT (event_id + 1) % 100 AS source_id, concat('user/', CAST(user_id % 50 AS VARCHAR)) AS subject, 'role' AS relation, event_type AS object, concat(CASE WHEN event_id % 2 = 0 THEN 's:' ELSE 'a:' END, user_id % 50, '/', event_type) AS term_token FROM events),
+k AS (SELECT id, source_id, subject, relation, object, status, CASE WHEN id % 3 > 0 AND relation = 'role' THEN concat(CASE WHEN id % 4 = 0 THEN 's:' ELSE 'a:' END, substr(subject, 6), '/', object) END AS term_token FROM kb_facts)"""
+
+
+@query(f"""{TOKENED}, b AS (SELECT i.*, k.id AS kid, k.status, row_number() OVER (PARTITION BY i.source_id, i.term_token, i.subject, i.object ORDER BY k.status = 'superseded', k.id) AS place
+  FROM i LEFT JOIN k ON k.source_id = i.source_id AND (k.term_token = i.term_token OR (k.term_token IS NULL AND k.subject = i.subject AND k.relation = i.relation AND k.object = i.object)))
+SELECT source_id, term_token, subject, relation, object, CASE WHEN kid IS NULL THEN 'insert' WHEN status = 'superseded' THEN 'suppress' ELSE 'keep' END AS action, kid AS fact_id FROM b WHERE place = 1""")
+def reconcile_by_token(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user = (F.col("user_id") % 50).cast("string")
+    kind = lambda c: F.when(c == 0, "s:").otherwise("a:")
+    incoming = e.select(
+        ((F.col("event_id") + 1) % 100).alias("source_id"), F.concat(F.lit("user/"), user).alias("subject"), F.lit("role").alias("relation"), F.col("event_type").alias("object"),
+        F.concat(kind(F.col("event_id") % 2), user, F.lit("/"), "event_type").alias("term_token"),
+    )
+    (facts,) = tables(spark, sf_dir, "facts")
+    token = F.when((F.col("id") % 3 > 0) & (F.col("relation") == "role"), F.concat(kind(F.col("id") % 4), F.substring("subject", 6, 99), F.lit("/"), "object"))
+    return store.reconcile_terms(incoming, facts.withColumn("term_token", token))
+
+
 @query(f"""WITH i AS (SELECT DISTINCT * FROM ({INCOMING})), k AS (SELECT source_id, subject, relation, object, bool_or(status <> 'superseded') AS live, min(id) AS any_id FROM kb_facts GROUP BY 1, 2, 3, 4)
 SELECT DISTINCT any_id AS fact_id, i.source_id, 'reextraction_suppressed' AS event_type, 'system' AS actor
 FROM i JOIN k ON k.source_id IS NOT DISTINCT FROM i.source_id AND k.subject = i.subject AND k.relation = i.relation AND k.object = i.object WHERE NOT live""")
@@ -868,7 +889,14 @@ def term_integrity(spark, sf_dir):
 
 @query("SELECT fact_id AS id, t.subject, rel, t.object FROM kb_terms t JOIN kb_facts f ON f.id = fact_id WHERE f.status IN ('accepted','confirmed') AND fact_id % 19 <> 4")
 def engine_terms(spark, sf_dir):
-    return store.engine_terms(*tables(spark, sf_dir, "facts", "terms"))
+    return store.whole_terms(*tables(spark, sf_dir, "facts", "terms"))
+
+
+@query("""SELECT id, '{"t":"string","v":"' || subject || '"}' AS subject, '{"t":"string","v":"' || relation || '"}' AS rel, '{"t":"string","v":"' || object || '"}' AS object FROM kb_facts WHERE status IN ('accepted','confirmed')""")
+def engine_scan(spark, sf_dir):
+    """The guarded scan after the repair; over the broken table it fails."""
+    facts, rows = tables(spark, sf_dir, "facts", "terms")
+    return store.engine_terms(facts, store.repaired_terms(facts, rows))
 
 
 JSON_TERM = """'{{"t":"string","v":"' || {} || '"}}'"""
@@ -892,17 +920,50 @@ def source_upsert(spark, sf_dir):
     return store.upsert_sources(read("customer", "c_name").unionByName(read("supplier", "s_name")), *tables(spark, sf_dir, "sources"))
 
 
-@query("""SELECT s.id, k.kept_id FROM (SELECT id, kind, id % 40 AS g FROM kb_sources) s JOIN (SELECT id % 40 AS g, min(id) AS kept_id FROM kb_sources GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT kind) = 1) k ON k.g = s.g WHERE s.id <> k.kept_id""")
+IDENTITY = """WITH n AS (SELECT *, nfc_normalize(path) AS npath FROM kb_names),
+h AS (SELECT npath, coalesce(min(id) FILTER (path = npath), min(id)) AS kept_id, CASE WHEN count(DISTINCT kind) > 1 THEN 'mixed_source_kind' WHEN bool_or(id IN (SELECT source_id FROM kb_name_jobs WHERE status IN ('pending', 'running'))) THEN 'active_extraction_job'
+  WHEN count(checksum) < count(*) THEN 'unprovable_path' WHEN count(DISTINCT checksum) > 1 THEN 'distinct_paths' ELSE 'ready' END AS status FROM n GROUP BY 1 HAVING count(*) > 1 AND NOT bool_and(path = npath)),
+i AS (SELECT n.npath AS canonical_path, id, kept_id, status FROM n JOIN h ON h.npath = n.npath), m AS (SELECT id, kept_id FROM i WHERE status = 'ready' AND id <> kept_id)"""
+
+
+def _identities(spark, sf_dir):
+    names, jobs = tables(spark, sf_dir, "names", "name_jobs")
+    return references.identity_groups(names.select("id", "path", "kind"), jobs, names.select("path", "checksum"))
+
+
+@query(f"{IDENTITY} SELECT * FROM i")
+def identity_groups(spark, sf_dir):
+    return _identities(spark, sf_dir)
+
+
+@query(f"{IDENTITY} SELECT * FROM m")
 def merged_identities(spark, sf_dir):
-    (sources,) = tables(spark, sf_dir, "sources")
-    return store.merge_identities(sources.withColumn("npath", F.col("id") % 40))
+    return _identities(spark, sf_dir).filter("status = 'ready' AND id <> kept_id").select("id", "kept_id")
 
 
-@query("""WITH k AS (SELECT id % 40 AS g, min(id) AS kept FROM kb_sources GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT kind) = 1)
-SELECT f.id, coalesce(k.kept, f.source_id) AS source_id FROM kb_facts f LEFT JOIN kb_sources s ON s.id = f.source_id LEFT JOIN k ON k.g = s.id % 40""")
+@query(f"{IDENTITY} SELECT f.id, coalesce(m.kept_id, f.source_id) AS source_id FROM kb_facts f LEFT JOIN m ON m.id = f.source_id")
 def repointed_facts(spark, sf_dir):
-    facts, sources = tables(spark, sf_dir, "facts", "sources")
-    return store.repoint(facts, store.merge_identities(sources.withColumn("npath", F.col("id") % 40))).select("id", "source_id")
+    names, facts = tables(spark, sf_dir, "names", "facts")
+    return references.merge_sources({"sources": names, "facts": facts}, _identities(spark, sf_dir))["facts"].select("id", "source_id")
+
+
+# What the merge does to artifacts: to the kept source's own of that kind and checksum, else to the least moved one.
+MERGED = f"""{IDENTITY}, a AS (SELECT x.id, coalesce(m.kept_id, x.source_id) AS source_id, m.id IS NOT NULL AS moved, kind, checksum FROM kb_name_artifacts x LEFT JOIN m ON m.id = x.source_id),
+t AS (SELECT source_id, kind, checksum, coalesce(min(id) FILTER (NOT moved), min(id) FILTER (moved)) AS first FROM a WHERE source_id IN (SELECT kept_id FROM i WHERE status = 'ready') GROUP BY 1, 2, 3 HAVING bool_or(moved)),
+w AS (SELECT a.id, t.first FROM a JOIN t USING (source_id, kind, checksum) WHERE moved AND a.id <> t.first)"""
+
+
+@query(f"""{MERGED} SELECT 'sources' AS name, id, NULL::BIGINT AS source_id, NULL::BIGINT AS artifact_id, coalesce((SELECT any_value(canonical_path) FROM i WHERE i.status = 'ready' AND i.kept_id = n.id), path) AS path FROM n WHERE id NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'artifacts', id, source_id, NULL, NULL FROM a WHERE id NOT IN (SELECT id FROM w)
+UNION ALL SELECT 'jobs', j.id, coalesce(m.kept_id, j.source_id), coalesce(w.first, j.artifact_id), NULL FROM kb_name_jobs j LEFT JOIN m ON m.id = j.source_id LEFT JOIN w ON w.id = j.artifact_id
+UNION ALL SELECT 'facts', f.id, coalesce(m.kept_id, f.source_id), NULL, NULL FROM kb_facts f LEFT JOIN m ON m.id = f.source_id
+UNION ALL SELECT 'evidence', e.id, coalesce(m.kept_id, e.source_id), coalesce(w.first, e.artifact_id), NULL FROM kb_evidence e LEFT JOIN m ON m.id = e.source_id LEFT JOIN w ON w.id = e.artifact_id""")
+def merged_sources(spark, sf_dir):
+    frames = dict(zip(("sources", "artifacts", "jobs", "facts", "evidence"), tables(spark, sf_dir, "names", "name_artifacts", "name_jobs", "facts", "evidence"), strict=True))
+    merged = references.merge_sources(frames, _identities(spark, sf_dir))
+    paths = merged["sources"].select(F.lit("sources").alias("name"), "id", F.lit(None).cast("long").alias("source_id"), F.lit(None).cast("long").alias("artifact_id"), "path")
+    rest = _long({n: df for n, df in merged.items() if n != "sources"}, ("source_id", "artifact_id"))
+    return rest.withColumn("path", F.lit(None).cast("string")).unionByName(paths)
 
 
 LOOSE = "SELECT id, 'subject' AS \"column\", subject AS before, nfc_normalize(subject) AS after FROM kb_loose UNION ALL SELECT id, 'object', object, nfc_normalize(object) FROM kb_loose"
@@ -932,11 +993,52 @@ def reanalyze_clear(spark, sf_dir):
     return store.reanalyze_clear(*tables(spark, sf_dir, "facts"), 7)
 
 
-@query("SELECT 'sources' AS name, count(*) AS n FROM kb_sources WHERE id <> 7 UNION ALL SELECT 'facts', count(*) FROM kb_facts WHERE source_id IS DISTINCT FROM 7 UNION ALL SELECT 'evidence', count(*) FROM kb_evidence WHERE source_id IS DISTINCT FROM 7")
+#: Tables that refer to each other, and the sources that go: all binary ones.
+LINKED = ("sources", "artifacts", "jobs", "chunks", "facts", "terms", "evidence", "events")
+GONE = """WITH gs AS (SELECT id FROM kb_sources WHERE kind = 'binary'), ga AS (SELECT id FROM kb_artifacts WHERE source_id IN (SELECT id FROM gs)), gj AS (SELECT id FROM kb_jobs WHERE source_id IN (SELECT id FROM gs)),
+gc AS (SELECT id FROM kb_chunks WHERE job_id IN (SELECT id FROM gj)), gf AS (SELECT id FROM kb_facts WHERE source_id IN (SELECT id FROM gs))"""
+LEFT = f"""{GONE} SELECT 'sources' AS name, id, NULL::BIGINT AS source_id, NULL::BIGINT AS artifact_id, NULL::BIGINT AS job_id, NULL::BIGINT AS chunk_id, NULL::BIGINT AS fact_id FROM kb_sources WHERE id NOT IN (SELECT id FROM gs)
+UNION ALL SELECT 'artifacts', id, source_id, NULL, NULL, NULL, NULL FROM kb_artifacts WHERE id NOT IN (SELECT id FROM ga)
+UNION ALL SELECT 'jobs', id, source_id, CASE WHEN artifact_id NOT IN (SELECT id FROM ga) THEN artifact_id END, NULL, NULL, NULL FROM kb_jobs WHERE id NOT IN (SELECT id FROM gj)
+UNION ALL SELECT 'chunks', id, NULL, NULL, job_id, NULL, NULL FROM kb_chunks WHERE id NOT IN (SELECT id FROM gc)
+UNION ALL SELECT 'facts', id, source_id, NULL, CASE WHEN job_id NOT IN (SELECT id FROM gj) THEN job_id END, NULL, NULL FROM kb_facts WHERE id NOT IN (SELECT id FROM gf)
+UNION ALL SELECT 'terms', NULL, NULL, NULL, NULL, NULL, fact_id FROM kb_terms WHERE fact_id NOT IN (SELECT id FROM gf)
+UNION ALL SELECT 'evidence', id, source_id, CASE WHEN artifact_id NOT IN (SELECT id FROM ga) THEN artifact_id END, NULL, CASE WHEN chunk_id NOT IN (SELECT id FROM gc) THEN chunk_id END, fact_id FROM kb_evidence WHERE fact_id NOT IN (SELECT id FROM gf) AND source_id NOT IN (SELECT id FROM gs)
+UNION ALL SELECT 'events', id, NULL, NULL, NULL, NULL, CASE WHEN fact_id NOT IN (SELECT id FROM gf) THEN fact_id END FROM kb_events"""
+KEYS = ("source_id", "artifact_id", "job_id", "chunk_id", "fact_id")
+
+
+def _long(frames: dict[str, DataFrame], keys=KEYS) -> DataFrame:
+    """name, id and references of the rows of all tables."""
+    own = lambda df, c: (F.col(c) if c in df.columns else F.lit(None)).cast("long").alias(c)
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("name"), *[own(df, c) for c in ("id", *keys)]) for n, df in frames.items()])
+
+
+def _deleted(spark, sf_dir):
+    frames = dict(zip(LINKED, tables(spark, sf_dir, *LINKED), strict=True))
+    return references.delete(frames, {"sources": frames["sources"].filter("kind = 'binary'")})
+
+
+@query(LEFT)
+def deleted_sources(spark, sf_dir):
+    return _long(_deleted(spark, sf_dir))
+
+
+@query(f"SELECT name, count(*) AS n FROM ({LEFT}) GROUP BY 1")
 def delete_source(spark, sf_dir):
-    sources, facts, evidence = tables(spark, sf_dir, "sources", "facts", "evidence")
-    left = store.delete_source(7, sources=sources, facts=facts, evidence=evidence)
-    return functools.reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in left.items()])
+    return _long(_deleted(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'artifacts' AS name, 'source_id' AS "column", id, source_id AS refers_to FROM kb_artifacts WHERE source_id NOT IN (SELECT id FROM kb_sources)
+UNION ALL SELECT 'jobs', 'source_id', id, source_id FROM kb_jobs WHERE source_id NOT IN (SELECT id FROM kb_sources) UNION ALL SELECT 'jobs', 'artifact_id', id, artifact_id FROM kb_jobs WHERE artifact_id NOT IN (SELECT id FROM kb_artifacts)
+UNION ALL SELECT 'chunks', 'job_id', id, job_id FROM kb_chunks WHERE job_id NOT IN (SELECT id FROM kb_jobs)
+UNION ALL SELECT 'facts', 'source_id', id, source_id FROM kb_facts WHERE source_id NOT IN (SELECT id FROM kb_sources) UNION ALL SELECT 'facts', 'job_id', id, job_id FROM kb_facts WHERE job_id NOT IN (SELECT id FROM kb_jobs)
+UNION ALL SELECT 'terms', 'fact_id', NULL, fact_id FROM kb_terms WHERE fact_id NOT IN (SELECT id FROM kb_facts)
+UNION ALL SELECT 'evidence', 'fact_id', id, fact_id FROM kb_evidence WHERE fact_id NOT IN (SELECT id FROM kb_facts) UNION ALL SELECT 'evidence', 'source_id', id, source_id FROM kb_evidence WHERE source_id NOT IN (SELECT id FROM kb_sources)
+UNION ALL SELECT 'evidence', 'artifact_id', id, artifact_id FROM kb_evidence WHERE artifact_id NOT IN (SELECT id FROM kb_artifacts) UNION ALL SELECT 'evidence', 'chunk_id', id, chunk_id FROM kb_evidence WHERE chunk_id NOT IN (SELECT id FROM kb_chunks)
+UNION ALL SELECT 'events', 'fact_id', id, fact_id FROM kb_events WHERE fact_id NOT IN (SELECT id FROM kb_facts)""")
+def dangling_references(spark, sf_dir):
+    return references.dangling(dict(zip(LINKED, tables(spark, sf_dir, *LINKED), strict=True)))
 
 
 @query("SELECT fact_id, artifact_id, min(id) AS id, min_by(source_id, id) AS source_id, min_by(snippet, id) AS snippet FROM kb_evidence GROUP BY 1, 2")

@@ -60,6 +60,14 @@ SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_nationkey % 4 WHEN 0 THEN 'pendin
   CASE WHEN c_nationkey % 4 = 1 THEN CAST(1000 + c_custkey % 60 AS BIGINT) END AS lease_until FROM customer""",
     "kb_repair_items": """
 SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS BIGINT) AS job_id, CASE p_partkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' ELSE 'pending' END AS status FROM part""",
+    "kb_names": """
+SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey % 2 = 1 THEN concat('sources/René ', CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS STRING), '.txt') WHEN s_suppkey % 6 = 0 THEN concat('sources/', s_name, '.txt')
+    ELSE concat('sources/René ', CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS STRING), '.txt') END AS path,
+  CASE WHEN s_suppkey % 26 = 0 THEN 'binary' ELSE 'text' END AS kind, CASE WHEN s_nationkey = 3 THEN NULL WHEN s_nationkey = 4 THEN s_name ELSE concat('sum ', CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS STRING)) END AS checksum FROM supplier""",
+    "kb_name_jobs": """
+SELECT c_custkey AS id, c_custkey AS source_id, CAST(c_custkey * 2 AS BIGINT) AS artifact_id, CASE c_nationkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'done' END AS status FROM customer""",
+    "kb_name_artifacts": """
+SELECT CAST(p_partkey AS BIGINT) AS id, CAST(floor(p_partkey / 4) AS BIGINT) AS source_id, CASE WHEN p_size % 3 = 0 THEN 'original_text' ELSE 'extracted_text' END AS kind, concat('c', CAST(p_size % 2 AS STRING)) AS checksum FROM part""",
     "kb_alias": """
 SELECT * FROM (VALUES ('founded', 'established_on'), ('established', 'established_on'), ('born', 'born_on'), ('goal', 'purpose')) AS t(raw, canonical)""",
     "kb_functional": """
@@ -68,7 +76,7 @@ SELECT * FROM (VALUES ('established_on'), ('born_on'), ('died_on')) AS t(rel)"""
 SELECT DISTINCT f.subject, COALESCE(a.canonical, f.relation) AS rel, f.object
 FROM kb_facts f LEFT JOIN kb_alias a ON a.raw = f.relation WHERE f.status IN ('accepted', 'confirmed')""",
 }
-BASE_TABLES = {"kb_sources": ["supplier"], "kb_facts": ["events"], "kb_jobs": ["customer"], "kb_chunks": ["part"], "kb_evidence": ["orders"], "kb_events": ["events"], "kb_terms": ["events"], "kb_loose": ["events"], "kb_items": ["events"], "kb_artifacts": ["nation"], "kb_repairs": ["customer"], "kb_repair_items": ["part"]}
+BASE_TABLES = {"kb_sources": ["supplier"], "kb_facts": ["events"], "kb_jobs": ["customer"], "kb_chunks": ["part"], "kb_evidence": ["orders"], "kb_events": ["events"], "kb_terms": ["events"], "kb_loose": ["events"], "kb_items": ["events"], "kb_artifacts": ["nation"], "kb_repairs": ["customer"], "kb_repair_items": ["part"], "kb_names": ["supplier"], "kb_name_jobs": ["customer"], "kb_name_artifacts": ["part"]}
 ALIASES = {"founded": "established_on", "established": "established_on", "born": "born_on", "goal": "purpose"}
 
 
