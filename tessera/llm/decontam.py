@@ -12,7 +12,9 @@ count this out over all patterns, so seeds lose no overlap.
 
 What is sent to every task is one bitmap of the benchmark's hashes, of at most MOST_BITS bits whatever the
 benchmark's size. It only keeps hashes that can't hit out of the shuffle: a benchmark that fills it means more
-rows in the join, not fewer hits. Documents with a hit are kept once a text, by its digest.
+rows in the join, not fewer hits. Documents with a hit are kept once a text, by its digest. A text travels once for
+thousands of its items and its windows are sorted once for them. To clean a corpus one overlap of a text is enough:
+it is sought first in one item for each hash, so that a passage which many items share is verified once a text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ._common import Scratch, fresh, need, pieces
+from ._common import HEAVY, Scratch, fresh, need, pieces
 from ._words import _ODD, ALNUM, buffers, mix, words
 
 MIN_MATCHED, MIN_IDENTITY, SHORT_SHARE = 13, 0.75, 0.8
@@ -203,35 +205,63 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[np.concatenate([[0], cut + 1])], x[np.concatenate([cut, [len(x) - 1]])]
 
 
-def _diagonals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+class _Sought:
+    """A text whose windows are looked up many times: its hashes are sorted once for each choice of masks."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.sorted = tokens, {}
+
+    def windows(self, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, positions) of the windows under all these masks, in the order of the hashes, then of the positions."""
+        if masks not in self.sorted:
+            found = [(key, at) for _, key, at in _seeds(self.tokens, np.zeros(len(self.tokens), np.int8), list(masks))]
+            key, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            order = np.argsort(key, kind="stable")
+            self.sorted[masks] = key[order], at[order]
+        return self.sorted[masks]
+
+
+def _item_windows(b: np.ndarray):
+    """(masks, hashes, place, places) of an item: its masks, its distinct hashes under them (which tell masks apart),
+    the position of each that has one and else -1, and all positions."""
+    masks = tuple(masks_of(len(b)))
+    key, at = _Sought(b).windows(masks)
+    kept, first, n = np.unique(key, return_index=True, return_counts=True)
+    return masks, kept, np.where(n == 1, at[first], -1), np.split(at, first[1:])
+
+
+def _diagonals(a: _Sought, b: np.ndarray, windows) -> np.ndarray:
     """The distinct places of b's start along a on which some seed of the item b hits a.
 
-    Runs of windows with one hash, as of repeated tokens, meet as runs: their diagonals are one range.
+    Runs of windows with one hash, as of repeated tokens, meet as runs: their diagonals are one range, and such
+    ranges are counted along all places of a.
     """
-    edge = np.zeros(len(a) + len(b) + 2, np.int64)
-    of_item = {mask: (key, at) for mask, key, at in _seeds(b, np.zeros(len(b), np.int8), masks_of(len(b)))}
-    for mask, ka, pa_ in _seeds(a, np.zeros(len(a), np.int8), list(of_item)):
-        kb, pb = of_item[mask]
-        both = np.intersect1d(ka, kb)
-        if not len(both):
-            continue
-        oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
-        sa, sb = ka[oa], kb[ob]
-        for k in both:
-            a1, a2 = _runs(pa_[oa[np.searchsorted(sa, k, "left") : np.searchsorted(sa, k, "right")]])
-            b1, b2 = _runs(pb[ob[np.searchsorted(sb, k, "left") : np.searchsorted(sb, k, "right")]])
-            for lo, hi in zip(b1, b2, strict=True):
-                np.add.at(edge, a1 - hi + len(b), 1)
-                np.add.at(edge, a2 - lo + len(b) + 1, -1)
+    masks, keys, place, places = windows
+    ka, pa_ = a.windows(masks)
+    left, right = np.searchsorted(ka, keys, "left"), np.searchsorted(ka, keys, "right")
+    once = (right - left == 1) & (place >= 0)
+    alone, many = pa_[left[once]] - place[once], np.flatnonzero((right > left) & ~once)
+    if not len(many):
+        return np.unique(alone)
+    edge = np.zeros(len(a.tokens) + len(b) + 2, np.int64)
+    np.add.at(edge, alone + len(b), 1)
+    np.add.at(edge, alone + len(b) + 1, -1)
+    for k in many:
+        a1, a2 = _runs(pa_[left[k] : right[k]])
+        for lo, hi in zip(*_runs(places[k]), strict=True):
+            np.add.at(edge, a1 - hi + len(b), 1)
+            np.add.at(edge, a2 - lo + len(b) + 1, -1)
     return np.flatnonzero(np.cumsum(edge) > 0) - len(b)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> tuple | None:
+def overlap(a: np.ndarray | _Sought, b: np.ndarray, windows=None) -> tuple | None:
     """(matched, length, item tokens, start in a, start in b) of the best overlap of a text a with an item b."""
-    least, best = int(least_matched(len(b))), None
-    for d in _diagonals(a, b).tolist():
+    sought = a if isinstance(a, _Sought) else _Sought(a)
+    a, least, best = sought.tokens, int(least_matched(len(b))), None
+    for d in _diagonals(sought, b, _item_windows(b) if windows is None else windows).tolist():
         lo, hi = max(0, -d), min(len(b), len(a) - d)
-        found = best_stretch(a[lo + d : hi + d] == b[lo:hi], least) if hi - lo >= least else None
+        same = a[lo + d : hi + d] == b[lo:hi]
+        found = best_stretch(same, least) if hi - lo >= least and np.count_nonzero(same) >= least else None
         if found:
             matched, s, e = found
             row = (matched, s - e, -(lo + s + d), -(lo + s))
@@ -242,25 +272,74 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple | None:
 
 
 FOUND = "digest binary, item long, matched long, overlap_tokens long, item_tokens long, doc_start long, item_start long"
+#: Items of one text that one task verifies, and items whose windows a task keeps.
+BLOCK, KEPT_ITEMS = 4096, 4096
+
 
+def _verify(batches, first: bool):
+    """FOUND of texts followed by the items that may overlap them, as _verified() orders the rows.
 
-def _verify(batches):
+    first: one overlap of a text is enough, so its further items are passed over.
+    """
     names = [c.split()[0] for c in FOUND.split(", ")]
+    at, sought, done, known = None, None, False, {}
     for batch in pieces(batches):
-        a, own_a = _tokens(batch.column("text"))
-        b, own_b = _tokens(batch.column("item_text"))
-        digest, item, out = batch.column("digest").to_pylist(), batch.column("item").to_pylist(), []
+        h, own = _tokens(batch.column("text"))
+        digest, block, item, out = *(batch.column(c).to_pylist() for c in ("digest", "block", "item")), []
         for i in range(batch.num_rows):
-            if r := overlap(a[own_a[i] : own_a[i + 1]], b[own_b[i] : own_b[i + 1]]):
+            tokens = h[own[i] : own[i + 1]]
+            if item[i] is None:
+                at, sought, done = (digest[i], block[i]), _Sought(tokens.copy()), False
+                continue
+            if at != (digest[i], block[i]):
+                raise ValueError("an item without its text")
+            if done:
+                continue
+            if item[i] not in known:
+                if len(known) >= KEPT_ITEMS:
+                    known.clear()
+                known[item[i]] = _item_windows(tokens)
+            if r := overlap(sought, tokens, known[item[i]]):
                 out.append((digest[i], item[i], *r))
+                done = first
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.binary() if not j else pa.int64()) for j in range(len(names))], names)
 
 
-def _overlaps(tmp: Scratch, docs: DataFrame, benchmark: DataFrame):
-    """(suspects, found, items, masks, bitmap, digest, keys); None for a benchmark without tokens.
+def _meet(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(digest, item, shared) of texts and items with equal hashes.
 
-    suspects: the rows of docs that may hit, with their digest and hashes in the columns so named; found: FOUND,
-    verified, one row for each text and item; items: item, item_id, text.
+    A hash that more than the HEAVY-th part of all hits have is dealt to as many tasks as it has such parts; fewer
+    than HEAVY hashes are, so their list is broadcast.
+    """
+    total = max(1, hits.count())
+    heavy = hits.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * HEAVY > total)
+    parts = F.broadcast(heavy.select("key", F.ceil(F.col("n") * HEAVY / total).cast("int").alias("parts")))
+    n = F.coalesce("parts", F.lit(1))
+    left = hits.join(parts, "key", "left").select("digest", "key", F.pmod(F.xxhash64("digest"), n).cast("int").alias("part"))
+    right = seeds.join(parts, "key", "left").select("item", "key", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    return left.join(right, ["key", "part"]).groupBy("digest", "item").agg(F.count("*").alias("shared"))
+
+
+def _verified(tmp: Scratch, pairs: DataFrame, texts: DataFrame, items: DataFrame, first: bool, name: str) -> DataFrame:
+    """FOUND of the pairs that overlap, as a saved table. A text travels once for BLOCK of its items, and they after
+    it, those with most equal hashes ahead."""
+    pairs = tmp.save(pairs, "pairs")
+    many = pairs.groupBy("digest").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    at = texts.join(many, "digest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heads = at.select("digest", "block", F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("shared"), "text")
+    listed = pairs.join(many.filter("blocks > 1"), "digest", "left").withColumn("block", F.pmod(F.xxhash64("item"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    followers = listed.select("digest", "block", "item", "shared").join(items.select("item", "text"), "item").select("digest", "block", "item", "shared", "text")
+    rows = heads.unionByName(followers).repartition("digest", "block").sortWithinPartitions("digest", "block", F.col("item").isNotNull(), F.desc("shared"), "item")
+    found = tmp.save(rows.mapInArrow(functools.partial(_verify, first=first), FOUND), name)
+    tmp.drop(pairs)
+    return found
+
+
+def _suspected(tmp: Scratch, docs: DataFrame, benchmark: DataFrame):
+    """(suspects, hits, texts, items, seeds, masks, bitmap, digest, keys); None for a benchmark without tokens.
+
+    suspects: the rows of docs that may hit, with their digest and hashes in the columns so named; hits: digest,
+    key; texts: digest, text; items: item, item_id, text; seeds: item, key.
     """
     known = need(benchmark, item_id="long", text="string").filter(F.col("text").isNotNull()).distinct()
     items = tmp.save(known.withColumn("item", F.monotonically_increasing_id()), "items")
@@ -273,12 +352,9 @@ def _overlaps(tmp: Scratch, docs: DataFrame, benchmark: DataFrame):
     schema = StructType([*docs.schema.fields, StructField(keys, ArrayType(LongType()))])
     marked = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(functools.partial(_suspects, masks=masks, bitmap=bitmap, text=text, name=keys), schema)
     suspects = tmp.save(marked.withColumn(digest, F.unhex(F.md5(F.col("text").cast("string").cast("binary")))), "suspects")
-    hits = suspects.select(F.col(digest).alias("digest"), F.explode(keys).alias("key")).distinct()
-    pairs = hits.join(seeds.select("item", "key").distinct(), "key").select("digest", "item").distinct()
+    hits = tmp.save(suspects.select(F.col(digest).alias("digest"), F.explode(keys).alias("key")).distinct(), "hits")
     texts = suspects.groupBy(F.col(digest).alias("digest")).agg(F.first(F.col("text").cast("string")).alias("text"))
-    both = pairs.join(texts, "digest").join(items.select("item", F.col("text").alias("item_text")), "item")
-    found = tmp.save(both.select("digest", "item", "text", "item_text").mapInArrow(_verify, FOUND), "found")
-    return suspects, found, items, masks, bitmap, digest, keys
+    return suspects, hits, texts, items, seeds.select("item", "key").distinct(), masks, bitmap, digest, keys
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -290,10 +366,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows of a document repeat its overlaps, repeated items count once. Other columns are ignored; an empty table
     on either side gives no rows.
     """
-    got = _overlaps(Scratch(docs.sparkSession, "decontam"), need(docs, doc_id="long", text="string"), benchmark)
+    tmp = Scratch(docs.sparkSession, "decontam")
+    got = _suspected(tmp, need(docs, doc_id="long", text="string"), benchmark)
     if got is None:
         return docs.sparkSession.createDataFrame([], HITS)
-    suspects, found, items, _, _, digest, _ = got
+    suspects, hits, texts, items, seeds, _, _, digest, _ = got
+    found = _verified(tmp, _meet(hits, seeds), texts, items, False, "found")
+    tmp.drop(hits)
     named = found.join(items.select("item", "item_id"), "item")
     out = suspects.select("doc_id", F.col(digest).alias("digest")).join(named, "digest")
     kept = [c.split()[0] for c in HITS.split(", ")[:-1]]
@@ -306,11 +385,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows without a hash that may hit are passed on where they are; only the others are joined with the verdicts.
     """
     tmp = Scratch(docs.sparkSession, "decontam")
-    got = _overlaps(tmp, docs, benchmark)
+    got = _suspected(tmp, docs, benchmark)
     if got is None:
         return docs
-    suspects, found, _, masks, bitmap, digest, keys = got
+    suspects, hits, texts, items, seeds, masks, bitmap, digest, keys = got
+    # First one item for each hash: what many items share is found in one of them. Then all items, for the rest.
+    firsts = seeds.groupBy("key").agg(F.min("item").alias("item"))
+    bad = _verified(tmp, _meet(hits, firsts), texts, items, True, "first").select("digest").distinct()
+    rest = tmp.save(hits.join(bad, "digest", "left_anti"), "rest")
+    more = _verified(tmp, _meet(rest, seeds), texts.join(rest.select("digest").distinct(), "digest", "left_semi"), items, True, "more")
     text, gone = fresh(docs, "__text"), fresh(docs, "__gone")
     clean = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(functools.partial(_clean, masks=masks, bitmap=bitmap, text=text), docs.schema)
-    bad = found.select(F.col("digest").alias(gone)).distinct()
+    bad = bad.union(more.select("digest")).distinct().select(F.col("digest").alias(gone))
+    tmp.drop(hits, rest)
     return clean.unionByName(suspects.join(bad, F.col(digest) == F.col(gone), "left_anti").drop(digest, keys))

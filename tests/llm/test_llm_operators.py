@@ -324,6 +324,31 @@ def test_repeated_words_end_soon(spark, n):
     assert got[0, 0] == 1000 and got[1, 1] == 1000 and (0, 1) not in got
 
 
+def test_a_shared_passage_is_verified_once_a_text(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    phrase, short = " ".join(f"p{i}" for i in range(13)), " ".join(f"q{i}" for i in range(9))
+    items = [f"{some(12)} {phrase} {some(12)}" for _ in range(60)] + [f"{some(9)} {short} {some(9)}" for _ in range(60)]
+    texts = [f"{some(30)} {phrase} {some(30)}" for _ in range(40)] + [f"{some(30)} {short} {some(30)}" for _ in range(40)] + [items[70], some(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK", 7)
+    monkeypatch.setattr(decontam, "HEAVY", 20)
+    monkeypatch.setattr(decontam, "KEPT_ITEMS", 5)
+    want = set(brute_overlaps(texts, items))
+    found = rows(decontam.find_overlaps(docs(spark, texts), bench))
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want) == 40 * 60 + 1
+    asked, real = [], decontam._verified
+
+    def counted(tmp, pairs, *more):
+        asked.append(pairs.count())
+        return real(tmp, pairs, *more)
+
+    monkeypatch.setattr(decontam, "_verified", counted)
+    assert {r["doc_id"] for r in rows(decontam.decontaminate(docs(spark, texts), bench))} == set(range(40, 80)) | {81}
+    # One item for each hash of the passage at first; all items only for the texts that share the short phrase alone.
+    assert asked[0] < 3 * len(texts) and asked[1] <= 40 * 60 + 5
+
+
 def test_planted_items_are_found_and_others_not(spark):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in b.collect()]
