@@ -9,7 +9,7 @@ that no rule names is judged by how its template fares on its neighbours. A rule
 its pages.
 
 The tree is built from distinct shapes with counts, never from single pages, so a host with a third of all
-pages costs no more than its distinct shapes.
+pages costs no more than its distinct shapes. Rounds follow branchings: what all shapes of a node share is one step.
 """
 
 from __future__ import annotations
@@ -64,31 +64,39 @@ def _shape(path: Column) -> Column:
 
 
 def _generalise(tmp: Scratch, shapes: DataFrame) -> DataFrame:
-    """host, path_shape, template, blocked, allowed: one level of the tree after the other.
+    """host, path_shape, template, blocked, allowed: the tree, one branching of every node in a round.
 
     A node with at most MANY_CHILDREN shapes below it has no node with more children, so its shapes keep the rest
-    of their segments and take no further part; levels go on while a node has more. No bound on the depth.
+    of their segments and take no further part. In any other the segments in which all its shapes agree are passed
+    at once: they are what the least and the greatest of its shapes agree in, so their number costs no round. No
+    bound on the depth.
     """
-    rest = lambda level: F.concat(F.col("template"), F.array_join(F.transform(F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1))), lambda s: F.concat(F.lit("/"), s)), ""))
-    done, now, level = [], shapes.withColumn("template", F.lit("")), 1  # the piece before the first / is empty
+    ahead = lambda level: F.slice("shape", level + 1, F.greatest(F.size("shape") - level, F.lit(0)))
+    told = lambda segments: F.array_join(F.transform(segments, lambda s: F.concat(F.lit("/"), s)), "")
+    at = F.col("level")
+    done, now, turn = [], shapes.withColumn("template", F.lit("")).withColumn("level", F.lit(1)), 0  # the piece before the first / is empty
+    keep = [c for c in now.columns if c not in ("template", "level")]
     while True:
-        nodes = now.groupBy("host", "template").agg(F.count("*").alias("shapes")).filter(F.col("shapes") > MANY_CHILDREN)
-        tops = nodes.select(F.col("host").alias("h"), F.col("template").alias("t"))
-        marked = now.join(tops, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left")
-        marked = tmp.save(marked.withColumn("open", F.col("h").isNotNull() & (F.size("shape") > level)).drop("h", "t"), f"level{level}")
-        keep = [c for c in now.columns if c != "template"]
-        done.append(marked.filter("not open").select(*keep, rest(level).alias("template")))
+        nodes = now.withColumn("ahead", ahead(at)).groupBy("host", "template").agg(F.count("*").alias("shapes"), F.min("ahead").alias("a"), F.max("ahead").alias("b")).filter(F.col("shapes") > MANY_CHILDREN)
+        differ = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        agree = F.when(differ > 0, differ - 1).otherwise(F.size("a"))
+        tops = nodes.select(F.col("host").alias("h"), F.col("template").alias("t"), agree.alias("agree"))
+        joined = now.join(tops, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left")
+        step = F.coalesce("agree", F.lit(0))
+        passed = joined.withColumn("template", F.concat("template", told(F.slice("shape", at + 1, step)))).withColumn("level", at + step)
+        marked = tmp.save(passed.withColumn("open", F.col("h").isNotNull() & (F.size("shape") > at)).drop("h", "t", "agree"), f"round{turn}")
+        done.append(marked.filter("not open").select(*keep, F.concat("template", told(ahead(at))).alias("template")))
         now = marked.filter("open").drop("open")
         if now.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
-        child = F.get("shape", F.lit(level))
+        child = F.get("shape", at)
         children = now.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all")).filter(F.col("children") > MANY_CHILDREN)
         rare = children.join(parents, ["host", "template"]).filter((F.col("n") < RARE_SHARE * F.col("all")) & (F.col("child") != ""))
         names = rare.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("child").alias("c"))
         joined = now.withColumn("child", child).join(names, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("child") == F.col("c")), "left")
         step = F.concat("template", F.lit("/"), F.when(F.col("c").isNotNull(), "*").otherwise(F.col("child")))
-        now, level = joined.select(*keep, step.alias("template")), level + 1
+        now, turn = joined.select(*keep, step.alias("template"), (at + 1).alias("level")), turn + 1
 
 
 def _suffixes(host: Column) -> Column:

@@ -488,6 +488,21 @@ def test_verdicts_equal_a_plain_tree(spark):
     assert [got[i] for i in range(len(pages))] == brute_learned(pages, rules)
 
 
+@pytest.mark.parametrize("deep", [40, 1000])
+def test_shared_segments_cost_no_rounds(spark, monkeypatch, deep):
+    rng = random.Random(deep)
+    shared = "/".join(["s"] * (deep // 2) + [f"d{rng.choice('abc')}" for _ in range(deep // 2)])
+    pages = [("www.deep.com", f"/{rng.choice('xy')}/{shared}/{'k' * rng.randint(1, 30)}/same/end{rng.choice(['', '/z'])}") for _ in range(120)]
+    pages += [("www.deep.com", f"/x/{shared}")] * 3 + [("b.deep.com", f"/{shared}/{'q' * i}/{shared}/tail") for i in range(1, 31)] + [("c.net", "/" + "a/" * i) for i in range(30)]
+    rules = [("block", "deep.com/x/s/"), ("allow", "www.deep.com/y/"), ("block", "c.net/a/a/a")]
+    saves, real = [], urls.Scratch.save
+    monkeypatch.setattr(urls.Scratch, "save", lambda self, df, name: saves.append(name) or real(self, df, name))
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(pages)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in rows(urls.judge_urls(df, rules))}
+    assert [got[i] for i in range(len(pages))] == brute_learned(pages, rules)
+    assert sum(n.startswith("round") for n in saves) <= 12  # c.net branches at each of some ten levels
+
+
 @pytest.mark.parametrize("n", [1_000, 100_000])
 def test_hostile_urls_end_soon(spark, n):
     tails = ["1" * n + ".abcdefgh", "a/" * (n // 2), "1a" * (n // 2) + ".html", "." * n, "/" * n, "://" * (n // 3), "x.html" * (n // 6), "-1-" * (n // 3)]
