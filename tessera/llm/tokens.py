@@ -15,10 +15,10 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, need, pieces
+from ._common import Scratch, need, pieces, remove
 
 CACHE_SCHEMA = "content binary, n_tokens long"
 #: Texts handed to the encoder at once, in characters.
@@ -64,6 +64,45 @@ def _encode(batches, path: str):
         yield pa.RecordBatch.from_arrays([batch.column("content").cast(pa.binary()), pa.array(out, pa.int64())], ["content", "n_tokens"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return need(docs, doc_id="long", text="string").select("doc_id", text.alias("text")).withColumn("content", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
+
+
+def _add(keyed: DataFrame, known: DataFrame | None, at: str, tokenizer_path: str) -> DataFrame | None:
+    """The counts of the distinct contents that are not known, encoded and stored as a new run; None where all are."""
+    spark = keyed.sparkSession
+    missing = keyed.select("content", "text")
+    if known is not None:
+        missing = missing.join(known.select("content"), "content", "left_anti")
+    misses = missing.groupBy("content").agg(F.first("text").alias("text"))
+    run = f"{at}/run={uuid.uuid4().hex}"
+    misses.mapInArrow(functools.partial(_encode, path=tokenizer_path), CACHE_SCHEMA).write.option("compression", "zstd").parquet(run)
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(run)
+    if counts.isEmpty():
+        remove(spark, run)
+        return None
+    return counts
+
+
+def add_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str) -> None:
+    """Stores the counts of all texts of docs in the cache; those that it holds are not encoded again."""
+    at = f"{cache_dir}/tokenizer={tokenizer_digest(tokenizer_path)}"
+    _add(_keyed(docs), _stored(docs.sparkSession, at), at, tokenizer_path)
+
+
+def compact_cache(spark: SparkSession, tokenizer_path: str, cache_dir: str) -> None:
+    """Puts the runs of a tokenizer together as one, each content once. For when no other run reads the cache: the
+    old tables go when the new one is written, and a reader of them would miss them."""
+    at = f"{cache_dir}/tokenizer={tokenizer_digest(tokenizer_path)}"
+    runs = _runs(spark, at)
+    if len(runs) > 1:
+        whole = spark.read.schema(CACHE_SCHEMA).parquet(*runs).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        whole.write.option("compression", "zstd").parquet(f"{at}/run={uuid.uuid4().hex}")
+        for old in runs:
+            remove(spark, old)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_dir: str | None = None, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document.
 
@@ -74,31 +113,30 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_dir: str | None
     """
     spark = docs.sparkSession
     own = Scratch(spark, "tokens")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = need(docs, doc_id="long", text="string").select("doc_id", text.alias("text")).withColumn("content", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
+    keyed = _keyed(docs)
     at = f"{cache_dir or own.folder('cache')}/tokenizer={tokenizer_digest(tokenizer_path)}"
     known = _stored(spark, at)
-    missing = keyed.select("content", "text")
-    if known is not None:
-        missing = missing.join(known.select("content"), "content", "left_anti")
-    misses = missing.groupBy("content").agg(F.first("text").alias("text"))
-    run = f"{at}/run={uuid.uuid4().hex}"
-    misses.mapInArrow(functools.partial(_encode, path=tokenizer_path), CACHE_SCHEMA).write.option("compression", "zstd").parquet(run)
+    counts = _add(keyed, known, at, tokenizer_path)
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(run)
     if known is not None:
         # Of the earlier counts only those of these documents are taken; saved apart from their grouping, so that
         # the join below is a plain one, whose hot digests AQE splits.
-        earlier = known.join(sized.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-        counts = counts.unionByName(own.save(earlier, "earlier"))
+        met = known.join(sized.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        earlier = own.save(met, "earlier")
+        counts = earlier if counts is None else counts.unionByName(earlier)
+    if counts is None:
+        counts = spark.createDataFrame([], CACHE_SCHEMA)
     return sized.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _stored(spark, at: str) -> DataFrame | None:
-    """Counts that earlier runs stored for a tokenizer, a content perhaps more than once; None while there are none."""
+def _runs(spark: SparkSession, at: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
+    where = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(f.getPath()) for f in where.listStatus(path)] if where.exists(path) else []
+
+
+def _stored(spark: SparkSession, at: str) -> DataFrame | None:
+    """Counts that earlier runs stored for a tokenizer, a content perhaps more than once; None while there are none."""
     # The tables are named, so that what a run adds meanwhile is not read as known.
-    runs = [str(f.getPath()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    runs = _runs(spark, at)
     return spark.read.schema(CACHE_SCHEMA).parquet(*runs) if runs else None

@@ -968,6 +968,34 @@ def test_counts_equal_the_library_and_the_cache_serves(spark, tmp_path, name):
     assert tokens.count_tokens(docs(spark, []), path).count() == 0
 
 
+def test_the_second_run_of_the_query_encodes_nothing(spark, monkeypatch):
+    encoded, real = [], tokens._add
+
+    def added(*args):
+        counts = real(*args)
+        encoded.append(0 if counts is None else counts.count())
+        return counts
+
+    monkeypatch.setattr(tokens, "_add", added)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    assert queries.op10_token_counts(spark, SF).count() == d.count()
+    assert encoded == [d.selectExpr("coalesce(text, '')").distinct().count(), 0]
+
+
+def test_a_compacted_cache_serves_the_same_counts(spark, tmp_path):
+    import public_tokenizers
+
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    tokens.add_counts(docs(spark, ["one", "two"]), path, cache)
+    tokens.add_counts(docs(spark, ["two", "three words more"]), path, cache)
+    at = f"{cache}/tokenizer={tokens.tokenizer_digest(path)}"
+    assert len(tokens._runs(spark, at)) == 2
+    before = {tuple(r) for r in spark.read.parquet(*tokens._runs(spark, at)).collect()}
+    tokens.compact_cache(spark, path, cache)
+    assert len(tokens._runs(spark, at)) == 1 and {tuple(r) for r in spark.read.parquet(*tokens._runs(spark, at)).collect()} == before
+    assert tokens.count_tokens(docs(spark, ["one", None]), path, cache_dir=cache).count() == 2 and len(tokens._runs(spark, at)) == 2
+
+
 def test_queries_and_oracles_match(spark):
     c = duckdb.connect()
     for t in ("documents", "conversations", "benchmark"):
