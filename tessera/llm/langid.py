@@ -24,8 +24,8 @@ SAMPLE = 1500
 MOST_LANGUAGES = 400
 #: Hash buckets of the byte 3-grams, and the added count of each.
 BUCKETS, SMOOTH = 1 << 15, 0.5
-#: Rounds of EM at once and at most, and the penalty for each further language in units of log(n-grams).
-ROUNDS, MOST_ROUNDS, PENALTY = 12, 240, 4.0
+#: Rounds of EM before the first look, between looks and at most, the share that a language begins with, and the penalty for each further language in units of log(n-grams).
+FIRST, ROUNDS, MOST_ROUNDS, BEGIN, PENALTY = 3, 12, 240, 0.05, 4.0
 #: Nats that proportions may be short of their best likelihood, as a share of the penalty.
 SETTLED = 0.05
 #: Bytes judged at once. A longer text is taken alone.
@@ -152,18 +152,19 @@ def _rows_of(at: np.ndarray, size: np.ndarray, docs: np.ndarray):
     return np.arange(n.sum()) - first[which] + at[docs][which], first, which
 
 
-def _settle(p: np.ndarray, count: np.ndarray, at: np.ndarray, size: np.ndarray, docs: np.ndarray, sets: np.ndarray, wanted: np.ndarray, n: np.ndarray):
-    """(proportions, log-likelihood) of each chosen document for its set (columns of p), settled unless hopeless.
+def _settle(p: np.ndarray, count: np.ndarray, at: np.ndarray, size: np.ndarray, docs: np.ndarray, sets: np.ndarray, wanted: np.ndarray, n: np.ndarray, start: np.ndarray):
+    """(proportions, log-likelihood) of each chosen document for its set (columns of p), settled unless hopeless;
+    start: proportions to begin with.
 
     The likelihood is concave: from any proportions it can still gain no more than the largest, over the set, of
     sum(count * p / mass) - n. Rounds go on until that is small, or too small for the likelihood to reach wanted.
     """
     pi, like = np.zeros(sets.shape, np.float32), np.zeros(len(docs))
-    open_, start = np.arange(len(docs)), None
-    for _ in range(MOST_ROUNDS // ROUNDS):
+    open_ = np.arange(len(docs))
+    for rounds in [FIRST, *[ROUNDS] * (MOST_ROUNDS // ROUNDS)]:
         rows, first, which = _rows_of(at, size, docs[open_])
         q, c = p[rows[:, None], sets[open_][which]], count[rows]
-        got, score = _em(q, c, first, which, ROUNDS, start)
+        got, score = _em(q, c, first, which, rounds, start)
         pi[open_], like[open_] = got, score
         mass = np.maximum((q * got[which]).sum(axis=1), 1e-30)
         more = np.add.reduceat(q * (c / mass)[:, None], first, axis=0, dtype=np.float64).max(axis=1) - n[open_]
@@ -198,14 +199,23 @@ def infer(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, logp: np.ndarray
     live = np.arange(len(at))
     while len(live) and sets.shape[1] < n_lang:
         # Every language that a set lacks is tried; the one of the largest likelihood stays if it beats the penalty.
+        # The likelihood is concave, so its slope at a set's own proportions says how much a language can gain at
+        # most; one that can't gain the penalty needs no trial.
         wanted = score[live] + PENALTY * np.log(n[live] + 1)
+        rows_, first_, which_ = _rows_of(at, size, live)
+        mass = np.maximum((p[rows_] * pi[live][which_]).sum(axis=1), 1e-30)
+        most = np.add.reduceat(p[rows_] * (c[rows_] / mass)[:, None], first_, axis=0, dtype=np.float64) - n[live][:, None]
+        own = np.take_along_axis(most, sets, axis=1).max(axis=1)
+        may = np.maximum(most, own[:, None]) > PENALTY * np.log(n[live] + 1)[:, None]
         top, parts, trial = np.full(len(live), -np.inf), np.zeros((len(live), sets.shape[1] + 1), np.float32), np.zeros((len(live), sets.shape[1] + 1), np.int64)
         for lang in range(n_lang):
-            lacks = np.flatnonzero((sets != lang).all(axis=1))
+            lacks = np.flatnonzero((sets != lang).all(axis=1) & may[:, lang])
             if not len(lacks):
                 continue
             tried = np.concatenate([sets[lacks], np.full((len(lacks), 1), lang)], axis=1)
-            prop, like = _settle(p, c, at, size, live[lacks], tried, np.maximum(wanted, top)[lacks], n[live[lacks]])
+            begin = np.take_along_axis(pi[live[lacks]], tried, axis=1) * (1 - BEGIN)
+            begin[:, -1] = BEGIN
+            prop, like = _settle(p, c, at, size, live[lacks], tried, np.maximum(wanted, top)[lacks], n[live[lacks]], begin)
             up = like > top[lacks]
             top[lacks[up]], parts[lacks[up]], trial[lacks[up]] = like[up], prop[up], tried[up]
         better = top > wanted

@@ -195,6 +195,40 @@ def test_em_equals_a_plain_loop():
         assert np.allclose(pi[d], x, atol=1e-4)
 
 
+def test_the_set_of_languages_is_the_best_of_all_sets():
+    """Penalised likelihood over every set of languages, each by plain EM of many rounds, against the growing set."""
+    rng = np.random.default_rng(11)
+    logp = np.log(rng.dirichlet(np.full(60, 0.3), 5).T + 1e-6).astype(np.float32)
+    docs_, grams, counts, truth = [], [], [], []
+    for d in range(60):
+        mixed = rng.choice(5, rng.integers(1, 4), replace=False)
+        share = rng.dirichlet(np.ones(len(mixed)))
+        n = int(rng.integers(3, 400))
+        drawn = rng.multinomial(n, (np.exp(logp[:, mixed].astype(float)) / np.exp(logp[:, mixed].astype(float)).sum(0)) @ share)
+        at = np.flatnonzero(drawn)
+        docs_.append(np.full(len(at), d)), grams.append(at), counts.append(drawn[at])
+        rows_, c = np.exp(logp[at].astype(float)), drawn[at]
+        best = None
+        for k in range(1, 6):
+            for chosen in itertools.combinations(range(5), k):
+                p, pi = rows_[:, chosen], np.full(k, 1 / k)
+                for _ in range(400):
+                    j = p * pi
+                    pi = (c[:, None] * j / j.sum(1, keepdims=True)).sum(0) / n
+                score = (c * np.log((p * pi).sum(1))).sum() - langid.PENALTY * math.log(n + 1) * (k - 1)
+                best = max(best, (score, chosen)) if best else (score, chosen)
+        truth.append(best)
+    pi, _ = langid.infer(np.concatenate(docs_), np.concatenate(grams), np.concatenate(counts), logp, 60)
+    wrong = 0
+    for d, (score, chosen) in enumerate(truth):
+        got = tuple(np.flatnonzero(pi[d] > 0))
+        if got != chosen:  # a set that grows one at a time may stop before a better pair: then it is close in score
+            wrong += 1
+            p, c, n = np.exp(logp[grams[d]][:, got].astype(float)), counts[d], counts[d].sum()
+            assert score - ((c * np.log((p * pi[d][list(got)]).sum(1))).sum() - langid.PENALTY * math.log(n + 1) * (len(got) - 1)) < langid.PENALTY * math.log(n + 1)
+    assert wrong <= 3
+
+
 def test_language_edges(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(df)
