@@ -16,6 +16,7 @@ from ..operators import candidates as cd
 from ..operators import engine, lifecycle, planner, questions, references, store, traces, trust
 from ..operators.intents import check_intent
 from ..schema import ENGINE, broken_evidence, broken_facts, in_tier
+from ..sources import artifacts
 from ..sources.fixture import ALIASES, kb, sql
 from ..sources.policy_files import canonicalize, export_dl, variants
 from ..streaming.events import latest_events, windowed_counts
@@ -1225,3 +1226,16 @@ def latest_event_states(spark, sf_dir):
 def windowed_event_counts(spark, sf_dir):
     at = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("at"), "event_type")
     return windowed_counts(at.withColumn("at", F.col("at").cast("timestamp"))).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+CLEAN = "nfc_normalize(replace(text, chr(0), '\ufffd'))"
+
+
+@query(f"SELECT doc_id AS source_id, 'artifacts/sources/' || doc_id || '/' || sha256({CLEAN}) || '.txt' AS path, sha256({CLEAN}) AS checksum, length({CLEAN}) AS n_chars FROM documents WHERE text IS NOT NULL")
+def stored_texts(spark, sf_dir):
+    """The texts of all documents through the artifact sink, twice, and read back: a second write adds nothing."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("source_id"), "text")
+    folder = artifacts.shared_folder(spark, "artifacts")
+    for _ in range(2):
+        artifacts.store_artifacts(texts, folder)
+    return artifacts.read_artifacts(spark, folder).select("source_id", "path", "checksum", F.length("text").alias("n_chars"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 from ..functions import text
 
@@ -76,6 +76,8 @@ def new_artifacts(sources: DataFrame, stored: DataFrame | None) -> DataFrame:
     return fresh if stored is None else fresh.join(stored.select("path", "checksum").distinct(), ["path", "checksum"], "left_anti")
 
 
+#: The session's setting that lets Python sources apply filters.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: SQL types of a SQLite column by what its declared type holds, in this order; others are strings.
 SQLITE_TYPES = (("INT", "long"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"), ("BLOB", "binary"))
 
@@ -93,27 +95,74 @@ class _Rows(InputPartition):
 
 
 class _SqliteReader(DataSourceReader):
+    """Ranges of rowid with equal numbers of rows, whatever gaps the rowids have."""
+
     def __init__(self, path: str, table: str, columns: list[str], pieces: int):
         self.path, self.table, self.columns, self.pieces = path, table, columns, pieces
+        self.where, self.values = [], []
+
+    def _clause(self, *more: str) -> str:
+        return " WHERE " + " AND ".join([*self.where, *more]) if self.where or more else ""
 
     def partitions(self):
         with _open(self.path) as db:
-            first, last = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        if first is None:
-            return [_Rows(0, -1)]
-        step = -(-(last - first + 1) // self.pieces)
-        return [_Rows(lo, min(lo + step - 1, last)) for lo in range(first, last + 1, step)]
+            n, last = db.execute(f'SELECT count(*), max(rowid) FROM "{self.table}"{self._clause()}', self.values).fetchone()
+            if not n:
+                return [_Rows(0, -1)]
+            step = -(-n // self.pieces)
+            numbered = f'SELECT rowid AS r, row_number() OVER (ORDER BY rowid) - 1 AS k FROM "{self.table}"{self._clause()}'
+            starts = [r for (r,) in db.execute(f"SELECT r FROM ({numbered}) WHERE k % {step} = 0 ORDER BY r", self.values)]
+        return [_Rows(lo, hi - 1) for lo, hi in zip(starts, [*starts[1:], last + 1], strict=True)]
 
     def read(self, partition):
         names = ", ".join(f'"{c}"' for c in self.columns)
         with _open(self.path) as db:
-            yield from db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', partition.value)
+            yield from db.execute(f'SELECT {names} FROM "{self.table}"{self._clause("rowid BETWEEN ? AND ?")}', [*self.values, *partition.value])
+
+
+#: Spark's filters by the SQL of the same meaning.
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+class _PushingReader(_SqliteReader):
+    """The reader that lets SQLite apply filters: null tests, equality of numbers and strings, order of numbers.
+
+    Both engines mean the same by these: strings are compared by bytes, and the order of strings, which depends on
+    the file's encoding, stays Spark's.
+    """
+
+    def __init__(self, *args, kinds: dict[str, str]):
+        super().__init__(*args)
+        self.kinds = kinds
+
+    def _term(self, column: str, value, ordered: bool) -> bool:
+        number = self.kinds.get(column) in ("long", "double") and isinstance(value, (int, float)) and not isinstance(value, bool) and value == value
+        return number or (not ordered and self.kinds.get(column) == "string" and isinstance(value, str))
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            name = f'"{column}" COLLATE BINARY'
+            if column not in self.kinds:
+                yield f
+            elif isinstance(f, (IsNull, IsNotNull)):
+                self.where.append(f"\"{column}\" IS {'' if isinstance(f, IsNull) else 'NOT '}NULL")
+            elif type(f) in _COMPARED and self._term(column, f.value, not isinstance(f, EqualTo)):
+                self.where.append(f"{name} {_COMPARED[type(f)]} ?")
+                self.values.append(f.value)
+            elif isinstance(f, In) and f.value and all(self._term(column, v, False) for v in f.value):
+                self.where.append(f"{name} IN ({', '.join('?' * len(f.value))})")
+                self.values += list(f.value)
+            else:
+                yield f
 
 
 class SqliteSource(DataSource):
     """Spark source "sqlite": a table of a SQLite file that every executor can open, read-only, by ranges of rowid.
 
-    Options: path, table, and pieces, into how many ranges the rows are cut (8).
+    Options: path, table, pieces, into how many ranges of equal numbers of rows the table is cut (8), and pushdown,
+    whether SQLite applies the filters that it can; Spark refuses it while spark.sql.python.filterPushdown.enabled
+    is false.
     """
 
     @classmethod
@@ -126,22 +175,27 @@ class SqliteSource(DataSource):
             raise ValueError(f"no table name: {table}")
         return table
 
-    def schema(self) -> str:
+    def _kinds(self) -> dict[str, str]:
         with _open(self.options["path"]) as db:
             rows = db.execute(f'PRAGMA table_info("{self._table()}")').fetchall()
         if not rows:
             raise ValueError(f"no table {self._table()}")
         kind = lambda t: next((to for part, to in SQLITE_TYPES if part in (t or "").upper()), "string")
-        return ", ".join(f"`{r[1]}` {kind(r[2])}" for r in rows)
+        return {r[1]: kind(r[2]) for r in rows}
+
+    def schema(self) -> str:
+        return ", ".join(f"`{name}` {kind}" for name, kind in self._kinds().items())
 
     def reader(self, schema):
-        return _SqliteReader(self.options["path"], self._table(), schema.names, int(self.options.get("pieces", 8)))
+        args = (self.options["path"], self._table(), schema.names, int(self.options.get("pieces", 8)))
+        return _PushingReader(*args, kinds=self._kinds()) if self.options.get("pushdown", "false").lower() == "true" else _SqliteReader(*args)
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, pieces: int = 8) -> DataFrame:
-    """A table of a SQLite file, read by the executors."""
+    """A table of a SQLite file, read by the executors. SQLite filters where the session allows it to."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").option("path", path).option("table", table).option("pieces", pieces).load()
+    pushed = spark.conf.get(PUSHDOWN, "false")
+    return spark.read.format("sqlite").option("path", path).option("table", table).option("pieces", pieces).option("pushdown", pushed).load()
 
 
 def write_whole(path: str, text: str) -> None:
