@@ -6,6 +6,7 @@ and comparisons use keys; values ride along. A predicate without columns has the
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -211,6 +212,10 @@ def dead_labels(program: Program, relation: DataFrame) -> DataFrame:
     return wanted.join(present, "k", "left_anti").join(relation.limit(1).select(F.lit(True).alias("any")), how="left_semi").select("label")
 
 
+#: Findings of a report, at most.
+MOST_FINDINGS = 10_000
+
+
 @dataclass
 class Report:
     ok: bool
@@ -218,16 +223,19 @@ class Report:
     warnings: list[str]
     answers: dict[str, str]
     rows: list[tuple]
+    truncated: bool = False
 
     def text(self) -> str:
         head = "consistent" if self.ok else "inconsistent"
         lines = [f"{head}: {len(self.errors)} errors, {len(self.warnings)} warnings", *self.errors, *self.warnings]
-        return "\n".join([*lines, *[f"ANSWER q{q}: {a}" for q, a in self.answers.items()]])
+        more = ["(there are more findings)"] if self.truncated else []
+        return "\n".join([*lines, *more, *[f"ANSWER q{q}: {a}" for q, a in self.answers.items()]])
 
 
 def run_check(relation: DataFrame, policy: str, query: str = "", rows: DataFrame | None = None) -> Report:
     """Evaluates policy and query over a relation frame. A program that cannot run is an error of the report.
-    The report itself is on the driver: it is as large as what the rules found. rows: see annotate()."""
+    The report is for a person: at most MOST_FINDINGS findings are read, in their order, and truncated says that
+    there are more. rows: see annotate()."""
     try:
         program = parse_program(policy + "\n" + query)
         frames = evaluate(program, relation)
@@ -236,11 +244,13 @@ def run_check(relation: DataFrame, policy: str, query: str = "", rows: DataFrame
     found = findings(program, frames).distinct()
     if rows is not None:
         found = annotate(found, rows).withColumn("text", F.concat_ws(" ", "text", "note"))
-    found = found.collect()
+    found = found.orderBy("severity", "text").limit(MOST_FINDINGS + 1).collect()
+    truncated = len(found) > MOST_FINDINGS
+    found = found[:MOST_FINDINGS]
     errors = sorted({r["text"] for r in found if r["severity"] == "ERROR"})
     warnings = sorted({r["text"] for r in found if r["severity"] == "WARN"} | {f"WARN dead_rule: {r['label']}" for r in dead_labels(program, relation).collect()})
     said = {r["qid"]: r["answer"] for r in answers(program, frames).collect()}
-    return Report(not errors, errors, warnings, said, [(r["severity"], r["code"], tuple(r["values"])) for r in found])
+    return Report(not errors, errors, warnings, said, [(r["severity"], r["code"], tuple(r["values"])) for r in found], truncated)
 
 
 QUERY_NAME = "answer_q"
@@ -295,7 +305,9 @@ def annotate(found: DataFrame, rows: DataFrame) -> DataFrame:
     """
     known = (F.col("code") == CONFLICT) & (F.col("columns") == F.array(*map(F.lit, CONFLICT_COLUMNS)))
     part = F.struct("id", F.concat("relation", F.lit(" #"), F.col("id").cast("string"), F.lit("="), "object").alias("part"))
-    notes = rows.groupBy("subject", "canonical").agg(F.max(F.col("relation") != F.col("canonical")).alias("renamed"), F.array_sort(F.collect_list(part)).alias("parts"))
+    # Only the facts behind conflicts that were found are gathered.
+    behind = found.filter(known).select(F.get("values", F.lit(0)).alias("subject"), F.get("values", F.lit(1)).alias("canonical")).distinct()
+    notes = rows.join(behind, ["subject", "canonical"], "left_semi").groupBy("subject", "canonical").agg(F.max(F.col("relation") != F.col("canonical")).alias("renamed"), F.array_sort(F.collect_list(part)).alias("parts"))
     shown = notes.filter("renamed").select("subject", "canonical", F.concat(F.lit("("), F.array_join(F.transform("parts", lambda p: p["part"]), ", "), F.lit(")")).alias("note"))
     at = found.join(shown, known & (F.get("values", F.lit(0)) == F.col("subject")) & (F.get("values", F.lit(1)) == F.col("canonical")), "left")
     return at.drop("subject", "canonical")
@@ -333,16 +345,24 @@ class InferenceCache:
         """The relation frame of subject, relation, object strings."""
         key = tuple(fingerprint(facts.select("subject", F.col("relation").alias("rel"), "object")).first())
         if key != self.key:
-            path = f"{self.folder}/relation-{key[0]}-{key[1]}"
-            base_relation(facts).write.mode("overwrite").parquet(path)
+            # A new folder each time: a frame handed out earlier may still read the one before.
+            path = f"{self.folder}/relation-{uuid.uuid4().hex}"
+            base_relation(facts).write.parquet(path)
             self.key, self.kept = key, facts.sparkSession.read.parquet(path)
         return self.kept
 
 
 def fingerprint(relation: DataFrame) -> DataFrame:
-    """One row, n and digest, that tells sets of subject, rel, object apart: equal sets have equal rows."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("\u001f", "subject", "rel", "object").cast("binary")), 1, 15), 16, 10).cast("long")
-    return relation.select("subject", "rel", "object").distinct().agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(digest), F.lit(0)).alias("digest"))
+    """One row, n, digest and total, that tells sets of subject, rel, object apart: equal sets have equal rows.
+
+    A row's text tells nulls from strings and says where each slot ends; two 60-bit hashes of it are put together,
+    one by exclusive or, the other by a sum.
+    """
+    slot = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    whole = F.md5(F.concat(slot("subject"), slot("rel"), slot("object")).cast("binary"))
+    part = lambda at: F.conv(F.substring(whole, at, 15), 16, 10).cast("long")
+    rows = relation.select("subject", "rel", "object").distinct()
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(part(1)), F.lit(0)).alias("digest"), F.coalesce(F.sum(part(17).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("total"))
 
 
 #: A policy of our own: single-valued dates, and the class vocabulary as a comment to switch on.

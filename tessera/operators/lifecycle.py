@@ -165,9 +165,11 @@ def translate(questions: DataFrame, results: DataFrame, again: bool = False) ->
     """questions (id, status, query_dl, reason) after results (question_id, outcome, query, reason).
 
     Only pending questions change, or with again all but translated ones; an unknown outcome fails. A question
-    that has no query in the end keeps none of an earlier one.
+    that has no query in the end keeps none of an earlier one. Of several results of a question the least counts,
+    by outcome, query and reason.
     """
-    r = results.select(F.col("question_id").alias("__q"), "outcome", F.col("query").alias("__query"), F.col("reason").alias("__reason")).dropDuplicates(["__q"])
+    least = results.groupBy("question_id").agg(F.min(F.struct("outcome", "query", "reason")).alias("r"))
+    r = least.select(F.col("question_id").alias("__q"), "r.outcome", F.col("r.query").alias("__query"), F.col("r.reason").alias("__reason"))
     at = questions.join(r, F.col("id") == F.col("__q"), "left")
     book = F.create_map(*[F.lit(x) for kv in OUTCOMES.items() for x in kv])
     free = F.col("status") != "translated" if again else F.col("status") == "pending"

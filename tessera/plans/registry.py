@@ -18,7 +18,8 @@ from ..operators.intents import check_intent
 from ..schema import ENGINE, broken_evidence, broken_facts, in_tier
 from ..sources import artifacts
 from ..sources.fixture import ALIASES, kb, sql
-from ..sources.policy_files import canonicalize, export_dl, variants
+from ..sources.policy_files import canonicalize, export_dl
+from ..sources.policy_files import label_variants as policy_labels
 from ..streaming.events import latest_events, windowed_counts
 
 QUERIES: dict = {}
@@ -601,7 +602,8 @@ def annotated_findings(spark, sf_dir):
     return engine.annotate(found, canonical_facts(spark, sf_dir).filter(in_tier(ENGINE))).select("text", "note")
 
 
-@query("SELECT count(*) AS n, bit_xor(CAST('0x' || substr(md5(subject || chr(31) || rel || chr(31) || object), 1, 15) AS BIGINT)) AS digest FROM kb_relation")
+@query("""WITH h AS (SELECT md5(strlen(subject) || ':' || subject || strlen(rel) || ':' || rel || strlen(object) || ':' || object) AS h FROM kb_relation)
+SELECT count(*) AS n, bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS digest, CAST(sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS VARCHAR) AS total FROM h""")
 def relation_fingerprint(spark, sf_dir):
     return engine.fingerprint(plain_relation(spark, sf_dir))
 
@@ -1201,10 +1203,13 @@ def unit_mismatches(spark, sf_dir):
     return facts.select("id", units.unit_mismatch(F.lit("몇 년 걸렸나?"), stated).alias("m")).select("id", "m.asked", "m.stated")
 
 
-@query("""WITH v AS (SELECT 'founded' AS label UNION SELECT 'goal' UNION SELECT 'knows')
-SELECT label, (SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT v.label AS x UNION SELECT canonical FROM kb_alias WHERE raw = v.label UNION SELECT raw FROM kb_alias WHERE canonical IN (SELECT canonical FROM kb_alias WHERE raw = v.label))) AS variants FROM v""")
+@query("""WITH l AS (SELECT DISTINCT relation AS label FROM kb_facts UNION SELECT canonical FROM kb_alias UNION SELECT raw FROM kb_alias),
+o AS (SELECT label, coalesce(canonical, label) AS canonical FROM l LEFT JOIN kb_alias ON raw = label)
+SELECT label, label AS variant FROM o UNION SELECT label, canonical FROM o UNION SELECT label, raw FROM o JOIN kb_alias USING (canonical)""")
 def label_variants(spark, sf_dir):
-    return spark.createDataFrame([(x, ", ".join(sorted(variants(x, ALIASES)))) for x in ("founded", "goal", "knows")], "label string, variants string")
+    facts, aliases = tables(spark, sf_dir, "facts", "alias")
+    labels = facts.select(F.col("relation").alias("label")).unionByName(aliases.select(F.explode(F.array("raw", "canonical")).alias("label")))
+    return policy_labels(labels, aliases)
 
 
 @query("SELECT id FROM kb_evidence WHERE id % 7 = 3 OR length(snippet) > 1000 OR (id % 5 = 1 AND id % 7 <> 3)")

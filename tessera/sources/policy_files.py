@@ -78,6 +78,16 @@ def variants(label: str, aliases: dict[str, str]) -> list[str]:
     return list(dict.fromkeys([terms.nfc(label), c, *rest]))
 
 
+def label_variants(labels: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(label, variant): every label of a table (label) with itself, its canonical label and all others that mean
+    that; labels and aliases (raw, canonical) are NFC. Two joins along the aliases, nothing on the driver."""
+    a = aliases.select("raw", "canonical").distinct()
+    said = labels.select("label").distinct()
+    own = said.join(a, said["label"] == a["raw"], "left").select("label", F.coalesce("canonical", "label").alias("canonical"))
+    rest = own.join(a, "canonical").select("label", F.col("raw").alias("variant"))
+    return own.select("label", F.explode(F.array("label", "canonical")).alias("variant")).unionByName(rest).distinct()
+
+
 def alias_frame(spark: SparkSession, aliases: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted(aliases.items()), "raw string, canonical string")
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tessera.datalog import DatalogError, parse_program
 from tessera.functions import extraction
-from tessera.operators import documents, engine, intents, planner, questions
-from tessera.sources import files
+from tessera.operators import documents, engine, intents, lifecycle, planner
+from tessera.sources import files, policy_files
 
 BASE = ".decl relation(subject: symbol, rel: symbol, object: symbol)\n"
 
@@ -188,3 +188,30 @@ def test_the_cache_follows_the_fingerprint(spark, tmp_path):
     first = cache.relation(df)
     assert first.count() == 1 and cache.relation(df.distinct()) is first
     assert cache.relation(df.unionByName(df.limit(1).selectExpr("subject", "relation", "'y' as object"))).count() == 2
+    tell = lambda *rows: tuple(engine.fingerprint(spark.createDataFrame(rows, "subject string, rel string, object string")).first())
+    sets = [[("a", None, "b")], [("a", "b", None)], [("a", "b", "")], [("ab", "", "")], [("a", "b", "-")], [("a", "", "b")], [("-", "-", "-")], [(None, None, None)], [("x", "y", "z"), ("x", "y", "w")]]
+    assert len({tell(*s) for s in sets}) == len(sets) and tell(*sets[-1]) == tell(*sets[-1][::-1], *sets[-1])
+
+
+def test_a_long_report_is_cut_and_says_so(spark, monkeypatch):
+    facts = spark.createDataFrame([(f"s{i}", "born_on", v) for i in range(6) for v in ("1", "2")], "subject string, relation string, object string")
+    monkeypatch.setattr(engine, "MOST_FINDINGS", 4)
+    report = engine.run_check(engine.base_relation(facts), engine.DEFAULT_POLICY)
+    assert report.truncated and len(report.errors) == 4 and report.errors[0].endswith("s0 born_on") and "more findings" in report.text()
+    assert not engine.run_check(engine.base_relation(facts.limit(2)), engine.DEFAULT_POLICY).truncated
+
+
+def test_of_several_results_of_a_question_the_least_counts(spark):
+    q = spark.createDataFrame([(1, "pending", None, "")], "id long, status string, query_dl string, reason string")
+    results = spark.createDataFrame([(1, "valid", "q2", "b"), (1, "no_answer", None, "a"), (1, "valid", "q1", "c")], "question_id long, outcome string, query string, reason string")
+    assert [tuple(r) for r in lifecycle.translate(q, results).collect()] == [(1, "no_answer", None, "a")]
+
+
+def test_label_variants_follow_the_aliases(spark):
+    labels = spark.createDataFrame([("founded",), ("c",), ("other",), ("founded",)], "label string")
+    aliases = spark.createDataFrame([("founded", "c"), ("est", "c"), ("goal", "purpose")], "raw string, canonical string")
+    got = {}
+    for r in policy_files.label_variants(labels, aliases).collect():
+        got.setdefault(r["label"], []).append(r["variant"])
+    names = {"founded": "c", "est": "c", "goal": "purpose"}
+    assert {k: sorted(v) for k, v in got.items()} == {x: sorted(policy_files.variants(x, names)) for x in ("founded", "c", "other")}
