@@ -26,7 +26,8 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """Unicode NFC. Collations are no substitute: they equate more than NFC does."""
-    return F.pandas_udf(_nfc, StringType())(c)
+    wide = F.rlike(c, F.lit(r"[^\x00-\x7F]"))
+    return F.when(wide, F.pandas_udf(_nfc, StringType())(F.when(wide, c))).otherwise(c)
 
 
 def fold(c: Column) -> Column:
@@ -45,9 +46,16 @@ def compact_all(c: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda xs: [one(x) for x in xs], na_action="ignore"), "array<string>")(c)
 
 
+#: Characters that escape() does not write by a short sign: controls, line and paragraph separators, bidi marks.
+_ODD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u2028\u2029\u202A-\u202E\u2066-\u2069]"
+
+
 def escape(c: Column) -> Column:
-    """Line makers, control characters and bidi marks as escapes."""
-    return _each(terms.escape)(c)
+    """Line makers, control characters and bidi marks as escapes. Python sees only texts with a rare one of these."""
+    odd, plain = F.rlike(c, F.lit(_ODD)), c
+    for sign, shown in terms.SHOWN.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(shown))
+    return F.when(odd, _each(terms.escape)(F.when(odd, c))).otherwise(plain)
 
 
 def _term_fields(kind: pd.Series, value: pd.Series) -> pd.DataFrame:

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 UNITS = {"원": 1, "천": 10**3, "만": 10**4, "억": 10**8, "조": 10**12}
 SCALE = 1000
 TYPES = ("date", "number", "ordinal", "amount")
-NUM = r"-?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
-DATE = r"^(\p{Nd}{4})[.\-/](\p{Nd}{1,2})(?:[.\-/](\p{Nd}{1,2}))?$"
-DATE_CALL = r"(?i)^date\(\s*(\p{Nd}{4})\s*,\s*(\p{Nd}{1,2})(?:\s*,\s*(\p{Nd}{1,2}))?\s*\)$"
+NUM = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+DATE = r"^([0-9]{4})[.\-/]([0-9]{1,2})(?:[.\-/]([0-9]{1,2}))?$"
+DATE_CALL = r"(?i)^date\(\s*([0-9]{4})\s*,\s*([0-9]{1,2})(?:\s*,\s*([0-9]{1,2}))?\s*\)$"
 NUMBER_CALL = rf'(?i)^number\(\s*"?({NUM})"?\s*\)$'
-ORDINALS = [r"^제?(\p{Nd}+)\s*(?:호|위|번|차|등|째)$", r"(?i)^(\p{Nd}+)\s*(?:st|nd|rd|th)$", r"(?i)^ordinal\(\s*(\p{Nd}+)\s*\)$"]
-AMOUNT = rf"^({NUM}) ?(\P{{Nd}}+)$"
+ORDINALS = [r"^제?([0-9]+)\s*(?:호|위|번|차|등|째)$", r"(?i)^([0-9]+)\s*(?:st|nd|rd|th)$", r"(?i)^ordinal\(\s*([0-9]+)\s*\)$"]
+AMOUNT = rf"^({NUM}) ?([^0-9]+)$"
 AMOUNT_CALL = rf'(?i)^amount\(\s*"?({NUM})"?\s*,\s*(?:"([^"]*)"|([^,)"]+))\s*\)$'
 
 #: The decimal digits of all scripts but ASCII, and the ASCII digits they stand for.
@@ -28,8 +28,13 @@ WIDE = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isdecim
 PLAIN = "".join(str(unicodedata.decimal(c)) for c in WIDE)
 
 
+def _plain(c: Column) -> Column:
+    """Digits of all scripts as ASCII ones; a text in ASCII is passed on."""
+    return F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), F.translate(c, WIDE, PLAIN)).otherwise(c)
+
+
 def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.translate(F.regexp_extract(c, pattern, group), WIDE, PLAIN), F.lit(""))
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def _decimal(c: Column) -> Column:
@@ -43,7 +48,8 @@ def _whole(c: Column) -> Column:
 
 def date_key(c: Column) -> Column:
     """yyyymmdd; the day defaults to 1; null for text that is no date or a day that does not exist."""
-    call = F.rlike(c, F.lit(DATE_CALL))
+    c = _plain(c)
+    call = (F.lower(F.substring(c, 1, 5)) == "date(") & F.rlike(c, F.lit(DATE_CALL))
     pick = lambda g: F.when(call, _part(c, DATE_CALL, g)).otherwise(_part(c, DATE, g))
     y, m, d = pick(1).try_cast("int"), pick(2).try_cast("int"), F.coalesce(pick(3).try_cast("int"), F.lit(1))
     exists = F.expr("true") & F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd").isNotNull()
@@ -51,17 +57,18 @@ def date_key(c: Column) -> Column:
 
 
 def number_key(c: Column) -> Column:
-    n = F.coalesce(_part(c, NUMBER_CALL, 1), F.when(F.rlike(c, F.lit(f"^{NUM}$")), F.translate(c, WIDE, PLAIN)))
+    c = _plain(c)
+    n = F.coalesce(F.when(F.rlike(c, F.lit(f"^{NUM}$")), c), _part(c, NUMBER_CALL, 1))
     return _whole(_decimal(n) * SCALE)
 
 
 def ordinal_key(c: Column) -> Column:
-    return F.coalesce(*[_part(c, p, 1) for p in ORDINALS]).try_cast("long")
+    return F.coalesce(*[_part(_plain(c), p, 1) for p in ORDINALS]).try_cast("long")
 
 
 def amount_key(c: Column, units: dict[str, int] | None = None) -> Column:
     """Number times unit. A trailing currency mark after a unit is dropped; unknown units give null."""
-    known = {**UNITS, **(units or {})}
+    known, c = {**UNITS, **(units or {})}, _plain(c)
     book = F.create_map(*[F.lit(x) for k, v in known.items() for x in (k, v)])
     called = _part(c, AMOUNT_CALL, 1)
     number = F.coalesce(called, _part(c, AMOUNT, 1))
@@ -78,7 +85,8 @@ def typed_key(kind: str, c: Column, units: dict[str, int] | None = None) -> Colu
 def exact_key(kind: str, c: Column, units: dict[str, int] | None = None) -> Column:
     """The stricter parser of comparisons: ISO dates, well-formed thousands groups, exact units, whole products."""
     if kind == "date":
-        return F.when(F.rlike(c, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), date_key(c))
+        there = F.rlike(c, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & ~F.startswith(c, F.lit("0000")) & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
+        return F.when(there, F.replace(c, F.lit("-"), F.lit("")).try_cast("long"))
     grouped = r"-?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]+)?"
     if kind == "number":
         value = _decimal(F.when(F.rlike(c, F.lit(f"^{grouped}$")), c)) * SCALE

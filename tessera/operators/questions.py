@@ -56,13 +56,31 @@ def incomparable(relation: DataFrame, rel: str, kind: str, units: dict[str, int]
 
 
 def provenance(facts: DataFrame, rels: list[str]) -> DataFrame:
-    """(subject, answer, fact_ids) of the path along one to three relations: every fact id of every proof."""
-    df = facts.filter(F.col("canonical") == rels[0]).select("subject", F.col("object").alias("answer"), F.array("id").alias("ids"))
-    for r in rels[1:]:
-        step = facts.filter(F.col("canonical") == r).select(F.col("subject").alias("answer"), F.col("object").alias("next"), F.col("id").alias("nid"))
-        df = df.join(step, "answer").select("subject", F.col("next").alias("answer"), F.array_append("ids", F.col("nid")).alias("ids"))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids"))))
-    return df.groupBy("subject", "answer").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("fact_ids"), F.count("*").alias("proofs"))
+    """(subject, answer, fact_ids, proofs) of the path along relations: every fact id of every proof, and how many
+    proofs there are.
+
+    Proofs are counted, not listed: a fact is part of a proof if some subject reaches it and some answer is reached
+    from it, so what is joined are distinct ends and not the paths between them.
+    """
+    edges = [facts.filter(F.col("canonical") == r).select(F.col("subject").alias("a"), F.col("object").alias("b"), "id") for r in rels]
+    counts = [e.groupBy("a", "b").agg(F.count("*").alias("n")) for e in edges]
+    # Ways from each subject to the ends of the first k relations.
+    ways = [counts[0].select(F.col("a").alias("subject"), F.col("b").alias("node"), "n")]
+    for c in counts[1:]:
+        at = ways[-1].withColumnRenamed("n", "so_far").join(c, F.col("node") == F.col("a"))
+        ways.append(at.groupBy("subject", F.col("b").alias("node")).agg(F.sum(F.col("so_far") * F.col("n")).alias("n")))
+    # Answers of each node after the first k relations.
+    leads = [counts[-1].select(F.col("b").alias("node"), F.col("b").alias("answer")).distinct()]
+    for c in reversed(counts[1:]):
+        at = c.join(leads[0], F.col("b") == F.col("node")).select(F.col("a").alias("node"), "answer").distinct()
+        leads.insert(0, at)
+    used = None
+    for k, e in enumerate(edges):
+        before = e.withColumn("subject", F.col("a")) if k == 0 else e.join(ways[k - 1].select("subject", "node"), F.col("a") == F.col("node")).drop("node")
+        ids = before.join(leads[k], F.col("b") == F.col("node")).select("subject", "answer", "id")
+        used = ids if used is None else used.unionByName(ids)
+    listed = used.distinct().groupBy("subject", "answer").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("fact_ids"))
+    return listed.join(ways[-1].select("subject", F.col("node").alias("answer"), F.col("n").alias("proofs")), ["subject", "answer"])
 
 
 def traced(prov: DataFrame) -> DataFrame:
