@@ -127,7 +127,9 @@ _open: set[Scratch] = set()
 
 
 @atexit.register
-def _close_all() -> None:
+def close_all() -> None:
+    """Removes all saved tables. It runs when the driver's Python ends; a long session calls it when no frame that an
+    operator returned is read any more."""
     for scratch in list(_open):
         scratch.close()
 

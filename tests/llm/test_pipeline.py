@@ -46,6 +46,44 @@ def test_run_equals_brute_force(spark):
     assert taken == {i: n for i, n in copies.items() if n}
 
 
+def test_the_last_two_stages_by_their_rules_alone(spark):
+    """No secret of the base kinds is left, nothing else of a text is changed, and each source's words come near what
+    the weights give it: from the rules, without the operators' own reports."""
+    import re
+
+    from test_llm_operators import SPACES, brute_targets
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = corpus_pipeline.redact_secrets(spark, docs, SF).cache()
+    base = [re.compile("(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)[A-Za-z0-9+/_.=-]{12,}"), re.compile("AKIA[A-Z0-9]{14,}"), re.compile("(?<![0-9a-f])[0-9a-f]{16,}(?![0-9a-f])")]
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    touched = 0
+    for r in clean.collect():
+        text, old = r["text"], before[r["doc_id"]]
+        if old is None:
+            assert text is None
+            continue
+        had = any(p.search(old) for p in base)
+        touched += had
+        assert had <= (text != old) and not any(p.search(text) for p in base)
+        # What is left between the marks stands in the old text, in this order.
+        at = 0
+        for piece in re.split(r"\[SECRET:[a-z]+\]", text) if text != old else []:
+            at = old.find(piece, at)
+            assert at >= 0
+            at += len(piece)
+    assert touched > 0
+    sizes, taken, largest = {}, {}, {}
+    for r in clean.collect():
+        n = len(SPACES.findall(r["text"] or ""))
+        sizes[r["source"]] = sizes.get(r["source"], 0) + n
+        largest[r["source"]] = max(largest.get(r["source"], 0), n)
+    for r in corpus_pipeline.mix_sources(spark, clean, SF).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + len(SPACES.findall(r["text"] or ""))
+    for source, target in brute_targets(sizes).items():
+        assert abs(taken.get(source, 0) - target) <= max(0.02 * target, largest[source]), source
+
+
 def test_run_over_a_whole_table(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and "copy_no" in out.columns
