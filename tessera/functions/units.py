@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,28 +20,18 @@ SUFFIXES = ["간", "가량", "정도", "쯤", "짜리"]
 UNIT = {s: name for name, group in SPELLINGS.items() for s in group}
 FAMILY = {u: f for f, us in FAMILIES.items() for u in us}
 _ANY = "|".join(sorted(map(re.escape, UNIT), key=len, reverse=True))
-_ASKED = re.compile(rf"(?:몇\s*|(?i:how many)\s+)(?P<unit>{_ANY})(?![A-Za-z])")
-_STATED = re.compile(rf"[0-9][0-9,.]*\s*[만억천조]?\s*(?P<unit>{_ANY})(?:{'|'.join(SUFFIXES)})?(?![가-힣0-9A-Za-z])")
-_DATE = re.compile(r"[0-9]{1,4}\s*년\s*[0-9]{1,2}\s*월(?:\s*[0-9]{1,2}\s*일)?|[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일")
-
-
-def mismatch(question: str, value: str) -> tuple[str, str] | None:
-    """(asked, stated) spellings where they measure one quantity in different units, and the asked one is not stated."""
-    asked = _ASKED.search(question)
-    if not asked:
-        return None
-    want = UNIT[asked["unit"]]
-    stated = [m["unit"] for m in _STATED.finditer(_DATE.sub(" ", value))]
-    if any(UNIT[s] == want for s in stated):
-        return None
-    other = next((s for s in stated if FAMILY[UNIT[s]] == FAMILY[want]), None)
-    return (asked["unit"], other) if other else None
+_ASKED = rf"(?U)(?:몇\s*|(?i:how many)\s+)({_ANY})(?![A-Za-z])"
+_STATED = rf"(?U)[0-9][0-9,.]*\s*[만억천조]?\s*({_ANY})(?:{'|'.join(SUFFIXES)})?(?![가-힣0-9A-Za-z])"
+_DATE = r"(?U)[0-9]{1,4}\s*년\s*[0-9]{1,2}\s*월(?:\s*[0-9]{1,2}\s*일)?|[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일"
 
 
 def unit_mismatch(question: Column, value: Column) -> Column:
-    """struct<asked, stated> of rows whose value is in another unit, nulls elsewhere."""
-
-    def each(q: pd.Series, v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([mismatch(a or "", b or "") or (None, None) for a, b in zip(q, v, strict=True)], columns=["asked", "stated"])
-
-    return F.pandas_udf(each, "asked string, stated string")(question, value)
+    """struct<asked, stated>: the spellings where both measure one quantity in different units and the asked one is
+    not stated; nulls elsewhere. Spark expressions only."""
+    book = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    unit, family = (lambda s: F.try_element_at(book(UNIT), s)), (lambda s: F.try_element_at(book({s: FAMILY[u] for s, u in UNIT.items()}), s))
+    asked = F.nullif(F.regexp_extract(F.coalesce(question, F.lit("")), _ASKED, 1), F.lit(""))
+    stated = F.regexp_extract_all(F.regexp_replace(F.coalesce(value, F.lit("")), _DATE, " "), F.lit(_STATED), F.lit(1))
+    other = F.get(F.filter(stated, lambda s: family(s) == family(asked)), F.lit(0))
+    differs = other.isNotNull() & ~F.exists(stated, lambda s: unit(s) == unit(asked))
+    return F.struct(F.when(differs, asked).alias("asked"), F.when(differs, other).alias("stated"))

@@ -15,22 +15,20 @@ def test_policy_states(text, recorded, want):
             pf.runnable_policy(text, recorded, "d")
 
 
-@pytest.mark.parametrize(
-    "question, value, want",
-    [
-        ("공사는 몇 년인가?", "24개월", ("년", "개월")), ("공사는 몇 년인가?", "2년간", None), ("공사는 몇 개월?", "2024년 3월 5일", None), ("가격은 몇 원?", "2년", None),
-        ("가격은 몇 원?", "300달러", ("원", "달러")), ("how many days", "3 weeks", ("days", "weeks")), ("언제인가?", "3주", None), ("비율은 몇 퍼센트?", "3배", ("퍼센트", "배")),
-    ],
-)
-def test_unit_mismatch(question, value, want):
-    assert units.mismatch(question, value) == want
-
-
-def test_unit_mismatch_column(spark):
+MEASURED = [
+    ("공사는 몇 년인가?", "24개월", ("년", "개월")), ("공사는 몇 년인가?", "2년간", None), ("공사는 몇 개월?", "2024년 3월 5일", None), ("가격은 몇 원?", "2년", None),
+    ("가격은 몇 원?", "300달러", ("원", "달러")), ("how many days", "3 weeks", ("days", "weeks")), ("언제인가?", "3주", None), ("비율은 몇 퍼센트?", "3배", ("퍼센트", "배")),
+    ("몇 년?", "24개월", ("년", "개월")), ("How Many  years was it?", "24 months, 2 years", None), ("몇\u3000년", "1,200.5\u00a0일정도", ("년", "일")), ("몇 년?", "3월 5일", None),
+    (None, "x", None), ("몇 년?", None, None), ("", "", None), ("몇 달러인가", "3만원", ("달러", "원")), ("how many daysX", "3 weeks", None), ("몇 년?", "3개월분", None), ("몇 시간?", "5분 쯤, 2시간", None),
+]
+
+
+def test_unit_mismatches(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([("몇 년?", "24개월"), (None, "x")], "q string, v string").select(units.unit_mismatch(F.col("q"), F.col("v")).alias("m")).select("m.*").collect()
-    assert [tuple(r) for r in rows] == [("년", "개월"), (None, None)]
+    df = spark.createDataFrame([(i, q, v) for i, (q, v, _) in enumerate(MEASURED)], "i long, q string, v string")
+    rows = df.select("i", units.unit_mismatch(F.col("q"), F.col("v")).alias("m")).select("i", "m.asked", "m.stated").orderBy("i").collect()
+    assert [(r["asked"], r["stated"]) for r in rows] == [want or (None, None) for _, _, want in MEASURED]
 
 
 def test_policy_records_move_by_compare_and_set():
