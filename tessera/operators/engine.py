@@ -253,6 +253,42 @@ def run_check(relation: DataFrame, policy: str, query: str = "", rows: DataFrame
     return Report(not errors, errors, warnings, said, [(r["severity"], r["code"], tuple(r["values"])) for r in found], truncated)
 
 
+#: Fact lines in a report's debug section, at most.
+MOST_FACT_LINES = 10_000
+
+
+def fact_lines(relation: DataFrame) -> DataFrame:
+    """line: each fact of a relation frame as the program would state it."""
+    slots = [text.render(F.col(c), "render") for c in BASE]
+    return relation.select(F.concat(F.lit("relation("), F.concat_ws(", ", *slots), F.lit(")")).alias("line")).distinct()
+
+
+def report_text(report: Report, policy: str, query: str = "", relation: DataFrame | None = None, traced: DataFrame | None = None) -> str:
+    """The whole text of a report: what was found and answered, the facts behind the answers, and what went in.
+
+    traced: rows of traces.trace_facts, which are bounded. Of the facts MOST_FACT_LINES are shown, in order, and the
+    text says if there are more; their number is exact.
+    """
+    out = [report.text() + ("" if relation is None else f"\nfacts: {relation.count()}")]
+    if traced is not None:
+        rows = traced.orderBy(F.expr("try_cast(qid as decimal(38,0))").asc_nulls_last(), "qid", "answer", "ids", "fact_id").collect()
+        lines, last = [], None
+        for r in rows:
+            if last != (last := (r["qid"], r["answer"], tuple(r["ids"]))):
+                lines.append(f"q{r['qid']}: {r['answer']}")
+            flag = " (in conflict)" if r["conflicted"] else ""
+            lines.append(f"  #{r['fact_id']} {r['subject']} | {r['relation']} | {r['object']} <- {r['source'] or 'no source'}{flag}")
+        out += ["--- traceability ---", *(lines or ["(none)"])]
+    out += ["--- policy input ---", policy.strip()]
+    if query.strip():
+        out += ["--- query input ---", query.strip()]
+    if relation is not None:
+        shown = [r["line"] for r in fact_lines(relation).orderBy("line").limit(MOST_FACT_LINES + 1).collect()]
+        more = ["(there are more facts)"] if len(shown) > MOST_FACT_LINES else []
+        out += ["--- fact input ---", *(shown[:MOST_FACT_LINES] or ["(none)"]), *more]
+    return "\n".join(out)
+
+
 QUERY_NAME = "answer_q"
 
 

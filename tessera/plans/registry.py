@@ -602,6 +602,11 @@ def annotated_findings(spark, sf_dir):
     return engine.annotate(found, canonical_facts(spark, sf_dir).filter(in_tier(ENGINE))).select("text", "note")
 
 
+@query("""SELECT 'relation("' || subject || '", "' || rel || '", "' || object || '")' AS line FROM kb_relation""")
+def fact_input(spark, sf_dir):
+    return engine.fact_lines(relation_frame(spark, sf_dir))
+
+
 @query("""WITH h AS (SELECT md5(strlen(subject) || ':' || subject || strlen(rel) || ':' || rel || strlen(object) || ':' || object) AS h FROM kb_relation)
 SELECT count(*) AS n, bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS digest, CAST(sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS VARCHAR) AS total FROM h""")
 def relation_fingerprint(spark, sf_dir):

@@ -175,3 +175,19 @@ def test_exact_facts_answer_where_the_relation_list_hides_a_label(spark):
     intent = intents.check_intent(json.dumps({"kind": "lookup_object", "subject": entity("a"), "relation": {"kind": "relation", "value": "founded"}, "operator": "="}))
     found = planner.plan_checked(intent, r, {"founded": "established_on"}, facts=f)
     assert [(c.family, sorted(x["answer"] for x in c.answers.collect())) for c in found] == [("direct", []), ("exact_fact", ["1990"])]
+
+
+def test_a_report_shows_what_went_in_and_what_is_behind(spark, monkeypatch):
+    facts = spark.createDataFrame([(1, "a", "born_on", "born_on", "1990", 1), (2, "a", "born", "born_on", 'the "1991"', None)], "id long, subject string, relation string, canonical string, object string, source_id long")
+    relation = engine.base_relation(facts.select("subject", facts["canonical"].alias("relation"), "object"))
+    query = '.decl answer_q1(v: symbol)\nanswer_q1(V) :- relation("a", "born_on", V).'
+    none = spark.createDataFrame([], "id long, fact_id long, source_id long, snippet string")
+    traced = traces.trace_facts(traces.trace_answers(facts, query), facts, spark.createDataFrame([(1, "one.md")], "id long, path string"), none, facts.select("subject", "canonical"))
+    report = engine.run_check(relation, engine.DEFAULT_POLICY, query)
+    text = engine.report_text(report, engine.DEFAULT_POLICY, query, relation, traced)
+    assert text.startswith("inconsistent: 1 errors") and "\nfacts: 2\n" in text and "ANSWER q1: 1990, the " in text
+    assert "q1: 1990\n  #1 a | born_on | 1990 <- one.md (in conflict)\n" in text and "  #2 a | born | the " in text and "<- no source" in text
+    assert text.index("--- traceability ---") < text.index("--- policy input ---") < text.index("--- query input ---") < text.index("--- fact input ---")
+    assert text.endswith('relation("a", "born_on", "1990")\nrelation("a", "born_on", "the \\"1991\\"")')
+    monkeypatch.setattr(engine, "MOST_FACT_LINES", 1)
+    assert engine.report_text(report, "p", "", relation).endswith("(there are more facts)") and "--- query input" not in engine.report_text(report, "p")
