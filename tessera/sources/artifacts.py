@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from ..functions import text
 
 ROWS = "source_id long, text string"
 STORED = "source_id long, path string, checksum string, bytes long"
+TEXTS = "source_id long, path string, checksum string, text string"
 MANIFESTS = "_manifests"
 
 
@@ -125,16 +127,29 @@ def stored_artifacts(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.schema(STORED).json(f"{folder}/{MANIFESTS}").distinct()
 
 
+def _texts(batches):
+    """The listed rows with their text; a file that is gone, or not what its name says, raises."""
+    for batch in batches:
+        texts = []
+        for folder, path, checksum in zip(*(batch.column(c).to_pylist() for c in ("folder", "path", "checksum")), strict=True):
+            where, root = _at(folder)
+            try:
+                with where.open_input_stream(f"{root}/{path}") as f:
+                    data = f.read()
+            except FileNotFoundError:
+                data = None
+            if data is None or hashlib.sha256(data).hexdigest() != checksum:
+                raise ValueError(f"a broken artifact: {path}")
+            texts.append(data.decode("utf-8"))
+        yield batch.drop_columns(["folder"]).append_column("text", pa.array(texts, pa.string()))
+
+
 def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """source_id, path, checksum, text of every artifact that a manifest lists; a text that is not what its name says
-    fails the job, as does a listed artifact without a file."""
+    fails the job, as does a listed artifact without a file. Tasks open the files that the manifests name, so no
+    folder is listed."""
     listed = stored_artifacts(spark, folder)
     if listed is None:
-        return spark.createDataFrame([], "source_id long, path string, checksum string, text string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{folder}/artifacts")
-    found = files.select("content", F.regexp_extract("path", r"(artifacts/sources/-?[0-9]+/[0-9a-f]{64}\.txt)$", 1).alias("path"))
-    at = listed.join(found, "path", "left")
-    # Spark reads no row from an empty file.
-    content = F.when(F.col("bytes") == 0, F.coalesce("content", F.lit(b""))).otherwise(F.col("content"))
-    broken = F.raise_error(F.concat(F.lit("a broken artifact: "), F.col("path"))).cast("string")
-    return at.select("source_id", "path", "checksum", F.when(F.sha2(content, 256) == F.col("checksum"), F.decode(content, "UTF-8")).otherwise(broken).alias("text"))
+        return spark.createDataFrame([], TEXTS)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("source_id", "path", "checksum", F.lit(folder).alias("folder")).repartition(tasks, "path").mapInArrow(_texts, TEXTS)
