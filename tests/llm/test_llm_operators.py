@@ -1032,7 +1032,7 @@ def test_a_compacted_cache_serves_the_same_counts(spark, tmp_path):
 
 def test_queries_and_oracles_match(spark):
     c = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark"):
+    for t in ("documents", "conversations", "benchmark", "pages"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), c.sql(sql).df()
