@@ -7,7 +7,8 @@ each of its documents, so what whole copies of large documents overshot or misse
 ones that follow, and the words taken end within about one small document of the target.
 
 No task holds a whole source: rows are ranked inside blocks of bounded size, and only the classes' and blocks'
-counts are summed along a source.
+counts are summed along a source. A run of equal rows, which no block can part, is one weighted row of its block;
+its rows are numbered in the stretches in which they were read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from ._common import Scratch, fresh, need
 SPACES = r"[^\x20\x09-\x0D]+"
 #: Size classes a unit of the root of the size, and the rows a block aims at.
 CLASSES, BLOCK_ROWS = 2, 20_000
+#: In a block of over twice its rows, more equal rows than this are a run.
+RUN_ROWS = 1_000
+BLOCK = ("source", "cls", "part")
+RUN = (*BLOCK, "size", "scatter", "doc_id")
 #: Expected copies are whole numbers of this many halvings of one, so prefix sums are exact and a rate of the cap
 #: gives each document just the cap. A source may have 2**39 documents.
 UNIT = 24
@@ -63,8 +68,8 @@ def mix_copies(docs: DataFrame, *keep: str, weights=(5.0, 2.0, 1.0), cap: float
 
     size: words of the text; a null or empty text has 0. A null source is a source of its own; a null doc_id
     counts as the smallest. Ties and repeated rows are equal but for their place in the order, so any order of
-    them gives the same rows; columns of keep, in their order, break ties. Repeats of one whole row can't be told
-    apart and fill one block. Other columns are ignored. An empty table gives no rows; where all sizes are 0,
+    them gives the same rows; columns of keep, in their order, break ties. Rows of one id and text in large numbers
+    (a run) are numbered in the order in which they were read, whatever keep holds. Other columns are ignored. An empty table gives no rows; where all sizes are 0,
     targets and copies are 0. Reruns agree: order and offset follow from the rows and seed alone.
     """
     tmp = Scratch(docs.sparkSession, "mix")
@@ -74,12 +79,12 @@ def mix_copies(docs: DataFrame, *keep: str, weights=(5.0, 2.0, 1.0), cap: float
     rows = need(docs, doc_id="long", source="string", text="string", **own).select("doc_id", "source", word_count(F.col("text")).alias("size"), _scatter(key).alias("scatter"), *keep)
     # Size class, largest first; a scattered number that splits a class into blocks.
     cls = F.floor(F.sqrt(F.col("size").cast("double")) * CLASSES).cast("long")
-    narrow = tmp.save(rows.select("doc_id", "source", "size", *keep, cls.alias("cls"), "scatter"), "sizes")
+    narrow = tmp.save(rows.select("doc_id", "source", "size", *keep, cls.alias("cls"), "scatter", F.expr(f"monotonically_increasing_id() div {BLOCK_ROWS}").alias("stretch")), "sizes")
     per_class = narrow.groupBy("source", "cls").agg(F.count("*").alias("n"))
     wide = per_class.select(F.col("source").alias("s2"), F.col("cls").alias("c2"), F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
     placed = tmp.save(
         narrow.join(wide, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cls") == F.col("c2"))).select(
-            "doc_id", "source", "size", *keep, "cls", "scatter", F.floor(F.col("scatter") * F.col("parts") / F.lit(1 << 32)).cast("long").alias("part")
+            "doc_id", "source", "size", *keep, "cls", "scatter", "stretch", F.floor(F.col("scatter") * F.col("parts") / F.lit(1 << 32)).cast("long").alias("part")
         ),
         "placed",
     )
@@ -90,18 +95,49 @@ def mix_copies(docs: DataFrame, *keep: str, weights=(5.0, 2.0, 1.0), cap: float
     rates = _rates(blocks, share, cap)
     plan = tmp.save(
         blocks.join(rates, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cls") == F.col("c2"))).select(
-            F.col("source").alias("s3"), F.col("cls").alias("c3"), F.col("part").alias("p3"), "before", "source_size", "target", "offset", "rate", "passed"
+            F.col("source").alias("s3"), F.col("cls").alias("c3"), F.col("part").alias("p3"), "n", "before", "source_size", "target", "offset", "rate", "passed"
         ),
         "plan",
     )
-    rank = F.row_number().over(Window.partitionBy("source", "cls", "part").orderBy(F.desc("size"), "scatter", "doc_id", *keep))
-    ranked = placed.withColumn("rank", rank).join(plan, F.col("source").eqNullSafe(F.col("s3")) & (F.col("cls") == F.col("c3")) & (F.col("part") == F.col("p3")))
+    crowded = plan.filter(F.col("n") > 2 * BLOCK_ROWS)
+    if crowded.isEmpty():
+        rank = F.row_number().over(Window.partitionBy(*BLOCK).orderBy(F.desc("size"), "scatter", "doc_id", *keep))
+        ranked = placed.withColumn("rank", rank).join(plan, _in_block())
+    else:
+        ranked = _ranked_runs(tmp, placed, plan, crowded, keep)
     at = F.col("before") + F.col("rank")
     crossed = lambda n: F.shiftright(F.col("offset") + F.col("passed") + F.col("rate") * n, UNIT)
     copies = F.when(F.col("size") > 0, crossed(at) - crossed(at - 1)).otherwise(F.lit(0)).cast("long")
     return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *keep)
 
 
+def _in_block():
+    return F.col("source").eqNullSafe(F.col("s3")) & (F.col("cls") == F.col("c3")) & (F.col("part") == F.col("p3"))
+
+
+def _ranked_runs(tmp: Scratch, placed: DataFrame, plan: DataFrame, crowded: DataFrame, keep) -> DataFrame:
+    """placed with rank and the columns of plan. A run of equal rows takes its ranks as one row of that weight, and
+    gives them out by its stretches, of at most BLOCK_ROWS rows: no key that rows meet under has more."""
+    same = lambda cols: [F.col(c).eqNullSafe(F.col("r_" + c)) for c in cols]
+    counts = placed.join(crowded, _in_block(), "left_semi").groupBy(*RUN, "stretch").agg(F.count("*").alias("m"))
+    whole = Window.partitionBy(*RUN)
+    ahead = F.coalesce(F.sum("m").over(whole.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.withColumns({"ahead": ahead, "all": F.sum("m").over(whole)}).filter(F.col("all") > RUN_ROWS)
+    runs = tmp.save(runs.select(*[F.col(c).alias("r_" + c) for c in (*RUN, "stretch")], "ahead", "all"), "runs")
+    single = placed.join(runs, same((*RUN, "stretch")), "left_anti")
+    heads = runs.filter("ahead = 0").select(*[F.col("r_" + c).alias(c) for c in RUN], "all")
+    before = Window.partitionBy(*BLOCK).orderBy(F.desc("size"), "scatter", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.coalesce("all", F.lit(1))).over(before), F.lit(0))
+    entries = tmp.save(single.unionByName(heads, allowMissingColumns=True).withColumn("rank", start + 1).join(plan, _in_block()), "entries")
+    of_plan = ("before", "source_size", "target", "offset", "rate", "passed")
+    known = entries.filter("all is not null").select(*RUN, "rank", *of_plan)
+    dealt = known.join(runs, same(RUN)).select(*["r_" + c for c in (*RUN, "stretch")], F.col("rank").alias("first"), "ahead", *of_plan)
+    within = F.row_number().over(Window.partitionBy(*RUN, "stretch").orderBy(*(keep or [F.lit(0)])))
+    hot = placed.join(dealt, same((*RUN, "stretch"))).withColumn("rank", F.col("first") + F.col("ahead") + within - 1)
+    cols = (*placed.columns, "rank", *of_plan)
+    return entries.filter("all is null").select(*cols).unionByName(hot.select(*cols))
+
+
 def _rates(blocks: DataFrame, share: DataFrame, cap: float) -> DataFrame:
     """s2, c2, rate, passed of every class: the copies each of its documents expects, and the expected copies of all
     classes before it, both in units. A source has some 2 * sqrt(largest size) classes, which one row folds over."""

@@ -138,6 +138,25 @@ def test_rows_without_an_id_scatter(spark, monkeypatch):
     assert got.count() == 2000 and abs(got.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] - 6000) <= 3
 
 
+def test_equal_rows_are_ranked_as_a_run(spark, monkeypatch):
+    """Blocks crowded by equal rows give what one ranking of all rows gives."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 40)
+    table = [(5, "t x y", "en", "s", i) if i % 3 == 0 else (None, None, None, None, i) if i % 7 == 0 else (i, f"t{i} x y", "en", "su"[i % 2], i) for i in range(3000)]
+    df = spark.createDataFrame(table, DOCS).repartition(6)
+    taken = lambda d: sorted((r["doc_id"] or 0, r["size"], r["target"], r["copies"]) for r in rows(mixing.mix_report(d)))
+    monkeypatch.setattr(mixing, "RUN_ROWS", 10_000)
+    plain = taken(df)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 20)
+    calls = []
+    true = mixing._ranked_runs
+    monkeypatch.setattr(mixing, "_ranked_runs", lambda *a: calls.append(1) or true(*a))
+    assert taken(df) == plain == taken(df.repartition(3)) and calls
+    mixed = collections.Counter(r["n_chars"] for r in rows(mixing.mix(df)))
+    assert sum(mixed.values()) == sum(c for *_, c in plain)
+    whole = rows(df)
+    assert sorted(mixed[r["n_chars"]] for r in whole if r["doc_id"] == 5) == sorted(c for i, *_, c in plain if i == 5)
+
+
 def test_names_of_the_mix_may_stand_already(spark):
     df = docs(spark, ["a b", "c d e"]).withColumns({"copy_no": F.lit(9), "__row": F.lit(1), "__copies": F.lit(2), "copies": F.lit(3), "scatter": F.lit(4)})
     assert mixing.mix(df).columns == df.columns + ["copy_no_"]
