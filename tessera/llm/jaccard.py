@@ -99,6 +99,18 @@ def allocate(rule: Rule, classes: dict[int, int]) -> list[tuple[int, int]]:
     return out
 
 
+def most_keys(rule: Rule, plan: list[tuple[int, int]], b: int) -> int:
+    """Index keys that a set of band b has at most, on average over where its grams fall: those of all its schemes."""
+    low = int(np.searchsorted(EDGES, max(1, rule.smallest(int(EDGES[b]))), "right")) - 1
+    return sum(m + d * -(-int(EDGES[b + 1]) // m) for m, d in plan[low : b + 1])
+
+
+def parts_for(keys: int, dealt: int) -> int:
+    """Parts of an index of so many keys: as many as the session deals shuffles to, and more where a part would hold
+    more than KEYS_A_PART. Their number fits 16 bits of a key's name; from 65,535 on parts grow instead."""
+    return max(min(dealt, MOST_PARTS), min(-(-keys // KEYS_A_PART), MOST_PARTS))
+
+
 def _segment_rows(grams: np.ndarray, salted: np.ndarray, band: int, m: int, d: int, least: int):
     """Index keys of one set under one scheme; bit 0 tells a deletion from a plain segment.
 
@@ -179,6 +191,10 @@ def _digests(batches, k: int):
 
 #: Index keys packed together, at least, before they are dealt out.
 PACK = 1 << 18
+#: Keys that go to a part from one piece, at least, so that a packed row's own columns weigh little.
+KEYS_A_ROW = 64
+#: Index keys of a part, some 100 bytes each while they are sorted, and the parts that there may be.
+KEYS_A_PART, MOST_PARTS = 1 << 22, (1 << 16) - 1
 PACKED = "part int, home int, sure boolean, keys binary, owners binary, classes binary"
 
 
@@ -234,7 +250,7 @@ def _packed(batches, rule: Rule, plan, clash: dict, parts: int):
             keys.append(part)
             own.append(np.full(len(part), c2 if c in clash else c, np.int64))
             held += len(part)
-            if held >= PACK:
+            if held >= max(PACK, KEYS_A_ROW * parts):
                 yield flush()
                 turn, keys, own, held = turn + 1, [], [], 0
     if keys:
@@ -352,15 +368,14 @@ def link_classes(docs: DataFrame, rule: Rule, tmp: Scratch) -> tuple[DataFrame,
     clash = {r["c"]: True for r in clashing}
     told = F.when(F.col("c").isin(list(clash)), F.col("c2")).otherwise(F.col("c")) if clash else F.col("c")
     known = tmp.save(first.select("doc_id", "n", told.alias("c")), "known")
-    classes = tmp.save(first.filter("n > 0").groupBy(told.alias("c")).agg(F.min("n").alias("n"), F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
+    classes = tmp.save(first.filter("n > 0").groupBy(told.alias("c")).agg(F.min("n").alias("n"), F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"), F.count("*").alias("docs")), "classes")
     tmp.drop(first)
     edges = [int(e) for e in EDGES]
     band = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("n"))) - 1
-    counts = {r["b"]: r["m"] for r in classes.groupBy("n").agg(F.count("*").alias("m")).groupBy(band.alias("b")).agg(F.sum("m").alias("m")).collect()}
-    plan = allocate(rule, counts)
+    counted = classes.groupBy("n").agg(F.count("*").alias("m"), F.sum("docs").alias("docs")).groupBy(band.alias("b")).agg(F.sum("m").alias("m"), F.sum("docs").alias("docs")).collect()
+    plan = allocate(rule, {r["b"]: r["m"] for r in counted})
 
-    # As many parts as the session deals shuffles to: its setting for the data's size also bounds a part's keys.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(sum(r["docs"] * most_keys(rule, plan, r["b"]) for r in counted), int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = rows.filter(F.col("text").isNotNull()).mapInArrow(functools.partial(_packed, rule=rule, plan=plan, clash=clash, parts=parts), PACKED)
     index = tmp.save(packed.repartitionById(parts, "part").mapInArrow(_shared_keys, INDEX).distinct(), "index")
 

@@ -862,6 +862,8 @@ def mutated(rng, words, edits):
 @pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(5, 80, 100)])
 def test_components_equal_brute_force(spark, rule, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET_ROWS", 3)
+    # More parts than the session deals shuffles to.
+    monkeypatch.setattr(jaccard, "KEYS_A_PART", 200)
     rng = random.Random(rule.num)
     vocab = [f"v{i}" for i in range(300)]
     texts = list(EDGE_TEXTS)
@@ -900,6 +902,20 @@ def test_every_linked_pair_shares_an_index_key():
                 assert any(0 in x[v] + y[v] for v in x.keys() & y.keys()), (n, cut, add)
 
 
+def test_parts_follow_the_keys():
+    rng = random.Random(3)
+    for rule in (jaccard.Rule(1, 90, 100), jaccard.Rule(1, 80, 100)):
+        for n_class in (3, 10**6):
+            plan = jaccard.allocate(rule, {b: n_class for b in range(40)})
+            for n in (1, 5, 10, 19, 40, 150, 700):
+                b = int(np.searchsorted(jaccard.EDGES, n, "right")) - 1
+                sets = [np.sort(np.array(rng.sample(range(1 << 62), n), dtype=np.uint64)) for _ in range(60)]
+                assert np.mean([len(jaccard.keys_of(x, rule, plan)) for x in sets]) <= jaccard.most_keys(rule, plan, b)
+    a = jaccard.KEYS_A_PART
+    assert [jaccard.parts_for(k, 8) for k in (0, a, 8 * a, 8 * a + 1, 900 * a, a << 20)] == [8, 8, 8, 9, 900, jaccard.MOST_PARTS]
+    assert jaccard.parts_for(5, 10**6) == jaccard.MOST_PARTS
+
+
 def test_packed_keys_keep_exactly_the_shared_ones():
     rng = random.Random(8)
     spread = [int(x) & ~1 for x in _words.mix(np.arange(1, 513, dtype=np.uint64))]
