@@ -5,9 +5,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import candidates, engine, intents, planner, traces
 from tessera.operators.candidates import Candidate
+from tessera.plans import registry
 
 FACTS = "id long, subject string, canonical string, object string"
 
@@ -59,6 +61,30 @@ def brute(facts, rules, bounds):
     return out
 
 
+def test_traces_without_bounds_are_whole(spark):
+    rng = random.Random(0)
+    facts = [(i, rng.choice("ab"), "kr"[i % 2], rng.choice("ab")) for i in range(18)]
+    endless = traces.Bounds(3, 10**6, 10**6, 10**6)
+    df = spark.createDataFrame(facts, FACTS).cache()
+    for atoms, answer in [
+        ([("a", "k", "?X")], "?X"), ([("a", "k", "?X"), ("?X", "r", "b")], "?X"), ([("?Y", "k", "?X"), ("?X", "r", "b")], "?Y"), ([("?X", "?R", "?X"), ("?X", "r", "?Y")], "said"),
+        ([("a", "?R", "?X"), ("?X", "?R", "b")], "?R"), ([("a", "k", "?X"), ("?X", "r", "b"), ("?X", "k", "a")], "?X"), ([("?X", "k", "?Y"), ("?Y", "k", "?X"), ("?X", "r", "b")], "?Y"),
+    ]:
+        want = sorted((a, ",".join(map(str, ids))) for _, a, ids in brute(facts, [("0", atoms, answer)], endless))
+        assert sorted(tuple(r) for r in traces.trace(df, atoms, answer, None).collect()) == want and want
+    assert traces.trace(df, [("nobody", "k", "?X")], "?X", None) is None
+
+
+def test_the_trace_queries_leave_nothing_out(spark, monkeypatch):
+    # 600 matches of an atom and 512 proofs of a rule, past the bounds of a report's trace.
+    facts = [(i, "user/3", "knows", "user/4") for i in range(600)] + [(600 + i, "user/4", "established_on", "2011-02-01") for i in range(3)]
+    facts += [(1000 + i, *f) for i, f in enumerate([("user/8", "knows", "user/4"), ("user/4", "role", "purchase"), ("user/4", "born_on", "2011-01-01")] * 8)]
+    stored = spark.createDataFrame(facts, FACTS).withColumn("status", F.lit("accepted"))
+    monkeypatch.setattr(registry, "canonical_facts", lambda *_: stored)
+    three = [tuple(r) for r in registry.trace_three_atoms(spark, "").collect()]
+    assert len(three) == len(set(three)) == 512
+
+
 def text_of(rules):
     slot = lambda x: x[1:] if x.startswith("?") else json.dumps(x)
     said = [f"answer_q{q}({slot(a)}) :- " + ", ".join(f"relation({', '.join(map(slot, t))})" for t in atoms) + "." for q, atoms, a in rules]
