@@ -81,6 +81,7 @@ def test_the_trace_queries_leave_nothing_out(spark, monkeypatch):
     facts += [(1000 + i, *f) for i, f in enumerate([("user/8", "knows", "user/4"), ("user/4", "role", "purchase"), ("user/4", "born_on", "2011-01-01")] * 8)]
     stored = spark.createDataFrame(facts, FACTS).withColumn("status", F.lit("accepted"))
     monkeypatch.setattr(registry, "canonical_facts", lambda *_: stored)
+    assert [tuple(r) for r in registry.trace_two_atoms(spark, "").collect()] == [("user/4", ",".join(map(str, range(603))))]
     three = [tuple(r) for r in registry.trace_three_atoms(spark, "").collect()]
     assert len(three) == len(set(three)) == 512
 
