@@ -46,14 +46,29 @@ def _whole(c: Column) -> Column:
     return F.round(c, 0).try_cast("long")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _date(parts: Column) -> Column:
+    """yyyymmdd of the struct y, m, d where it is a day of the calendar; by arithmetic, as parsing one is far slower."""
+    y, m, d = parts["y"], parts["m"], parts["d"]
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    days = F.when(m.isin(4, 6, 9, 11), 30).when(m != 2, 31).when(leap, 29).otherwise(28)
+    return F.when((y > 0) & m.between(1, 12) & (d >= 1) & (d <= days), (y * 10000 + m * 100 + d).cast("long"))
+
+
 def date_key(c: Column) -> Column:
     """yyyymmdd; the day defaults to 1; null for text that is no date or a day that does not exist."""
-    c = _plain(c)
-    call = (F.lower(F.substring(c, 1, 5)) == "date(") & F.rlike(c, F.lit(DATE_CALL))
-    pick = lambda g: F.when(call, _part(c, DATE_CALL, g)).otherwise(_part(c, DATE, g))
-    y, m, d = pick(1).try_cast("int"), pick(2).try_cast("int"), F.coalesce(pick(3).try_cast("int"), F.lit(1))
-    exists = F.expr("true") & F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd").isNotNull()
-    return F.when(y.isNotNull() & m.isNotNull() & (y > 0) & exists, (y * 10000 + m * 100 + d).cast("long"))
+
+    def parsed(c):
+        call = (F.lower(F.substring(c, 1, 5)) == "date(") & F.rlike(c, F.lit(DATE_CALL))
+        pick = lambda pattern, g: F.regexp_extract(c, pattern, g).try_cast("int")  # noqa: E731  (no text is no number)
+        parts = lambda p: F.struct(pick(p, 1).alias("y"), pick(p, 2).alias("m"), F.coalesce(pick(p, 3), F.lit(1)).alias("d"))
+        return _let(F.when(call, parts(DATE_CALL)).when(F.rlike(c, F.lit(DATE)), parts(DATE)), _date)
+
+    return _let(_plain(c), parsed)
 
 
 def number_key(c: Column) -> Column:

@@ -6,6 +6,8 @@ where the relation has a type and the object parses, else the raw object.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def acceptance(keyed: DataFrame, jobs: DataFrame, events: DataFrame, functional:
     """
     done = jobs.filter(F.col("status") == "done").select(F.col("id").alias("job_id"), F.lit(True).alias("ready"))
     refused = events.filter(F.col("event_type") == "rejected").select(F.col("fact_id").alias("id")).distinct().withColumn("refused", F.lit(True))
-    f = keyed.join(done, "job_id", "left").join(refused, "id", "left").fillna(False, ["ready", "refused"])
+    f = keyed.join(done, "job_id", "left").fillna(False, ["ready"])
     value = ["subject", "canonical", "okey"]
     current = ~(F.col("stale") & (F.col("status") == "needs_review"))
     told = lambda tier, c: F.coalesce(F.max(F.when(in_tier(tier) & current, c)), F.lit(False))
@@ -97,11 +99,13 @@ def acceptance(keyed: DataFrame, jobs: DataFrame, events: DataFrame, functional:
     )
     per_value = sourced.groupBy(*value).agg(F.sum(F.col("counted").cast("long")).alias("support"), F.max("waits").alias("unready"), F.max("live").alias("value_live"))
     rivals = per_value.filter("value_live").groupBy("subject", "canonical").agg(F.count("*").alias("live_values"))
-    shadows = by_source.filter("shadow").select(F.col("source_id").alias("s"), *[F.col(c).alias("s_" + c) for c in value])
-    at = f.join(shadows, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("subject") == F.col("s_subject")) & (F.col("canonical") == F.col("s_canonical")) & (F.col("okey") == F.col("s_okey")), "left")
-    at = at.withColumn("shadow", F.col("s_subject").isNotNull()).drop("s", *["s_" + c for c in value]).join(per_value, value, "left")
-    at = at.join(rivals, ["subject", "canonical"], "left").join(functional.select(F.col("rel").alias("canonical"), F.lit(True).alias("single")), "canonical", "left")
-    at = at.fillna(False, ["unready", "value_live"]).fillna(0, ["support", "live_values"])
+    # What groups know of each other is joined among groups, so facts meet one table: the row of their own group.
+    known = by_source.select("source_id", *value, (F.col("shadow") & F.expr(" and ".join(f"{c} is not null" for c in value))).alias("shadow"))
+    known = known.join(per_value, value, "left").join(rivals, ["subject", "canonical"], "left")
+    known = known.select(*[F.col(c).alias("g_" + c) for c in ["source_id", *value]], "shadow", "support", "unready", "value_live", "live_values")
+    own = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("g_" + c)) for c in ["source_id", *value]])
+    at = f.join(refused, "id", "left").join(known, own, "left").join(functional.select(F.col("rel").alias("canonical"), F.lit(True).alias("single")), "canonical", "left")
+    at = at.fillna(False, ["refused", "shadow", "unready", "value_live"]).fillna(0, ["support", "live_values"])
     others = F.col("live_values") - F.col("value_live").cast("long")
     no = [
         ~in_tier(REVIEW),

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,20 @@ def test_streamed_latest_events(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["fact_id"], r["event_type"]) for r in spark.table("latest").collect()) == [(7, "rejected"), (8, "created")]
+
+
+def test_date_keys_are_of_the_calendar_and_parsed_once(spark):
+    texts = [f"{y:04d}-{m:02d}-{d:02d}" for y in (0, 1, 1582, 1900, 2000, 2023, 2024, 9999) for m in range(14) for d in (0, 1, 10, 28, 29, 30, 31, 32)]
+    texts += ["2024.7.3", "2024/7", "date(2024, 2)", "DATE(2023,2,29)", "date(2024,2,29)", "٢٠٢٤-٠٧-٠٣", "2024-07-03 ", "role", "", None]
+
+    def plain(t):
+        try:
+            return int(datetime.date.fromisoformat(t).strftime("%Y%m%d"))
+        except ValueError:
+            return None
+
+    want = [plain(t) for t in texts[:-10]] + [20240703, 20240701, 20240201, None, 20240229, 20240703, None, None, None, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1).select("i", typed.date_key(F.col("t")).alias("k"))
+    assert [r["k"] for r in df.orderBy("i").collect()] == want
+    # Three parts of two forms, each named once in the plan: a repeated part is parsed again for every fact.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 6
