@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from .. import terms
 from ..functions import text
 
 ROWS = "source_id long, text string"
 STORED = "source_id long, path string, checksum string, bytes long"
 TEXTS = "source_id long, path string, checksum string, text string"
 MANIFESTS = "_manifests"
+#: Bytes of texts in one batch that goes back to Spark (a fixed value); a longer text is a batch of its own.
+BATCH = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -64,26 +67,32 @@ class _Wrote(WriterCommitMessage):
     rows: list
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
+    """Takes Arrow batches and makes one text at a time of them, in NFC, so a task holds a batch once and not as rows
+    beside it, nor in a second worker that would normalize it."""
+
     def __init__(self, folder: str):
         self.folder = folder
 
     def write(self, iterator):
         where, root = _at(self.folder)
         done = []
-        for row in iterator:
-            if row["text"] is None or row["source_id"] is None:
-                continue
-            data = row["text"].encode("utf-8")
-            digest = hashlib.sha256(data).hexdigest()
-            path = f"artifacts/sources/{row['source_id']}/{digest}.txt"
-            _put(where, f"{root}/{path}", data)
-            done.append([row["source_id"], path, digest, len(data)])
+        for batch in iterator:
+            for source, text_ in zip(batch.column("source_id"), batch.column("text"), strict=True):
+                if not source.is_valid or not text_.is_valid:
+                    continue
+                source_id, data = source.as_py(), text_.as_buffer().to_pybytes()
+                if not data.isascii():
+                    data = terms.nfc(data.decode("utf-8")).encode("utf-8")
+                digest = hashlib.sha256(data).hexdigest()
+                path = f"artifacts/sources/{source_id}/{digest}.txt"
+                _put(where, f"{root}/{path}", data)
+                done.append((source_id, path, digest, len(data)))
         return _Wrote(done)
 
     def commit(self, messages):
         where, root = _at(self.folder)
-        rows = sorted({tuple(r) for m in messages if m is not None for r in m.rows})
+        rows = sorted({r for m in messages if m is not None for r in m.rows})
         lines = "\n".join(json.dumps(dict(zip(("source_id", "path", "checksum", "bytes"), r, strict=True))) for r in rows)
         _put(where, f"{root}/{MANIFESTS}/{uuid.uuid4().hex}.json", lines.encode())
 
@@ -109,13 +118,12 @@ def store_artifacts(sources: DataFrame, folder: str) -> None:
     have none. Text is NFC, with NUL characters replaced, so digest and file are of one value."""
     spark = sources.sparkSession
     spark.dataSource.register(ArtifactSink)
-    clean = text.sanitize(F.col("text"))["text"]
-    plain = sources.select(F.col("source_id").cast("long").alias("source_id"), F.when(F.rlike("text", F.lit(r"[^\x00-\x7F]")), text.nfc(clean)).otherwise(clean).alias("text"))
-    plain = plain.filter("text is not null and source_id is not null")
+    clean = sources.select(F.col("source_id").cast("long").alias("source_id"), text.sanitize(F.col("text"))["text"].alias("text"))
+    plain = clean.filter("text is not null and source_id is not null")
     listed = stored_artifacts(spark, folder)
     if listed is not None:
         k = ["source_id", "checksum"]
-        plain = plain.withColumn("checksum", F.sha2("text", 256)).join(listed.select(*k), k, "left_anti").select("source_id", "text")
+        plain = plain.withColumn("text", F.when(F.rlike("text", F.lit(r"[^\x00-\x7F]")), text.nfc(F.col("text"))).otherwise(F.col("text"))).withColumn("checksum", F.sha2("text", 256)).join(listed.select(*k), k, "left_anti").select("source_id", "text")
     plain.write.format("artifacts").option("folder", folder).mode("append").save()
 
 
@@ -128,10 +136,10 @@ def stored_artifacts(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def _texts(batches):
-    """The listed rows with their text; a file that is gone, or not what its name says, raises."""
+    """The listed rows with their text, BATCH bytes of texts at a time; a file that is gone, or not what its name says, raises."""
     for batch in batches:
-        texts = []
-        for folder, path, checksum in zip(*(batch.column(c).to_pylist() for c in ("folder", "path", "checksum")), strict=True):
+        rows, start, texts, size = batch.drop_columns(["folder"]), 0, [], 0
+        for n, (folder, path, checksum) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("folder", "path", "checksum")), strict=True)):
             where, root = _at(folder)
             try:
                 with where.open_input_stream(f"{root}/{path}") as f:
@@ -140,8 +148,12 @@ def _texts(batches):
                 data = None
             if data is None or hashlib.sha256(data).hexdigest() != checksum:
                 raise ValueError(f"a broken artifact: {path}")
+            if texts and size + len(data) > BATCH:
+                yield rows.slice(start, n - start).append_column("text", pa.array(texts, pa.string()))
+                start, texts, size = n, [], 0
             texts.append(data.decode("utf-8"))
-        yield batch.drop_columns(["folder"]).append_column("text", pa.array(texts, pa.string()))
+            size += len(data)
+        yield rows.slice(start).append_column("text", pa.array(texts, pa.string()))
 
 
 def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import os
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,20 @@ def test_a_job_that_fails_is_not_read_and_its_rerun_is(spark, tmp_path):
         artifacts.read_artifacts(spark, folder).collect()
 
 
+def test_texts_are_read_back_in_batches_of_bounded_size(tmp_path, monkeypatch):
+    # A listing of any length is one batch; its texts are not.
+    monkeypatch.setattr(artifacts, "BATCH", 10, raising=False)
+    texts = ["one", "two", "a text longer than a batch", "", "four", "five", "sixes"]
+    for i, t in enumerate(texts):
+        (tmp_path / str(i)).write_text(t)
+    listed = pa.RecordBatch.from_pydict({"source_id": list(range(7)), "path": [str(i) for i in range(7)], "checksum": [hashlib.sha256(t.encode()).hexdigest() for t in texts], "folder": [f"file://{tmp_path}"] * 7})
+    got = list(artifacts._texts([listed]))
+    assert [b.column("text").to_pylist() for b in got] == [["one", "two"], ["a text longer than a batch"], ["", "four", "five"], ["sixes"]]
+    assert [r["source_id"] for b in got for r in b.to_pylist()] == list(range(7)) and got[0].schema.names == ["source_id", "path", "checksum", "text"]
+    empty = listed.slice(0, 0)
+    assert sum(len(b) for b in artifacts._texts([empty])) == 0
+
+
 @pytest.fixture
 def pushing(spark):
     spark.conf.set(files.PUSHDOWN, "true")
