@@ -86,6 +86,36 @@ def test_the_trace_queries_leave_nothing_out(spark, monkeypatch):
     assert len(three) == len(set(three)) == 512
 
 
+def test_whole_traces_of_three_atoms_go_through_the_joins_in_blocks(spark, monkeypatch):
+    # Several blocks a value; ids that stand for several facts, and atoms that match the same facts.
+    monkeypatch.setattr(traces, "BLOCKS", (2, 1, 3))
+    rng = random.Random(0)
+    facts = [(rng.choice([i, i // 2]), rng.choice("ab"), "kr"[i % 2], rng.choice("ab")) for i in range(22)] * 2
+    df, endless = spark.createDataFrame(facts, FACTS).cache(), traces.Bounds(3, 10**6, 10**6, 10**6)
+    for atoms, answer in [
+        ([("a", "k", "?X"), ("?X", "r", "b"), ("?X", "k", "a")], "?X"), ([("?X", "k", "?Y"), ("?Y", "k", "?Z"), ("?Z", "k", "a")], "?Z"),
+        ([("?X", "k", "?Y"), ("?Y", "r", "?Z"), ("?X", "k", "?id")], "said"),
+    ]:
+        got = [tuple(r) for r in traces.trace(df, atoms, answer, None).collect()]
+        assert sorted(got) == sorted((a, ",".join(map(str, ids))) for _, a, ids in brute(facts, [("0", atoms, answer)], endless)) and got
+
+
+def test_whole_traces_of_three_atoms_shuffle_no_proof(spark):
+    facts = [(i, f"{i // 40}", "krs"[i % 3], "x") for i in range(120)]
+    got = traces.trace(spark.createDataFrame(facts, FACTS), [("?X", "k", "x"), ("?X", "r", "x"), ("?X", "s", "x")], "?X", None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Aggregate" not in above and above.rindex("Generate") < above.index("Repartition")
+    assert got.count() == got.distinct().count() == 3 * 13 * 13 * 14
+    assert {len(r["fact_ids"].split(",")) for r in got.collect()} == {3}
+
+
+def test_ids_that_are_null_have_no_text(spark):
+    facts = [(None, "a", "k", "b"), (None, "b", "r", "c"), (2, "b", "r", "c"), (3, "b", "s", None), (None, "b", "s", None)]
+    got = traces.trace(spark.createDataFrame(facts, FACTS), [("a", "k", "?X"), ("?X", "r", "c"), ("?X", "s", "?Y")], "?Y", None)
+    assert sorted(map(tuple, got.collect())) == [(None, ""), (None, "2"), (None, "2,3"), (None, "3")]
+
+
 def text_of(rules):
     slot = lambda x: x[1:] if x.startswith("?") else json.dumps(x)
     said = [f"answer_q{q}({slot(a)}) :- " + ", ".join(f"relation({', '.join(map(slot, t))})" for t in atoms) + "." for q, atoms, a in rules]
